@@ -8,9 +8,11 @@
    compared batch by batch; after each, a pair goes if the posterior probability that its similarity
    reaches the threshold is under ``miss`` (uniform prior, so the posterior is a beta distribution).
    Survivors are confirmed on their full sets. Confirmed links give components.
-4. What a star can't tell are pairs of one bucket that lie in different components. These are compared in
-   the same way, in blocks of bounded size; members of a bucket's largest component meet only those
-   outside it. Survivors are confirmed, and the components of all links are the result.
+4. What a star can't tell are links between two of a centre's candidates that lie in different components.
+   A centre with few candidates has their pairs compared in the same way. One with many has them cut into
+   blocks of bounded size, whose full sets are compared in one pass, and only links that join components
+   leave the task. Candidates of the largest component meet only those outside it. The components of
+   all links are the result.
 
 So every pair that shares a band is either confirmed, refused, or already connected, while a bucket of n
 copies costs n comparisons and no list of its pairs is ever made.
@@ -33,7 +35,8 @@ from .common import Cache, materialize, slices
 MINIMA = 256
 BATCH = 32  # minima compared before each look at the posterior
 MOST_WORDS = 300_000
-BLOCK = 512  # classes in a block
+FEW = 32  # candidates of a centre whose pairs may become rows
+BLOCK = 256  # classes in a block
 
 _rng = np.random.default_rng(20_240_229)
 FACTORS = _rng.integers(1 << 62, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,20 +157,24 @@ def _plausible(pairs: DataFrame, signatures: DataFrame, least: tuple[int, ...])
     return both.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, df: DataFrame, text: str, id_column: str, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough: 100 * intersection >= percent * union."""
-    pairs = materialize(pairs, "near-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(df: DataFrame, needed: DataFrame, text: str, id_column: str, words: int) -> DataFrame:
+    """id, shingles (binary) of the needed ids; an id has a row for each different set. Written once."""
     texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("_text")).join(needed, "id", "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Cache(word_hash, MOST_WORDS)
         for batch in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words, memo).tobytes() for t in batch.column("_text").to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    sets_ = materialize(texts.mapInArrow(sets, "id long, shingles binary"), "near-sets").withColumn("h", F.xxhash64("shingles"))
-    sets_ = sets_.repartition("id").dropDuplicates(["id", "h"]).select("id", "shingles")
-    both = pairs.distinct().join(sets_.withColumnsRenamed({"id": "b", "shingles": "of_b"}), "b").join(sets_.withColumnsRenamed({"id": "a", "shingles": "of_a"}), "a").select("a", "b", "of_a", "of_b")
+    found = materialize(texts.mapInArrow(run, "id long, shingles binary"), "near-sets").withColumn("h", F.xxhash64("shingles"))
+    return found.where(F.length("shingles") > 0).repartition("id").dropDuplicates(["id", "h"]).select("id", "shingles")
+
+
+def _confirmed(pairs: DataFrame, df: DataFrame, text: str, id_column: str, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough: 100 * intersection >= percent * union."""
+    pairs = materialize(pairs, "near-pairs")
+    sets_ = _sets(df, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text, id_column, words)
+    both = pairs.join(sets_.withColumnsRenamed({"id": "b", "shingles": "of_b"}), "b").join(sets_.withColumnsRenamed({"id": "a", "shingles": "of_a"}), "a").select("a", "b", "of_a", "of_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "of_b"):
@@ -205,59 +212,108 @@ def components(links: DataFrame) -> DataFrame:
         edges = edges.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
 
-def _across(members: DataFrame, signatures: DataFrame, least: tuple[int, ...]) -> DataFrame:
-    """Plausible pairs of one bucket that lie in different components.
+def _tasks(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
+    """Rows of pairs of blocks, clustered by task: a, l, r, is_left, id, component, outside and the payload.
 
-    members: bucket, id, component, outside (not in the bucket's largest component). Ids outside are cut
-    into blocks, all ids of the bucket into others; each pair of blocks is one task's work.
+    members: a (centre), id, component, outside (not in the centre's largest component). Ids outside are cut into left
+    blocks, all ids of the centre into right blocks; each pair of blocks is one task's work.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("long")).alias("m"))
-    rows = members.join(sizes, "bucket").select("*", F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"), F.ceil(F.col("m") / BLOCK).cast("int").alias("lefts"))
+    sizes = members.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("long")).alias("m"))
+    rows = members.join(sizes, "a").select("*", F.ceil(F.col("n") / block).cast("int").alias("rights"), F.ceil(F.col("m") / block).cast("int").alias("lefts"))
     deal = F.xxhash64("id")
-    left = rows.where("outside").select("bucket", F.pmod(deal, F.col("lefts")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"), F.lit(True).alias("is_left"), "id", "component", "outside")
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(deal, F.col("rights")).cast("int").alias("r"), F.lit(False).alias("is_left"), "id", "component", "outside")
-    tasks = left.unionByName(right).join(signatures.select("id", "signature"), "id")
+    left = rows.where("outside").select("a", F.pmod(deal, F.col("lefts")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"), F.lit(True).alias("is_left"), "id", "component", "outside")
+    right = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(deal, F.col("rights")).cast("int").alias("r"), F.lit(False).alias("is_left"), "id", "component", "outside")
+    tasks = left.unionByName(right).join(payload, "id")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = tasks.repartition(n, "bucket", "l", "r").sortWithinPartitions("bucket", "l", "r").select("bucket", "l", "r", "is_left", "id", "component", "outside", "signature")
+    return tasks.repartition(n, "a", "l", "r").sortWithinPartitions("a", "l", "r", "is_left", "id").select("a", "l", "r", "is_left", "id", "component", "outside", *(c for c in payload.columns if c != "id"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one task each, from batches clustered by (a, l, r)."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        key = [held.column(c).to_numpy() for c in ("a", "l", "r")]
+        cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in key], axis=0)) + 1
+        first = 0
+        for end in cuts:
+            yield held.slice(first, end - first)
+            first = int(end)
+        held = held.slice(first)
+    if held is not None and held.num_rows:
+        yield held
+
+
+PAIRS = ["a", "b"]
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=PAIRS)
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, ...]:
+    return tuple(group.column(c).to_numpy() for c in ("is_left", "outside", "id", "component"))
+
+
+def _across_few(members: DataFrame, signatures: DataFrame, least: tuple[int, ...]) -> DataFrame:
+    """Plausible pairs of a centre's few candidates in different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            is_left, outside, ids, comp = _columns(group)
+            sig = signatures_of(group.column("signature").combine_chunks())
+            rights, pairs = np.flatnonzero(~is_left), []
+            for i in np.flatnonzero(is_left):
+                go = rights[(comp[rights] != comp[i]) & (~outside[rights] | (ids[rights] > ids[i]))]
+                pairs += [(int(ids[i]), int(ids[j])) for j in go[survivors(sig[i], sig[go], least)]]
+            if pairs:
+                yield _pair_batch(pairs)
+
+    return _tasks(members, signatures, BLOCK).mapInArrow(run, "a long, b long").distinct()
+
+
+def _across_many(members: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
+    """Links between a centre's many candidates that join different components, confirmed on full sets inside each task.
+
+    A task numbers the shingles of its two blocks once; a left set is then intersected with all right ones
+    by one look-up and one segmented sum. Of its links only those leave that join components not yet joined in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(table: pa.Table) -> tuple[list, list]:
-            """Of whole groups."""
-            bucket, l, r = (table.column(c).to_numpy() for c in ("bucket", "l", "r"))
-            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(l) != 0) | (np.diff(r) != 0)) + 1
-            is_left, outside = (table.column(c).to_numpy(zero_copy_only=False) for c in ("is_left", "outside"))
-            ids, comp, sig = table.column("id").to_numpy(), table.column("component").to_numpy(), signatures_of(table.column("signature").combine_chunks())
-            a, b = [], []
-            for first, end in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                rights = first + np.flatnonzero(~is_left[first:end])
-                for i in first + np.flatnonzero(is_left[first:end]):
-                    go = rights[(comp[rights] != comp[i]) & (~outside[rights] | (ids[rights] > ids[i]))]
-                    for j in go[survivors(sig[i], sig[go], least)]:
-                        a.append(min(ids[i], ids[j]))
-                        b.append(max(ids[i], ids[j]))
-            return a, b
-
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            last = [held.column(c)[-1].as_py() for c in ("bucket", "l", "r")]
-            same = np.ones(held.num_rows, bool)
-            for c, x in zip(("bucket", "l", "r"), last, strict=True):
-                same &= held.column(c).to_numpy() == x
-            whole = held.num_rows - int(same.sum())
-            if whole:
-                a, b = pairs(held.slice(0, whole).combine_chunks())
-                held = held.slice(whole)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if held is not None:
-            a, b = pairs(held.combine_chunks())
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return tasks.mapInArrow(run, "a long, b long").distinct()
+        for group in _groups(batches):
+            is_left, outside, ids, comp = _columns(group)
+            found = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            sizes = np.array([len(f) for f in found])
+            names, numbers = np.unique(np.concatenate(found), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            rights = np.flatnonzero(~is_left)  # they come first
+            flat, at = numbers[: starts[len(rights)]], starts[: len(rights)]
+            root: dict[int, int] = {}
+
+            def top(x: int, root: dict[int, int] = root) -> int:
+                while x in root:
+                    x = root[x]
+                return x
+
+            held, pairs = np.zeros(len(names), np.int32), []
+            for i in np.flatnonzero(is_left):
+                own = numbers[starts[i] : starts[i + 1]]
+                held[own] = 1
+                common = np.add.reduceat(held[flat], at)
+                held[own] = 0
+                near = 100 * common.astype(np.int64) >= percent * (sizes[i] + sizes[rights] - common)
+                for j in rights[near & (comp[rights] != comp[i]) & (~outside[rights] | (ids[rights] > ids[i]))]:
+                    x, y = top(int(comp[i])), top(int(comp[j]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        pairs.append((int(ids[i]), int(ids[j])))
+            if pairs:
+                yield _pair_batch(pairs)
+
+    return _tasks(members, sets_, BLOCK).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_id", words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
@@ -281,16 +337,18 @@ def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_
     members = materialize(banded.join(buckets.select("bucket", "a", "n"), "bucket"), "near-buckets")
     signatures = firsts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "key_a", "key_b"]).select("id", "signature")
     signatures = materialize(signatures, "near-banded")
-    star = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    star = materialize(members.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "near-stars-of")
     links = materialize(_confirmed(_plausible(star, signatures, least), df, text, id_column, words, percent), "near-links")
     found = materialize(components(links), "near-components")
-    rest = members.where("n > 2 and id <> a").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")).distinct()
-    mixed_ = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    rest = materialize(rest.join(mixed_, "bucket", "left_semi"), "near-open")
-    largest = rest.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    rest = rest.join(largest, "bucket").select("bucket", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
-    more = _confirmed(_across(rest, signatures, least), df, text, id_column, words, percent)
-    final = components(links.unionByName(more))
+    near = star.join(found.withColumnRenamed("id", "b"), "b", "left").select("a", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
+    open_ = near.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("a", "n")
+    near = materialize(near.join(open_, "a"), "near-open")
+    largest = near.groupBy("a", "component").count().groupBy("a").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    near = near.join(largest, "a").select("a", "n", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
+    few, many = near.where(F.col("n") <= FEW).drop("n"), near.where(F.col("n") > FEW).drop("n")
+    more = _confirmed(_across_few(few, signatures, least), df, text, id_column, words, percent)
+    sets_ = _sets(df, many.select("id").distinct(), text, id_column, words)
+    final = components(links.unionByName(more).unionByName(_across_many(many, sets_, percent)))
     keyed = signed.select("id", "n_shingles", "key_a", "key_b")
     joined = keyed.join(classes.select("key_a", "key_b", "rep"), ["key_a", "key_b"], "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep")).otherwise(F.col("id"))
