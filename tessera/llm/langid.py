@@ -60,20 +60,21 @@ def sums(texts: list[bytes], logits: np.ndarray, bits: int, most: int = 1 << 20)
         nonlocal parts, owners, starts, size
         if not parts:
             return
-        data = np.frombuffer(b"".join(parts) + b" ", np.uint8)
+        data = np.frombuffer(b"".join(parts) + GAP, np.uint8)
         a, b = gram_rows(data, bits)
-        # The grams in the gap that ends a piece are its own too, but tell nothing; all pieces have as many.
-        each = np.add.reduceat(logits[a] + logits[b], starts, axis=0)
-        np.add.at(total, owners, each)
-        np.add.at(count, owners, 2.0 * np.diff([*starts, len(a)]))
+        each = np.add.reduceat(logits[a] + logits[b], starts, axis=0, dtype=np.float64)
+        own = np.array(owners) >= 0
+        np.add.at(total, np.array(owners)[own], each[own])
+        np.add.at(count, np.array(owners)[own], 2.0 * np.diff([*starts, len(a)])[own])
         parts, owners, starts, size = [], [], [], 0
 
     for i, text in enumerate(texts):
         for at in range(0, len(text), most):
-            piece = text[at : at + most + (3 if at + most < len(text) else 0)]
-            owners.append(i)
-            starts.append(size)
-            parts.append(piece + GAP)
+            piece, ahead = text[at : at + most], text[at + most : at + most + len(GAP)]
+            # Blanks, or the text's next bytes, end the last grams; the grams that begin there count for nobody.
+            owners += [i, -1]
+            starts += [size, size + len(piece)]
+            parts.append(piece + ahead.ljust(len(GAP)))
             size += len(piece) + len(GAP)
             if size >= most:
                 flush()
@@ -100,7 +101,7 @@ def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, ep
     at = {y: i for i, y in enumerate(labels)}
     grams, y = [], np.array([at[b] for _, b in pairs])
     for t, _ in pairs:
-        a, b = gram_rows(np.frombuffer(folded(t) + GAP + b" ", np.uint8), bits)
+        a, b = gram_rows(np.frombuffer(folded(t) + GAP, np.uint8), bits)
         rows, n = np.unique(np.concatenate([a, b]), return_counts=True)
         grams.append((rows, (n / n.sum()).astype(np.float32)))
     rng = np.random.default_rng(seed)
