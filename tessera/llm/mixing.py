@@ -40,10 +40,10 @@ def water_filled(sizes: list[tuple[str | None, int]], weights: tuple[float, ...]
     open_, left, target = [s for s, _ in order], float(sum(size.values())), {s: 0.0 for s, _ in order}
     while open_:
         share = sum(weight[s] for s in open_)
-        above = [s for s in open_ if left * weight[s] / share > most_repeats * size[s]]
+        above = [s for s in open_ if weight[s] * (left / share) > most_repeats * size[s]]
         if not above:
             for s in open_:
-                target[s] = left * weight[s] / share
+                target[s] = weight[s] * (left / share)
             break
         for s in above:
             target[s] = float(most_repeats * size[s])

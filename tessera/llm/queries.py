@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Callable
 
@@ -121,10 +120,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_media_columns, op4_quality, op5_nearest_neighbours, op6_bpe, op7_near_duplicates, op8_mixing, op9_chat, op10_language)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+#: Targets by the level that fills all sources, thresholds by sorting: the same rows by another way.
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT source, n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, sum(n) OVER () AS total FROM s),
+o AS (SELECT *, 3.0::DOUBLE * n / weight AS level, coalesce(sum(3 * n) OVER k, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER k, 0) AS open FROM w WINDOW k AS (ORDER BY 3.0::DOUBLE * n / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT (total - capped)::DOUBLE / open AS fill FROM o WHERE (total - capped)::DOUBLE / open <= level ORDER BY level LIMIT 1),
+t AS (SELECT source, n, CASE WHEN weight * fill > 3 * n THEN (3 * n)::DOUBLE ELSE weight * fill END AS target FROM w LEFT JOIN f ON TRUE),
+p AS (SELECT *, CASE WHEN n > 0 THEN least(floor(target / n), 3)::BIGINT ELSE 0 END AS whole FROM t),
+g AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+b AS (SELECT source, h, words, coalesce(sum(words) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+c AS (SELECT b.source, h, whole + (before + words <= target - whole * n OR (before <= target - whole * n AND words - (target - whole * n - before) < target - whole * n - before))::BIGINT AS copies FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source)
+SELECT d.doc_id, d.size, p.n AS source_size, p.target, (d.size * least(c.copies, 3))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
+"""
+
+#: Turns and losses straight from the table; the formatted form is spelled out turn by turn.
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n, length('<|' || replace(replace(replace(role, '\', '\\'), '<', '\<'), '|', '\|') || '|>' || replace(replace(text, '\', '\\'), '<', '\<') || '<|end|>') AS chars FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+(sum(upto) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
 
 
-def describe() -> str:
-    """Names of the queries, as JSON."""
-    return json.dumps(sorted(queries()))
+def oracle_sql() -> dict[str, str]:
+    """Only two operators are within SQL: models, codes, images, search and merges are tested by brute force."""
+    return {"op8_mixing": MIXING_SQL, "op9_chat": CHAT_SQL}
