@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Cache, slices, without
 
-MOST_WORDS = 500_000  # memo entries of a worker
+MOST_FORMS, MOST_WORDS = 500_000, 300_000  # memo entries of a worker
 #: Characters that Python and the library surely treat alike: ASCII, and Latin letters up to U+024F but dotted capital I.
 PLAIN = re.compile("[\t-\r -~¡-¨«¬®-±´¶-¸»¿-įı-ɏ]*")
 #: How a plain text splits into words (fixed by the vocabulary file).
@@ -47,9 +47,9 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def plain_words(text: str) -> list[str]:
-    """The words of a text that ``PLAIN`` matches, normalised."""
-    return SPLIT.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+def plain_forms(text: str) -> list[str]:
+    """The stretches between white space of a text that ``PLAIN`` matches, normalised."""
+    return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
 
 
 class Codec:
@@ -97,6 +97,7 @@ class Codec:
         self.shorter = {i: next((self.tokens[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.tokens), -1) for t, i in self.tokens.items()}
         self.pairs = Cache(lambda pair: self.compatible(*pair), 1_000_000)
         self.words = Cache(self.word_ids, MOST_WORDS)
+        self.forms = Cache(lambda form: b"".join(map(self.words.__getitem__, SPLIT.findall(form))), MOST_FORMS)
         # decoding: every id's text, cut from one string; the library joins tokens by one space
         top = max([*self.vocabulary.values(), *self.special.values()]) + 1
         named = [b""] * top
@@ -175,7 +176,7 @@ class Codec:
                 return b"".join(np.array([self.special[p]], "<u4").tobytes() if i % 2 else self.encode(p) for i, p in enumerate(parts))
         if not PLAIN.fullmatch(text):
             return self.odd_ids(text)
-        return b"".join(map(self.words.__getitem__, plain_words(text)))
+        return b"".join(map(self.forms.__getitem__, plain_forms(text)))
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text."""

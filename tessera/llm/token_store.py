@@ -11,7 +11,7 @@ bytes, ids (8 bytes); then for each level: entries (8 bytes), chunks (1 byte eac
 each 64 entries), directory (4 bytes for each 512 entries).
 
 Shards are rows of a Parquet table (a container that every store Spark reads can hold): part, shard,
-doc_ids and n_tokens of its documents in order, tokens, codes.
+doc_ids and n_tokens of its documents in order, before (ids of the part's earlier shards), tokens, codes.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PLAIN, plain_words
-from .common import listed, materialize, slices
+from .bpe import PLAIN, SPLIT, byte_letters, plain_forms
+from .common import Cache, listed, materialize, slices
 
 MAGIC = b"TDAC"
 ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 SHARD_TOKENS = 1 << 19  # a shard ends with the document that reaches so many
-MOST_WORDS = 500_000  # memo entries of a worker
+MOST_FORMS, MOST_WORDS = 700_000, 400_000  # memo entries of a worker
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -105,7 +105,7 @@ class Shard:
 
 
 class LibraryEncoder:
-    """Whole texts to ids with the tokenizers library, which is asked once for each distinct word.
+    """Whole texts to ids with the tokenizers library, whose BPE model is asked once for each distinct word.
 
     The library merges inside words only, so a text's ids are those of its words in order. Texts of
     plain characters are split here as the library would; all others go to it whole. The memo is bounded.
@@ -118,26 +118,26 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.words = Cache(self.word_ids, MOST_WORDS)
+        self.forms = Cache(lambda form: b"".join(map(self.words.__getitem__, SPLIT.findall(form))), MOST_FORMS)
 
-    def ask(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def word_ids(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, plain = [b""] * len(texts), {}
-        whole = [i for i, t in enumerate(texts) if t and ("<|" in t or not PLAIN.fullmatch(t))]
-        for i, ids in zip(whole, self.ask([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        odd = set(whole)
-        plain = {i: plain_words(t) for i, t in enumerate(texts) if t and i not in odd}
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        new = list(set().union(*plain.values()) - self.words.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.words.update(zip(part, self.ask(part), strict=True))
-        for i, words in plain.items():
-            out[i] = b"".join(map(self.words.__getitem__, words))
+        out = [b""] * len(texts)
+        whole = []
+        for i, text in enumerate(texts):
+            if text and ("<|" in text or not PLAIN.fullmatch(text)):
+                whole.append(i)
+            elif text:
+                out[i] = b"".join(map(self.forms.__getitem__, plain_forms(text)))
+        for i, e in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
         return out
 
 
@@ -150,7 +150,7 @@ def encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-SHARDS = "part int, shard int, doc_ids array<bigint>, n_tokens array<bigint>, tokens bigint, codes binary"
+SHARDS = "part int, shard int, doc_ids array<bigint>, n_tokens array<bigint>, before bigint, tokens bigint, codes binary"
 
 
 def write_tokens(df: DataFrame, path: str, *, text: str = "text", id_column: str = "doc_id", end_id: int | None = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -169,14 +169,14 @@ def write_tokens(df: DataFrame, path: str, *, text: str = "text", id_column: str
         own, part, shard = encoder(path), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         held: list[bytes] = []
-        size = 0
+        size = before = 0
 
         def full() -> pa.RecordBatch:
             codes = pack(np.frombuffer(b"".join(held), "<u4"))
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids], pa.list_(pa.int64())),
-                pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([codes], pa.binary()),
-            ], names=["part", "shard", "doc_ids", "n_tokens", "tokens", "codes"])
+                pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([codes], pa.binary()),
+            ], names=["part", "shard", "doc_ids", "n_tokens", "before", "tokens", "codes"])
 
         for batch in slices(batches, "text"):
             for i, e in zip(batch.column("id").to_pylist(), own.encode(batch.column("text").to_pylist()), strict=True):
@@ -185,7 +185,7 @@ def write_tokens(df: DataFrame, path: str, *, text: str = "text", id_column: str
                 size += len(held[-1]) // 4
                 if size >= shard_tokens:
                     yield full()
-                    ids, held, size, shard = [], [], 0, shard + 1
+                    ids, held, size, before, shard = [], [], 0, before + size, shard + 1
         if ids:
             yield full()
 
@@ -197,17 +197,13 @@ def with_starts(shards: DataFrame) -> DataFrame:
 
     Totals by part come to the driver; parts are as many as shuffle partitions.
     """
-    from pyspark.sql import Window
-
     totals = {r[0]: r[1] for r in shards.groupBy("part").agg(F.sum("tokens")).collect()}
-    before, at = [], 0
+    bases, at = [], 0
     for part in sorted(totals):
-        before.append((part, at))
+        bases.append((part, at))
         at += totals[part]
-    base = listed(shards.sparkSession, before, "part int, before long")
-    own = shards.select("part", "shard", "tokens").withColumn("own", F.sum("tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = own.join(base, "part").select("part", "shard", (F.col("before") + F.coalesce("own", F.lit(0))).alias("start"))
-    return shards.join(starts, ["part", "shard"])
+    base = listed(shards.sparkSession, bases, "part int, base long")
+    return shards.join(base, "part").withColumn("start", F.col("base") + F.col("before"))
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
