@@ -34,7 +34,7 @@ from .common import Cache, materialize, slices
 
 MINIMA = 256
 BATCH = 32  # minima compared before each look at the posterior
-MOST_WORDS = 300_000
+MOST_WORDS = 100_000
 FEW = 32  # candidates of a centre whose pairs may become rows
 BLOCK = 256  # classes in a block
 
