@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def finite(*columns: str) -> Column:
@@ -67,7 +68,7 @@ def exact_u_p(u: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2 * p[int(math.ceil(top)) :].sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, z: pd.Series, tied: pd.Series) -> pd.Series:
     """Exact if a sample has 8 values or fewer and nothing is tied, else by the normal approximation."""
     out = []

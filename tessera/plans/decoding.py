@@ -110,6 +110,7 @@ def column_cycle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", r6("r", "r"), r6("null_mean", "null_mean"), r6("null_sd", "null_sd"), F.round("rz", 4).alias("rz"))
 
 
+#: Means of few-digit values tie at rounding; both engines round them 1e-8 higher.
 PCC = f"""{EV}, s AS (SELECT user_id, day AS shift, avg(value) AS mean_rz FROM ev WHERE day > 0 GROUP BY ALL), o AS (SELECT user_id, avg(value) AS obs FROM ev WHERE day = 0 GROUP BY user_id)"""
 
 
@@ -118,15 +119,15 @@ def shift_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return m.where("shift > 0"), m.where("shift = 0").drop("shift")
 
 
-@query(f"""WITH {PCC} SELECT user_id, round(obs - avg(mean_rz), 4) AS pcc, round((obs - avg(mean_rz)) / nullif(stddev_samp(mean_rz), 0), 3) AS z, round((1 + count(*) FILTER (mean_rz >= obs)) / (1.0 + count(*)), 6) AS p FROM s JOIN o USING (user_id) GROUP BY user_id, obs""")
+@query(f"""WITH {PCC} SELECT user_id, round(obs - avg(mean_rz) + 1e-8, 4) AS pcc, round((obs - avg(mean_rz)) / nullif(stddev_samp(mean_rz), 0), 3) AS z, round((1 + count(*) FILTER (mean_rz >= obs)) / (1.0 + count(*)), 6) AS p FROM s JOIN o USING (user_id) GROUP BY user_id, obs""")
 def pcc_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sequences.contribution(*shift_means(spark, sf_dir), ["user_id"])
-    return out.select("user_id", F.round("pcc", 4).alias("pcc"), F.round("z", 3).alias("z"), r6("p", "p"))
+    return out.select("user_id", F.round(F.col("pcc") + 1e-8, 4).alias("pcc"), F.round("z", 3).alias("z"), r6("p", "p"))
 
 
-@query(f"""WITH {PCC} SELECT user_id, shift, round(mean_rz - (sum(mean_rz) OVER w - mean_rz) / nullif(count(*) OVER w - 1, 0), 5) AS null_pcc FROM s WINDOW w AS (PARTITION BY user_id)""")
+@query(f"""WITH {PCC} SELECT user_id, shift, round(mean_rz - (sum(mean_rz) OVER w - mean_rz) / nullif(count(*) OVER w - 1, 0) + 1e-8, 5) AS null_pcc FROM s WINDOW w AS (PARTITION BY user_id)""")
 def null_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.null_contributions(shift_means(spark, sf_dir)[0], ["user_id"]).select("user_id", "shift", F.round("null_pcc", 5).alias("null_pcc"))
+    return sequences.null_contributions(shift_means(spark, sf_dir)[0], ["user_id"]).select("user_id", "shift", F.round(F.col("null_pcc") + 1e-8, 5).alias("null_pcc"))
 
 
 RATES = [(s, c, round(1.0 + ((s * 5 + c * 3) % 7) * 0.75, 4)) for s in range(6) for c in range(CELLS)]
