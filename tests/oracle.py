@@ -18,7 +18,7 @@ def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def key(value) -> tuple:
-    if value is None or (isinstance(value, float) and math.isnan(value)) or value is pd.NaT:
+    if value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
         return (0, "")
     if isinstance(value, bool):
         return (1, str(value))
