@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, slices, without
+from .common import Cache, slices, small_batches, without
 
-MOST_FORMS, MOST_WORDS = 500_000, 300_000  # memo entries of a worker
+MOST_FORMS, MOST_WORDS, MOST_PAIRS = 250_000, 200_000, 200_000  # memo entries of a worker
 #: Characters that Python and the library surely treat alike: ASCII, and Latin letters up to U+024F but dotted capital I.
 PLAIN = re.compile("[\t-\r -~¡-¨«¬®-±´¶-¸»¿-įı-ɏ]*")
 #: How a plain text splits into words (fixed by the vocabulary file).
@@ -95,7 +95,7 @@ class Codec:
         self.automaton.make_automaton()
         self.length = {i: len(t) for t, i in self.tokens.items()}
         self.shorter = {i: next((self.tokens[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.tokens), -1) for t, i in self.tokens.items()}
-        self.pairs = Cache(lambda pair: self.compatible(*pair), 1_000_000)
+        self.pairs = Cache(lambda pair: self.compatible(*pair), MOST_PAIRS)
         self.words = Cache(self.word_ids, MOST_WORDS)
         self.forms = Cache(lambda form: b"".join(map(self.words.__getitem__, SPLIT.findall(form))), MOST_FORMS)
         # decoding: every id's text, cut from one string; the library joins tokens by one space
@@ -205,6 +205,7 @@ def encode_texts(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
 
     Null and empty texts get no tokens. Columns of these two names are replaced, further ones pass.
     """
+    small_batches(df.sparkSession)
     df = without(df, "token_ids", "n_tokens")
     schema = df.select("*", F.lit(b"").alias("token_ids"), F.lit(0).cast("long").alias("n_tokens")).schema
 
@@ -219,6 +220,7 @@ def encode_texts(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
 
 def decode_ids(df: DataFrame, path: str, *, ids: str = "token_ids") -> DataFrame:
     """Every row of ``df`` with decoded, the text of its ids (null: empty); a column of that name is replaced."""
+    small_batches(df.sparkSession)
     df = without(df, "decoded")
     schema = df.select("*", F.lit("").alias("decoded")).schema
 
@@ -233,6 +235,7 @@ def decode_ids(df: DataFrame, path: str, *, ids: str = "token_ids") -> DataFrame
 
 def round_trip_digests(df: DataFrame, path: str, *, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """By row: id, n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass over the texts."""
+    small_batches(df.sparkSession)
     kind = df.schema[id_column].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

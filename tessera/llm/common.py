@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         there = tempfile.mkdtemp(prefix="tessera-shared-")
+        atexit.register(shutil.rmtree, there, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", there)
     return there
 
@@ -38,6 +42,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows and 8 MB from here on: texts are long, and workers are many.
+
+    Spark's defaults (10,000 rows, 64 MB) cost each task several times that outside the heap. Smaller
+    settings of the session stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        found = re.match(r"-?\d+", spark.conf.get(key, None) or "")
+        if not found or not 0 < int(found[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def id_crc(column: str) -> Column:
     """Unsigned crc32 of an id written as text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -54,6 +70,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A driver's list as a DataFrame; a join may broadcast it only if it has 10,000 rows at most."""
     df = spark.createDataFrame(rows, schema)

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, slices, without
+from .common import hash_share, slices, small_batches, without
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # letters, and a few other signs of number
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 GAP = b"    "
 
@@ -38,6 +38,10 @@ class LanguageModel:
     threshold: float
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def folded(text: str) -> bytes:
     return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(FOLD).split()) + b" "
 
@@ -94,7 +98,7 @@ def scores(texts: list[str], model: LanguageModel) -> np.ndarray:
 
 def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, epochs: int = 6, rate: float = 4.0, precision: float = 0.995, seed: int = 5) -> LanguageModel | None:
     """Train on the driver's bounded sample; None without any text that has a letter."""
-    pairs = [(t, y) for t, y in zip(texts, langs, strict=True) if LETTER.search(t)]
+    pairs = [(t, y) for t, y in zip(texts, langs, strict=True) if has_letter(t)]
     if not pairs:
         return None
     labels = sorted({y for _, y in pairs})
@@ -171,6 +175,7 @@ def predict_language(df: DataFrame, model: LanguageModel | None, *, text: str =
     Null texts and texts without a letter get ``und``, 0.0, false; so does every row if the model is
     None. Further columns pass through; columns of these three names are replaced.
     """
+    small_batches(df.sparkSession)
     df = without(df, "lang_pred", "lang_score", "lang_accepted")
     schema = df.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(True).alias("lang_accepted")).schema
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -179,7 +184,7 @@ def predict_language(df: DataFrame, model: LanguageModel | None, *, text: str =
         own = shared.value
         for batch in slices(batches, text):
             texts = batch.column(text).to_pylist()
-            known = [i for i, t in enumerate(texts) if t and own and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if own and has_letter(t)]
             pred, score, ok = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
             if known:
                 p = scores([texts[i] for i in known], own)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, materialize, slices
+from .common import Cache, materialize, slices, small_batches
 
 MINIMA = 256
 BATCH = 32  # minima compared before each look at the posterior
@@ -326,6 +326,7 @@ def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_
     share one are judged by their own text, and a link of any of their texts holds for the id. Rows without
     an id stay alone, with a null component, and are kept. Further columns are not read.
     """
+    small_batches(df.sparkSession)
     threshold = percent / 100
     least = least_matches(threshold, miss)
     signed = materialize(_signed(df, text, id_column, words, threshold, miss), "near-signatures")

@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, hash_share, slices, without
+from .common import Cache, hash_share, slices, small_batches, without
 
 BITS = 16
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 RUN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 SLOTS = 3  # hashed values of a word; 0 stands for none
 
@@ -179,6 +179,7 @@ def train_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", lang:
     the two parameters. Rows with a null id or label teach nothing; an id with several labels counts by
     the lowest. None if the labelled rows are not of both kinds.
     """
+    small_batches(df.sparkSession)
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull())
     known = (known.where(where) if where is not None else known).groupBy(id_column).agg(F.min(label).cast("int").alias("_label"))
     chosen = known.where(hash_share(id_column, known.count(), most_rows))
@@ -212,6 +213,7 @@ def score_quality(df: DataFrame, model: QualityModel | None, *, text: str = "tex
     row has the scores 0.5 and is kept. Columns of these four names are replaced, further ones pass.
     """
     names = ["quality_score", "content_score", "page_score", "quality_kept"]
+    small_batches(df.sparkSession)
     df = without(df, *names)
     schema = df.select("*", *(F.lit(0.0).alias(c) for c in names[:3]), F.lit(True).alias(names[3])).schema
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PLAIN, SPLIT, byte_letters, plain_forms
-from .common import Cache, listed, materialize, slices
+from .common import Cache, listed, materialize, slices, small_batches
 
 MAGIC = b"TDAC"
 ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
@@ -160,6 +160,7 @@ def write_tokens(df: DataFrame, path: str, *, text: str = "text", id_column: str
     dealt out too. Null ids come first; rows with equal ids are in order of the text's hash. A null
     text has no ids but the end id. An empty table gives an empty one.
     """
+    small_batches(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")

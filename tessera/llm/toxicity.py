@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, hash_share, slices, without
+from .common import Cache, hash_share, slices, small_batches, without
 
 WORD = re.compile(r"[^\W_]+")
 BITS = 22
-MOST_WORDS = 300_000  # memo entries of a worker
+MOST_WORDS = 200_000  # memo entries of a worker
 
 
 def word_terms(word: str) -> bytes:
@@ -58,7 +58,7 @@ def margin(model: ToxicityModel, ids: np.ndarray, starts: np.ndarray) -> tuple[n
     return raw, sums
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, *, most_terms: int = 8192, least_z: float = 3.5, factors: int = 8, epochs: int = 15, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 1) -> ToxicityModel:
+def fit(features: list[np.ndarray], labels: np.ndarray, *, most_terms: int = 8192, least_z: float = 3.0, factors: int = 8, epochs: int = 15, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 1) -> ToxicityModel:
     """AdaGrad on the logistic loss. Without rows of both labels the model is the prior alone."""
     y = np.asarray(labels, float)
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -109,6 +109,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, *, text: str = "text", id_c
     bounded by ``most_rows``. Rows with a null id or label teach nothing. An id that has several
     labels counts as 1 if any is.
     """
+    small_batches(df.sparkSession)
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull())
     known = (known.where(where) if where is not None else known).groupBy(id_column).agg(F.max(label).alias("_label"))
     chosen = known.where(hash_share(id_column, known.count(), most_rows))  # bounded, so it may be broadcast
@@ -131,6 +132,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, *, text: str = "text", t
     Null and empty texts have no terms and get the prior. Columns of these two names are replaced,
     further ones pass through.
     """
+    small_batches(df.sparkSession)
     df = without(df, "toxicity", "is_toxic")
     schema = df.select("*", F.lit(0.0).alias("toxicity"), F.lit(0).alias("is_toxic")).schema
     shared = df.sparkSession.sparkContext.broadcast(model)
