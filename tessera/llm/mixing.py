@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import listed, materialize, without
+from .common import fresh, listed, materialize, without
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -69,11 +69,11 @@ def mix(df: DataFrame, *, text: str = "text", id_column: str = "doc_id", source:
     empty. Sources are assumed to be few enough for the driver (their names and sums come to it).
     Columns of these four names are replaced.
     """
-    names = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
-    df = without(df, *names)
+    df = without(df, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    src, hash_, size = fresh(df, "_src", "_hash", "_size")
     # Null sources get a key that no text can have: a text's key starts with "=".
-    keyed = df.select("*", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")).alias("_src"), hash48(id_column).alias("_hash"), word_count(text).alias("_size"))
-    rows = materialize(keyed.select(F.col("_src").alias("src"), F.col("_hash").alias("hash"), F.col("_size").alias("size")).groupBy("src", "hash").agg(F.sum("size").alias("size")), "mix-sizes")
+    keyed = df.select("*", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")).alias(src), hash48(id_column).alias(hash_), word_count(text).alias(size))
+    rows = materialize(keyed.groupBy(F.col(src).alias("src"), F.col(hash_).alias("hash")).agg(F.sum(size).alias("size")), "mix-sizes")
     sizes = {r[0]: r[1] for r in rows.groupBy("src").agg(F.sum("size")).collect()}
     spark = df.sparkSession
     filled = water_filled([(None if s == "null" else s[1:], n) for s, n in sizes.items()], weights, most_repeats)
@@ -103,12 +103,15 @@ def mix(df: DataFrame, *, text: str = "text", id_column: str = "doc_id", source:
             plan[s][4] = r["bucket"] << (total - at)
             if at == total and r["words"] - plan[s][3] < plan[s][3]:
                 plan[s][4] = (r["bucket"] + 1) << (total - at)
-    chosen = listed(spark, [(s, p[0], float(p[1]), p[2], p[4]) for s, p in plan.items()], "_src string, mix_source_size long, mix_target double, _whole int, _under long")
-    joined = keyed.join(chosen, "_src")
-    return joined.select(*(joined[c] for c in df.columns), F.col("_size").alias("mix_size"), "mix_source_size", "mix_target", F.least(F.col("_whole") + (F.col("_hash") < F.col("_under")).cast("int"), F.lit(most_repeats)).alias("mix_copies"))
+    whole, under = fresh(df, "_whole", "_under")
+    chosen = listed(spark, [(k, p[0], float(p[1]), p[2], p[4]) for k, p in plan.items()], f"`{src}` string, mix_source_size long, mix_target double, `{whole}` int, `{under}` long")
+    copies = F.least(F.col(whole) + (F.col(hash_) < F.col(under)).cast("int"), F.lit(most_repeats))
+    return keyed.join(chosen, src).select(*df.columns, F.col(size).alias("mix_size"), "mix_source_size", "mix_target", copies.alias("mix_copies"))
 
 
 def mixed_rows(df: DataFrame, **settings) -> DataFrame:
     """The mix itself: rows of ``df`` as often as they are taken, with the columns of ``df``."""
-    taken = mix(df, **settings)
-    return taken.where("mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*df.columns)
+    own = {c: f"{c}__own" for c in df.columns if c.lower().startswith("mix_")}  # columns that the mix would replace
+    taken = mix(df.withColumnsRenamed(own), **settings).where("mix_copies > 0")
+    (copy,) = fresh(taken, "_copy")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*(F.col(own.get(c, c)).alias(c) for c in df.columns))

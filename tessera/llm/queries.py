@@ -80,14 +80,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stages of the pipeline: documents in, documents out -----------------------------------------
 
 
+def _filtered(docs: DataFrame, written: set[str], judged: Callable[[DataFrame], DataFrame], flag: str) -> DataFrame:
+    """Rows of ``docs`` for which the operator sets the flag; own columns of the names it writes step aside meanwhile."""
+    own = {c: f"{c}__own" for c in docs.columns if c.lower() in written}
+    kept = judged(docs.withColumnsRenamed(own)).where(flag)
+    return kept.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
+
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train_language_model(docs)
-    return langid.predict_language(docs, model).where("lang_accepted").select(*docs.columns)
+    return _filtered(docs, {"lang_pred", "lang_score", "lang_accepted"}, lambda d: langid.predict_language(d, model), "lang_accepted")
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).where("quality_kept").select(*docs.columns)
+    return _filtered(docs, {"quality_score", "content_score", "page_score", "quality_kept"}, lambda d: quality.score_quality(d, model), "quality_kept")
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

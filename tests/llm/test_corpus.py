@@ -199,6 +199,17 @@ def test_pipeline_takes_odd_and_no_documents(spark, odd_docs, no_docs, sf_dir):
             stage(spark, docs, sf_dir).count()
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir, documents):
+    names = ["quality_kept", "LANG_pred", "mix_size", "_src", "_copy", "_hash", "signature"]
+    docs = documents
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    for name, stage in queries.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert out.select(*names).distinct().collect() == [tuple(f"own {n}" for n in names)], name
+
+
 def test_queries_against_their_sql(spark, sf_dir):
     from oracle import connection, difference
 
