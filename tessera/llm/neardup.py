@@ -215,11 +215,10 @@ def components(links: DataFrame) -> DataFrame:
 def _tasks(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
     """Rows of pairs of blocks, clustered by task: a, l, r, is_left, id, component, outside and the payload.
 
-    members: a (centre), id, component, outside (not in the centre's largest component). Ids outside are cut into left
-    blocks, all ids of the centre into right blocks; each pair of blocks is one task's work.
+    members: a (centre), n (its candidates), m (those outside its largest component), id, component, outside. Ids outside
+    are cut into left blocks, all ids of the centre into right blocks; each pair of blocks is one task's work.
     """
-    sizes = members.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("long")).alias("m"))
-    rows = members.join(sizes, "a").select("*", F.ceil(F.col("n") / block).cast("int").alias("rights"), F.ceil(F.col("m") / block).cast("int").alias("lefts"))
+    rows = members.select("*", F.ceil(F.col("n") / block).cast("int").alias("rights"), F.ceil(F.col("m") / block).cast("int").alias("lefts"))
     deal = F.xxhash64("id")
     left = rows.where("outside").select("a", F.pmod(deal, F.col("lefts")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"), F.lit(True).alias("is_left"), "id", "component", "outside")
     right = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(deal, F.col("rights")).cast("int").alias("r"), F.lit(False).alias("is_left"), "id", "component", "outside")
@@ -342,11 +341,11 @@ def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_
     links = materialize(_confirmed(_plausible(star, signatures, least), df, text, id_column, words, percent), "near-links")
     found = materialize(components(links), "near-components")
     near = star.join(found.withColumnRenamed("id", "b"), "b", "left").select("a", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
-    open_ = near.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("a", "n")
-    near = materialize(near.join(open_, "a"), "near-open")
-    largest = near.groupBy("a", "component").count().groupBy("a").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    near = near.join(largest, "a").select("a", "n", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
-    few, many = near.where(F.col("n") <= FEW).drop("n"), near.where(F.col("n") > FEW).drop("n")
+    # One row for each centre with candidates in several components; what is joined to it is dealt again below.
+    parts = near.groupBy("a", "component").agg(F.count(F.lit(1)).alias("k"))
+    open_ = parts.groupBy("a").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("m")).where("m > 0")
+    near = materialize(near.join(materialize(open_, "near-centres"), "a").withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), "near-open")
+    few, many = near.where(F.col("n") <= FEW), near.where(F.col("n") > FEW)
     more = _confirmed(_across_few(few, signatures, least), df, text, id_column, words, percent)
     sets_ = _sets(df, many.select("id").distinct(), text, id_column, words)
     final = components(links.unionByName(more).unionByName(_across_many(many, sets_, percent)))
