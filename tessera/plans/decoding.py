@@ -45,11 +45,11 @@ def ring_error():
     return F.least(d, 24 - d)
 
 
-@query(f"WITH {LOO} SELECT day, lp.bin AS bin, pos, round(lp, 5) AS lp FROM lp WHERE day < 3")
+@query(f"WITH {LOO} SELECT day, lp.bin AS bin, pos, round(lp, 5) AS lp FROM lp")
 def poisson_log_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-one-day-out posteriors; silent cells count through one penalty for each template and position."""
     lp, _ = decoded(spark, sf_dir)
-    return lp.where("day < 3").select("day", F.col("tbin").alias("bin"), F.col("bin").alias("pos"), F.round("lp", 5).alias("lp"))
+    return lp.select("day", F.col("tbin").alias("bin"), F.col("bin").alias("pos"), F.round("lp", 5).alias("lp"))
 
 
 @query(f"WITH {LOO} SELECT day, bin, decoded, {RING_ERROR} AS error FROM dec")
@@ -72,7 +72,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: An embedding as a posterior of 8 time bins by 8 positions: squares, divided by their sum.
-POST = "p AS (SELECT vec_id, ((k - 1) // 8)::INT AS tbin, ((k - 1) % 8)::INT AS pbin, x * x / sum(x * x) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE vec_id % 5 = 0))"
+POST = "p AS (SELECT vec_id, ((k - 1) // 8)::INT AS tbin, ((k - 1) % 8)::INT AS pbin, x * x / sum(x * x) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings))"
 
 
 def corr_sql(name: str, source: str, keys: str) -> str:
@@ -83,7 +83,7 @@ def corr_sql(name: str, source: str, keys: str) -> str:
 
 
 def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * v.cast("double")).alias("q"))
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * v.cast("double")).alias("q"))
     total = F.aggregate("q", F.lit(0.0), lambda a, v: a + v)
     long = x.select("vec_id", total.alias("_t"), F.posexplode("q").alias("k", "v"))
     return long.select("vec_id", F.floor(F.col("k") / 8).cast("int").alias("tbin"), F.pmod("k", F.lit(8)).alias("pbin"), (F.col("v") / F.col("_t")).alias("p"))
@@ -133,10 +133,10 @@ def null_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATES = [(s, c, round(1.0 + ((s * 5 + c * 3) % 7) * 0.75, 4)) for s in range(6) for c in range(CELLS)]
 
 
-@query(f"""WITH {EV}, rt(state, cell, rate) AS (VALUES {", ".join(f"({s}, {c}, {r!r}::DOUBLE)" for s, c, r in RATES)}), c AS (SELECT us // 3600000000 AS i, user_id % {CELLS} AS cell, count(*) AS n FROM ev WHERE day < 10 GROUP BY ALL),
+@query(f"""WITH {EV}, rt(state, cell, rate) AS (VALUES {", ".join(f"({s}, {c}, {r!r}::DOUBLE)" for s, c, r in RATES)}), c AS (SELECT us // 3600000000 AS i, user_id % {CELLS} AS cell, count(*) AS n FROM ev GROUP BY ALL),
 x AS (SELECT i, state, sum(coalesce(n, 0) * ln(rate)) - sum(rate) AS x FROM (SELECT DISTINCT i FROM c) CROSS JOIN rt LEFT JOIN c USING (i, cell) GROUP BY i, state), e AS (SELECT i, state, exp(x - max(x) OVER (PARTITION BY i)) AS e FROM x) SELECT i, state, round(e / sum(e) OVER (PARTITION BY i), 6) AS p FROM e""")
 def memoryless_state_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).where("day < 10")
+    ev = events(spark, sf_dir)
     c = ev.groupBy(F.floor(F.col("us") / 3_600_000_000).alias("i"), (F.col("user_id") % CELLS).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     rates = spark.createDataFrame(RATES, "state int, cell int, rate double")
     return states.memoryless_posterior_long(c, rates, ["i"], 1.0).withColumn("p", r6("p"))

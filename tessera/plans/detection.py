@@ -134,17 +134,17 @@ def interpolated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.interpolated(q.drop("value"), r, ["user_id"], "value").select("event_id", F.round("value", 5).alias("value"))
 
 
-@query("""WITH o AS (SELECT o_custkey % 50 AS grp, o_orderkey, min(epoch(o_orderdate))::BIGINT AS s, max(epoch(l_shipdate))::BIGINT AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 3 GROUP BY ALL HAVING max(epoch(l_shipdate)) > min(epoch(o_orderdate))),
+@query("""WITH o AS (SELECT o_custkey AS grp, o_orderkey, min(epoch(o_orderdate))::BIGINT AS s, max(epoch(l_shipdate))::BIGINT AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL HAVING max(epoch(l_shipdate)) > min(epoch(o_orderdate))),
 p AS (SELECT a.grp, least(a.e, b.e) - greatest(a.s, b.s) AS x FROM o a JOIN o b ON a.grp = b.grp AND a.o_orderkey < b.o_orderkey AND b.s < a.e AND b.e > a.s) SELECT grp, count(*) AS n_pairs, sum(x)::DOUBLE AS seconds FROM p GROUP BY grp""")
 def interval_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders open at the same time, from placing to last shipment, in each group of customers. Lineitems are reduced before the join."""
+    """Orders open at the same time, from placing to last shipment, of each customer. Lineitems are reduced before the join."""
     from ..sources.tables import table
 
     day = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
     last = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 3").join(last, F.col("l_orderkey") == F.col("o_orderkey"))
-    o = intervals.clean_intervals(o.select((F.col("o_custkey") % 50).alias("grp"), "o_orderkey", day("o_orderdate").alias("start"), day("last").alias("end")))
-    pairs = intervals.overlapping(o, o, ["grp"], width=30 * 86400.0).where("o_orderkey_a < o_orderkey_b")
+    o = table(spark, sf_dir, "orders").join(last, F.col("l_orderkey") == F.col("o_orderkey"))
+    o = intervals.clean_intervals(o.select(F.col("o_custkey").alias("grp"), "o_orderkey", day("o_orderdate").alias("start"), day("last").alias("end")))
+    pairs = intervals.overlapping(o, o, ["grp"], width=400 * 86400.0).where("o_orderkey_a < o_orderkey_b")
     shared = F.least("end_a", "end_b") - F.greatest("start_a", "start_b")
     return pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(shared).cast("double").alias("seconds"))
 

@@ -153,10 +153,10 @@ def lap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laps.where("n >= 2").drop("_seg")
 
 
-@query(f"""WITH {EV}, d AS (SELECT event_id, user_id, value AS x, us / 3.6e9 AS h, row_number() OVER o AS k, lag(value) OVER o AS x0, lead(value) OVER o AS x1, lag(us) OVER o / 3.6e9 AS h0, lead(us) OVER o / 3.6e9 AS h1 FROM ev WHERE user_id % 5 = 0 WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id))
+@query(f"""WITH {EV}, d AS (SELECT event_id, user_id, value AS x, us / 3.6e9 AS h, row_number() OVER o AS k, lag(value) OVER o AS x0, lead(value) OVER o AS x1, lag(us) OVER o / 3.6e9 AS h0, lead(us) OVER o / 3.6e9 AS h1 FROM ev WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id))
 SELECT event_id, user_id, round(CASE WHEN h0 IS NULL THEN (x1 - x) / (h1 - h) WHEN h1 IS NULL THEN (x - x0) / (h - h0) ELSE ((h - h0) ** 2 * (x1 - x) + (h1 - h) ** 2 * (x - x0)) / ((h - h0) * (h1 - h) * (h1 - h0)) END, 4) AS speed FROM d""")
 def speed_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).where("user_id % 5 = 0").withColumn("at", F.struct("us", "event_id")).withColumn("h", F.col("us") / 3.6e9)
+    ev = events(spark, sf_dir).withColumn("at", F.struct("us", "event_id")).withColumn("h", F.col("us") / 3.6e9)
     return ev.select("event_id", "user_id", F.round(islands.gradient(F.col("value"), F.col("h"), ["user_id"], "at"), 4).alias("speed"))
 
 

@@ -27,11 +27,11 @@ def unit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.groupBy("shank", "kind").agg(F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("n_spikes"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-@query(f"""WITH {EV}, a AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'error' AND day < 3), b AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'purchase' AND day < 3)
+@query(f"""WITH {EV}, a AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'purchase')
 SELECT 'union' AS op, user_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
 UNION ALL SELECT 'difference', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
 def set_ops_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).where("day < 3")
+    ev = events(spark, sf_dir)
     a, b = (ev.where(F.col("event_type") == k).select("user_id").distinct() for k in ("error", "purchase"))
     return union_widened([df.select(F.lit(op).alias("op"), "user_id") for op, df in (("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("difference", a.subtract(b)))])
 
