@@ -11,7 +11,8 @@ brute force, and the budget is the least number of leaves that finds ``recall``
 without structure thus get a large budget, clustered ones a small one.
 
 Rows and queries meet by (tree, leaf); leaves are cut into blocks of bounded size, so that a leaf
-with very many equal vectors is dealt out too, and only a block's best rows for each query leave it.
+with very many equal vectors is dealt out too, and only a block's best ids for each query leave it. Repeated rows are one row, and
+ids are counted wherever k of them are asked for.
 """
 
 from __future__ import annotations
@@ -109,21 +110,32 @@ def usable(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores and of all that might tie with the k-th after exact summing."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-    return np.flatnonzero(scores >= kth - 1e-9 * max(1.0, abs(kth)))
+def best(starts: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best rows of the k best ids, and of all that might tie with them after exact summing.
+
+    Rows are sorted by id; ``starts`` are the places where the next id begins.
+    """
+    tops = scores if len(starts) == len(scores) else np.maximum.reduceat(scores, starts)
+    kth = np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else -np.inf
+    floor = tops if len(tops) < len(scores) else np.full(len(tops), kth)
+    floor = np.maximum(floor, kth)
+    floor = np.where(np.isfinite(floor), floor - 1e-9 * np.maximum(1.0, np.abs(floor)), floor)
+    return np.flatnonzero(scores >= np.repeat(floor, np.diff(np.append(starts, len(scores)))))
 
 
-def exact_best(ids: np.ndarray, x: np.ndarray, query: np.ndarray, own: int, approx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of ``x`` for a query but its own row: ids and products, each summed in the same order."""
-    near = best(ids, np.where(ids == own, -np.inf, approx), k)
+def exact_best(ids: np.ndarray, starts: np.ndarray, x: np.ndarray, query: np.ndarray, own: int, approx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids of ``x`` (sorted by id) for a query but its own: ids and products, each summed in the same order."""
+    near = best(starts, np.where(ids == own, -np.inf, approx), k)
     near = near[ids[near] != own]
     score = (x[near] * query).sum(axis=1)
-    first = np.lexsort((ids[near], -score))[:k]
-    return ids[near][first], score[first]
+    first = np.lexsort((ids[near], -score))
+    if len(starts) < len(ids):  # an id's best row comes first, its others go
+        first = first[np.sort(np.unique(ids[near][first], return_index=True)[1])]
+    return ids[near][first[:k]], score[first[:k]]
+
+
+def id_starts(ids: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
 
 
 def nearest_neighbours(
@@ -132,7 +144,7 @@ def nearest_neighbours(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row that ``query`` marks (by default all), by inner product.
 
-    The forest's sample (``most_sample`` rows), the test queries and the leaf sizes (as many as leaves)
+    The forest's sample (``most_sample`` different rows), the test queries and the leaf sizes (as many as leaves)
     come to the driver; all are bounded by parameters. Rows take no part whose id or vector is null, whose
     vector is zero, has a null or non-finite component, or another length than most. Rows with the same
     id count as forms of one vector: their best product counts, and none is its own neighbour. With k
@@ -152,9 +164,10 @@ def nearest_neighbours(
             v = b.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in v], pa.binary()), b.column("is_query")], names=["id", "v", "is_query"])
 
-    rows = rows.mapInArrow(packed, "id long, v binary, is_query boolean")
+    rows = rows.mapInArrow(packed, "id long, v binary, is_query boolean").groupBy("id", "v").agg(F.max("is_query").alias("is_query"))
+    rows = materialize(rows, "ann-rows")
     n = rows.count()
-    sample = sorted(rows.where(hash_share("id", n, most_sample)).select("id", "v").collect())
+    sample = sorted(rows.where(hash_share(["id", "v"], n, most_sample)).select("id", "v").collect())
     if not sample:
         return spark.createDataFrame([], out)
     points = np.frombuffer(b"".join(bytes(r[1]) for r in sample), "<f4").reshape(-1, dim).astype(float)
@@ -171,13 +184,18 @@ def nearest_neighbours(
     sizes = np.zeros(forest.leaves, np.int64)
     for r in indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
         sizes[r[0]] = r[1]
+    # An id counts in one leaf of each tree, so that the sum over a tree's leaves is never more than its different ids
+    owners = np.zeros(forest.leaves, np.int64)
+    once = indexed.groupBy("id").agg(*(F.min(F.col("leaves")[t]).alias(f"t{t}") for t in range(trees)))
+    for r in once.select(F.explode(F.array(*(f"t{t}" for t in range(trees)))).alias("leaf")).groupBy("leaf").count().collect():
+        owners[r[0]] = r[1]
     n_queries = indexed.where("is_query").count()
 
     def margins(x: np.ndarray) -> np.ndarray:
         return x @ forest.normals.T - forest.cuts
 
     # The budget, from brute force for a few queries
-    tests = sorted(indexed.where("is_query").where(hash_share("id", n_queries, test_queries)).select("id", "v").collect())
+    tests = sorted(indexed.where("is_query").where(hash_share(["id", "v"], n_queries, test_queries)).select("id", "v").collect())
     if not tests:
         return spark.createDataFrame([], out)
     test_ids = np.array([r[0] for r in tests])
@@ -191,12 +209,13 @@ def nearest_neighbours(
                 x, ids, at = matrix(b.column("v"), dim), b.column("id").to_numpy(), b.column("leaves")
                 for i, s in enumerate(q @ x.T):
                     s = np.where(ids == own[i], -np.inf, s)
-                    near = np.argsort(-s, kind="stable")[:k]
-                    near = near[np.isfinite(s[near])]
+                    near = np.argsort(-s, kind="stable")[: np.isfinite(s).sum()]
+                    near = near[np.sort(np.unique(ids[near], return_index=True)[1])[:k]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), i, np.int32)), pa.array(s[near]), pa.array(ids[near]), at.take(pa.array(near))], names=["q", "s", "id", "leaves"])
 
     top = Window.partitionBy("q").orderBy(F.desc("s"), "id")
-    true = indexed.mapInArrow(brute, "q int, s double, id long, leaves array<int>").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("q", "leaves").collect()
+    true = indexed.mapInArrow(brute, "q int, s double, id long, leaves array<int>").groupBy("q", "id").agg(F.max(F.struct("s", "leaves")).alias("x")).select("q", "id", "x.s", "x.leaves")
+    true = true.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("q", "leaves").collect()
     ranks = [{leaf: r for r, leaf in enumerate(visit_order(forest, m, forest.leaves))} for m in margins(test_x)]
     found = np.sort([min(ranks[r["q"]][leaf] for leaf in r["leaves"]) for r in true])
     budget = int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1 if len(found) else forest.leaves
@@ -209,7 +228,7 @@ def nearest_neighbours(
         for b in batches:
             if b.num_rows:
                 x = matrix(b.column("v"), dim)
-                seen = [visit_order(own, m, budget, sizes, 4 * k) for m in x @ own.normals.T - own.cuts]
+                seen = [visit_order(own, m, budget, owners, 4 * k) for m in x @ own.normals.T - own.cuts]
                 who = np.repeat(np.arange(len(x)), [len(s) for s in seen])
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(np.concatenate(seen).astype(np.int32))], names=["id", "v", "leaf"])
 
@@ -227,12 +246,14 @@ def nearest_neighbours(
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
         q = np.frombuffer(b"".join(left["v"]), "<f4").reshape(-1, dim).astype(float)
+        right = right.sort_values("id")
         x = np.frombuffer(b"".join(right["v"]), "<f4").reshape(-1, dim).astype(float)
         ids, rows_ = right["id"].to_numpy(), []
+        starts = id_starts(ids)
         for at in range(0, len(q), 256):
             for i, s in enumerate(q[at : at + 256] @ x.T, at):
                 own = int(left["id"].iloc[i])
-                near, score = exact_best(ids, x, q[i], own, s, k)
+                near, score = exact_best(ids, starts, x, q[i], own, s, k)
                 rows_.append((own, near, score))
         return pd.DataFrame(rows_, columns=["query_id", "ids", "scores"])
 

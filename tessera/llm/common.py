@@ -59,10 +59,10 @@ def id_crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def hash_share(id_column: str, rows: int, bound: int) -> Column:
-    """True for about ``bound`` of ``rows`` rows, chosen by a hash of the id: the same in each run."""
+def hash_share(id_column: str | list[str], rows: int, bound: int) -> Column:
+    """True for about ``bound`` of ``rows`` rows, chosen by a hash of the id (or of several columns): the same in each run."""
     share = 1.0 if rows <= bound else bound / rows
-    return F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < int(share * (1 << 30))
+    return F.pmod(F.xxhash64(*([id_column] if isinstance(id_column, str) else id_column)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -173,6 +173,35 @@ def test_neighbours_against_brute_force(spark):
     assert ann.nearest_neighbours(df.where("false")).count() == 0 and ann.nearest_neighbours(df.where("vec_id >= 5000")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["hot id", "hot row", "doubled"])
+def test_neighbours_of_repeated_rows(spark, kind):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16)) * 3
+    v = (centres[np.arange(900) // 3 % 30] + rng.normal(size=(900, 16)) * 0.1).astype(np.float32)
+    ids = np.arange(900)
+    if kind == "hot id":  # one id on a third of the rows, with many vectors
+        ids[::3] = 0
+    elif kind == "hot row":
+        ids, v = np.append(ids, np.zeros(450, int)), np.concatenate([v, np.repeat(v[:1], 450, axis=0)])
+    else:
+        ids, v = np.tile(ids, 2), np.tile(v, (2, 1))
+    df = spark.createDataFrame([(int(i), [float(c) for c in x]) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>")
+    found = ann.nearest_neighbours(df, query=F.col("vec_id") % 90 < 3, k=20).toPandas()
+    x, hit, asked = v.astype(float), 0, [i for i in np.unique(ids) if i % 90 < 3]
+    for q in asked:
+        s = {}
+        for row in x[ids == q]:
+            for i, p in zip(ids, (x * row).sum(axis=1), strict=True):
+                if i != q:
+                    s[i] = max(p, s.get(i, -np.inf))
+        true = sorted(s, key=lambda i: (-s[i], i))[:20]
+        own = found[found["query_id"] == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 21)) and own["vec_id"].is_unique
+        assert np.all(own["score"] <= [s[i] + 1e-12 for i in own["vec_id"]])
+        hit += len(set(true) & set(own["vec_id"]))
+    assert hit / (20 * len(asked)) >= 0.9
+
+
 def test_queue_visits_all_leaves_best_first():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 8))
