@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, langid, media, mixing, neardup, quality, token_store, toxicity
-from .common import id_crc, table
+from .common import fresh, id_crc, materialize, table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -64,8 +64,6 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
-    from .common import materialize
-
     return chat.conversation_digests(materialize(chat.format_conversations(rows), "chat"))
 
 
@@ -98,11 +96,22 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each component stays, once; rows without an id stay."""
-    found = neardup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """The row with the smallest id of each component stays, once; a row without an id only where no other has one.
+
+    Rows are judged one by one, by a number written with them: ids may be null or stand for several texts. Texts
+    without words are linked with nothing; of those, rows equal in id and text stay once, rows without an id all.
+    """
+    row, own_id, same, by = fresh(docs, "_row", "_id", "_same", "_by")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    docs_ = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "stage-rows")
+    found = neardup.near_duplicates(docs_.select(row, "text"), id_column=row)
+    # One narrow row each; of equal ids the smallest hash of the whole row stays, so runs agree.
+    narrow = docs_.select(row, F.col("doc_id").alias(own_id), F.xxhash64("text").alias(same), F.xxhash64(*plain).alias(by))
+    alone = (F.col("n_shingles") == 0) & F.col(own_id).isNotNull()
+    group = [F.when(~alone, F.col("component_id")).alias("a"), F.when(alone, F.col(own_id)).alias("b"), F.when(alone, F.col(same)).alias("c")]
+    first = F.min(F.struct(F.col(own_id).isNull().alias("x"), own_id, by, row))
+    kept = found.join(narrow, row).groupBy(*group).agg(first.alias("first")).select(F.col(f"first.{row}").alias(row))
+    return docs_.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

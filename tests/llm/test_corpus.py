@@ -222,6 +222,30 @@ def test_pipeline_stages(spark, sf_dir, documents):
     assert last.count() == docs.count() and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_near_duplicate_stage_judges_rows(spark, sf_dir):
+    """Colliding and null ids: brute force over the rows, each with its own number."""
+    texts = [copies(s, 12) for s in range(4)]
+    rows = [(7, t) for t in (texts[0][0], texts[1][0], texts[2][0])]  # one id, three texts
+    rows += [(9, texts[3][0]), (3, texts[3][0]), (9, "another text of nine that nothing else is near to")]
+    rows += [(None, texts[1][1]), (None, texts[1][0])] + [(None, "copies without an id " * 5)] * 3
+    rows += [(5, texts[0][0])] * 2 + [(11, ""), (11, ""), (11, " "), (None, ""), (None, None)]
+    numbered = dict(enumerate(t for _, t in rows))
+    groups = defaultdict(list)
+    for n, c in brute_components(numbered, 5, 80).items():
+        i, t = rows[n]
+        groups[c if (t or "").split() or i is None else (i, t)].append(n)
+    want = Counter()
+    for own in groups.values():
+        ids = [rows[n][0] for n in own if rows[n][0] is not None]
+        n = next(n for n in own if rows[n][0] == (min(ids) if ids else None))
+        want[(rows[n][0], len(shingles(rows[n][1], 5)))] += 1
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 7):
+        out = queries.stage_near_duplicates(spark, df.repartition(parts), sf_dir)
+        got = Counter((r["doc_id"], len(shingles(r["text"], 5))) for r in out.collect())
+        assert out.columns == df.columns and got == want
+
+
 def test_pipeline_takes_odd_and_no_documents(spark, odd_docs, no_docs, sf_dir):
     for docs in (odd_docs, no_docs):
         for _, stage in queries.STAGES:
