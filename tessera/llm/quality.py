@@ -150,10 +150,11 @@ def fit(views: list[list], y: np.ndarray, pool: list[list], *, rounds: int = 3,
             p = 1 / (1 + np.exp(-np.clip(a * raw(weights[v], pool[v]) + b, -30, 30)))
             most = max(1, int(share * len(p)))
             for sign, rate in ((1, y[train].mean()), (0, 1 - y[train].mean())):  # labels are added in the proportion of the training rows
-                conf = p if sign else 1 - p
+                conf = p.copy() if sign else 1 - p
+                conf[list(given[1 - v])] = -1.0  # each round gives new rows
                 for i in np.argsort(-conf, kind="stable")[: max(1, int(most * rate))]:
                     if conf[i] >= sure:
-                        given[1 - v].setdefault(int(i), float(sign))
+                        given[1 - v][int(i)] = float(sign)
     z = [raw(weights[v], [views[v][i] for i in check]) for v in (0, 1)]
     skill = [max(0.02, ranking(z[v], y[check]) - 0.5) for v in (0, 1)]
     return QualityModel(weights, [platt(z[v], y[check]) for v in (0, 1)], [s / sum(skill) for s in skill], threshold)

@@ -114,6 +114,19 @@ def test_co_training_helps_the_view_with_few_words():
     assert p.shape == (300, 3) and ((p >= 0) & (p <= 1)).all()
 
 
+def test_every_round_of_co_training_adds_pseudo_labels(monkeypatch):
+    rng = np.random.default_rng(5)
+    one = lambda at: (np.array([at]), np.ones(1))
+    row = lambda good: (one(10 + int(rng.integers(5)) + 50 * int(good)), one(200 + int(good)))
+    y = np.arange(200) % 2 == 0
+    rows, pool = [row(g) for g in y], [row(g) for g in rng.random(600) < 0.5]
+    trained, plain = [], quality.logistic
+    monkeypatch.setattr(quality, "logistic", lambda r, labels, **k: trained.append(len(r)) or plain(r, labels, **k))
+    quality.fit([[r[v] for r in rows] for v in (0, 1)], y, [[r[v] for r in pool] for v in (0, 1)])
+    for v in (0, 1):  # a tenth of the pool in each of three rounds, by view
+        assert (np.diff(trained[v::2]) >= 58).all() and len(trained[v::2]) == 4
+
+
 def test_quality_finds_junk(spark, documents, labels):
     model = quality.train_quality(documents, labels)
     found = quality.score_quality(documents, model).join(labels, "doc_id").toPandas()
