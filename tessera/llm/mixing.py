@@ -64,7 +64,7 @@ def mix(df: DataFrame, *, text: str = "text", id_column: str = "doc_id", source:
 
     A row's words are taken mix_copies times. The last bucket's documents are taken where that brings
     the source nearer to its target, so a source misses it by half of its boundary bucket's words at
-    most, which after all levels is half of one document. Null texts have size 0; null sources are a
+    most, which after all levels is half of the rows of one id (of one document where ids are unique, of all rows without an id). Null texts have size 0; null sources are a
     source of their own; rows with the same id share a hash and so their fate. An empty table stays
     empty. Sources are assumed to be few enough for the driver (their names and sums come to it).
     Columns of these four names are replaced.
