@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import Cache, slices, small_batches, without
 
 MOST_FORMS, MOST_WORDS, MOST_PAIRS = 250_000, 200_000, 200_000  # memo entries of a worker
+MEMO_BYTES = 40 << 20  # of each memo
 #: Characters that Python and the library surely treat alike: ASCII, and Latin letters up to U+024F but dotted capital I.
 PLAIN = re.compile("[\t-\r -~¡-¨«¬®-±´¶-¸»¿-įı-ɏ]*")
 #: How a plain text splits into words (fixed by the vocabulary file).
@@ -95,9 +96,9 @@ class Codec:
         self.automaton.make_automaton()
         self.length = {i: len(t) for t, i in self.tokens.items()}
         self.shorter = {i: next((self.tokens[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.tokens), -1) for t, i in self.tokens.items()}
-        self.pairs = Cache(lambda pair: self.compatible(*pair), MOST_PAIRS)
-        self.words = Cache(self.word_ids, MOST_WORDS)
-        self.forms = Cache(lambda form: b"".join(map(self.words.__getitem__, SPLIT.findall(form))), MOST_FORMS)
+        self.pairs = Cache(lambda pair: self.compatible(*pair), MOST_PAIRS, MEMO_BYTES)
+        self.words = Cache(self.word_ids, MOST_WORDS, MEMO_BYTES)
+        self.forms = Cache(lambda form: b"".join(map(self.words.__getitem__, SPLIT.findall(form))), MOST_FORMS, MEMO_BYTES)
         # decoding: every id's text, cut from one string; the library joins tokens by one space
         top = max([*self.vocabulary.values(), *self.special.values()]) + 1
         named = [b""] * top

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -98,14 +99,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 <<
 
 
 class Cache(dict):
-    """A bounded memo: ``make(key)`` on a miss; it is emptied once it holds ``most`` entries."""
+    """A memo bounded in entries and in bytes: ``make(key)`` on a miss; it is emptied once it is full.
 
-    def __init__(self, make, most: int):
+    Bytes are those of keys and values and a dict's own share of an entry. What alone would take a
+    sixteenth of them, such as one unbroken run of a long text, is made each time and never held.
+    """
+
+    ENTRY = 60
+
+    def __init__(self, make, most: int, most_bytes: int = 16 << 20):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.most_bytes, self.held = make, most, most_bytes, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        size = self.ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
+        if size > self.most_bytes >> 4:
+            return value
+        if len(self) >= self.most or self.held + size > self.most_bytes:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = 0
+        self[key] = value
+        self.held += size
         return value

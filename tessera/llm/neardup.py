@@ -34,7 +34,7 @@ from .common import Cache, materialize, slices, small_batches
 
 MINIMA = 256
 BATCH = 32  # minima compared before each look at the posterior
-MOST_WORDS = 100_000
+MOST_WORDS, MEMO_BYTES = 100_000, 20 << 20  # memo of a worker
 FEW = 32  # candidates of a centre whose pairs may become rows
 BLOCK = 256  # classes in a block
 
@@ -120,7 +120,7 @@ def _signed(df: DataFrame, text: str, id_column: str, words: int, threshold: flo
     rows, bands = band_shape(threshold, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Cache(word_hash, MOST_WORDS)
+        memo = Cache(word_hash, MOST_WORDS, MEMO_BYTES)
         number = np.arange(bands, dtype=np.uint64)
         for batch in slices(batches, "_text"):
             n, a, b, sig, band = [], [], [], [], []
@@ -162,7 +162,7 @@ def _sets(df: DataFrame, needed: DataFrame, text: str, id_column: str, words: in
     texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("_text")).join(needed, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Cache(word_hash, MOST_WORDS)
+        memo = Cache(word_hash, MOST_WORDS, MEMO_BYTES)
         for batch in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words, memo).tobytes() for t in batch.column("_text").to_pylist()], pa.binary())], names=["id", "shingles"])
 

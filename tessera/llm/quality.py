@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Cache, hash_share, slices, small_batches, without
 
 BITS = 16
-MOST_WORDS = 200_000
+MOST_WORDS, MEMO_BYTES = 200_000, 40 << 20  # memo of a worker
 RUN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 SLOTS = 3  # hashed values of a word; 0 stands for none
 
@@ -189,7 +189,7 @@ def train_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", lang:
     both = rows.join(F.broadcast(chosen), id_column).unionByName(part)  # chosen is bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Cache(word_values, MOST_WORDS)
+        memo = Cache(word_values, MOST_WORDS, MEMO_BYTES)
         for batch in slices(batches, "_text"):
             content, page = _views(batch, ["_text", "_lang", "_source"], memo)
             packed = lambda rows: [i.astype("<u4").tobytes() + w.astype("<f4").tobytes() for i, w in rows]
@@ -220,7 +220,7 @@ def score_quality(df: DataFrame, model: QualityModel | None, *, text: str = "tex
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = shared.value, Cache(word_values, MOST_WORDS)
+        own, memo = shared.value, Cache(word_values, MOST_WORDS, MEMO_BYTES)
         for batch in slices(batches, text):
             p = probabilities(own, _views(batch, [text, lang, source], memo)) if own else np.full((batch.num_rows, 3), 0.5)
             kept = p[:, 0] >= (own.threshold if own else 0.5)

@@ -34,7 +34,8 @@ from .common import Cache, listed, materialize, slices, small_batches
 MAGIC = b"TDAC"
 ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 SHARD_TOKENS = 1 << 19  # a shard ends with the document that reaches so many
-MOST_FORMS, MOST_WORDS = 700_000, 400_000  # memo entries of a worker
+MEMO_BYTES = 96 << 20  # of a worker
+SLICE_BYTES = 1 << 20  # texts in work at once
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -120,25 +121,24 @@ class LibraryEncoder:
         self.library.no_padding()
         self.model = self.library.model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.words = Cache(self.word_ids, MOST_WORDS)
-        self.forms = Cache(lambda form: b"".join(map(self.words.__getitem__, SPLIT.findall(form))), MOST_FORMS)
-
-    def word_ids(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
+        self.pieces = Cache(self.piece_ids, 1 << 20, MEMO_BYTES)
+
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of a stretch between white space: the model's for a word, those of its words for any other."""
+        words = [piece] if piece.isalpha() else SPLIT.findall(piece)
+        if len(words) > 1:
+            return b"".join(map(self.pieces.__getitem__, words))
+        word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = [b""] * len(texts)
-        whole = []
-        for i, text in enumerate(texts):
-            if text and ("<|" in text or not PLAIN.fullmatch(text)):
-                whole.append(i)
-            elif text:
-                out[i] = b"".join(map(self.forms.__getitem__, plain_forms(text)))
-        for i, e in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = array("I", e.ids).tobytes()
-        return out
+        return [self.text_ids(t) if t else b"" for t in texts]
+
+    def text_ids(self, text: str) -> bytes:
+        """One text at a time: what the library makes of a text is many times its size."""
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, plain_forms(text)))
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -179,7 +179,7 @@ def write_tokens(df: DataFrame, path: str, *, text: str = "text", id_column: str
                 pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([codes], pa.binary()),
             ], names=["part", "shard", "doc_ids", "n_tokens", "before", "tokens", "codes"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             for i, e in zip(batch.column("id").to_pylist(), own.encode(batch.column("text").to_pylist()), strict=True):
                 ids.append(i)
                 held.append(e + last)
@@ -212,7 +212,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids, counts = Shard(row["codes"]).all().astype("<u4"), row["n_tokens"]
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([
@@ -228,7 +228,7 @@ def stored_digests(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids, counts = Shard(row["codes"]).all().astype("<u4"), row["n_tokens"]
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([

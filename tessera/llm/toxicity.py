@@ -23,7 +23,7 @@ from .common import Cache, hash_share, slices, small_batches, without
 
 WORD = re.compile(r"[^\W_]+")
 BITS = 22
-MOST_WORDS = 200_000  # memo entries of a worker
+MOST_WORDS, MEMO_BYTES = 200_000, 40 << 20  # memo of a worker
 
 
 def word_terms(word: str) -> bytes:
@@ -116,7 +116,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, *, text: str = "text", id_c
     rows = df.select(F.col(id_column), F.col(text).alias("_text")).join(F.broadcast(chosen), id_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Cache(word_terms, MOST_WORDS)
+        memo = Cache(word_terms, MOST_WORDS, MEMO_BYTES)
         for batch in slices(batches, "_text"):
             terms = [distinct_terms(t, memo).tobytes() for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), batch.column(2).cast(pa.int32())], names=["id", "terms", "label"])
@@ -144,7 +144,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, *, text: str = "text", t
         def places(word: str) -> bytes:
             return np.array([p for t in np.frombuffer(word_terms(word), "<u4") if (p := place.get(int(t))) is not None], "<u4").tobytes()
 
-        memo = Cache(places, MOST_WORDS)
+        memo = Cache(places, MOST_WORDS, MEMO_BYTES)
         for batch in slices(batches, text):
             each = [distinct_terms(t, memo) for t in batch.column(text).to_pylist()]
             starts = np.concatenate([[0], np.cumsum([len(e) for e in each])]).astype(np.int64)
