@@ -314,21 +314,47 @@ def test_metadata_and_frames(spark, tmp_path):
             frames.parse_xml(tmp_path / "b.xml")
 
 
+def packed(path, data: bytes, name: str = "d/x.eeg") -> str:
+    with tarfile.open(path, "w:gz") as tar:
+        for n, d in (("d/other.txt", b"other"), (name, data)):
+            info = tarfile.TarInfo(n)
+            info.size = len(d)
+            tar.addfile(info, io.BytesIO(d))
+    return str(path)
+
+
+def is_eeg(name: str) -> bool:
+    return name.endswith(".eeg")
+
+
 def test_archive_goes_on_where_it_stopped(tmp_path):
     data = bytes(range(256)) * 4000
-    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
-        info = tarfile.TarInfo("d/x.eeg")
-        info.size = len(data)
-        tar.addfile(info, io.BytesIO(data))
+    path = packed(tmp_path / "a.tar.gz", data)
+    assert archives.listing(path) == {"d/other.txt": 5, "d/x.eeg": len(data)}
+    for start in (0, 1, 1000, len(data) - 1, len(data)):
+        assert b"".join(d for _, d in archives.pieces(path, is_eeg, start, 777)) == data[start:]
     (tmp_path / "x").write_bytes(data[:1000])
-    p = archives.extract(str(tmp_path / "a.tar.gz"), str(tmp_path / "x"), ".eeg")
-    assert p.complete and p.at_start == 1000 and (tmp_path / "x").read_bytes() == data and p.member.filename == "x.eeg"
-    assert not archives.extract(str(tmp_path / "a.tar.gz"), str(tmp_path / "y"), ".eeg", deadline_s=0.0).complete
+    assert archives.fill(path, is_eeg, str(tmp_path / "x")) == (len(data), len(data)) and (tmp_path / "x").read_bytes() == data
+    assert archives.fill(path, is_eeg, str(tmp_path / "x"))[0] == len(data)
+    assert archives.fill(path, is_eeg, str(tmp_path / "y"), seconds=0.0) == (0, len(data))
     (tmp_path / "z").write_bytes(data + b"x")
+    for broken in (lambda: archives.fill(path, is_eeg, str(tmp_path / "z")), lambda: list(archives.pieces(path, lambda n: False)), lambda: archives.listing(str(tmp_path / "none.tar.gz"))):
+        with pytest.raises(archives.ArchiveError):
+            broken()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.5, 0.98])
+def test_truncated_archive(tmp_path, share):
+    data = np.random.default_rng(0).bytes(200_000)
+    path = packed(tmp_path / "a.tar.gz", data)
+    whole = (tmp_path / "a.tar.gz").read_bytes()
+    (tmp_path / "a.tar.gz").write_bytes(whole[: int(share * len(whole))])
     with pytest.raises(archives.ArchiveError):
-        archives.extract(str(tmp_path / "a.tar.gz"), str(tmp_path / "z"), ".eeg")
-    with pytest.raises(archives.ArchiveError):
-        archives.member_info(str(tmp_path / "a.tar.gz"), ".none")
+        archives.fill(path, is_eeg, str(tmp_path / "x"))
+    assert data.startswith((tmp_path / "x").read_bytes())  # what came is right, and a whole archive goes on from it
+    (tmp_path / "a.tar.gz").write_bytes(whole)
+    archives.fill(path, is_eeg, str(tmp_path / "x"))
+    assert (tmp_path / "x").read_bytes() == data
 
 
 def test_parameters(tmp_path):
