@@ -18,7 +18,7 @@ def session(app: str = "tessera", cores: int | None = None, **conf: str) -> Spar
     settings = {
         "spark.sql.shuffle.partitions": str(cores), "spark.sql.adaptive.enabled": "true", "spark.sql.ansi.enabled": "true",
         "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.ui.enabled": "false",
-        "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.python.filterPushdown.enabled": "true", "spark.ui.showConsoleProgress": "false",
     }
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)

@@ -291,27 +291,49 @@ def test_place_cell_is_found(rec, spark):
 # --- files -----------------------------------------------------------------------------------------
 
 
-def test_metadata_and_frames(spark, tmp_path):
-    (tmp_path / "r.xml").write_text(XML)
-    meta = frames.parse_xml(tmp_path / "r.xml")
-    assert (meta.n_channels, meta.rate_hz, meta.shanks, meta.good_channels(1), meta.other_channels) == (6, 1250.0, ((0, 1), (3, 2)), [0], [4, 5])
+def test_descriptions(spark, tmp_path):
+    (tmp_path / "r.a.xml").write_text(XML)
+    (tmp_path / "q.xml").write_text(XML.replace("<group><channels><channel>0</channel><channel>1</channel></channels></group><group><channels><channel>3</channel><channel>2</channel></channels></group>", ""))
+    recordings, channels = frames.read_descriptions(spark, f"{tmp_path}/*.xml")
+    assert {(r["session"], r["n_channels"], r["rate_hz"], r["wideband_hz"], r["n_bits"], r["voltage_range"], r["amplification"]) for r in recordings.collect()} == {(s, 6.0, 1250.0, 20000.0, 16.0, 20.0, 400.0) for s in "rq"}
+    assert {tuple(r) for r in channels.collect()} == {("r", 1, 0, 0, False), ("r", 1, 1, 1, True), ("r", 2, 0, 3, False), ("r", 2, 1, 2, False), ("q", 1, 0, 0, False), ("q", 1, 1, 1, True), ("q", 2, 0, 2, False), ("q", 2, 1, 3, False)}
+    assert frames.problems(recordings, channels).count() == 0
+    broken = {"a": XML.replace("<nChannels>6</nChannels>", ""), "b": XML.replace(">3<", ">7<"), "c": XML.replace("<nBits>16", "<nBits>12"), "d": XML.replace("1250", "-1"), "e": "<parameters></parameters>", "f": XML.replace(">2<", ">two<")}
+    for name, text in broken.items():
+        (tmp_path / f"broken_{name}.xml").write_text(text)
+    found = {(r["session"][-1], r["problem"]) for r in frames.problems(*frames.read_descriptions(spark, f"{tmp_path}/broken_*.xml")).collect()}
+    outside = "a channel that the recording does not have"
+    assert found == {("a", "number of channels"), ("b", outside), ("c", "only 16 bits a sample are read"), ("d", "sampling rate"), ("e", "number of channels"), ("e", "sampling rate"), ("e", "no channel groups"), ("f", outside)}
+
+
+def test_frames(spark, tmp_path):
     data = (np.arange(5000)[:, None] % 100 + 1000 * np.arange(6)[None]).astype("<i2")
-    path = str(tmp_path / "r.eeg")
+    path, said = str(tmp_path / "r.eeg"), {"n_channels": 6, "rate_hz": 1250.0}
     data.tofile(path)
-    assert frames.size_check(60_000, meta).exact and frames.size_check(60_001, meta).remainder == 1
+    assert frames.whole_frames(60_000, 6) == 5000 and frames.require_length(5000, 1250.0, 1.0) == 3.0
+    with pytest.raises(frames.FormatError):
+        frames.whole_frames(60_001, 6)
     with pytest.raises(frames.FormatError):
-        frames.require_size(frames.size_check(60_000, meta, expected_s=10.0))
-    frames.require_size(frames.size_check(60_000, meta, expected_s=1.0))
-    rows = frames.read_frames(spark, path, meta, start_s=1.0, end_s=1.5, channels=[5, 0]).orderBy("i").collect()
-    assert [r["i"] for r in rows] == list(range(1250, 1875)) and list(rows[7]["values"]) == [5000 + 1257 % 100, 1257 % 100]
-    assert frames.read_frames(spark, path, meta).count() == 5000
-    assert frames.read_windows(spark, path, meta, [(0.0, 0.1), (2.0, 2.1)], [1]).count() == 250
+        frames.require_length(5000, 1250.0, 10.0)
+    rows = frames.read_frames(spark, path, start_s=1.0, end_s=1.5, channels=[5, 0], **said).orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(1250, 1875)) and list(rows[7]["values"]) == [5000 + 1257 % 100, 1257 % 100] and rows[0]["session"] == "r"
+    assert frames.read_frames(spark, path, **said).count() == 5000
+    assert frames.read_windows(spark, path, [(0.0, 0.1), (2.0, 2.1)], channels=[1], **said).count() == 250
     with pytest.raises(Exception, match="channel"):
-        frames.read_frames(spark, path, meta, channels=[6]).count()
-    for broken in (XML.replace("<nChannels>6</nChannels>", ""), XML.replace(">3<", ">7<"), XML.replace("<nBits>16", "<nBits>12"), "<x"):
-        (tmp_path / "b.xml").write_text(broken)
-        with pytest.raises(frames.FormatError):
-            frames.parse_xml(tmp_path / "b.xml")
+        frames.read_frames(spark, path, channels=[6], **said).count()
+
+
+def test_comparisons_reach_the_reader(spark, tmp_path):
+    path = str(tmp_path / "r.eeg")
+    np.arange(20_000, dtype="<i2").tofile(path)
+    whole = frames.read_frames(spark, path, n_channels=2, rate_hz=1.0)
+    for where, want in (("i >= 10 and i < 13", [10, 11, 12]), ("i > 9998", [9999]), ("i = 7 and session = 'r'", [7]), ("i <= 1", [0, 1]), ("i = 3 and i > 5", []), ("i in (4, 6)", [4, 6]), ("values[0] = 20", [10])):
+        assert [r["i"] for r in whole.where(where).orderBy("i").collect()] == want, where
+    reader = frames.FrameReader({"path": path, "n_channels": "2", "frames_per_partition": "100"})
+    from pyspark.sql import datasource as ds
+
+    left = list(reader.pushFilters([ds.GreaterThan(("i",), 499), ds.LessThanOrEqual(("i",), 799), ds.EqualTo(("session",), "r")]))
+    assert len(left) == 1 and [(p.first, p.last) for p in reader.partitions()] == [(500, 600), (600, 700), (700, 800)]
 
 
 def packed(path, data: bytes, name: str = "d/x.eeg") -> str:
