@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import smooth_trace, smooth_trace_nan_aware
-from ..functions.ring import Track
+from ..functions import axis as ax
 from .islands import bridge_short_gaps, drop_short_runs, gradient, hysteresis
 
 
@@ -38,7 +38,7 @@ def running_summary(rows: DataFrame, dt: float, keys: list[str] | None = None) -
     return rows.groupBy(*keys).agg(base.alias("n_base"), n.alias("n_running"), (n * dt).alias("seconds"), F.try_divide(n, base).alias("fraction_kept"), F.percentile(F.when(F.col("running"), F.col("speed")), 0.5).alias("median_speed"))
 
 
-def segment_laps(position: DataFrame, track: Track, *, dt: float, sigma_s: float = 0.25, threshold_cm_s: float = 5.0, min_coverage: float = 0.5, min_s: float = 0.5, max_s: float = 60.0, keys: list[str] | None = None) -> DataFrame:
+def segment_laps(position: DataFrame, track: ax.Axis, *, dt: float, sigma_s: float = 0.25, threshold_cm_s: float = 5.0, min_coverage: float = 0.5, min_s: float = 0.5, max_s: float = 60.0, keys: list[str] | None = None) -> DataFrame:
     """keys, lap, direction (pos or neg), start_sample, stop_sample (half-open), t_start, t_end, x_start, x_end, coverage.
 
     Each stretch of defined position is unwrapped and smoothed; the sign of its velocity is latched; a lap
@@ -50,18 +50,18 @@ def segment_laps(position: DataFrame, track: Track, *, dt: float, sigma_s: float
     block = F.sum(F.coalesce(F.col("_ok") & ~F.lag("_ok").over(order), F.lit(True)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("_block", block).where("_ok")
     part = [*keys, "_block"]
-    rows = track.unwrap(rows, "x1d", part, "sample", "_u")
+    rows = ax.unrolled(track, rows, "x1d", part, "sample", "_u")
     rows = smooth_trace(rows, "_u", part, "sample", sigma_s / dt, out="_s")
     rows = rows.withColumn("_v", gradient(F.col("_s") * 100, F.col("t"), part, "sample"))
     rows = rows.withColumn("_dir", hysteresis(F.col("_v"), threshold_cm_s, part, "sample"))
-    circuit = F.floor((F.col("_u") - track.lo) / track.extent) if track.is_circular else F.lit(0)
+    circuit = F.floor((F.col("_u") - track.start) / track.length) if track.ring else F.lit(0)
     rows = rows.withColumn("_turn", circuit)
     w = Window.partitionBy(*part).orderBy("sample")
     new = F.coalesce((F.lag("_dir").over(w) != F.col("_dir")) | (F.lag("_turn").over(w) != F.col("_turn")), F.lit(True)).cast("long")
     rows = rows.withColumn("_seg", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_dir <> 0")
     laps = rows.groupBy(*part, "_seg").agg(
         F.first("_dir").alias("_d"), F.min("sample").alias("start_sample"), (F.max("sample") + 1).alias("stop_sample"), F.min("t").alias("t_start"), F.max("t").alias("t_end"),
-        F.min_by("x1d", "sample").alias("x_start"), F.max_by("x1d", "sample").alias("x_end"), ((F.max("_u") - F.min("_u")) / track.extent).alias("coverage"),
+        F.min_by("x1d", "sample").alias("x_start"), F.max_by("x1d", "sample").alias("x_end"), ((F.max("_u") - F.min("_u")) / track.length).alias("coverage"),
     )
     duration = F.col("t_end") - F.col("t_start")
     kept = laps.where((duration >= min_s) & (duration <= max_s) & (F.col("coverage") >= min_coverage))

@@ -71,15 +71,19 @@ def best_correlation(p: np.ndarray, x: np.ndarray, t: np.ndarray, circular: bool
 
 
 def shuffled(p: np.ndarray, kind: str, n: int, rng: np.random.Generator) -> np.ndarray:
-    """(n, directions, time, position): each shuffle is the same for all directions."""
-    d, nt, np_ = p.shape
+    """(n, directions, time, position): each shuffle is the same for all directions.
+
+    Both kinds pick, for every place of the result, a time bin and a position to copy from.
+    """
+    times, places = p.shape[1:]
+    time, place = np.broadcast_to(np.arange(times)[:, None], (n, times, 1)), np.broadcast_to(np.arange(places), (n, times, places))
     if kind == "column_cycle":
-        index = (np.arange(np_)[None, None, :] - rng.integers(0, np_, (n, nt))[:, :, None]) % np_
-        return np.take_along_axis(np.broadcast_to(p, (n, d, nt, np_)), np.broadcast_to(index[:, None], (n, d, nt, np_)), -1)
-    if kind == "time_permutation":
-        order = rng.permuted(np.tile(np.arange(nt), (n, 1)), axis=1)
-        return np.take_along_axis(np.broadcast_to(p, (n, d, nt, np_)), np.broadcast_to(order[:, None, :, None], (n, d, nt, np_)), -2)
-    raise ValueError(f"shuffle is one of {SHUFFLES}")
+        place = (place + rng.integers(places, size=(n, times, 1))) % places
+    elif kind == "time_permutation":
+        time = rng.random((n, times, 1)).argsort(axis=1)
+    else:
+        raise ValueError(f"shuffle is one of {SHUFFLES}")
+    return np.moveaxis(p[:, time, place], 0, 1)
 
 
 def score_events(events: DataFrame, *, circular: bool, kind: str = "column_cycle", n_shuffles: int = 500, least_bins: int = 5, bin_s: float = 0.02, id: str = "event_id", seed: int = 0) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian_weights
-from ..functions.ring import Track
+from ..functions import axis as ax
 from ..operators import fields, islands
 from .registry import EV, events, query, r6, values_sql
 
 N = 24
 WEIGHTS = gaussian_weights(1.0)
 KERNEL = values_sql([(k - len(WEIGHTS) // 2, w) for k, w in enumerate(WEIGHTS)], "kernel(k, w)")
-HOUR_RING = Track("circular", 0.0, 24.0, 1.0)
+HOUR_RING = ax.Axis(0.0, 24.0, 24, True)
 
 #: Hours of occupancy by bin: ten-minute slots that hold an event of anyone, a sixth of an hour each.
 OCC = "occ AS (SELECT b.bin, count(DISTINCT (us // 600000000)) / 6.0 AS o FROM (SELECT range::INT AS bin FROM range(24)) b LEFT JOIN ev USING (bin) GROUP BY b.bin)"
@@ -167,12 +167,12 @@ RING = "((x + 12) - floor((x + 12) / 24) * 24 - 12)"
 SELECT user_id, event_id, round(sum(coalesce({RING}, h)) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS unwrapped FROM s""")
 def unwrap_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir).withColumn("at", F.struct("us", "event_id")).withColumn("h", F.col("bin") + 0.5)
-    return HOUR_RING.unwrap(ev, "h", ["user_id"], "at").select("user_id", "event_id", r6(F.col("unwrapped").cast("double"), "unwrapped"))
+    return ax.unrolled(HOUR_RING, ev, "h", ["user_id"], "at", "unwrapped").select("user_id", "event_id", r6(F.col("unwrapped").cast("double"), "unwrapped"))
 
 
 @query(f"""WITH {EV}, s AS (SELECT event_id, (us % 86400000000) / 3.6e9 AS h, (us % 86400000000) / 3.6e9 - value / 4 AS x, value / 4 AS v FROM ev)
 SELECT event_id, round({RING}, 6) AS difference, round(abs({RING}), 6) AS distance, (floor(h - v) - floor(floor(h - v) / 24) * 24)::INT AS bin FROM s""")
 def ring_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, v = (F.col("us") % 86_400_000_000) / 3.6e9, F.col("value") / 4
-    return events(spark, sf_dir).select("event_id", r6(HOUR_RING.difference(h, v), "difference"), r6(HOUR_RING.distance(h, v), "distance"), HOUR_RING.digitize(h - v).alias("bin"))
+    return events(spark, sf_dir).select("event_id", r6(ax.way(HOUR_RING, h, v), "difference"), r6(F.abs(ax.way(HOUR_RING, h, v)), "distance"), ax.bin_number(HOUR_RING, h - v).alias("bin"))
 

@@ -10,8 +10,8 @@ import tarfile
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tessera.functions import axis as ax
 from tessera.functions import signal
-from tessera.functions.ring import Track
 from tessera.operators import decode, envelopes, fields, movement, sequences, states, validate
 from tessera.sources import archives, frames, parameters, synthetic
 
@@ -99,6 +99,21 @@ def test_forward_backward_against_all_paths():
         states.forward_backward(np.full((2, 2), -np.inf), TINY.initial, TINY.transition)
 
 
+def test_expectations_of_padded_sequences():
+    rng = np.random.default_rng(4)
+    seqs = [rng.poisson(1.0, (n, 2)).astype(float) for n in (2, 5, 9, 3)]
+    padded = np.zeros((4, 9, 2))
+    for row, s in zip(padded, seqs, strict=True):
+        row[: len(s)] = s
+    weights, moves, total = states.expected(states.log_emissions(padded, TINY.rates, TINY.bin_s), np.array([len(s) for s in seqs]), TINY)
+    alone = [states.forward_backward(states.log_emissions(s, TINY.rates, TINY.bin_s), TINY.initial, TINY.transition) for s in seqs]
+    assert np.allclose(total, [ll for _, _, ll in alone]) and np.allclose(moves, sum(xi for _, xi, _ in alone))
+    for k, (gamma, _, _) in enumerate(alone):
+        assert np.allclose(weights[k, : len(gamma)], gamma) and not weights[k, len(gamma) :].any()
+    with pytest.raises(ValueError):
+        states.baum_welch([np.zeros((1, 2))], 2, 0.1)
+
+
 def test_fit_climbs_and_orders_a_ring():
     rng = np.random.default_rng(1)
     rates = np.array([[20.0 if c // 2 == s else 0.2 for c in range(8)] for s in range(4)])
@@ -112,7 +127,7 @@ def test_fit_climbs_and_orders_a_ring():
             rows.append(rng.poisson(rates[s] * 0.25))
             s = rng.choice(4, p=move[s])
         seqs.append(np.array(rows))
-    few, many = (states.fit(seqs, 4, 0.25, seed=2, iterations=n) for n in (2, 60))
+    few, many = (states.baum_welch(seqs, 4, 0.25, seed=2, iterations=n) for n in (2, 60))
     assert many.log_likelihood >= few.log_likelihood and np.allclose(many.transition.sum(axis=1), 1)
     assert states.sequence_log_likelihood(many, seqs) >= states.sequence_log_likelihood(few, seqs) - 1
     assert sorted(states.spectral_order(many.transition)) == [0, 1, 2, 3]
@@ -255,7 +270,7 @@ def test_truncation(rec, spark):
 
 
 def test_laps_and_running(rec):
-    track = Track.observed(rec["position"], "linear", 0.1)
+    track = ax.spanned(rec["position"], 0.1, ring=False)
     run = movement.running_mask(rec["position"], dt=0.0256)
     s = movement.running_summary(run, 0.0256).first()
     assert 0 < s["n_running"] < s["n_base"] and s["median_speed"] > 15
@@ -271,18 +286,18 @@ def test_laps_and_running(rec):
 
 def test_place_cell_is_found(rec, spark):
     pos = rec["position"]
-    track = Track.observed(pos, "linear", 0.1)
-    samples = movement.running_mask(pos, dt=0.0256).withColumn("bin", track.digitize(F.col("x1d")))
+    track = ax.spanned(pos, 0.1, ring=False)
+    samples = movement.running_mask(pos, dt=0.0256).withColumn("bin", ax.bin_number(track, F.col("x1d")))
     laps = movement.segment_laps(pos, track, dt=0.0256)
     running = fields.select_running_samples(samples, laps).cache()
     path = [(r["t"], r["x1d"]) for r in pos.where("x1d is not null").orderBy("t").collect()]
     spikes = spark.createDataFrame([(synthetic.NAME, 102, t) for t in synthetic.place_cell_spikes(path, 1.0, np.random.default_rng(3), peak_hz=40.0)], "session string, cluster_id long, t double")
     slots = fields.spike_slots(spikes, pos, running)
-    counts = fields.binned_array(slots, ["session", "cluster_id"], "bin", track.n_bins)
-    occ = fields.binned_array(running, ["session"], "bin", track.n_bins, F.lit(0.0256), "occupancy")
-    m = fields.rate_maps(counts, occ, ["session"], n_bins=track.n_bins, circular=False)
+    counts = fields.binned_array(slots, ["session", "cluster_id"], "bin", track.bins)
+    occ = fields.binned_array(running, ["session"], "bin", track.bins, F.lit(0.0256), "occupancy")
+    m = fields.rate_maps(counts, occ, ["session"], n_bins=track.bins, circular=False)
     row = m.select(fields.peak_bin(F.col("rate")).alias("b"), fields.skaggs_information(F.col("rate"), F.col("occupancy")).alias("i")).first()
-    assert abs(track.bin_centers[row["b"]] - 1.0) < 0.2 and row["i"] > 0.3
+    assert abs(ax.centre(track, row["b"]) - 1.0) < 0.2 and row["i"] > 0.3
     shifts = spark.createDataFrame([(k, 50 * k) for k in range(1, 6)], "shuffle_id int, shift int")
     moved = fields.shifted_spikes(slots, running, shifts, [])
     assert {r["count"] for r in moved.groupBy("shuffle_id").count().collect()} == {slots.count()}

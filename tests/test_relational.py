@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tessera.functions.kernels import gaussian_weights, smooth_numpy, smooth_trace
-from tessera.functions.ring import Track
+from tessera.functions import axis as ax
 from tessera.operators import asof, detect, intervals, islands, ranks
 from tessera.sources import tables
 
@@ -128,12 +128,22 @@ def test_smoothing_agrees(spark):
     assert smooth_numpy(v * 40, 40.0).tolist()[1000] == pytest.approx(smooth_numpy(v * 40, 40.0, mode="wrap").tolist()[1000])
 
 
-def test_ring(spark):
-    ring = Track("circular", 0.0, 10.0, 1.0)
-    row = spark.range(1).select(ring.difference(F.lit(9.0), F.lit(1.0)).alias("d"), ring.digitize(F.lit(10.5)).alias("b"), ring.digitize(F.lit(float("nan"))).alias("n"), ring.wrap(F.lit(-1.0)).alias("w")).first()
-    assert tuple(row) == (-2.0, 0, -1, 9.0)
-    assert Track("linear", 0.0, 2.5, 1.0).n_bins == 2 and Track("linear", 0.0, 3.5, 1.0).n_bins == 4  # half to even
-    assert spark.range(1).select(Track("linear", 0.0, 2.0, 1.0).digitize(F.lit(2.0))).first()[0] == 1
+def test_axis(spark):
+    ring, line = ax.cut(0.0, 10.0, 1.0, ring=True), ax.cut(0.0, 2.0, 1.0, ring=False)
+    nan = F.lit(float("nan"))
+    row = spark.range(1).select(
+        ax.way(ring, F.lit(9.0), F.lit(1.0)).alias("d"), ax.way(ring, F.lit(6.0), F.lit(1.0)).alias("half"), ax.way(line, F.lit(0.0), F.lit(2.0)).alias("straight"),
+        *(ax.bin_number(a, x).alias(f"{n}{k}") for n, a in (("r", ring), ("l", line)) for k, x in enumerate((F.lit(10.5), F.lit(-0.5), F.lit(2.0), nan, F.lit(None).cast("double")))),
+        ax.brought_in(ring, F.lit(-1.0)).alias("in"), ax.brought_in(line, F.lit(-1.0)).alias("out"),
+    ).first()
+    assert (row["d"], row["half"], row["straight"], row["in"], row["out"]) == (-2.0, -5.0, -2.0, 9.0, -1.0)
+    assert [row[f"r{k}"] for k in range(5)] == [0, 9, 2, -1, -1] and [row[f"l{k}"] for k in range(5)] == [1, 0, 1, -1, -1]
+    assert ax.cut(0.0, 2.5, 1.0, ring=False).bins == 2 and ax.cut(0.0, 3.5, 1.0, ring=False).bins == 4  # half to even
+    assert ax.edges(line) == [0.0, 1.0, 2.0] and ax.centre(line, 1) == 1.5
+    rows = spark.createDataFrame([("s", k, x) for k, x in enumerate([None, 8.0, 9.5, 1.0, None, 3.0, 1.0, 9.0])], "s string, i int, x double")
+    assert [r["u"] for r in ax.unrolled(ring, rows, "x", ["s"], "i", "u").orderBy("i").collect()] == [None, 8.0, 9.5, 11.0, None, 3.0, 1.0, -1.0]
+    with pytest.raises(ValueError):
+        ax.spanned(rows.where("x is null"), 1.0, ring=False, x="x")
 
 
 def test_upsert_rules(spark, tmp_path):
