@@ -6,7 +6,8 @@ times a source's size takes every document floor(r) times, and once more those w
 source's threshold. Thresholds come from hash histograms: words are summed by source and the highest
 bits of the hash, the bucket in which the running sum passes the budget is split by the next bits, and
 so on; only boundary buckets are ever split. Budgets are nested: a larger budget keeps what a smaller
-one took. Nothing is sorted but histogram rows.
+one took. Nothing is sorted but histogram rows and sources, and nothing comes to the driver: targets and
+thresholds are tables with one row a source.
 """
 
 from __future__ import annotations
@@ -14,47 +15,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, listed, materialize, without
+from .common import fresh, materialize, without
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-#: Hash bits of each histogram. Together 48 bits, taken from the MD5 of the id as text, which other engines have too.
-LEVELS = (12, 12, 12, 12)
+#: Hash bits of each histogram: 48 from the MD5 of the id as text, then 14 from that of the text, which
+#: tell rows of one id apart. Other engines have MD5 too.
+LEVELS = (12, 12, 12, 12, 14)
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)).cast("long"), F.lit(0).cast("long"))
 
 
-def hash48(id_column: str) -> Column:
-    """48 bits of the id's MD5; a null id hashes as the empty text."""
-    digest = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-
-
-def water_filled(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most_repeats: float = 3.0) -> dict[str | None, float]:
-    """Targets by source. ``sizes``: each source with its words; sources go by code point, null last."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    open_, left, target = [s for s, _ in order], float(sum(size.values())), {s: 0.0 for s, _ in order}
-    while open_:
-        share = sum(weight[s] for s in open_)
-        above = [s for s in open_ if weight[s] * (left / share) > most_repeats * size[s]]
-        if not above:
-            for s in open_:
-                target[s] = weight[s] * (left / share)
-            break
-        for s in above:
-            target[s] = float(most_repeats * size[s])
-            left -= target[s]
-        open_ = [s for s in open_ if s not in above]
-    return target
+def hash62(id_column: str, text: str) -> Column:
+    """48 bits of the id's MD5, then 14 of the text's; nulls hash as the empty text."""
+    bits = lambda column, digits: F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, digits), 16, 10).cast("long")
+    return F.shiftleft(bits(id_column, 12), 14) + F.shiftright(bits(text, 4), 2)
+
+
+def water_filled(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_repeats: int = 3) -> DataFrame:
+    """source, n, target. sizes: source, n (its words); sources take the weights in turn by code point, null last.
+
+    A source is full at the level most_repeats * n / weight. In order of these levels, the words left over and the
+    weights still open give the level that all others are filled to, at the first source whose own level is not below it.
+    """
+    # One row a source: these windows sort names and sums, never documents.
+    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    turn = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
+    rows = sizes.select("source", "n", turn.alias("weight")).withColumn("full", most_repeats * F.col("n") / F.col("weight"))
+    before = Window.orderBy("full", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    rows = rows.withColumn("left", F.sum("n").over(every) - F.coalesce(F.sum(most_repeats * F.col("n")).over(before), F.lit(0)))
+    rows = rows.withColumn("fill", F.col("left") / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
+    level = F.min(F.when(F.col("fill") <= F.col("full"), F.struct("full", "fill"))).over(every)["fill"]
+    return rows.select("source", "n", F.least(F.col("weight") * level, (most_repeats * F.col("n")).cast("double")).alias("target"))
 
 
 def _histogram(rows: DataFrame, bits_after: int) -> DataFrame:
-    """Words by source and bucket, with the running sum before each bucket. rows: src, prefix, size, hash."""
-    sums = rows.groupBy("src", "prefix", F.shiftright("hash", bits_after).alias("bucket")).agg(F.sum("size").alias("words"))
+    """Words by source and bucket, with the running sum before each bucket. rows: src, size, hash, budget."""
+    sums = rows.groupBy("src", "budget", F.shiftright("hash", bits_after).alias("bucket")).agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0).cast("long")))
 
@@ -63,48 +63,38 @@ def mix(df: DataFrame, *, text: str = "text", id_column: str = "doc_id", source:
     """Every row of ``df`` with mix_size, mix_source_size, mix_target, mix_copies (0 to ``most_repeats``).
 
     A row's words are taken mix_copies times. The last bucket's documents are taken where that brings
-    the source nearer to its target, so a source misses it by half of its boundary bucket's words at
-    most, which after all levels is half of the rows of one id (of one document where ids are unique, of all rows without an id). Null texts have size 0; null sources are a
-    source of their own; rows with the same id share a hash and so their fate. An empty table stays
-    empty. Sources are assumed to be few enough for the driver (their names and sums come to it).
+    the source nearer to its target, so a source misses it by half of its last boundary bucket's words at
+    most. Where ids are unique that is half of one document; rows of one id, or without an id, are told
+    apart by 14 bits of their text's hash, so of them a 16,384th part, or those equal in text too, share
+    their fate. Null texts have size 0; null sources are a source of their own. An empty table stays empty.
     Columns of these four names are replaced.
     """
     df = without(df, "mix_size", "mix_source_size", "mix_target", "mix_copies")
     src, hash_, size = fresh(df, "_src", "_hash", "_size")
     # Null sources get a key that no text can have: a text's key starts with "=".
-    keyed = df.select("*", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")).alias(src), hash48(id_column).alias(hash_), word_count(text).alias(size))
+    key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
+    keyed = df.select("*", key.alias(src), hash62(id_column, text).alias(hash_), word_count(text).alias(size))
     rows = materialize(keyed.groupBy(F.col(src).alias("src"), F.col(hash_).alias("hash")).agg(F.sum(size).alias("size")), "mix-sizes")
-    sizes = {r[0]: r[1] for r in rows.groupBy("src").agg(F.sum("size")).collect()}
-    spark = df.sparkSession
-    filled = water_filled([(None if s == "null" else s[1:], n) for s, n in sizes.items()], weights, most_repeats)
-    plan = {}
-    for key, n in sizes.items():
-        target = filled[None if key == "null" else key[1:]]
-        whole = min(int(target // n), most_repeats) if n else 0
-        plan[key] = [n, target, whole, target - whole * n, 0]  # ..., words still to take once more, threshold
-    at, total = 0, sum(LEVELS)
-    going = {s: 0 for s, p in plan.items() if p[3] > 0}  # source: the prefix of its boundary bucket so far
+    sums = rows.groupBy("src").agg(F.sum("size").alias("n")).select(F.when(F.col("src") != "null", F.substr("src", F.lit(2))).alias("source"), "n")
+    targets = water_filled(sums, weights, most_repeats).withColumn("whole", F.when(F.col("n") > 0, F.least(F.floor(F.col("target") / F.col("n")), F.lit(most_repeats))).otherwise(0).cast("int"))
+    plan = materialize(targets.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("src"), "n", "target", "whole"), "mix-plan")
+    # Sources with words still to take, the prefix of their boundary bucket, and its budget; those that are settled have a threshold.
+    going = plan.select("src", F.lit(0).cast("long").alias("prefix"), (F.col("target") - F.col("whole") * F.col("n")).alias("budget")).where("budget > 0")
+    settled, at, total = None, 0, sum(LEVELS)
     for bits in LEVELS:
-        if not going:
-            break
         at += bits
-        prefixes = listed(spark, [(s, p, float(plan[s][3])) for s, p in going.items()], "src string, prefix long, budget double")
-        inside = rows.join(prefixes, "src").where(F.shiftright("hash", total - at + bits) == F.col("prefix"))
-        steps = _histogram(inside, total - at).join(prefixes.drop("prefix"), "src")
-        passed = {r["src"]: r for r in steps.where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("words") > F.col("budget"))).collect()}
-        for s in list(going):
-            r = passed.get(s)
-            if r is None:  # the budget takes all that is left here
-                plan[s][4] = (going[s] + 1) << (total - at + bits)
-                del going[s]
-                continue
-            plan[s][3] -= r["before"]
-            going[s] = r["bucket"]
-            plan[s][4] = r["bucket"] << (total - at)
-            if at == total and r["words"] - plan[s][3] < plan[s][3]:
-                plan[s][4] = (r["bucket"] + 1) << (total - at)
+        inside = rows.join(going, "src").where(F.shiftright("hash", total - at + bits) == F.col("prefix"))
+        crossed = _histogram(inside, total - at).where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("words") > F.col("budget")))
+        found = going.join(crossed.select("src", "bucket", "before", "words"), "src", "left")
+        # No bucket passes the budget: all that is left here is taken.
+        left = F.col("budget") - F.col("before")
+        last = F.shiftleft(F.col("bucket") + F.when(F.col("words") - left < left, 1).otherwise(0), total - at)
+        ended = F.when(F.col("bucket").isNull(), F.shiftleft(F.col("prefix") + 1, total - at + bits)).when(F.lit(at == total), last)
+        found = materialize(found.select("src", F.col("bucket").alias("prefix"), left.alias("budget"), ended.alias("under")), "mix-level")
+        done = found.where("under is not null").select("src", "under")
+        settled, going = done if settled is None else settled.unionByName(done), found.where("under is null").select("src", "prefix", "budget")
     whole, under = fresh(df, "_whole", "_under")
-    chosen = listed(spark, [(k, p[0], float(p[1]), p[2], p[4]) for k, p in plan.items()], f"`{src}` string, mix_source_size long, mix_target double, `{whole}` int, `{under}` long")
+    chosen = plan.join(settled, "src", "left").select(F.col("src").alias(src), F.col("n").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias(whole), F.coalesce("under", F.lit(0).cast("long")).alias(under))
     copies = F.least(F.col(whole) + (F.col(hash_) < F.col(under)).cast("int"), F.lit(most_repeats))
     return keyed.join(chosen, src).select(*df.columns, F.col(size).alias("mix_size"), "mix_source_size", "mix_target", copies.alias("mix_copies"))
 

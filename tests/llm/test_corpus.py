@@ -89,14 +89,29 @@ def test_components_of_a_long_chain(spark):
     assert found == {i: 0 for i in range(1, 301)} | {1001: 1000}
 
 
-def test_water_filling():
-    for sizes in ([("a", 10), ("b", 1000), ("c", 5)], [(None, 7), ("z", 0), ("y", 100)], [("a", 0)], []):
-        target = mixing.water_filled(sizes)
-        total = sum(n for _, n in sizes)
-        assert sum(target.values()) == pytest.approx(total)
-        assert all(target[s] <= 3 * n + 1e-9 for s, n in sizes)
-    t = mixing.water_filled([("a", 100), ("b", 100), ("c", 100)])
-    assert [round(t[s], 6) for s in "abc"] == [187.5, 75.0, 37.5]
+def filled_by_rounds(sizes: list, weights=(5, 2, 1), most: int = 3) -> dict:
+    """Targets by dealing again and again what is cut off."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight, size = {s: weights[i % 3] for i, (s, _) in enumerate(order)}, dict(order)
+    target, open_, left = dict.fromkeys(size, 0.0), set(size), float(sum(size.values()))
+    while open_:
+        total = sum(weight[s] for s in open_)
+        above = {s for s in open_ if weight[s] * left / total > most * size[s]}
+        for s in above or open_:
+            target[s] = float(most * size[s]) if above else weight[s] * left / total
+        left -= sum(target[s] for s in above)
+        open_ = open_ - above if above else set()
+    return target
+
+
+def test_water_filling(spark):
+    rng = random.Random(8)
+    many = [[(f"s{k}" if k else None, rng.choice([0, 1, 10, 500, 10_000])) for k in range(rng.randrange(1, 12))] for _ in range(6)]
+    for sizes in ([("a", 10), ("b", 1000), ("c", 5)], [(None, 7), ("z", 0), ("y", 100)], [("a", 0)], [], [("a", 100), ("b", 100), ("c", 100)], *many):
+        rows = mixing.water_filled(spark.createDataFrame(sizes, "source string, n long")).collect()
+        want = filled_by_rounds(sizes)
+        assert {r["source"]: r["target"] for r in rows} == pytest.approx(want) and len(rows) == len(sizes)
+        assert sum(want.values()) == pytest.approx(sum(n for _, n in sizes))
 
 
 def test_mixing_against_sorting(spark, documents):
@@ -112,7 +127,7 @@ def test_mixing_against_sorting(spark, documents):
 def test_mixing_of_odd_rows(odd_docs, no_docs):
     rows = mixing.mix(odd_docs.withColumn("mix_size", F.lit("x"))).collect()
     assert len(rows) == odd_docs.count() and {r["mix_size"] for r in rows if r["doc_id"] in (900, 901, 902)} == {0}
-    assert rows == mixing.mix(odd_docs).collect() or sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd_docs).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd_docs.repartition(3)).collect()))  # whatever the partitions
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_rows(no_docs).count() == 0
     copies_ = Counter(r["doc_id"] for r in mixing.mixed_rows(odd_docs).collect())
     want = Counter()
@@ -121,6 +136,23 @@ def test_mixing_of_odd_rows(odd_docs, no_docs):
     assert copies_ == +want
 
 
+@pytest.mark.parametrize("ids", ["one", "null"])
+def test_mixing_of_a_hot_id(spark, ids):
+    """A third of a source's rows share an id, or have none; its target is met all the same."""
+    rng = random.Random(2)
+    rows = [((7 if ids == "one" else None) if k % 3 == 0 else k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 60))), "ab"[k % 2]) for k in range(1800)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, own in found.groupby("source"):
+        assert abs((own["mix_size"] * own["mix_copies"]).sum() - own["mix_target"].iloc[0]) <= 30
+
+
+def test_mixing_is_native(documents):
+    """Neither Python workers nor rows from the driver in the plan."""
+    df = mixing.mix(documents.select("doc_id", "text", "source"))
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan and "LocalTableScan" not in plan
+
+
 TURNS = [
     (1, 0, "system", "be \\ <|end|> kind"), (1, 1, "user", "hi <|assistant|>"), (1, 2, "assistant", "a\\<b"), (1, 3, "user", None), (1, 4, "assistant", "zwei\n<|"), (1, 5, "user", "bye"),
     (2, 0, "assistant", "only"), (3, 1, "user", "no reply"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (4, 0, None, "r"), (4, 0, "a|b\\", "é😀"), (4, 1, "assistant", ""), (4, 1, "assistant", ""),
