@@ -138,7 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Targets by the level that fills all sources, thresholds by sorting: the same rows by another way.
 MIXING_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT * 16384 + ('0x' || substr(md5(coalesce(text, '')), 1, 4))::BIGINT // 4 AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT source, n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, sum(n) OVER () AS total FROM s),
 o AS (SELECT *, 3.0::DOUBLE * n / weight AS level, coalesce(sum(3 * n) OVER k, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER k, 0) AS open FROM w WINDOW k AS (ORDER BY 3.0::DOUBLE * n / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -146,6 +146,18 @@ def test_mixing_of_a_hot_id(spark, ids):
         assert abs((own["mix_size"] * own["mix_copies"]).sum() - own["mix_target"].iloc[0]) <= 30
 
 
+def test_mixing_sql_where_ids_repeat(spark, odd_docs, tmp_path):
+    import duckdb
+    from oracle import difference
+
+    rng = random.Random(4)
+    more = [(rng.choice([None, 3, k]), " ".join(["word"] * rng.randrange(9) + [f"w{rng.randrange(50)}"]), "en", rng.choice(["a", "b", None]), 1) for k in range(400)]
+    odd_docs.unionByName(spark.createDataFrame(more, odd_docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert difference(queries.op8_mixing(spark, str(tmp_path)).toPandas(), con.execute(queries.MIXING_SQL).df()) == ""
+
+
 def test_mixing_is_native(documents):
     """Neither Python workers nor rows from the driver in the plan."""
     df = mixing.mix(documents.select("doc_id", "text", "source"))
