@@ -1,8 +1,9 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A text's terms are its distinct lower-cased words (letters and digits) and their four- and
-five-letter beginnings, hashed to 2**22 values. Terms whose presence tells nothing about the label
-in the training sample get no parameters. The rest have a weight and a factor vector; a text's score
+five-letter beginnings, hashed to 2**22 values. A term gets parameters if its presence tells something about
+the label in the training sample, or if it does so together with another term: of the commonest terms,
+those count whose covariance with any other differs between the labels. They have a weight and a factor vector; a text's score
 is the logistic of ``w0 + sum w_i + sum_{i<j} <v_i, v_j>`` over its distinct terms, so that a pair
 such as an insult with a group mention counts beyond the sum of its parts.
 """
@@ -58,8 +59,37 @@ def margin(model: ToxicityModel, ids: np.ndarray, starts: np.ndarray) -> tuple[n
     return raw, sums
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, *, most_terms: int = 8192, least_z: float = 3.0, factors: int = 8, epochs: int = 15, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 1) -> ToxicityModel:
-    """AdaGrad on the logistic loss. Without rows of both labels the model is the prior alone."""
+def paired(own: list[np.ndarray], y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """By term: the largest z of the difference between its covariances with another term under the two labels.
+
+    own: positions of each row's terms; share: the share of all rows that hold a term. Rows are counted in blocks.
+    """
+    k = len(share)
+    both = [np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)]
+    held = [np.zeros(k), np.zeros(k)]
+    for label in (0, 1):
+        rows = np.flatnonzero(y == label)
+        for at in range(0, len(rows), 1024):
+            part = [own[i] for i in rows[at : at + 1024]]
+            block = np.zeros((len(part), k), np.float32)
+            block[np.repeat(np.arange(len(part)), [len(p) for p in part]), np.concatenate(part)] = 1
+            both[label] += block.T @ block
+            held[label] += block.sum(axis=0)
+    n = [(y == 0).sum(), (y == 1).sum()]
+    cov = [both[c] / n[c] - np.outer(held[c] / n[c], held[c] / n[c]) for c in (0, 1)]
+    spread = np.sqrt(share * (1 - share))
+    z = np.abs(cov[1] - cov[0]) / (np.outer(spread, spread) * np.sqrt(1 / n[0] + 1 / n[1]))
+    z[both[0] + both[1] < 10] = 0  # too few rows hold both
+    np.fill_diagonal(z, 0)
+    return z.max(axis=1, initial=0)
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray, *, most_terms: int = 8192, least_z: float = 3.0, most_common: int = 2048, least_pair_z: float = 6.0, most_paired: int = 512, factors: int = 8, epochs: int = 15, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 1) -> ToxicityModel:
+    """AdaGrad on the logistic loss. Without rows of both labels the model is the prior alone.
+
+    Terms get parameters if they tell by themselves (``least_z``; the ``most_terms`` strongest), or, among the
+    ``most_common`` ones, in a pair (``least_pair_z``; the ``most_paired`` strongest).
+    """
     y = np.asarray(labels, float)
     n1, n0 = y.sum(), len(y) - y.sum()
     prior = float(np.log((n1 + 0.5) / (n0 + 0.5)))
@@ -73,8 +103,16 @@ def fit(features: list[np.ndarray], labels: np.ndarray, *, most_terms: int = 819
     z = (df1 / n1 - (df - df1) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     z[df < 3] = 0
     terms = np.flatnonzero(np.abs(z) >= least_z)
-    terms = np.sort(terms[np.argsort(-np.abs(z[terms]), kind="stable")][:most_terms]).astype(np.uint32)
+    terms = terms[np.argsort(-np.abs(z[terms]), kind="stable")][:most_terms]
     place = np.full(size, -1, np.int32)
+    common = np.argsort(-share * (1 - share) * (df >= 3), kind="stable")[:most_common]
+    common = common[df[common] >= 3]
+    place[common] = np.arange(len(common))
+    pair_z = paired([(p := place[f])[p >= 0] for f in features], y, share[common])
+    strong = np.flatnonzero(pair_z >= least_pair_z)
+    strong = strong[np.argsort(-pair_z[strong], kind="stable")][:most_paired]
+    place[common] = -1
+    terms = np.union1d(terms, common[strong]).astype(np.uint32)
     place[terms] = np.arange(len(terms))
     own = [(p := place[f])[p >= 0] for f in features]
     rng = np.random.default_rng(seed)
