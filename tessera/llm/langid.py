@@ -6,7 +6,7 @@ matrix; the mean row goes through a linear softmax. Both are trained by stochast
 descent in numpy. As mean and classifier are linear, the trained model is stored as one matrix of
 logits by hash row, so that scoring is one gather and one segmented sum.
 
-Rejection is calibrated: a temperature is fitted on a held-out part of the training sample, and
+Rejection is calibrated: a temperature is fitted on a held-out fifth of the training sample, and
 a text is rejected if its calibrated probability is under the least threshold at which the
 held-out part's accepted texts reach ``precision`` (0.5 at least), or if it is ``und``.
 """
@@ -36,6 +36,7 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    calibrated: bool = True  # False: too few texts to hold any back; the temperature is 1 and the threshold 0.5
 
 
 def has_letter(text: str | None) -> bool:
@@ -110,7 +111,7 @@ def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, ep
         grams.append((rows, (n / n.sum()).astype(np.float32)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
-    check, train = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 50 else (order, order)
+    check, train = order[: len(y) // 5], order[len(y) // 5 :]
     share = np.bincount(y[train], minlength=len(labels))
     weight = len(train) / (len(labels) * np.maximum(share, 1))  # each language counts alike
     emb = rng.normal(0, 0.5, (1 << bits, dim)).astype(np.float32)
@@ -132,7 +133,9 @@ def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, ep
             out -= lr * 0.25 * np.outer(h, d)
             bias -= lr * 0.01 * d
             emb[rows] = e - lr * np.outer(w, back)
-    model = LanguageModel(labels, emb @ out, bias, 1.0, 0.0)
+    model = LanguageModel(labels, emb @ out, bias, 1.0, 0.5, len(check) > 0)
+    if not model.calibrated:
+        return model
     raw = np.log(np.maximum(scores([pairs[i][0] for i in check], model), 1e-12))
     truth = y[check]
 
@@ -151,20 +154,23 @@ def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, ep
     return model
 
 
-def train_language_model(df: DataFrame, *, text: str = "text", lang: str = "lang", id_column: str = "doc_id", where: Column | None = None, per_language: int = 1500, **settings) -> LanguageModel | None:
+def train_language_model(df: DataFrame, *, text: str = "text", lang: str = "lang", id_column: str = "doc_id", where: Column | None = None, per_language: int = 1500, bytes_per_language: int = 24 << 20, most_languages: int = 500, **settings) -> LanguageModel | None:
     """Fit on at most about ``per_language`` labelled rows of each language, chosen by a hash of the id.
 
-    The sample's whole texts come to the driver; ``per_language`` bounds them. Rows without text or
-    language teach nothing; an empty table gives None.
+    The sample's whole texts come to the driver; where a language's rows are long, fewer are taken, so that
+    they have about ``bytes_per_language`` in all. ValueError beyond ``most_languages``. Rows without text
+    or language teach nothing; an empty table gives None.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull())
     known = known.where(where) if where is not None else known
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    counts = known.groupBy(lang).agg(F.count(F.lit(1)), F.sum(F.octet_length(text).cast("long"))).limit(most_languages + 1).collect()
     if not counts:
         return None
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     chosen = F.lit(False)
-    for name, n in sorted(counts.items()):
-        chosen = chosen | ((F.col(lang) == name) & hash_share(id_column, n, per_language))
+    for name, n, size in sorted(counts):
+        chosen = chosen | ((F.col(lang) == name) & hash_share(id_column, n, min(per_language, n * bytes_per_language // max(1, size))))
     rows = sorted(known.where(chosen).select(id_column, text, lang).collect(), key=lambda r: (r[0], r[2], r[1]))
     return fit([r[1] for r in rows], [r[2] for r in rows], **settings)
 
