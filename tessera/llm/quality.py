@@ -4,8 +4,8 @@ The content view sees a text's words: hashed lower-cased letter runs, symbol run
 how far words repeat. The page view sees metadata alone: source, language, length, and how the page is
 laid out (lines, their lengths, repeated lines, shares of symbols, capitals, digits and blanks). Each is
 a logistic model. In every round each view labels the unlabelled texts it is surest of, and the other
-view trains on them too. Then both are calibrated on a part of the labelled texts that neither trained
-on (Platt scaling), and a document's score is the logistic of the mean calibrated log-odds, weighted
+view trains on them too. Then both are calibrated on a quarter of the labelled texts of each label that
+neither trained on (Platt scaling), and a document's score is the logistic of the mean calibrated log-odds, weighted
 by how well each view ranks that part.
 """
 
@@ -38,7 +38,7 @@ def word_values(word: str) -> bytes:
     letters = "".join(c for c in word if c.isalnum())
     symbols = "".join(c for c in word if not c.isalnum())
     case = "upper" if len(letters) > 1 and letters.isupper() else "other" if letters and not letters[1:].islower() and len(letters) > 1 else ""
-    return np.array([hashed("w" + letters.lower()) if letters else 0, hashed("s" + symbols[:3]) if symbols else 0, hashed("c" + case) if case else 0], "<u4").tobytes()
+    return np.array([hashed("w" + letters.lower()) if letters else 0, hashed("s" + symbols) if symbols else 0, hashed("c" + case) if case else 0], "<u4").tobytes()
 
 
 def binned(name: str, value: float, edges: list[float]) -> int:
@@ -86,26 +86,42 @@ class QualityModel:
     scales: list[tuple[float, float]]  # by view, calibrated log-odds = a * raw + b
     shares: list[float]
     threshold: float
+    calibrated: bool = True  # False: too few labels to hold any of a label back; scores rank but are no probabilities
 
 
 def raw(weights: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    return np.array([weights[-1] + weights[i] @ w for i, w in rows])
-
-
-def logistic(rows: list, y: np.ndarray, *, epochs: int = 12, rate: float = 0.5, decay: float = 1e-5, seed: int = 3) -> np.ndarray:
-    """AdaGrad, row by row."""
-    w, g = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-6)
+    """One gather and one segmented sum; every row has values."""
+    if not rows:
+        return np.empty(0)
+    starts = np.cumsum([0, *(len(i) for i, _ in rows[:-1])])
+    return weights[-1] + np.add.reduceat(weights[np.concatenate([i for i, _ in rows])] * np.concatenate([w for _, w in rows]), starts)
+
+
+def logistic(rows: list, y: np.ndarray, *, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, batch: int = 16, seed: int = 3) -> np.ndarray:
+    """AdaGrad by small batches, over the values that the rows have; all others keep the weight 0."""
+    own, places = np.unique(np.concatenate([i for i, _ in rows]), return_inverse=True)
+    ends = np.cumsum([len(i) for i, _ in rows])
+    begin, sizes, x = ends - [len(i) for i, _ in rows], np.array([len(i) for i, _ in rows]), np.concatenate([v for _, v in rows])
+    w, g, bias, gb = np.zeros(len(own)), np.full(len(own), 1e-6), 0.0, 1e-6
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for r in rng.permutation(len(rows)):
-            i, x = rows[r]
-            d = 1 / (1 + np.exp(-np.clip(w[-1] + w[i] @ x, -30, 30))) - y[r]
-            step = d * x + decay * w[i]
-            g[i] += step**2
-            w[i] -= rate * 0.2 * step / np.sqrt(g[i])
-            g[-1] += d * d
-            w[-1] -= rate * 0.2 * d / np.sqrt(g[-1])
-    return w
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), batch):
+            part = order[at : at + batch]
+            n = sizes[part]
+            starts = np.cumsum(n) - n
+            flat = np.repeat(begin[part] - starts, n) + np.arange(n.sum())
+            ids, v = places[flat], x[flat]
+            d = 1 / (1 + np.exp(-np.clip(bias + np.add.reduceat(w[ids] * v, starts), -30, 30))) - y[part]
+            used, inverse = np.unique(ids, return_inverse=True)
+            step = np.bincount(inverse, np.repeat(d, n) * v) + decay * w[used]
+            g[used] += step**2
+            w[used] -= rate * step / np.sqrt(g[used])
+            gb += d.sum() ** 2
+            bias -= rate * d.sum() / np.sqrt(gb)
+    out = np.zeros((1 << BITS) + 1)
+    out[own], out[-1] = w, bias
+    return out
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -138,7 +154,9 @@ def fit(views: list[list], y: np.ndarray, pool: list[list], *, rounds: int = 3,
     if not y.any() or y.all():
         return None
     order = np.random.default_rng(seed).permutation(len(y))
-    check, train = (order[: len(y) // 4], order[len(y) // 4 :]) if len(y) >= 40 else (order, order)
+    check = np.concatenate([(own := order[y[order] == label])[: len(own) // 4] for label in (0, 1)])
+    train = np.setdiff1d(order, check)
+    calibrated = len(np.unique(y[check])) == 2
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels of the pool that each view trains on
     weights: list[np.ndarray] = []
     for turn in range(rounds + 1):
@@ -155,6 +173,8 @@ def fit(views: list[list], y: np.ndarray, pool: list[list], *, rounds: int = 3,
                 for i in np.argsort(-conf, kind="stable")[: max(1, int(most * rate))]:
                     if conf[i] >= sure:
                         given[1 - v][int(i)] = float(sign)
+    if not calibrated:
+        return QualityModel(weights, [(1.0, 0.0)] * 2, [0.5, 0.5], threshold, False)
     z = [raw(weights[v], [views[v][i] for i in check]) for v in (0, 1)]
     skill = [max(0.02, ranking(z[v], y[check]) - 0.5) for v in (0, 1)]
     return QualityModel(weights, [platt(z[v], y[check]) for v in (0, 1)], [s / sum(skill) for s in skill], threshold)
@@ -174,11 +194,12 @@ def _views(batch: pa.RecordBatch, names: list[str], memo: dict) -> list[list]:
 
 
 def train_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", id_column: str = "doc_id", label: str = "quality", where: Column | None = None, most_rows: int = 6000, most_pool: int = 4000, **settings) -> QualityModel | None:
-    """Fit on at most about ``most_rows`` labelled and ``most_pool`` unlabelled rows, each chosen by a hash of the id.
+    """Fit on at most about ``most_rows`` labelled and at most ``most_pool`` unlabelled rows, each chosen by a hash of the id.
 
-    Executors turn the chosen whole texts into both views' values; these come to the driver, bounded by
-    the two parameters. Rows with a null id or label teach nothing; an id with several labels counts by
-    the lowest. None if the labelled rows are not of both kinds.
+    Executors turn the chosen whole texts into both views' values; these come to the driver. As an
+    unlabelled row is known only there, ``most_pool + most_rows`` rows are drawn for the pool, of which the
+    first ``most_pool`` without a chosen label are it. Rows with a null id or label teach nothing; an id
+    with several labels counts by the lowest. None if the labelled rows are not of both kinds.
     """
     small_batches(df.sparkSession)
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull())
@@ -204,14 +225,16 @@ def train_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", lang:
     labelled = [r for r in found if r["label"] is not None]
     ids = {r["id"] for r in labelled}
     pool = [r for r in found if r["label"] is None and r["id"] not in ids]
+    pool = sorted(pool, key=lambda r: xxhash.xxh64_intdigest(str(r["id"])))[:most_pool]
     return fit([[opened(r[v]) for r in labelled] for v in ("content", "page")], np.array([r["label"] for r in labelled]), [[opened(r[v]) for r in pool] for v in ("content", "page")], **settings)
 
 
 def score_quality(df: DataFrame, model: QualityModel | None, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Every row of ``df`` with quality_score (0 to 1), content_score, page_score and quality_kept.
 
-    A null text counts as empty, a null language or source as a value of its own. Without a model every
-    row has the scores 0.5 and is kept. Columns of these four names are replaced, further ones pass.
+    A null text counts as empty, a null language or source as a value of its own. Rows are scored one by
+    one and whole, so repeated rows score alike and a very long text is one row's work in a task. Without a
+    model every row has the scores 0.5 and is kept. Columns of these four names are replaced, further ones pass.
     """
     names = ["quality_score", "content_score", "page_score", "quality_kept"]
     small_batches(df.sparkSession)

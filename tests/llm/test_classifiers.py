@@ -12,22 +12,44 @@ from tessera.llm import langid, quality, toxicity
 WORDS = [a + b for a in ("ba", "ke", "mo", "ri", "tu", "so") for b in ("lan", "der", "mis", "tok", "pel", "gar")]
 
 
-def test_factorization_machine_learns_pairs():
-    """Neither word tells alone: only both together are toxic."""
+@pytest.mark.parametrize("rule", ["xor", "and"])
+def test_factorization_machine_learns_pairs(rule):
+    """With XOR neither word tells anything alone: default settings keep both, an additive model can't do it."""
     rng = np.random.default_rng(0)
     rows, y = [], []
-    for _ in range(4000):
+    for _ in range(6000):
         a, b = rng.random(2) < 0.5
         noise = rng.integers(100, 130, 5)
         rows.append(np.unique(np.array([*noise, *([1] if a else []), *([2] if b else [])], np.uint32)))
-        y.append(int(a and b))
-    model = toxicity.fit(rows[:3000], np.array(y[:3000]), least_z=3, epochs=40)
+        y.append(int(a != b if rule == "xor" else a and b))
+
+    def accuracy(model) -> float:
+        place = {int(t): i for i, t in enumerate(model.terms)}
+        ids = [np.array([place[int(t)] for t in r if int(t) in place], np.int64) for r in rows[4500:]]
+        raw, _ = toxicity.margin(model, np.concatenate(ids), np.concatenate([[0], np.cumsum([len(i) for i in ids])]))
+        return float(((raw > 0) == np.array(y[4500:], bool)).mean())
+
+    model = toxicity.fit(rows[:4500], np.array(y[:4500]), epochs=40)
     place = {int(t): i for i, t in enumerate(model.terms)}
-    ids = [np.array([place[int(t)] for t in r if int(t) in place], np.int64) for r in rows[3000:]]
-    starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-    raw, _ = toxicity.margin(model, np.concatenate(ids), starts)
-    assert ((raw > 0) == np.array(y[3000:], bool)).mean() > 0.99
-    assert abs(model.v[place[1]] @ model.v[place[2]]) > 0.5
+    assert accuracy(model) > 0.99 and abs(model.v[place[1]] @ model.v[place[2]]) > 0.5
+    if rule == "xor":
+        assert accuracy(toxicity.fit(rows[:4500], np.array(y[:4500]), least_z=0.0, factors=1, rate=0.1, decay=1e9)) < 0.6
+        alone = toxicity.fit(rows[:4500], np.array(y[:4500]), most_common=0, epochs=40)
+        assert accuracy(alone) < 0.6  # a screen of single terms keeps neither
+
+
+def test_pair_screen_against_plain_counts():
+    rng = np.random.default_rng(6)
+    x, y = rng.random((1500, 7)) < 0.4, (rng.random(1500) < 0.3).astype(float)
+    share = (x.sum(axis=0) + 0.5) / 1501
+    got = toxicity.paired([np.flatnonzero(r) for r in x], y, share)
+    z = np.zeros((7, 7))
+    for i in range(7):
+        for j in range(7):
+            if i != j:
+                cov = [np.cov(x[y == c][:, i], x[y == c][:, j], bias=True)[0, 1] for c in (0, 1)]
+                z[i, j] = abs(cov[1] - cov[0]) / np.sqrt(share[i] * (1 - share[i]) * share[j] * (1 - share[j]) * (1 / (y == 0).sum() + 1 / (y == 1).sum()))
+    assert np.allclose(got, z.max(axis=1), rtol=1e-3)
 
 
 def test_margin_is_the_sum_over_pairs():
@@ -99,19 +121,44 @@ def test_language_scores_do_not_depend_on_neighbours_or_pieces():
     assert np.allclose(whole[0], cut[0], rtol=1e-3) and (whole[1] == cut[1]).all()
 
 
-def test_co_training_helps_the_view_with_few_words():
-    """Pseudo-labels come from the other view: fewer labels, as good a result."""
+def test_co_training_helps_the_view_with_many_words():
+    """The content view meets most words in no labelled row; the page view tells the pool's rows apart for it."""
     rng = np.random.default_rng(5)
 
     def row(good: bool):
-        return ((np.array([10 + int(rng.integers(5)) + (50 if good else 0)]), np.ones(1)), (np.array([200 + int(good)]), np.ones(1)))
+        return ((np.array([10 + int(rng.integers(200)) + (500 if good else 0)]), np.ones(1)), (np.array([2000 + int(good)]), np.ones(1)))
+
+    y = np.arange(40) % 2 == 0
+    rows, pool, test = [row(g) for g in y], [row(g) for g in rng.random(4000) < 0.5], rng.random(2000) < 0.5
+    views = [[r[v] for r in map(row, test)] for v in (0, 1)]
+    right = {}
+    for rounds in (0, 1, 3):
+        model = quality.fit([[r[v] for r in rows] for v in (0, 1)], y, [[r[v] for r in pool] for v in (0, 1)], rounds=rounds, sure=0.8)
+        p = quality.probabilities(model, views)
+        assert p.shape == (2000, 3) and ((p >= 0) & (p <= 1)).all()
+        z = quality.raw(model.weights[0], views[0])
+        right[rounds] = ((z > np.median(z)) == test).mean()
+    assert right[1] > right[0] + 0.1 and right[3] > right[1] + 0.02, right
+
+
+def test_few_labels_give_no_calibration():
+    one = lambda at: (np.array([at]), np.ones(1))
+    y = np.array([1, 0, 1, 0])
+    model = quality.fit([[one(5 + g) for g in y], [one(9 + g) for g in y]], y, [[], []])
+    assert not model.calibrated and model.scales == [(1.0, 0.0)] * 2
+    assert langid.fit(["the cat", "le chat"], ["en", "fr"]).calibrated is False
 
-    y = rng.random(60) < 0.5
-    rows, pool = [row(g) for g in y], [row(g) for g in rng.random(600) < 0.5]
-    model = quality.fit([[r[v] for r in rows] for v in (0, 1)], y, [[r[v] for r in pool] for v in (0, 1)])
-    test = rng.random(300) < 0.5
-    p = quality.probabilities(model, [[r[v] for r in map(row, test)] for v in (0, 1)])
-    assert p.shape == (300, 3) and ((p >= 0) & (p <= 1)).all()
+
+def test_symbol_runs_count_whole():
+    assert quality.word_values("!!!!") != quality.word_values("!!!") and quality.word_values("a" + "-" * 9) != quality.word_values("a" + "-" * 8)
+
+
+def test_quality_where_labels_repeat(documents, labels):
+    """Of an id's labels the lowest counts, however often it is there."""
+    few = documents.where("doc_id < 120")
+    model = quality.train_quality(few, labels)
+    again = quality.train_quality(few, labels.unionByName(labels).unionByName(labels.where("quality = 0").withColumn("quality", F.lit(1))))
+    assert all((a == b).all() for a, b in zip(model.weights, again.weights, strict=True)) and model.scales == again.scales
 
 
 def test_every_round_of_co_training_adds_pseudo_labels(monkeypatch):
