@@ -18,25 +18,44 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder is set.
+    Only a local master may go without: a temporary folder is set then. RuntimeError on a cluster, where
+    every executor would write to its own disk.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="tessera-shared-")
         atexit.register(shutil.rmtree, there, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", there)
     return there
 
 
+_written: dict[int, tuple[DataFrame, str]] = {}  # tables that ``release`` may delete, by the identity of their DataFrame
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    It cuts the lineage: a lost executor costs the tasks it ran, never the steps before.
+    It cuts the lineage: a lost executor costs the tasks it ran, never the steps before. All tables of an
+    application lie in one folder, ``tessera/<application id>``, which may go when it has ended; those that
+    only led to others go before that, by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _written[id(made)] = (made, path)
+    return made
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` returned and that nothing reads any more."""
+    for df in tables:
+        known = _written.pop(id(df), None)
+        if known and known[0] is df:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(known[1])
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,13 +9,17 @@
    reaches the threshold is under ``miss`` (uniform prior, so the posterior is a beta distribution).
    Survivors are confirmed on their full sets. Confirmed links give components.
 4. What a star can't tell are links between two of a centre's candidates that lie in different components.
-   A centre with few candidates has their pairs compared in the same way. One with many has them cut into
-   blocks of bounded size, whose full sets are compared in one pass, and only links that join components
-   leave the task. Candidates of the largest component meet only those outside it. The components of
-   all links are the result.
+   The candidates of such a centre are cut into blocks of bounded size; a task has two blocks. It compares
+   their signatures batch by batch, and only classes with a survivor go on. A second pass confirms the
+   survivors on their full sets, and only links that join components leave it. Candidates of the largest
+   component meet only those outside it. The components of all links are the result.
 
 So every pair that shares a band is either confirmed, refused, or already connected, while a bucket of n
 copies costs n comparisons and no list of its pairs is ever made.
+
+No key gathers rows without bound: a centre's candidates are dealt by a hash of the candidate to as many
+parts as the size of its bucket asks for, and what is joined to them by the centre is copied once a part;
+buckets and classes, whose rows are narrow, are dealt to a fixed number of parts.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, materialize, slices, small_batches
+from .common import Cache, materialize, release, slices, small_batches
 
 MINIMA = 256
 BATCH = 32  # minima compared before each look at the posterior
 MOST_WORDS, MEMO_BYTES = 100_000, 20 << 20  # memo of a worker
-FEW = 32  # candidates of a centre whose pairs may become rows
 BLOCK = 256  # classes in a block
+PART = 512  # candidates of a centre that are joined in one place
+BUCKET_PARTS, CLASS_PARTS = 4, 16  # parts of every bucket and class: their rows are narrow, and a group of copies has many buckets
 
 _rng = np.random.default_rng(20_240_229)
 FACTORS = _rng.integers(1 << 62, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,16 +150,27 @@ def _signed(df: DataFrame, text: str, id_column: str, words: int, threshold: flo
     return df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, n_shingles long, key_a long, key_b long, signature binary, bands array<long>")
 
 
+def _carried(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the payload of both, of_a and of_b. ``part`` deals out the pairs of a common id.
+
+    payload: id and one more column. It is copied once for each part its id is in, so no id's pairs meet in one place.
+    """
+    (what,) = (c for c in payload.columns if c != "id")
+    dealt = payload.join(pairs.select(F.explode(F.array("a", "b")).alias("id"), "part").distinct(), "id")
+    for side in ("b", "a"):
+        pairs = pairs.join(dealt.select(F.col("id").alias(side), "part", F.col(what).alias(f"of_{side}")), [side, "part"])
+    return pairs.select("a", "b", "part", "of_a", "of_b")
+
+
 def _plausible(pairs: DataFrame, signatures: DataFrame, least: tuple[int, ...]) -> DataFrame:
-    """Pairs (a, b) that their signatures don't rule out."""
-    both = pairs.join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("of_b")), "b").join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
+    """Pairs (a, b, part) that their signatures don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.select(["a", "b"]).take(pa.array(survivors(signatures_of(b.column("of_a")), signatures_of(b.column("of_b")), least)))
+                yield b.select(["a", "b", "part"]).take(pa.array(survivors(signatures_of(b.column("of_a")), signatures_of(b.column("of_b")), least)))
 
-    return both.mapInArrow(run, "a long, b long")
+    return _carried(pairs, signatures).mapInArrow(run, "a long, b long, part long")
 
 
 def _sets(df: DataFrame, needed: DataFrame, text: str, id_column: str, words: int) -> DataFrame:
@@ -170,24 +186,23 @@ def _sets(df: DataFrame, needed: DataFrame, text: str, id_column: str, words: in
     return found.where(F.length("shingles") > 0).repartition("id").dropDuplicates(["id", "h"]).select("id", "shingles")
 
 
-def _confirmed(pairs: DataFrame, df: DataFrame, text: str, id_column: str, words: int, percent: int) -> DataFrame:
+def similar(x: int, y: int, common: int, percent: int) -> bool:
+    return 100 * common >= percent * (x + y - common)
+
+
+def _confirmed(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough: 100 * intersection >= percent * union."""
-    pairs = materialize(pairs, "near-pairs")
-    sets_ = _sets(df, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text, id_column, words)
-    both = pairs.join(sets_.withColumnsRenamed({"id": "b", "shingles": "of_b"}), "b").join(sets_.withColumnsRenamed({"id": "a", "shingles": "of_a"}), "a").select("a", "b", "of_a", "of_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "of_b"):
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("of_a"), batch.column("of_b"), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        keep.append(i)
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent):
+                    keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return _carried(pairs, sets_).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,9 +212,11 @@ def components(links: DataFrame) -> DataFrame:
     a round changes nothing. Ids grow only with the links; nothing is collected but a count and a sum.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    before = written = None
     while True:
         edges = materialize(edges, "near-stars")
+        release(written)
+        written = edges
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
@@ -212,30 +229,37 @@ def components(links: DataFrame) -> DataFrame:
         edges = edges.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
 
-def _tasks(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
-    """Rows of pairs of blocks, clustered by task: a, l, r, is_left, id, component, outside and the payload.
+TASK = ["centre", "l", "r"]
+MEMBER = "centre long, l int, r int, is_left boolean, id long, component long, outside boolean"
+
 
-    members: a (centre), n (its candidates), m (those outside its largest component), id, component, outside. Ids outside
+def _tasks(members: DataFrame) -> DataFrame:
+    """Rows of pairs of blocks: centre, l, r, is_left, id, component, outside.
+
+    members: centre, n (its candidates), m (those outside its largest component), id, component, outside. Ids outside
     are cut into left blocks, all ids of the centre into right blocks; each pair of blocks is one task's work.
     """
-    rows = members.select("*", F.ceil(F.col("n") / block).cast("int").alias("rights"), F.ceil(F.col("m") / block).cast("int").alias("lefts"))
-    deal = F.xxhash64("id")
-    left = rows.where("outside").select("a", F.pmod(deal, F.col("lefts")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"), F.lit(True).alias("is_left"), "id", "component", "outside")
-    right = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(deal, F.col("rights")).cast("int").alias("r"), F.lit(False).alias("is_left"), "id", "component", "outside")
-    tasks = left.unionByName(right).join(payload, "id")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.repartition(n, "a", "l", "r").sortWithinPartitions("a", "l", "r", "is_left", "id").select("a", "l", "r", "is_left", "id", "component", "outside", *(c for c in payload.columns if c != "id"))
+    rows = members.select("*", F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"), F.ceil(F.col("m") / BLOCK).cast("int").alias("lefts"))
+    deal, upto = F.xxhash64("id"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rows.where("outside").select("centre", F.pmod(deal, F.col("lefts")).cast("int").alias("l"), upto("rights").alias("r"), F.lit(True).alias("is_left"), "id", "component", "outside")
+    return left.unionByName(rows.select("centre", upto("lefts").alias("l"), F.pmod(deal, F.col("rights")).cast("int").alias("r"), F.lit(False).alias("is_left"), "id", "component", "outside"))
+
+
+def _gathered(tasks: DataFrame) -> DataFrame:
+    """Each task's rows one after the other, those of its right block first."""
+    n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(n, *TASK).sortWithinPartitions(*TASK, "is_left", "id")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one task each, from batches clustered by (a, l, r)."""
+    """The rows of one task each, from batches clustered by task."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         part = pa.Table.from_batches([batch])
         held = part if held is None else pa.concat_tables([held, part])
-        key = [held.column(c).to_numpy() for c in ("a", "l", "r")]
+        key = [held.column(c).to_numpy() for c in TASK]
         cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in key], axis=0)) + 1
         first = 0
         for end in cuts:
@@ -246,73 +270,63 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-PAIRS = ["a", "b"]
-
-
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=PAIRS)
+def _block_pairs(group: pa.Table, least: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of a left row, places of right rows) that may be linked: of different components, not ruled out by their signatures."""
+    is_left, outside, ids, comp = (group.column(c).to_numpy() for c in ("is_left", "outside", "id", "component"))
+    sig, rights = signatures_of(group.column("signature").combine_chunks()), np.flatnonzero(~is_left)
+    for i in np.flatnonzero(is_left):
+        go = rights[(comp[rights] != comp[i]) & (~outside[rights] | (ids[rights] > ids[i]))]  # two outside meet once
+        if len(go := go[survivors(sig[i], sig[go], least)]):
+            yield int(i), go
 
 
-def _columns(group: pa.Table) -> tuple[np.ndarray, ...]:
-    return tuple(group.column(c).to_numpy() for c in ("is_left", "outside", "id", "component"))
-
-
-def _across_few(members: DataFrame, signatures: DataFrame, least: tuple[int, ...]) -> DataFrame:
-    """Plausible pairs of a centre's few candidates in different components."""
+def _plausible_members(tasks: DataFrame, signatures: DataFrame, least: tuple[int, ...]) -> DataFrame:
+    """The rows of ``tasks`` that have a plausible partner in their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            is_left, outside, ids, comp = _columns(group)
-            sig = signatures_of(group.column("signature").combine_chunks())
-            rights, pairs = np.flatnonzero(~is_left), []
-            for i in np.flatnonzero(is_left):
-                go = rights[(comp[rights] != comp[i]) & (~outside[rights] | (ids[rights] > ids[i]))]
-                pairs += [(int(ids[i]), int(ids[j])) for j in go[survivors(sig[i], sig[go], least)]]
-            if pairs:
-                yield _pair_batch(pairs)
+            keep = np.zeros(group.num_rows, bool)
+            for i, go in _block_pairs(group, least):
+                keep[i] = keep[go] = True
+            if keep.any():
+                yield from group.drop_columns("signature").filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return _tasks(members, signatures, BLOCK).mapInArrow(run, "a long, b long").distinct()
+    return _gathered(tasks.join(signatures, "id").select(*(c.split()[0] for c in MEMBER.split(", ")), "signature")).mapInArrow(run, MEMBER)
 
 
-def _across_many(members: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
-    """Links between a centre's many candidates that join different components, confirmed on full sets inside each task.
+def _linked(tasks: DataFrame, signatures: DataFrame, sets_: DataFrame, least: tuple[int, ...], percent: int) -> DataFrame:
+    """Links (a, b) inside each task, confirmed on full sets; only those that join components not yet joined in it.
 
-    A task numbers the shingles of its two blocks once; a left set is then intersected with all right ones
-    by one look-up and one segmented sum. Of its links only those leave that join components not yet joined in it.
+    A task numbers the shingles of its rows once; a pair costs one look-up by shingle of the right set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            is_left, outside, ids, comp = _columns(group)
+            ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
             found = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-            sizes = np.array([len(f) for f in found])
             names, numbers = np.unique(np.concatenate(found), return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            rights = np.flatnonzero(~is_left)  # they come first
-            flat, at = numbers[: starts[len(rights)]], starts[: len(rights)]
-            root: dict[int, int] = {}
+            starts = np.cumsum([0, *map(len, found)])
+            held, root, pairs = np.zeros(len(names), bool), {}, []
 
             def top(x: int, root: dict[int, int] = root) -> int:
                 while x in root:
                     x = root[x]
                 return x
 
-            held, pairs = np.zeros(len(names), np.int32), []
-            for i in np.flatnonzero(is_left):
+            for i, go in _block_pairs(group, least):
                 own = numbers[starts[i] : starts[i + 1]]
-                held[own] = 1
-                common = np.add.reduceat(held[flat], at)
-                held[own] = 0
-                near = 100 * common.astype(np.int64) >= percent * (sizes[i] + sizes[rights] - common)
-                for j in rights[near & (comp[rights] != comp[i]) & (~outside[rights] | (ids[rights] > ids[i]))]:
-                    x, y = top(int(comp[i])), top(int(comp[j]))
-                    if x != y:
+                held[own] = True
+                for j in go:
+                    x, y, other = top(int(comp[i])), top(int(comp[j])), numbers[starts[j] : starts[j + 1]]
+                    if x != y and similar(len(own), len(other), int(held[other].sum()), percent):
                         root[max(x, y)] = min(x, y)
                         pairs.append((int(ids[i]), int(ids[j])))
+                held[own] = False
             if pairs:
-                yield _pair_batch(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
 
-    return _tasks(members, sets_, BLOCK).mapInArrow(run, "a long, b long").distinct()
+    both = tasks.join(signatures, "id").join(sets_, "id")
+    return _gathered(both.select(*(c.split()[0] for c in MEMBER.split(", ")), "signature", "shingles")).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_id", words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
@@ -323,7 +337,8 @@ def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_
     linked with nothing. Equal sets are linked at once. ``miss`` bounds the probability that a pair at the
     threshold shares no band, and the posterior under which a pair goes. Ids should be unique: rows that
     share one are judged by their own text, and a link of any of their texts holds for the id. Rows without
-    an id stay alone, with a null component, and are kept. Further columns are not read.
+    an id stay alone, with a null component, and are kept. A very long text is one row's work: its set and its
+    signature are made in one task, from the whole text. Further columns are not read.
     """
     small_batches(df.sparkSession)
     threshold = percent / 100
@@ -333,23 +348,34 @@ def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_
     classes = materialize(usable.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "near-classes")
     firsts = usable.join(classes.select(F.col("rep").alias("id"), "key_a", "key_b"), ["id", "key_a", "key_b"], "left_semi")
     banded = firsts.select("id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-    members = materialize(banded.join(buckets.select("bucket", "a", "n"), "bucket"), "near-buckets")
+    buckets = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).where("a < last")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).alias("part")
+    parts = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part")
+    members = materialize(banded.select("*", part(BUCKET_PARTS)).join(buckets.select("bucket", "a", "size", parts(BUCKET_PARTS)), ["bucket", "part"]).select("a", "id", "size"), "near-buckets")
     signatures = firsts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "key_a", "key_b"]).select("id", "signature")
     signatures = materialize(signatures, "near-banded")
-    star = materialize(members.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "near-stars-of")
-    links = materialize(_confirmed(_plausible(star, signatures, least), df, text, id_column, words, percent), "near-links")
+    # A pair's part is a hash of its candidate, over as many parts as its largest bucket asks for; small buckets have the part 0.
+    star = members.where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("size").alias("size"))
+    star = materialize(star.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / PART)).cast("long").alias("part")), "near-stars-of")
+    pairs = materialize(_plausible(star, signatures, least), "near-pairs")
+    sets_ = _sets(df, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text, id_column, words)
+    links = materialize(_confirmed(pairs, sets_, percent), "near-links")
     found = materialize(components(links), "near-components")
-    near = star.join(found.withColumnRenamed("id", "b"), "b", "left").select("a", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
-    # One row for each centre with candidates in several components; what is joined to it is dealt again below.
-    parts = near.groupBy("a", "component").agg(F.count(F.lit(1)).alias("k"))
-    open_ = parts.groupBy("a").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("m")).where("m > 0")
-    near = materialize(near.join(materialize(open_, "near-centres"), "a").withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), "near-open")
-    few, many = near.where(F.col("n") <= FEW), near.where(F.col("n") > FEW)
-    more = _confirmed(_across_few(few, signatures, least), df, text, id_column, words, percent)
-    sets_ = _sets(df, many.select("id").distinct(), text, id_column, words)
-    final = components(links.unionByName(more).unionByName(_across_many(many, sets_, percent)))
-    keyed = signed.select("id", "n_shingles", "key_a", "key_b")
-    joined = keyed.join(classes.select("key_a", "key_b", "rep"), ["key_a", "key_b"], "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep")).otherwise(F.col("id"))
+    near = star.join(found.withColumnRenamed("id", "b"), "b", "left").select(F.col("a").alias("centre"), "part", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
+    # One row for each centre with candidates in several components, copied to the parts it has
+    counts = near.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("k"))
+    open_ = counts.groupBy("centre").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("m")).where("m > 0")
+    open_ = open_.join(star.select(F.col("a").alias("centre"), "part").distinct(), "centre")
+    near = near.join(open_, ["centre", "part"]).select("centre", "n", "m", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
+    tasks = materialize(_plausible_members(_tasks(near), signatures, least), "near-tasks")
+    sets_ = _sets(df, tasks.select("id").distinct(), text, id_column, words)
+    final = components(links.unionByName(_linked(tasks, signatures, sets_, least, percent)))
+    # A class's component reaches its rows in parts, as a class may hold a third of all rows
+    known = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").where("rep < last or component is not null")
+    known = materialize(known.select("key_a", "key_b", F.coalesce("component", "rep").alias("component")), "near-known")
+    release(classes, members, signatures, star, pairs, links, found, tasks)
+    keyed = signed.select("id", "n_shingles", "key_a", "key_b", part(CLASS_PARTS))
+    joined = keyed.join(known.select("*", parts(CLASS_PARTS)), ["key_a", "key_b", "part"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    component = F.when(F.col("id").isNotNull(), component)
     return joined.select("id", "n_shingles", component.alias("component_id")).select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
