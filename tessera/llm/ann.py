@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
-Trees are grown on a bounded sample: a node splits its points at the median of their projection on the
+Trees are grown on a bounded sample, large enough for leaves of about ``leaf_rows`` of the table's rows,
+however many rows there are, up to most_sample / 16 leaves a tree; beyond, leaves grow with the table. A node splits its points at the median of their projection on the
 difference of two of them. Every row of the table then goes to its leaf of each tree. A query walks all
 trees through one priority queue, whose entries are subtrees ranked by the least margin by which the
 query missed them, until it has visited its budget of leaves. The rows of these leaves are reranked by
@@ -101,8 +102,10 @@ def visit_order(forest: Forest, margins: np.ndarray, budget: int, sizes: np.ndar
     return out
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dim).astype(float)
+def matrix(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Packed vectors as rows in double precision; 4 or 8 bytes a component, as the table has them."""
+    data = b"".join(vectors)
+    return np.frombuffer(data, "<f4" if not vectors or len(vectors[0]) == 4 * dim else "<f8").reshape(-1, dim).astype(float)
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -139,13 +142,14 @@ def id_starts(ids: np.ndarray) -> np.ndarray:
 
 
 def nearest_neighbours(
-    df: DataFrame, *, id_column: str = "vec_id", vector: str = "embedding", query: Column | None = None, k: int = 20, trees: int = 3, most_sample: int = 8192,
-    leaves: int = 32, recall: float = 0.95, test_queries: int = 128, block: int = 4096, seed: int = 11,
+    df: DataFrame, *, id_column: str = "vec_id", vector: str = "embedding", query: Column | None = None, k: int = 20, trees: int = 3, most_sample: int = 1 << 17,
+    least_sample: int = 8192, leaf_rows: int = 2048, leaves: int = 32, recall: float = 0.95, test_queries: int = 128, block: int = 4096, seed: int = 11,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row that ``query`` marks (by default all), by inner product.
 
-    The forest's sample (``most_sample`` different rows), the test queries and the leaf sizes (as many as leaves)
-    come to the driver; all are bounded by parameters. Rows take no part whose id or vector is null, whose
+    The forest has one leaf for each ``leaf_rows`` different rows, ``leaves`` at least. Its sample (16 rows a leaf, between
+    ``least_sample`` and ``most_sample`` rows), the test queries and the leaf sizes (as many as leaves) come to the
+    driver; all are bounded by parameters. Rows take no part whose id or vector is null, whose
     vector is zero, has a null or non-finite component, or another length than most. Rows with the same
     id count as forms of one vector: their best product counts, and none is its own neighbour. With k
     candidates or fewer all are returned; ties go to the smaller id. Empty tables give no rows.
@@ -156,28 +160,31 @@ def nearest_neighbours(
     if lengths is None:
         return spark.createDataFrame([], out)
     dim = lengths["n"]
+    kind = "float" if df.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+    packing = {"float": "<f4", "double": "<f8"}[kind]
     is_query = F.lit(True) if query is None else F.coalesce(query, F.lit(False))
-    rows = df.where(F.col(id_column).isNotNull() & usable(F.col(vector), dim)).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), is_query.alias("is_query"))
+    rows = df.where(F.col(id_column).isNotNull() & usable(F.col(vector), dim)).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"), is_query.alias("is_query"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, dim)
+            v = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(packing).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in v], pa.binary()), b.column("is_query")], names=["id", "v", "is_query"])
 
     rows = rows.mapInArrow(packed, "id long, v binary, is_query boolean").groupBy("id", "v").agg(F.max("is_query").alias("is_query"))
     rows = materialize(rows, "ann-rows")
     n = rows.count()
-    sample = sorted(rows.where(hash_share(["id", "v"], n, most_sample)).select("id", "v").collect())
+    leaves = max(leaves, min(-(-n // leaf_rows), most_sample // 16))
+    sample = sorted(rows.where(hash_share(["id", "v"], n, max(least_sample, 16 * leaves))).select("id", "v").collect())
     if not sample:
         return spark.createDataFrame([], out)
-    points = np.frombuffer(b"".join(bytes(r[1]) for r in sample), "<f4").reshape(-1, dim).astype(float)
-    forest = grow(points, trees=trees, leaf_points=max(2 * k, -(-len(points) // leaves)), seed=seed)
+    points = matrix([bytes(r[1]) for r in sample], dim)
+    forest = grow(points, trees=trees, leaf_points=-(-len(points) // leaves) if len(points) < n else max(2 * k, -(-len(points) // leaves)), seed=seed)
     shared = spark.sparkContext.broadcast(forest)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = leaves_of(shared.value, matrix(b.column("v"), dim))
+                at = leaves_of(shared.value, matrix(b.column("v").to_pylist(), dim))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("is_query"), pa.array(list(at), pa.list_(pa.int32()))], names=["id", "v", "is_query", "leaves"])
 
     indexed = materialize(rows.mapInArrow(index, "id long, v binary, is_query boolean, leaves array<int>"), "ann-index")
@@ -199,14 +206,14 @@ def nearest_neighbours(
     if not tests:
         return spark.createDataFrame([], out)
     test_ids = np.array([r[0] for r in tests])
-    test_x = np.frombuffer(b"".join(bytes(r[1]) for r in tests), "<f4").reshape(-1, dim).astype(float)
+    test_x = matrix([bytes(r[1]) for r in tests], dim)
     sent = spark.sparkContext.broadcast((test_ids, test_x))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, q = sent.value
         for b in batches:
             if b.num_rows:
-                x, ids, at = matrix(b.column("v"), dim), b.column("id").to_numpy(), b.column("leaves")
+                x, ids, at = matrix(b.column("v").to_pylist(), dim), b.column("id").to_numpy(), b.column("leaves")
                 for i, s in enumerate(q @ x.T):
                     s = np.where(ids == own[i], -np.inf, s)
                     near = np.argsort(-s, kind="stable")[: np.isfinite(s).sum()]
@@ -227,7 +234,7 @@ def nearest_neighbours(
         own = shared.value
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column("v"), dim)
+                x = matrix(b.column("v").to_pylist(), dim)
                 seen = [visit_order(own, m, budget, owners, 4 * k) for m in x @ own.normals.T - own.cuts]
                 who = np.repeat(np.arange(len(x)), [len(s) for s in seen])
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(np.concatenate(seen).astype(np.int32))], names=["id", "v", "leaf"])
@@ -245,9 +252,9 @@ def nearest_neighbours(
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
-        q = np.frombuffer(b"".join(left["v"]), "<f4").reshape(-1, dim).astype(float)
+        q = matrix(list(left["v"]), dim)
         right = right.sort_values("id")
-        x = np.frombuffer(b"".join(right["v"]), "<f4").reshape(-1, dim).astype(float)
+        x = matrix(list(right["v"]), dim)
         ids, rows_ = right["id"].to_numpy(), []
         starts = id_starts(ids)
         for at in range(0, len(q), 256):
