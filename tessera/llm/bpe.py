@@ -99,6 +99,7 @@ class Codec:
         self.pairs = Cache(lambda pair: self.compatible(*pair), MOST_PAIRS, MEMO_BYTES)
         self.words = Cache(self.word_ids, MOST_WORDS, MEMO_BYTES)
         self.forms = Cache(lambda form: b"".join(map(self.words.__getitem__, SPLIT.findall(form))), MOST_FORMS, MEMO_BYTES)
+        self.spelled = {i: t for t, i in [*self.tokens.items(), *self.special.items()]}
         # decoding: every id's text, cut from one string; the library joins tokens by one space
         top = max([*self.vocabulary.values(), *self.special.values()]) + 1
         named = [b""] * top
@@ -179,6 +180,20 @@ class Codec:
             return self.odd_ids(text)
         return b"".join(map(self.forms.__getitem__, plain_forms(text)))
 
+    def restores(self, text: str | None, ids: bytes) -> bool:
+        """Whether the ids give back the text's words: normalised, split, and joined without what lies between."""
+        parts = self.marks.split(text) if text and self.marks and "<|" in text else [text or ""]
+        words = []
+        for i, part in enumerate(parts):
+            if i % 2:
+                words.append(part)
+            elif PLAIN.fullmatch(part):
+                words += [w.encode().decode("latin-1") for form in plain_forms(part) for w in SPLIT.findall(form)]
+            else:
+                letters = byte_letters()
+                words += ["".join(chr(letters[c]) for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+        return "".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist())) == "".join(w if w in self.special else f"{w[:-1]}{chr(ord(w[-1]) + 256 * bool(self.suffix))}" for w in words)
+
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text."""
         at = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -234,8 +249,12 @@ def decode_ids(df: DataFrame, path: str, *, ids: str = "token_ids") -> DataFrame
     return df.mapInArrow(run, schema)
 
 
-def round_trip_digests(df: DataFrame, path: str, *, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """By row: id, n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass over the texts."""
+def round_trip_digests(df: DataFrame, path: str, *, text: str = "text", id_column: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """By row: id, n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass over the texts.
+
+    With ``keep_ids`` also token_ids (binary, little-endian unsigned 32-bit) and restores: whether the ids spell
+    the text's normalised words.
+    """
     small_batches(df.sparkSession)
     kind = df.schema[id_column].dataType
 
@@ -249,6 +268,7 @@ def round_trip_digests(df: DataFrame, path: str, *, text: str = "text", id_colum
                 pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
                 pa.array([hashlib.sha256(own.decode(i)).hexdigest() for i in ids]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [pa.array(ids, pa.binary()), pa.array([own.restores(t, i) for t, i in zip(batch.column("_text").to_pylist(), ids, strict=True)])] if keep_ids else []
+            yield pa.RecordBatch.from_arrays(columns + more, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids", "restores"] if keep_ids else [])])
 
-    return df.select(id_column, F.col(text).alias("_text")).mapInArrow(run, f"{id_column} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_column, F.col(text).alias("_text")).mapInArrow(run, f"{id_column} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids binary, restores boolean" * keep_ids)

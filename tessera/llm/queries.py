@@ -119,8 +119,9 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as token ids, each row checked to decode to the library's form of the text."""
-    return bpe.round_trip_digests(docs, vocabulary())
+    """The corpus as token ids: doc_id, n_tokens, token_ids, their digest, that of the decoded text, and
+    restores, whether the ids spell the text's normalised words again."""
+    return bpe.round_trip_digests(docs, vocabulary(), keep_ids=True)
 
 
 STAGES = [

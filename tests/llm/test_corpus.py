@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tessera.llm import ann, chat, mixing, neardup, queries
+from tessera.llm import ann, chat, common, langid, mixing, neardup, quality, queries
 
 import corpus_pipeline
 
@@ -246,6 +247,38 @@ def test_neighbours_of_repeated_rows(spark, kind):
     assert hit / (20 * len(asked)) >= 0.9
 
 
+def test_rows_a_query_looks_at_grow_slower_than_the_table():
+    """Clustered vectors, leaves of fixed size: what 95 % of the true neighbours cost."""
+    rng = np.random.default_rng(7)
+    looked = {}
+    for n in (2000, 16_000):
+        centres = rng.normal(size=(n // 40, 32)) * 4
+        x = centres[np.arange(n) % len(centres)] + rng.normal(size=(n, 32)) * 0.3
+        forest = ann.grow(x, trees=3, leaf_points=64)
+        at, sizes = ann.leaves_of(forest, x), np.zeros(forest.leaves)
+        for t in range(3):
+            np.add.at(sizes, at[:, t], 1)
+        ranks, costs = [], []
+        for q in range(0, n, n // 60):
+            s = x @ x[q]
+            s[q] = -np.inf
+            order = ann.visit_order(forest, x[q] @ forest.normals.T - forest.cuts, forest.leaves)
+            rank = {leaf: r for r, leaf in enumerate(order)}
+            ranks += [min(rank[leaf] for leaf in at[i]) for i in np.argsort(-s)[:20]]
+            costs.append(np.cumsum(sizes[order]))
+        budget = sorted(ranks)[int(0.95 * len(ranks))]
+        looked[n] = float(np.mean([c[budget] for c in costs]))
+    assert looked[16_000] < 3 * looked[2000] and looked[16_000] < 0.25 * 16_000, looked
+
+
+def test_vectors_of_doubles_keep_their_digits(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8)) * np.array([1e60] + [1.0] * 7)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest_neighbours(df, k=3).toPandas()
+    assert len(found) == 180 and all(r.score == (x[r.query_id] * x[r.vec_id]).sum() for r in found.itertuples())
+
+
 def test_queue_visits_all_leaves_best_first():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 8))
@@ -263,7 +296,7 @@ def test_pipeline_stages(spark, sf_dir, documents):
         assert out.join(docs, "doc_id", "left_anti").count() == 0, name
         docs = out
     last = corpus_pipeline.run(spark, sf_dir)
-    assert last.count() == docs.count() and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert last.count() == docs.count() and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "restores"]
 
 
 def test_near_duplicate_stage_judges_rows(spark, sf_dir):
@@ -290,6 +323,33 @@ def test_near_duplicate_stage_judges_rows(spark, sf_dir):
         assert out.columns == df.columns and got == want
 
 
+def test_pipeline_against_plain_python(spark, sf_dir, documents, labels):
+    """The two classifiers' decisions row by row; then components, the mix, and ids by brute force."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = documents.toPandas()
+    language = langid.train_language_model(documents)
+    docs = docs[[bool(langid.has_letter(t)) and langid.scores([t], language).max() >= language.threshold for t in docs["text"]]]
+    model = quality.train_quality(spark.createDataFrame(docs, documents.schema), labels)
+    views = [[quality.content_view(t, common.Cache(quality.word_values, 10**6)) for t in docs["text"]], [quality.page_view(t, a, b) for t, a, b in zip(docs["text"], docs["lang"], docs["source"], strict=True)]]
+    docs = docs[quality.probabilities(model, views)[:, 0] >= model.threshold]
+    component = brute_components(dict(zip(docs["doc_id"], docs["text"], strict=True)), 5, 80)
+    docs = docs[[component[i] == i for i in docs["doc_id"]]]
+    size = {r.doc_id: len(re.findall(rb"[^\x20\x09-\x0D]+", r.text.encode())) for r in docs.itertuples()}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    times = Counter(r["doc_id"] for r in rows)
+    assert set(times) <= set(docs["doc_id"]) and all(r["restores"] for r in rows)
+    words = docs.groupby("source", dropna=False)["doc_id"].apply(lambda ids: sum(size[i] for i in ids)).to_dict()
+    target = filled_by_rounds([(None if s != s else s, n) for s, n in words.items()])
+    for s, own in docs.groupby("source", dropna=False):
+        assert abs(sum(size[i] * times[i] for i in own["doc_id"]) - target[None if s != s else s]) <= max(size[i] for i in own["doc_id"]) / 2 + 1
+    library, texts = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json"))), dict(zip(docs["doc_id"], docs["text"], strict=True))
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert np.frombuffer(r["token_ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids)
+
+
 def test_pipeline_takes_odd_and_no_documents(spark, odd_docs, no_docs, sf_dir):
     for docs in (odd_docs, no_docs):
         for _, stage in queries.STAGES:
