@@ -51,7 +51,8 @@ def format_conversations(df: DataFrame, *, conversation: str = "conv_id", turn:
     Spans are in code points; an example without a target has loss_start = loss_end. Turns go by turn
     number, then role and text; nulls first. Null texts are empty. Rows without a conversation id form
     one conversation. An empty table gives no examples. The expansion holds each context once for every
-    reply after it, so it grows with the square of a conversation's replies, as the method asks.
+    reply after it, so it grows with the square of a conversation's replies, as the method asks. A very long
+    text is part of each example after it; repeated rows are turns of their own; further columns are not read.
     """
     header = F.concat(F.lit("<|"), F.coalesce(F.replace(escaped(F.col("_role")), F.lit("|"), F.lit("\\|")), F.lit("\\0")), F.lit("|>"))
     rows = df.select(F.col(conversation).alias("_conv"), F.col(turn).alias("_turn"), F.col(role).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
