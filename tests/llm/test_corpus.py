@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -195,6 +196,17 @@ def test_chat_round_trip(spark):
         chat.parsed("<|user|>open")
 
 
+def test_chat_of_long_texts_and_clashing_columns(spark):
+    long = "wort <| \\ " * 30_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    df = df.withColumn("formatted", F.lit("own")).withColumn("example", F.lit(9)).withColumn("_conv", F.lit(8)).withColumn("LAST", F.lit(True))
+    examples = chat.format_conversations(df)
+    assert examples.columns == ["conv_id", "example", "last", "formatted", "loss_start", "loss_end"]
+    got = {r["conv_id"]: r for r in chat.conversation_digests(examples).collect()}
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest() and got[1]["n_turns"] == 2
+    assert got[1]["turns_sha256"] == hashlib.sha256(f"user\n{long}\nassistant\n{long}\n".encode()).hexdigest()
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(1200, 16)).astype(np.float32)
