@@ -95,6 +95,7 @@ def mix(df: DataFrame, *, text: str = "text", id_column: str = "doc_id", source:
         settled, going = done if settled is None else settled.unionByName(done), found.where("under is null").select("src", "prefix", "budget")
     whole, under = fresh(df, "_whole", "_under")
     chosen = plan.join(settled, "src", "left").select(F.col("src").alias(src), F.col("n").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias(whole), F.coalesce("under", F.lit(0).cast("long")).alias(under))
+    chosen = materialize(chosen, "mix-chosen")  # a table whose size Spark sees: with few sources no document is shuffled
     copies = F.least(F.col(whole) + (F.col(hash_) < F.col(under)).cast("int"), F.lit(most_repeats))
     return keyed.join(chosen, src).select(*df.columns, F.col(size).alias("mix_size"), "mix_source_size", "mix_target", copies.alias("mix_copies"))
 

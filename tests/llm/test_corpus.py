@@ -165,6 +165,7 @@ def test_mixing_is_native(documents):
     df = mixing.mix(documents.select("doc_id", "text", "source"))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan and "LocalTableScan" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # texts stay where they are
 
 
 TURNS = [
