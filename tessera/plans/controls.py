@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import controls, detect, reports
 from .detection import detect_sql, detected, trace, trace_sql
 from .maps import OCC, OCC_SMOOTH, map_sql, maps
-from .registry import EPOCH, EV, epoch_of, events, query, r6
+from .registry import EPOCH, EV, days, epoch_of, events, query, r6
 
 
 @query(f"""WITH {EV}, d AS (SELECT user_id // 50 AS grp, {EPOCH} AS epoch, floor(value)::DOUBLE AS x FROM ev WHERE day < 10 OR day >= 20), rk AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY x) + (count(*) OVER (PARTITION BY grp, x) - 1) / 2.0 AS r FROM d),
@@ -60,10 +60,11 @@ def contiguous_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.folded(rows, ["grp"], "day", 4)
 
 
-@query("""WITH l AS (SELECT d AS lap, d * 86400.0 AS a, d * 86400.0 + (5 + d % 4) * 5000.0 AS b FROM range(30) t(d)), k AS (SELECT range AS k FROM range(10))
+@query(f"""WITH {EV}, l AS (SELECT d AS lap, d * 86400.0 AS a, d * 86400.0 + (5 + d % 4) * 5000.0 AS b FROM days t(d)), k AS (SELECT range AS k FROM range(10))
 SELECT lap::INT AS lap, k::INT AS k, (a + k * 7200.0)::DOUBLE AS start, (a + (k + 1) * 7200.0)::DOUBLE AS "end" FROM l JOIN k ON k < floor((b - a) / 7200.0)""")
 def running_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    laps = spark.range(30).select(F.lit("s").alias("session"), F.col("id").cast("int").alias("lap"), (F.col("id") * 86400.0).alias("t_start"), (F.col("id") * 86400.0 + (5 + F.col("id") % 4) * 5000.0).alias("t_end"))
+    day = F.col("day")
+    laps = days(events(spark, sf_dir)).select(F.lit("s").alias("session"), day.alias("lap"), (day * 86400.0).alias("t_start"), (day * 86400.0 + (5 + day % 4) * 5000.0).alias("t_end"))
     return controls.running_windows(laps, 7200.0).drop("session")
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from ..operators import decode, envelopes, sequences, states
 from ..sources.tables import table
-from .registry import EV, events, query, r6
+from .registry import EV, days, events, hours, query, r6
 
 CELLS, DT = 12, 3600.0
 
 #: Twelve cells (users by remainder), hours of day as positions, days as laps; each day is decoded with the other days' rates.
 LOO = f"""{EV}, c AS (SELECT day, bin, user_id % {CELLS} AS cell, count(*) AS n FROM ev GROUP BY ALL),
-g AS (SELECT d.day, b.bin, k.cell, coalesce(n, 0) AS n FROM (SELECT range::INT AS day FROM range(30)) d CROSS JOIN (SELECT range::INT AS bin FROM range(24)) b CROSS JOIN (SELECT range AS cell FROM range({CELLS})) k LEFT JOIN c USING (day, bin, cell)),
-tune AS (SELECT day, bin, cell, greatest((sum(n) OVER (PARTITION BY bin, cell) - n) / (29 * {DT}), 1e-5) AS rate FROM g),
+g AS (SELECT d.day, b.bin, k.cell, coalesce(n, 0) AS n FROM days d CROSS JOIN (SELECT range::INT AS bin FROM range(24)) b CROSS JOIN (SELECT range AS cell FROM range({CELLS})) k LEFT JOIN c USING (day, bin, cell)),
+tune AS (SELECT day, bin, cell, greatest((sum(n) OVER (PARTITION BY bin, cell) - n) / nullif(((SELECT count(*) FROM days) - 1) * {DT}, 0), 1e-5) AS rate FROM g),
 raw AS (SELECT g.day, g.bin, t.bin AS pos, sum(g.n * ln(t.rate)) - {DT} * sum(t.rate) AS x FROM g JOIN tune t ON t.day = g.day AND t.cell = g.cell GROUP BY ALL HAVING sum(g.n) > 0),
 lp AS (SELECT *, x - max(x) OVER w - ln(sum(exp(x - mx)) OVER w) AS lp FROM (SELECT *, max(x) OVER (PARTITION BY day, bin) AS mx FROM raw) WINDOW w AS (PARTITION BY day, bin)),
 dec AS (SELECT day, bin, arg_max(pos, (round(lp, 7), -pos)) AS decoded FROM lp GROUP BY day, bin)"""
@@ -25,9 +25,9 @@ def left_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Counts (day, bin, cell, n) and each day's rates from all other days: total less own."""
     ev = events(spark, sf_dir)
     c = ev.groupBy("day", "bin", (F.col("user_id") % CELLS).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    spine = spark.range(30 * 24 * CELLS).select((F.col("id") / (24 * CELLS)).cast("int").alias("day"), F.pmod((F.col("id") / CELLS).cast("int"), F.lit(24)).alias("bin"), (F.col("id") % CELLS).alias("cell"))
-    full = spine.join(c, ["day", "bin", "cell"], "left").fillna(0, ["n"])
-    tuning = decode.leave_one_group_out(full, ["bin", "cell"], "day", ["n"]).withColumn("rate", F.col("n") / (29 * DT))
+    spine = hours(ev).select("day", "bin", "n_days", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long"))).alias("cell"))
+    full = spine.drop("n_days").join(c, ["day", "bin", "cell"], "left").fillna(0, ["n"])
+    tuning = decode.leave_one_group_out(full, ["bin", "cell"], "day", ["n"]).join(days(ev), "day").withColumn("rate", F.coalesce(F.try_divide("n", (F.col("n_days") - 1) * DT), F.lit(0.0)))
     return c, tuning.select("day", "bin", "cell", "rate")
 
 
@@ -57,11 +57,11 @@ def poisson_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(spark, sf_dir)[1].select("day", "bin", "decoded", ring_error().alias("error"))
 
 
-@query(f"""WITH {LOO}, e AS (SELECT {RING_ERROR} AS error FROM dec) SELECT 720 AS n, count(*) AS n_decodable, round(avg(error), 6) AS mean, round(quantile_cont(error, 0.1), 6) AS p10, round(quantile_cont(error, 0.25), 6) AS p25, round(quantile_cont(error, 0.5), 6) AS p50,
-round(quantile_cont(error, 0.75), 6) AS p75, round(quantile_cont(error, 0.9), 6) AS p90, round(1 - count(*) / 720.0, 6) AS undecodable FROM e""".replace("720 AS n", "720::BIGINT AS n"))
+@query(f"""WITH {LOO}, e AS (SELECT {RING_ERROR} AS error FROM dec) SELECT (SELECT 24 * count(*) FROM days) AS n, count(*) AS n_decodable, round(avg(error), 6) AS mean, round(quantile_cont(error, 0.1), 6) AS p10, round(quantile_cont(error, 0.25), 6) AS p25, round(quantile_cont(error, 0.5), 6) AS p50,
+round(quantile_cont(error, 0.75), 6) AS p75, round(quantile_cont(error, 0.9), 6) AS p90, round(1 - count(*) / (SELECT 24.0 * count(*) FROM days), 6) AS undecodable FROM e""")
 def decode_error_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = decoded(spark, sf_dir)[1].withColumn("error", ring_error())
-    every = spark.range(720).select((F.col("id") / 24).cast("int").alias("day"), F.pmod("id", F.lit(24)).cast("int").alias("bin")).join(errors, ["day", "bin"], "left")
+    every = hours(events(spark, sf_dir)).select("day", "bin").join(errors, ["day", "bin"], "left")
     out = decode.error_summary(every, [])
     return out.select("n", "n_decodable", *(r6(c, c) for c in out.columns[2:]))
 
@@ -159,7 +159,8 @@ def band_envelope_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     n = ev.groupBy(F.floor(F.col("us") / 600_000_000).alias("i"), (F.col("user_id") % 8).cast("int").alias("c")).agg(F.sum("value").cast("smallint").alias("v"))
     row = n.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"))
-    grid = spark.range(30 * 144).withColumnRenamed("id", "i").join(row, "i", "left")
+    tens = days(ev).select((F.col("day").cast("long") * 144 + F.explode(F.sequence(F.lit(0), F.lit(143)))).alias("i"))
+    grid = tens.join(row, "i", "left")
     frames = grid.select(F.lit("s").alias("session"), "i", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("smallint"))).alias("values"))
     bands = {"slow": (0.02, 0.08), "fast": (0.1, 0.3)}
     return envelopes.channel_profile(frames, list(range(8)), bands, rate_hz=1.0).select("channel", "band", *(F.round(c, 4).alias(c) for c in ("mean", "median", "p99", "sd")))

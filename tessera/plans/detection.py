@@ -7,24 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian_weights, smooth_trace
 from ..operators import asof, detect, intervals
-from .registry import EV, events, query, r6, values_sql
+from .registry import EV, days, events, query, r6, values_sql
 
 WEIGHTS = gaussian_weights(2.0)
 R = len(WEIGHTS) // 2
 KERNEL = values_sql([(k - R, w) for k, w in enumerate(WEIGHTS)], "kernel(k, w)")
-DAYS, HOURS = 30, 720
 
 
 def trace_sql(name: str, where: str = "TRUE") -> str:
     """A smoothed trace of events by hour, day by day: the end values of a day go on beyond it. Rounded, so that both engines meet thresholds alike."""
-    return f"""{name}_n AS (SELECT g.i, g.i // 24 AS day, coalesce(n, 0) AS n FROM (SELECT range AS i FROM range(720)) g LEFT JOIN (SELECT us // 3600000000 AS i, count(*) AS n FROM ev WHERE {where} GROUP BY 1) USING (i)),
+    return f"""{name}_n AS (SELECT g.i, g.i // 24 AS day, coalesce(n, 0) AS n FROM hours g LEFT JOIN (SELECT us // 3600000000 AS i, count(*) AS n FROM ev WHERE {where} GROUP BY 1) USING (i)),
 {name} AS (SELECT a.i, a.day, round(sum(w * b.n), 6) AS v FROM {name}_n a CROSS JOIN {KERNEL} JOIN {name}_n b ON b.i = least(greatest(a.i + k, a.day * 24), a.day * 24 + 23) GROUP BY a.i, a.day)"""
 
 
-def trace(ev: DataFrame) -> DataFrame:
-    """session, day, i, t, v. The grid is one interval a day."""
-    days = ev.sparkSession.range(DAYS).select(F.lit("s").alias("session"), F.col("id").alias("interval_id"), (F.col("id") * 86400.0).alias("start"), ((F.col("id") + 1) * 86400.0).alias("end"))
-    grid = detect.count_grid(ev.select(F.lit("s").alias("session"), "t"), days, ["session"], 3600.0)
+def trace(ev: DataFrame, only: str = "true") -> DataFrame:
+    """session, day, i, t, v of the events that ``only`` marks. The grid is one interval for each day of all events."""
+    grid = days(ev).select(F.lit("s").alias("session"), F.col("day").cast("long").alias("interval_id"), (F.col("day") * 86400.0).alias("start"), ((F.col("day") + 1) * 86400.0).alias("end"))
+    grid = detect.count_grid(ev.where(only).select(F.lit("s").alias("session"), "t"), grid, ["session"], 3600.0)
     out = smooth_trace(grid.withColumn("n", F.col("n").cast("double")), "n", ["session", "interval_id"], "i", 2.0, out="v")
     return out.select("session", F.col("interval_id").alias("day"), (F.col("interval_id") * 24 + F.col("i")).alias("i"), "t", r6("v", "v"))
 
@@ -88,7 +87,7 @@ pairs AS (SELECT a.peak AS pa, b.peak AS pb FROM a JOIN b ON (b.first < a.last +
 
 def two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ev = events(spark, sf_dir)
-    return detected(trace(ev)), detected(trace(ev.where("event_type = 'error'")))
+    return detected(trace(ev)), detected(trace(ev, "event_type = 'error'"))
 
 
 @query(f"""WITH {TWO} SELECT pa AS event_id, arg_min(pb, (abs(pb - pa), pb)) AS b_event_id, arg_min(pb - pa, (abs(pb - pa), pb)) * 3600.0::DOUBLE AS offset FROM pairs GROUP BY pa""".replace("AS offset", 'AS "offset"'))

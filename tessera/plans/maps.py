@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import gaussian_weights
 from ..functions import axis as ax
 from ..operators import fields, islands
-from .registry import EV, events, query, r6, values_sql
+from .registry import EV, events, hours, query, r6, values_sql
 
 N = 24
 WEIGHTS = gaussian_weights(1.0)
@@ -107,15 +107,14 @@ def circular_shift_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- runs, latches, trajectories ------------------------------------------------------------------
 
-HOURLY = """h AS (SELECT g.i, coalesce(n, 0) AS n, coalesce(n, 0) >= c.m AS busy FROM (SELECT range AS i FROM range(720)) g LEFT JOIN (SELECT us // 3600000000 AS i, count(*) AS n FROM ev GROUP BY 1) USING (i) CROSS JOIN (SELECT count(*) / 720.0 AS m FROM ev) c)"""
+HOURLY = """h AS (SELECT g.i, coalesce(n, 0) AS n, coalesce(n, 0) >= c.m AS busy FROM hours g LEFT JOIN (SELECT us // 3600000000 AS i, count(*) AS n FROM ev GROUP BY 1) USING (i) CROSS JOIN (SELECT count(*) / (SELECT 24.0 * count(*) FROM days) AS m FROM ev) c)"""
 
 
 def hourly(ev: DataFrame) -> DataFrame:
-    """i, n, busy: events by hour of the month with empty hours, and whether there are as many as on average."""
-    spark = ev.sparkSession
+    """i, n, busy: events by hour of all days with empty hours, and whether there are as many as on average."""
     n = ev.groupBy(F.floor(F.col("us") / 3_600_000_000).alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    mean = ev.agg((F.count(F.lit(1)) / 720.0).alias("m"))
-    return spark.range(720).withColumnRenamed("id", "i").join(n, "i", "left").crossJoin(F.broadcast(mean)).select(F.lit("s").alias("session"), "i", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= F.col("m")).alias("busy"))
+    mean = ev.agg((F.count(F.lit(1)) / (24.0 * (F.max("day") - F.min("day") + 1))).alias("m"))
+    return hours(ev).select("i").join(n, "i", "left").crossJoin(F.broadcast(mean)).select(F.lit("s").alias("session"), "i", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= F.col("m")).alias("busy"))
 
 
 @query(f"""WITH {EV}, {HOURLY}, g AS (SELECT i, i - row_number() OVER (ORDER BY i) AS island FROM h WHERE busy) SELECT min(i) * 3600.0::DOUBLE AS start, (max(i) + 1) * 3600.0::DOUBLE AS "end", count(*) AS n FROM g GROUP BY island""")

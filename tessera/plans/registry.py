@@ -35,9 +35,22 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "user_id", "event_type", "value", "us", (F.col("us") / 1e6).alias("t"), day.alias("day"), F.floor((F.col("us") - day.cast("long") * DAY_US) / HOUR_US).cast("int").alias("bin"))
 
 
+def days(ev: DataFrame) -> DataFrame:
+    """day, n_days: every day from the first to the last one that has an event, with or without events of its own."""
+    ends = ev.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo is not null")
+    return ends.select(F.explode(F.sequence("lo", "hi")).alias("day"), (F.col("hi") - F.col("lo") + 1).cast("long").alias("n_days"))
+
+
+def hours(ev: DataFrame) -> DataFrame:
+    """day, bin, i (hours since 2024-01-01), n_days."""
+    each = days(ev).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    return each.withColumn("i", F.col("day").cast("long") * 24 + F.col("bin"))
+
+
 #: The same for the oracle.
 EV = """ev AS (SELECT event_id, user_id, event_type, value, us, us / 1e6 AS t, (us // 86400000000)::INT AS day, ((us % 86400000000) // 3600000000)::INT AS bin
-FROM (SELECT *, epoch_us(ts) - 1704067200000000 AS us FROM events))"""
+FROM (SELECT *, epoch_us(ts) - 1704067200000000 AS us FROM events)),
+days AS (SELECT unnest(generate_series(lo, hi))::INT AS day FROM (SELECT min(day) AS lo, max(day) AS hi FROM ev)), hours AS (SELECT day, range::INT AS bin, day::BIGINT * 24 + range AS i FROM days CROSS JOIN range(24))"""
 
 
 def epoch_of(day: str = "day"):

@@ -9,7 +9,7 @@ from ..operators import detect, intervals, islands, movement
 from ..operators.envelopes import select_per_group
 from ..schema import shank_of
 from ..sources.tables import rounded, significant, table, union_widened, upserted
-from .registry import DAY_US, EPOCH, EV, epoch_of, events, query, r6
+from .registry import DAY_US, EPOCH, EV, days, epoch_of, events, query, r6
 
 
 @query(f"""WITH {EV} SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS n_types FROM ev
@@ -97,8 +97,8 @@ GROUP BY GROUPING SETS (({EPOCH}, event_type), (event_type), ())""")
 def pooled_and_group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians can't be pooled from medians: each grouping set goes over the rows."""
     ev = events(spark, sf_dir).withColumn("epoch", epoch_of())
-    ev.createOrReplaceTempView("_pooled")
-    return spark.sql("SELECT epoch, event_type, count(*) AS n, round(percentile(value, 0.5), 6) AS median, round(percentile(value, 0.9), 6) AS p90 FROM _pooled GROUP BY GROUPING SETS ((epoch, event_type), (event_type), ())")
+    sets = ev.groupingSets([["epoch", "event_type"], ["event_type"], []], "epoch", "event_type")
+    return sets.agg(F.count(F.lit(1)).alias("n"), r6(F.percentile("value", 0.5), "median"), r6(F.percentile("value", 0.9), "p90")).select("epoch", "event_type", "n", "median", "p90")
 
 
 @query(f"""WITH {EV}, p AS (SELECT user_id // 10 AS shank, user_id, round(avg(value), 6) AS mean FROM ev GROUP BY user_id),
@@ -110,14 +110,14 @@ def best_channel_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_per_group(profile, channels, [], "mean").withColumn("margin", r6("margin"))
 
 
-@query("""WITH iv AS (SELECT d AS day, d * 86400.0 AS s, d * 86400.0 + (1 + d % 5) * 3600.0 AS e FROM range(30) t(d)),
+@query(f"""WITH {EV}, iv AS (SELECT d AS day, d * 86400.0 AS s, d * 86400.0 + (1 + d % 5) * 3600.0 AS e FROM days t(d)),
 r AS (SELECT *, e - s - 5400 AS room FROM iv WHERE e - s - 5400 >= 0), c AS (SELECT *, sum(room) OVER (ORDER BY s) AS upto, sum(room) OVER () AS total FROM r),
 k AS (SELECT k::INT AS k, (k + 0.5) / 40 AS share FROM range(40) t(k))
 SELECT k, round(s + share * total - (upto - room), 6)::DOUBLE AS start, round(s + share * total - (upto - room) + 5400, 6)::DOUBLE AS "end" FROM c, k WHERE share * total >= upto - room AND share * total < upto""")
 def sample_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 windows of 90 minutes over the nights of 30 days."""
-    d = F.col("id").cast("double")
-    nights = spark.range(30).select(F.lit("s").alias("session"), (d * 86400.0).alias("start"), (d * 86400.0 + (1 + F.col("id") % 5) * 3600.0).alias("end"))
+    """40 windows of 90 minutes over the nights of all days."""
+    d = F.col("day").cast("double")
+    nights = days(events(spark, sf_dir)).select(F.lit("s").alias("session"), (d * 86400.0).alias("start"), (d * 86400.0 + (1 + F.col("day") % 5) * 3600.0).alias("end"))
     return detect.sample_windows(nights, ["session"], 5400.0, 40).select("k", r6("start", "start"), r6("end", "end"))
 
 
@@ -136,11 +136,11 @@ def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", r6("slope", "slope"), r6("intercept", "intercept"), F.round("max_residual", 5).alias("max_residual"))
 
 
-@query(f"""WITH {EV}, iv AS (SELECT d, d * 86400000000 AS s, d * 86400000000 + 6 * 3600000000 AS e FROM range(30) t(d)), n AS (SELECT user_id, count(*) AS n FROM ev JOIN iv ON us BETWEEN s AND e GROUP BY user_id)
-SELECT user_id, coalesce(n, 0) AS n, round(coalesce(n, 0) / (30 * 21600.0), 9) AS rate FROM (SELECT DISTINCT user_id FROM ev) LEFT JOIN n USING (user_id)""")
+@query(f"""WITH {EV}, iv AS (SELECT d, d::BIGINT * 86400000000 AS s, d::BIGINT * 86400000000 + 6 * 3600000000 AS e FROM days t(d)), n AS (SELECT user_id, count(*) AS n FROM ev JOIN iv ON us BETWEEN s AND e GROUP BY user_id)
+SELECT user_id, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) * 21600.0 FROM days), 9) AS rate FROM (SELECT DISTINCT user_id FROM ev) LEFT JOIN n USING (user_id)""")
 def rate_in_closed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir).select(F.lit("s").alias("session"), "user_id", "t")
-    nights = spark.range(30).select(F.lit("s").alias("session"), (F.col("id") * 86400.0).alias("start"), (F.col("id") * 86400.0 + 21600.0).alias("end"))
+    nights = days(events(spark, sf_dir)).select(F.lit("s").alias("session"), (F.col("day") * 86400.0).alias("start"), (F.col("day") * 86400.0 + 21600.0).alias("end"))
     return intervals.rate_in_intervals(ev, nights, ["session"], ["user_id"], width=21600.0).select("user_id", "n", F.round("rate", 9).alias("rate"))
 
 
