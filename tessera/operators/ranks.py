@@ -99,6 +99,13 @@ def ks_p(d: float, n1: int, n2: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)))) if x > 0 else 1.0
 
 
+def ks_tail(x: Column, terms: int = 100) -> Column:
+    """The same p for a column of scaled distances, as a sum inside the row."""
+    k = F.sequence(F.lit(1), F.lit(terms))
+    total = F.aggregate(k, F.lit(0.0), lambda acc, j: acc + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * x * x))
+    return F.when(x > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))).otherwise(F.lit(1.0))
+
+
 def equal_halves(df: DataFrame, keys: list[str], value: str, id: str) -> DataFrame:
     """``df`` with half low or high by (value, id); of an odd number the middle one is left out."""
     w = Window.partitionBy(*keys)

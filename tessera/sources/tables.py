@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,21 +29,74 @@ def upserted(old: DataFrame | None, new: DataFrame, keys: list[str], cleared: Da
     return old.join(gone.distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a table, in order: a version counts once Spark has marked it as written."""
+    store, at = _store(spark, path)
+    if not store.exists(at):
+        return []
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = (x.getPath() for x in store.listStatus(at) if x.isDirectory() and x.getPath().getName().startswith("version-"))
+    return sorted(int(v.getName().removeprefix("version-")) for v in found if store.exists(new(v, "_SUCCESS")))
+
+
+def read_versioned(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version of a table; None if there is none."""
+    known = versions(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/version-{known[-1]:08d}") if known else None
+
+
 def write_upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], cleared: DataFrame | None = None, sort: list[str] | None = None) -> DataFrame:
-    """Upsert into a Parquet table. The new version is whole before the old one goes, so a failure loses nothing."""
-    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(hadoop)
-    old = spark.read.parquet(path) if fs.exists(at) else None
-    made = upserted(old, new, keys, cleared)
+    """Upsert into a versioned Parquet table (one writer at a time).
+
+    The next version is a folder beside the others and counts once it is marked as whole, so a crash at any
+    moment leaves the newest whole one to readers, and nothing is renamed. The version before stays for those
+    who read it just now; older ones and what crashes left go.
+    """
+    made = upserted(read_versioned(spark, path), new, keys, cleared)
     if sort:
         made = made.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    name = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    made.write.parquet(name)
-    fs.delete(at, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(name), at):
-        raise OSError(f"{name} could not become {path}")
-    return spark.read.parquet(path)
+    known = versions(spark, path)
+    number = known[-1] + 1 if known else 0
+    made.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version-{number:08d}")
+    store, at = _store(spark, path)
+    for x in store.listStatus(at):
+        if x.isDirectory() and x.getPath().getName().startswith("version-") and int(x.getPath().getName().removeprefix("version-")) < number - 1:
+            store.delete(x.getPath(), True)
+    return read_versioned(spark, path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one for a local master that names none."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        there = tempfile.mkdtemp(prefix="tessera-tables-")
+        atexit.register(shutil.rmtree, there, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", there)
+    return f"{there.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def write_csv(df: DataFrame, path: str, sort: list[str]) -> None:
+    """Result table as CSV with a header, in order over all its files; NULL is an empty field, an empty text is quoted."""
+    df.repartitionByRange(*sort).sortWithinPartitions(*sort).write.option("header", True).option("emptyValue", '""').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Result table with exactly these columns in this order; a field of another type, or too many or too few, fails the read."""
+    return spark.read.schema(schema).options(header=True, enforceSchema=False, mode="FAILFAST", emptyValue="").csv(path)
+
+
+def list_recordings(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """session, path, bytes, modified of all files of a pattern at any depth; a session is the file's name up to the first dot. No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.regexp_replace(name, r"\..*$", "").alias("session"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def write_by_key(df: DataFrame, path: str, key: str) -> None:

@@ -26,25 +26,46 @@ def bursts(stream: DataFrame, gap: str, keys: list[str], *, ts: str = "ts", late
 def latched(stream: DataFrame, value: str, threshold: float, key: str, *, ts: str = "ts") -> DataFrame:
     """key, ts, value, latch: the hysteresis latch with one number of state for each key.
 
-    Rows of a key are taken in time order inside a micro-batch; batches follow each other as they come.
+    Rows of a key are taken in time order inside a micro-batch; batches follow each other as they come. A row
+    that is older than the last one of an earlier batch can't be put back in its place: it takes and gives no
+    latch, but passes with the flag ``late``.
     """
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, ts, value)}
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        at = state.get[0] if state.exists else 0
-        out = []
-        for v in rows[value]:
-            at = 1 if v > threshold else -1 if v < -threshold else at
-            out.append(at)
-        state.update((at,))
-        yield pd.DataFrame({key: k[0], ts: rows[ts], value: rows[value], "latch": out})
+        at, last = state.get if state.exists else (0, None)
+        out, late = [], []
+        for when, v in zip(rows[ts], rows[value], strict=True):
+            late.append(last is not None and when < last)
+            if not late[-1]:
+                at, last = 1 if v > threshold else -1 if v < -threshold else at, when
+            out.append(None if late[-1] else at)
+        state.update((at, last))
+        yield pd.DataFrame({key: k[0], ts: rows[ts], value: rows[value], "latch": pd.array(out, dtype="Int32"), "late": late})
 
-    return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {value} {kinds[value]}, latch int", "at int", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {value} {kinds[value]}, latch int, late boolean", f"at int, last {kinds[ts]}", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> DataFrame:
+    """Run a stream over all input there is now and return its result as a table at ``path``.
+
+    append: rows that are final; complete: all rows as of the last micro-batch, each of which writes them anew.
+    """
+    spark = stream.sparkSession
+    if mode == "append":
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    else:
+        q = stream.writeStream.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(path)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def live_upsert(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Write each micro-batch into a keyed table: the batch's last row of a key replaces the key's rows."""
+    """Write each micro-batch into a versioned keyed table: all rows of the batch for a key replace the key's rows.
+
+    Every batch writes the whole table anew, so batches should be few and large.
+    """
     from ..sources.tables import write_upsert
 
     def write(batch: DataFrame, number: int) -> None:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from tessera.sources import tables
 from tessera.streaming import live
 
 
@@ -43,4 +44,10 @@ def test_latch_keeps_its_state_over_batches(spark, tmp_path):
 def test_upsert_by_micro_batch(spark, tmp_path):
     stream = source(spark, tmp_path, [[(1, 0, 1.0), (2, 0, 2.0)], [(2, 9, 5.0)]])
     live.live_upsert(stream, f"{tmp_path}/out", ["k"], f"{tmp_path}/ck").awaitTermination()
-    assert {(r["k"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(1, 1.0), (2, 5.0)}
+    assert {(r["k"], r["v"]) for r in tables.read_versioned(spark, f"{tmp_path}/out").collect()} == {(1, 1.0), (2, 5.0)}
+
+
+def test_late_rows_of_the_latch_are_flagged(spark, tmp_path):
+    stream = source(spark, tmp_path, [[(1, 100, 30.0)], [(1, 50, -40.0), (1, 110, 1.0)]])
+    got = {int(r["ts"].timestamp()): (r["latch"], r["late"]) for r in drained(live.latched(stream, "v", 25.0, "k"), "late_latch")}
+    assert got == {100: (1, False), 50: (None, True), 110: (1, False)}
