@@ -34,7 +34,7 @@ def log_posterior(counts: DataFrame, tuning: DataFrame, keys: list[str], templat
     gained = counts.where("n > 0").join(logs, [*template, cell]).groupBy(*keys, *template, bin).agg(F.sum(F.col("n") * F.col("_l")).alias("_g"))
     raw = gained.join(penalty, [*template, bin]).withColumn("_x", F.col("_g") - F.col("_p"))
     if prior is not None:
-        raw = raw.join(F.broadcast(prior), bin).withColumn("_x", F.col("_x") + F.col("log_prior"))  # as many rows as bins
+        raw = raw.join(prior, bin).withColumn("_x", F.col("_x") + F.col("log_prior"))  # as many rows as bins
     w = Window.partitionBy(*keys, *template)
     top = raw.withColumn("_m", F.max("_x").over(w))
     return top.withColumn("_s", F.sum(F.exp(F.col("_x") - F.col("_m"))).over(w)).select(*keys, *template, bin, (F.col("_x") - F.col("_m") - F.log("_s")).alias("lp"))

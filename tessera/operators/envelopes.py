@@ -44,21 +44,22 @@ def channel_envelope(frames: DataFrame, channels: list[int], *, rate_hz: float,
     return cut.groupBy(*keys, "channel", "_chunk").applyInPandas(run, f"{kinds}, channel int, i long, v float")
 
 
-def channel_profile(frames: DataFrame, channels: list[int], bands: dict[str, tuple[float, float]], *, rate_hz: float, keys: list[str] | None = None, order: int = 3) -> DataFrame:
-    """keys, channel, band, mean, median, p99 of the envelope, and the raw standard deviation, of the given frames."""
-    keys = keys or ["session"]
-    long = frames.select(*keys, "i", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.element_at("values", c + 1).cast("double").alias("x")) for c in channels))).alias("_c")).select(*keys, "i", "_c.*")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("i")["x"].to_numpy()
-        rows = []
-        for name, band in bands.items():
-            e = band_envelope(x, rate_hz, band, order)
-            rows.append([*pdf[keys].iloc[0], int(pdf["channel"].iloc[0]), name, float(e.mean()), float(np.median(e)), float(np.percentile(e, 99)), float(x.std())])
-        return pd.DataFrame(rows, columns=[*keys, "channel", "band", "mean", "median", "p99", "sd"])
+def channel_profile(frames: DataFrame, channels: list[int], bands: dict[str, tuple[float, float]], *, rate_hz: float, keys: list[str] | None = None, order: int = 3, **pieces) -> DataFrame:
+    """keys, channel, band, mean, median, p99 of the envelope, and the raw standard deviation, of the given frames.
 
-    kinds = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
-    return long.groupBy(*keys, "channel").applyInPandas(run, f"{kinds}, channel int, band string, mean double, median double, p99 double, sd double")
+    Envelopes are made in pieces (``chunk`` and ``halo`` of channel_envelope), so no task holds a channel;
+    their percentiles are approximate, by a hundred-thousandth of the ranks.
+    """
+    keys = keys or ["session"]
+    value = F.element_at("values", F.col("channel") + 1).cast("double")
+    raw = frames.select(*keys, "values", F.explode(F.array(*map(F.lit, channels))).alias("channel")).groupBy(*keys, "channel").agg(F.stddev_pop(value).alias("sd"))
+    out = None
+    for name, band in bands.items():
+        envelope = channel_envelope(frames, channels, rate_hz=rate_hz, band=band, keys=keys, order=order, **pieces)
+        at = F.percentile_approx(F.col("v").cast("double"), [0.5, 0.99], 100_000)
+        part = envelope.groupBy(*keys, "channel").agg(F.avg("v").alias("mean"), at.alias("_at")).select(*keys, "channel", F.lit(name).alias("band"), "mean", F.col("_at")[0].alias("median"), F.col("_at")[1].alias("p99"))
+        out = part if out is None else out.unionByName(part)
+    return out.join(raw, [*keys, "channel"])
 
 
 def select_per_group(profile: DataFrame, channels: DataFrame, keys: list[str], value: str, group: str = "shank") -> DataFrame:
@@ -117,7 +118,7 @@ def windowed_peak_z(frames: DataFrame, events: DataFrame, baselines: DataFrame,
             rows.append((pdf["session"].iloc[0], pdf["event_id"].iloc[0], int(c), float((top[k] - m) / s) if s and s > 0 and np.isfinite(top[k]) else None))
         return pd.DataFrame(rows, columns=["session", "event_id", "channel", "z"])
 
-    joined = rows.join(F.broadcast(packed), "session")  # a row for each recording, of as many entries as it has channels
+    joined = rows.join(packed, "session")  # a row for each recording, of as many entries as it has channels
     return joined.groupBy("session", "event_id").applyInPandas(run, f"session string, event_id {events.schema['event_id'].dataType.simpleString()}, channel int, z double")
 
 

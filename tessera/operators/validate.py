@@ -22,7 +22,7 @@ def _issues(df: DataFrame, findings: list[tuple[str, str, Column, Column]]) -> D
 def check_spikes(spikes: DataFrame, sessions: DataFrame) -> DataFrame:
     """spikes: session, seq (stored order), cluster_id, t."""
     w = Window.partitionBy("session").orderBy("seq")
-    rows = spikes.join(F.broadcast(sessions.select("session", "sess_duration")), "session").withColumn("_step", F.col("t") - F.lag("t").over(w))
+    rows = spikes.join(sessions.select("session", "sess_duration"), "session").withColumn("_step", F.col("t") - F.lag("t").over(w))
     bad = F.col("t").isNull() | F.isnan("t") | (F.abs("t") == float("inf"))
     late = F.col("t") > F.col("sess_duration") + SLACK_S
     agg = rows.groupBy("session").agg(
@@ -63,7 +63,7 @@ def check_units(units: DataFrame, spikes: DataFrame) -> DataFrame:
 def check_epochs(epochs: DataFrame, sessions: DataFrame) -> DataFrame:
     rank = F.when(F.col("epoch") == "PRE", 0).when(F.col("epoch") == "MAZE", 1).otherwise(2)
     w = Window.partitionBy("session").orderBy("_rank")
-    rows = epochs.withColumn("_rank", rank).withColumn("_next", F.lead("start").over(w)).join(F.broadcast(sessions.select("session", "sess_duration")), "session")
+    rows = epochs.withColumn("_rank", rank).withColumn("_next", F.lead("start").over(w)).join(sessions.select("session", "sess_duration"), "session")
     named = [
         ("error", "epoch_nonpositive", F.col("end") <= F.col("start"), F.concat("epoch", F.lit(" has no length"))),
         ("error", "epoch_outside_session", (F.col("start") < -SLACK_S) | (F.col("end") > F.col("sess_duration") + SLACK_S), F.concat("epoch", F.lit(" leaves the session"))),
@@ -78,13 +78,13 @@ def check_position(position: DataFrame, epochs: DataFrame, sessions: DataFrame)
     """Too few samples or an undefined 1-D position end a recording's checks there."""
     w = Window.partitionBy("session").orderBy("sample")
     maze = epochs.where("epoch = 'MAZE'").select("session", F.col("start").alias("_lo"), F.col("end").alias("_hi"))
-    rows = position.withColumn("_dt", F.col("t") - F.lag("t").over(w)).join(F.broadcast(maze), "session", "left")
+    rows = position.withColumn("_dt", F.col("t") - F.lag("t").over(w)).join(maze, "session", "left")
     one, xy = F.col("x1d").isNotNull(), F.col("x").isNotNull() & F.col("y").isNotNull()
     agg = rows.groupBy("session").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_dt") <= 0).alias("back"), F.count_if((F.col("t") < F.col("_lo") - SLACK_S) | (F.col("t") > F.col("_hi") + SLACK_S)).alias("outside"),
         F.percentile("_dt", 0.5).alias("dt"), F.max("_dt").alias("gap"), F.count_if(F.col("x").isNull() != F.col("y").isNull()).alias("partial"), F.count_if(~one).alias("nan"),
         F.count_if(one & ~xy).alias("odd"), F.count_if(one).alias("defined"), F.min("x1d").alias("lo"), F.max("x1d").alias("hi"),
-    ).join(F.broadcast(sessions.select("session", "track_length_m")), "session", "left")
+    ).join(sessions.select("session", "track_length_m"), "session", "left")
     long, some = F.col("n") >= 2, (F.col("n") >= 2) & (F.col("defined") > 0)
     off = F.abs(F.col("dt") - DT_S) > DT_SHARE * DT_S
     return _issues(agg, [
@@ -107,7 +107,7 @@ def check_position(position: DataFrame, epochs: DataFrame, sessions: DataFrame)
 def check_states(states: DataFrame, sessions: DataFrame, known: list[str]) -> DataFrame:
     """states: session, state, seq (stored order), start, end. known: the state names every recording should have."""
     w = Window.partitionBy("session", "state").orderBy("seq")
-    rows = states.withColumn("_prev", F.lag("start").over(w)).join(F.broadcast(sessions.select("session", "sess_duration")), "session")
+    rows = states.withColumn("_prev", F.lag("start").over(w)).join(sessions.select("session", "sess_duration"), "session")
     upto = F.max("end").over(Window.partitionBy("session", "state").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_upto", upto)
     agg = rows.groupBy("session", "state").agg(
@@ -138,7 +138,7 @@ def validate(sessions: DataFrame, spikes: DataFrame, units: DataFrame, epochs: D
 
 def truncate(spikes: DataFrame, states: DataFrame, epochs: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """spikes with t <= end, states and epochs cut to the session, and a report: n_total, n_dropped, n_clusters, seconds_beyond, fraction_dropped."""
-    end = F.broadcast(sessions.select("session", F.col("sess_duration").alias("_end")))
+    end = sessions.select("session", F.col("sess_duration").alias("_end"))
     s = spikes.join(end, "session")
     over = F.col("t") > F.col("_end")
     report = s.groupBy("session", "_end").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(over).alias("n_dropped"), F.countDistinct(F.when(over, F.col("cluster_id"))).alias("n_clusters"), F.greatest(F.max("t") - F.col("_end"), F.lit(0.0)).alias("seconds_beyond"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,29 @@ def quantile_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("i % 3 = 0").join(mapped, "level").groupBy("level").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs(F.col("x") - F.col("mapped"))), "error"))
 
 
+def nearest_vectors(test: DataFrame, train: DataFrame, block: int = 2048) -> DataFrame:
+    """i, j, d: for each whole-number vector v of ``test`` (i, v) the nearest w of ``train`` (j, w) by squared distance, the smallest j of ties.
+
+    Both sides are dealt into blocks; a task has one of each, and a row for each of its test vectors leaves it.
+    """
+    parts = lambda df: max(1, -(-df.count() // block))
+    n, m = parts(test), parts(train)
+    left = test.select("i", "v", F.pmod(F.xxhash64("i"), F.lit(n)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("b"))
+    right = train.select("j", "w", F.pmod(F.xxhash64("j"), F.lit(m)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("a"))
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"i": [], "j": [], "d": []}).astype("int64")
+        y = y.sort_values("j")
+        v, w = np.stack(x["v"]).astype(np.int64), np.stack(y["w"]).astype(np.int64)
+        d = (v**2).sum(axis=1)[:, None] + (w**2).sum(axis=1) - 2 * (v @ w.T)
+        at = d.argmin(axis=1)
+        return pd.DataFrame({"i": x["i"].to_numpy(), "j": y["j"].to_numpy()[at], "d": d[np.arange(len(v)), at]})
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(near, "i long, j long, d long")
+    return found.groupBy("i").agg(F.min(F.struct("d", "j")).alias("x")).select("i", "x.j", "x.d")
+
+
 @query(f"""WITH {EV}, c AS (SELECT us // 10800000000 AS i, user_id % 12 AS cell, count(*) AS n FROM ev GROUP BY ALL), g AS (SELECT DISTINCT i FROM c), v AS (SELECT g.i, list_sort(list(coalesce(n, 0))) AS v FROM g CROSS JOIN (SELECT range AS cell FROM range(12)) k LEFT JOIN c USING (i, cell) GROUP BY g.i),
 p AS (SELECT a.i AS i, b.i AS j, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v a CROSS JOIN v b WHERE a.i % 3 = 0 AND b.i % 3 <> 0) SELECT i, arg_min(j, (d, j)) AS nearest, min(d) AS distance FROM p GROUP BY i""")
 def sorted_count_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +140,4 @@ def sorted_count_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = c.groupBy("i").agg(F.collect_list("n").alias("_n")).select("i", F.array_sort(F.concat("_n", F.array_repeat(F.lit(0).cast("long"), F.lit(12) - F.size("_n")))).alias("v"))
     train = v.where("i % 3 <> 0").groupBy("v").agg(F.min("i").alias("j")).withColumnRenamed("v", "w")
     test = v.where("i % 3 = 0")
-    d = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda a, x: a + x)
-    pairs = test.crossJoin(train).withColumn("d", d)  # time bins of a recording on both sides
-    best = F.min_by(F.struct("d", "j"), F.struct("d", "j"))
-    return pairs.groupBy("i").agg(best.alias("x")).select("i", F.col("x.j").alias("nearest"), F.col("x.d").alias("distance"))
+    return nearest_vectors(test, train).select("i", F.col("j").alias("nearest"), F.col("d").alias("distance"))

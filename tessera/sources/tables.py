@@ -84,12 +84,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def write_csv(df: DataFrame, path: str, sort: list[str]) -> None:
     """Result table as CSV with a header, in order over all its files; NULL is an empty field, an empty text is quoted."""
-    df.repartitionByRange(*sort).sortWithinPartitions(*sort).write.option("header", True).option("emptyValue", '""').csv(path)
+    df.repartitionByRange(*sort).sortWithinPartitions(*sort).write.option("header", True).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Result table with exactly these columns in this order; a field of another type, or too many or too few, fails the read."""
-    return spark.read.schema(schema).options(header=True, enforceSchema=False, mode="FAILFAST", emptyValue="").csv(path)
+    quoted = "\x01"  # what stands for a quoted empty text while it is read, as Spark takes any empty text as NULL
+    rows = spark.read.schema(schema).options(header=True, enforceSchema=False, mode="FAILFAST", emptyValue=quoted).csv(path)
+    return rows.withColumns({c: F.when(F.col(c) == quoted, "").otherwise(F.col(c)) for c, kind in rows.dtypes if kind == "string"})
 
 
 def list_recordings(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -403,3 +403,13 @@ def test_parameters(tmp_path):
     assert parameters.git_commit(tmp_path) == "unknown"
     with pytest.raises(FileNotFoundError):
         parameters.data_dir([tmp_path], "*.none")
+
+
+def test_sidecars_merge(tmp_path):
+    import json
+
+    at = tmp_path / "fit.json"
+    parameters.merged_sidecar(at, {"fit": {"a": 1, "b": [1]}, "n": 3}, "c1")
+    parameters.merged_sidecar(at, {"fit": {"b": [2]}, "more": None}, "c2")
+    said = json.loads(at.read_text())
+    assert said.pop("written_at").startswith("20") and said == {"fit": {"a": 1, "b": [2]}, "n": 3, "more": None, "commit": "c2"} and not list(tmp_path.glob("*.new"))

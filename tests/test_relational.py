@@ -151,16 +151,65 @@ def test_upsert_rules(spark, tmp_path):
     make = lambda rows, cols="session string, v int": spark.createDataFrame(rows, cols)
     tables.write_upsert(spark, path, make([("a", 1), ("b", 2)]), ["session"])
     tables.write_upsert(spark, path, make([("b", 3), ("c", 4)]), ["session"])
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 3), ("c", 4)}
+    assert {tuple(r) for r in tables.read_versioned(spark, path).collect()} == {("a", 1), ("b", 3), ("c", 4)}
     tables.write_upsert(spark, path, make([]), ["session"])
-    assert spark.read.parquet(path).count() == 3  # an empty run never empties the table
+    assert tables.read_versioned(spark, path).count() == 3  # an empty run never empties the table
     tables.write_upsert(spark, path, make([]), ["session"], cleared=make([("a", 0)]))
-    assert {r["session"] for r in spark.read.parquet(path).collect()} == {"b", "c"}
+    assert {r["session"] for r in tables.read_versioned(spark, path).collect()} == {"b", "c"}
     wide = tables.write_upsert(spark, path, make([("d", 1, 2.5)], "session string, v int, w double"), ["session"])
     assert {tuple(r) for r in wide.collect()} == {("b", 3, None), ("c", 4, None), ("d", 1, 2.5)}
     assert tables.upserted(make([(1,)], "x int"), make([("z", 9)]), ["session"]).count() == 1  # replaced as a whole
 
 
+def test_a_crash_leaves_the_newest_whole_version(spark, tmp_path):
+    path, make = f"{tmp_path}/t", lambda rows: spark.createDataFrame(rows, "k string, v int")
+    assert tables.read_versioned(spark, path) is None
+    first = tables.write_upsert(spark, path, make([("a", 1)]), ["k"])
+    half = tmp_path / "t" / "version-00000001"  # a writer that died: files, but no mark
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"cut off")
+    assert tables.versions(spark, path) == [0] and tables.read_versioned(spark, path).collect() == [("a", 1)]
+    second = tables.write_upsert(spark, path, make([("b", 2)]), ["k"])
+    assert tables.versions(spark, path) == [0, 1] and {tuple(r) for r in second.collect()} == {("a", 1), ("b", 2)}
+    assert first.collect() == [("a", 1)]  # who reads the version before still can
+    tables.write_upsert(spark, path, make([("a", 3)]), ["k"])
+    assert tables.versions(spark, path) == [1, 2]
+
+    failing = make([("z", 1)]).withColumn("v", F.raise_error(F.lit("boom")).cast("int"))
+    with pytest.raises(Exception, match="boom"):
+        tables.write_upsert(spark, path, failing, ["k"])
+    assert {tuple(r) for r in tables.read_versioned(spark, path).collect()} == {("a", 3), ("b", 2)}
+
+
+def test_csv_tables(spark, tmp_path):
+    rows = [("b", 1, 0.5, 'say "x", y'), ("a", None, None, ""), ("a", 2, float("nan"), None), ("c", 3, 1e-300, "zwei\tWörter")]
+    schema = "s string, n long, x double, note string"
+    tables.write_csv(spark.createDataFrame(rows, schema), f"{tmp_path}/c", ["s", "n"])
+    back = tables.read_csv(spark, f"{tmp_path}/c", schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, spark.createDataFrame(rows, schema).collect()))
+    for wrong in ("s string, n long, x double", "s string, n double, x long, note string", "s string, m long, x double, note string"):
+        with pytest.raises(Exception):  # noqa: B017
+            tables.read_csv(spark, f"{tmp_path}/c", wrong).collect()
+
+
+def test_listing_of_recordings(spark, tmp_path):
+    for name in ("a.x.mat", "deep/er/b.mat", "deep/c.txt"):
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_bytes(b"12345")
+    assert {(r["session"], r["bytes"]) for r in tables.list_recordings(spark, f"{tmp_path}/r", "*.mat").collect()} == {("a", 5), ("b", 5)}
+
+
+def test_nearest_vectors_in_blocks(spark):
+    from tessera.plans.statistics import nearest_vectors
+
+    rng = random.Random(9)
+    rows = lambda n: [(i, [rng.randrange(6) for _ in range(4)]) for i in range(n)]
+    test, train = rows(60), rows(90)
+    got = {(r["i"], r["j"], r["d"]) for r in nearest_vectors(spark.createDataFrame(test, "i long, v array<long>"), spark.createDataFrame(train, "j long, w array<long>"), block=25).collect()}
+    far = lambda v, w: sum((a - b) ** 2 for a, b in zip(v, w, strict=True))
+    assert got == {(i, *min((far(v, w), j) for j, w in train)[::-1]) for i, v in test}
+
+
 def test_small_p_values_never_read_zero(spark):
     row = tables.rounded(spark.createDataFrame([(1.23456789e-7, 2.000005)], "p double, x double"), significant_columns=("p",)).first()
     assert row["p"] == 1.23e-7 and row["x"] == pytest.approx(2.00000, abs=1e-5)
