@@ -159,7 +159,7 @@ def band_envelope_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     n = ev.groupBy(F.floor(F.col("us") / 600_000_000).alias("i"), (F.col("user_id") % 8).cast("int").alias("c")).agg(F.sum("value").cast("smallint").alias("v"))
     row = n.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"))
-    tens = days(ev).select((F.col("day").cast("long") * 144 + F.explode(F.sequence(F.lit(0), F.lit(143)))).alias("i"))
+    tens = days(ev).select("day", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("k")).select((F.col("day").cast("long") * 144 + F.col("k")).alias("i"))
     grid = tens.join(row, "i", "left")
     frames = grid.select(F.lit("s").alias("session"), "i", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("smallint"))).alias("values"))
     bands = {"slow": (0.02, 0.08), "fast": (0.1, 0.3)}
