@@ -14,17 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import smooth_numpy
 from ..functions.signal import band_envelope, bandpass, top_peaks
+from .chunks import with_halo
 
 CHUNK, HALO = 1 << 21, 1 << 11
 
 
-def with_halo(trace: DataFrame, i: str, chunk: int, halo: int) -> DataFrame:
-    """Every sample in its own chunk (core) and in those whose halo it lies in."""
-    at, own = F.col(i), F.floor(F.col(i) / chunk).cast("long")
-    near = F.sequence(F.floor((at - halo) / chunk).cast("long"), F.floor((at + halo) / chunk).cast("long"))
-    return trace.withColumn("_own", own).withColumn("_chunk", F.explode(near)).where("_chunk >= 0").withColumn("_core", F.col("_own") == F.col("_chunk")).drop("_own")
-
-
 def channel_envelope(frames: DataFrame, channels: list[int], *, rate_hz: float, band: tuple[float, float], sigma_ms: float = 0.0, order: int = 3, chunk: int = CHUNK, halo: int = HALO, keys: list[str] | None = None) -> DataFrame:
     """keys, channel, i, v FLOAT: smoothed band envelope of each channel; chunks don't show in the result beyond rounding."""
     keys = keys or ["session"]
@@ -34,6 +28,8 @@ def channel_envelope(frames: DataFrame, channels: list[int], *, rate_hz: float,
     cut = with_halo(long, "i", chunk, halo)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not pdf["_core"].any():  # only the halo of a chunk beyond the trace
+            return pd.DataFrame(columns=[*keys, "channel", "i", "v"])
         pdf = pdf.sort_values("i")
         env = band_envelope(pdf["x"].to_numpy(), rate_hz, band, order).astype(np.float32)
         if sigma:

@@ -42,7 +42,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str]
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], *, width: float = 60.0, near: float | None = None, peak: str = "peak", how: str = "inner", suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
     """Pairs whose intervals overlap strictly; with ``near``, also pairs with peaks at most so far apart.
 
-    Every interval is widened by half of ``near`` on each side before it is cut into buckets. A pair that
+    Reversed and null intervals have no partner. Every interval is widened by half of ``near`` on each side before it is cut into buckets. A pair that
     shares several buckets is reported in the first it shares.
     """
     pad = F.lit((near or 0.0) / 2)
@@ -50,7 +50,7 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], *, width: float = 6
     def cut(df: DataFrame, side: str) -> DataFrame:
         lo = F.least(F.col("start"), F.col(peak)) - pad if near is not None else F.col("start")
         hi = F.greatest(F.col("end"), F.col(peak)) + pad if near is not None else F.col("end")
-        named = df.select(*keys, *(F.col(c).alias(c + side) for c in df.columns if c not in keys), bucket(lo, width).alias("_first" + side), bucket(hi, width).alias("_last" + side))
+        named = df.where(F.col("end") >= F.col("start")).select(*keys, *(F.col(c).alias(c + side) for c in df.columns if c not in keys), bucket(lo, width).alias("_first" + side), bucket(hi, width).alias("_last" + side))
         return named.where(F.col("_last" + side) >= F.col("_first" + side)).withColumn("_bucket", F.explode(F.sequence("_first" + side, "_last" + side)))
 
     sa, sb = suffixes

@@ -7,22 +7,33 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import smooth_trace, smooth_trace_nan_aware
+from ..functions.kernels import gaussian_weights, smooth_trace, smooth_trace_nan_aware
 from ..functions import axis as ax
+from .chunks import over_chunks
 from .islands import bridge_short_gaps, drop_short_runs, gradient, hysteresis
 
 
-def speed_cm_s(position: DataFrame, sigma_s: float, dt: float, keys: list[str] | None = None) -> DataFrame:
-    """``position`` with speed: central-difference 2-D speed in cm/s, smoothed over defined samples only."""
+def _reach(sigma_s: float, dt: float) -> int:
+    """Samples on either side that a smoothed speed depends on: the kernel's radius, and one for the gradient."""
+    return len(gaussian_weights(sigma_s / dt)) // 2 + 1
+
+
+def speed_cm_s(position: DataFrame, sigma_s: float, dt: float, keys: list[str] | None = None, *, chunk: int | None = None) -> DataFrame:
+    """``position`` with speed: central-difference 2-D speed in cm/s, smoothed over defined samples only; in chunks of samples if ``chunk`` is set."""
     keys = keys or ["session"]
+    if chunk:
+        return over_chunks(position, lambda rows, part: speed_cm_s(rows, sigma_s, dt, part), keys, "sample", chunk, _reach(sigma_s, dt))
     vx, vy = (gradient(F.col(c) * 100, F.col("t"), keys, "sample") for c in ("x", "y"))
     raw = position.withColumn("_vx", vx).withColumn("_vy", vy).withColumn("_raw", F.hypot("_vx", "_vy"))
     return smooth_trace_nan_aware(raw, "_raw", keys, "sample", sigma_s / dt, out="speed").drop("_vx", "_vy", "_raw")
 
 
-def running_mask(position: DataFrame, *, dt: float, threshold: float = 15.0, sigma_s: float = 0.1, min_run_s: float = 0.5, max_gap_s: float = 0.2, require_linear: bool = True, keys: list[str] | None = None) -> DataFrame:
+def running_mask(position: DataFrame, *, dt: float, threshold: float = 15.0, sigma_s: float = 0.1, min_run_s: float = 0.5, max_gap_s: float = 0.2, require_linear: bool = True, keys: list[str] | None = None, chunk: int | None = None) -> DataFrame:
     """``position`` with speed and running: at least the threshold (closed) where the 1-D position is defined, short slow gaps bridged if all their samples are defined, short runs dropped."""
     keys = keys or ["session"]
+    if chunk:
+        halo = _reach(sigma_s, dt) + int(round(max_gap_s / dt)) + 1 + int(round(min_run_s / dt))
+        return over_chunks(position, lambda rows, part: running_mask(rows, dt=dt, threshold=threshold, sigma_s=sigma_s, min_run_s=min_run_s, max_gap_s=max_gap_s, require_linear=require_linear, keys=part), keys, "sample", chunk, halo)
     base = F.col("x1d").isNotNull() if require_linear else F.lit(True)
     rows = speed_cm_s(position, sigma_s, dt, keys).withColumn("_base", base)
     rows = rows.withColumn("running", F.coalesce(F.col("_base") & (F.col("speed") >= threshold), F.lit(False)))

@@ -136,6 +136,12 @@ def validate(sessions: DataFrame, spikes: DataFrame, units: DataFrame, epochs: D
     return reduce(DataFrame.unionByName, [check_spikes(spikes, sessions), check_units(units, spikes), check_epochs(epochs, sessions), check_position(position, epochs, sessions), check_states(states, sessions, known_states)])
 
 
+def insist(df: DataFrame, **claims: Column) -> DataFrame:
+    """``df`` as it is; reading a row for which a claim is FALSE or unknown ends the job with the claim's name."""
+    held = [F.when(F.coalesce(claim, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(f"does not hold: {name}")).cast("boolean")) for name, claim in claims.items()]
+    return df.where(reduce(Column.__and__, held)) if held else df
+
+
 def truncate(spikes: DataFrame, states: DataFrame, epochs: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """spikes with t <= end, states and epochs cut to the session, and a report: n_total, n_dropped, n_clusters, seconds_beyond, fraction_dropped."""
     end = sessions.select("session", F.col("sess_duration").alias("_end"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,35 @@ def latched(stream: DataFrame, value: str, threshold: float, key: str, *, ts: st
     return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {value} {kinds[value]}, latch int, late boolean", f"at int, last {kinds[ts]}", "append", GroupStateTimeout.NoTimeout)
 
 
+def halo_filtered(stream: DataFrame, value: str, key: str, i: str, kernel: Callable[[np.ndarray], np.ndarray], halo: int) -> DataFrame:
+    """key, i, value, filtered, late: a filter of whole traces over one that goes on, with at most 2 * halo samples of state for each key.
+
+    kernel: samples to as many filtered ones, each of which depends on at most ``halo`` samples on either
+    side. A sample leaves once that many have come after it, so the last ``halo`` ones of a key stay in state.
+    i is a BIGINT by which a key's samples arrive in order; one that is older than those of an earlier
+    micro-batch can't be put back in its place: it leaves at once with NULL and the flag ``late``. NULL samples are NaN to the kernel.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, held, sent = state.get if state.exists else ([], [], 0)
+        rows = pd.concat(list(batches)).sort_values(i, kind="stable")
+        late = rows[i] < at[-1] if at else pd.Series(False, index=rows.index)
+        at, held = [*at, *rows[i][~late].tolist()], [*held, *rows[value][~late].astype(float).tolist()]
+        until = max(sent, len(at) - halo)
+        if until > sent:
+            filtered = kernel(np.array(held))[sent:until]
+            yield pd.DataFrame({key: k[0], i: at[sent:until], value: held[sent:until], "filtered": filtered, "late": False})
+        if late.any():
+            yield pd.DataFrame({key: k[0], i: rows[i][late], value: rows[value][late].astype(float), "filtered": np.nan, "late": True})
+        old = max(0, until - halo)
+        state.update((at[old:], held[old:], until - old))
+
+    cast = stream.select(key, F.col(i).cast("long").alias(i), F.col(value).cast("double").alias(value)).where(F.col(i).isNotNull())
+    out = cast.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {i} long, {value} double, filtered double, late boolean", "at array<long>, held array<double>, sent int", "append", GroupStateTimeout.NoTimeout)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (value, "filtered")})
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> DataFrame:
     """Run a stream over all input there is now and return its result as a table at ``path``.
 

@@ -63,6 +63,12 @@ def test_envelope_chunks_do_not_show(spark):
     assert abs(int(whole.argmax()) / 1250 % 1.0) < 0.03 or abs(int(whole.argmax()) / 1250 % 1.0 - 1) < 0.03
 
 
+def test_a_chunk_that_is_all_halo(spark):
+    """91 samples in chunks of 100 with a halo of 10: the second chunk gets one sample, of the first one's halo."""
+    df = spark.createDataFrame([("s", k, [k % 7]) for k in range(91)], "session string, i long, values array<smallint>")
+    assert envelopes.channel_envelope(df, [0], rate_hz=1250.0, band=(150.0, 300.0), chunk=100, halo=10).count() == 91
+
+
 def test_planted_bursts_are_found_with_their_channels(spark):
     x = synthetic.pink_with_bursts(6000, 3, 1250.0, [1.0, 3.0], 1)
     df = spark.createDataFrame([("s", k, [int(v) for v in row]) for k, row in enumerate(x)], "session string, i long, values array<smallint>")
@@ -269,6 +275,11 @@ def test_truncation(rec, spark):
     assert kept.count() == s.count() - 1 and (r["n_dropped"], r["n_clusters"], r["seconds_beyond"]) == (1, 1, 10.5)
 
 
+def test_running_in_chunks(rec):
+    run = lambda chunk: [(r["sample"], r["running"], r["speed"] and round(r["speed"], 6)) for r in movement.running_mask(rec["position"], dt=0.0256, chunk=chunk).select("sample", "running", "speed").orderBy("sample").collect()]
+    assert run(300) == run(None)
+
+
 def test_laps_and_running(rec):
     track = ax.spanned(rec["position"], 0.1, ring=False)
     run = movement.running_mask(rec["position"], dt=0.0256)

@@ -6,9 +6,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tessera.functions.kernels import gaussian_weights, smooth_numpy, smooth_trace
+from tessera.functions.kernels import gaussian_weights, smooth_numpy, smooth_trace, smooth_trace_nan_aware
 from tessera.functions import axis as ax
-from tessera.operators import asof, detect, intervals, islands, ranks
+from tessera.operators import asof, chunks, detect, intervals, islands, ranks, validate
 from tessera.sources import tables
 
 
@@ -250,3 +250,36 @@ def test_windows_and_budget(spark):
     w = detect.sample_windows(iv, ["s"], 5.0, 6).orderBy("k").collect()
     assert len(w) == 6 and all(r["end"] - r["start"] == pytest.approx(5) and (0 <= r["start"] <= 5 or 30 <= r["start"] <= 55) for r in w)
     assert detect.within_budget(iv, ["s"], 12.0).count() == 2 and detect.within_budget(iv, ["s"], 1.0).count() == 1
+
+
+@pytest.mark.parametrize("chunk", [7, 64])
+def test_chunked_windows_are_the_whole_ones(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(s, k, None if rng.random() < 0.1 else rng.gauss(0, 1), k * 0.1 + rng.random() * 0.01) for s in ("a", None) for k in range(-20, 130)]
+    df = spark.createDataFrame(rows, "s string, i long, v double, t double")
+    whole = df.withColumn("g", islands.gradient(F.col("v"), F.col("t"), ["s"], "i")).withColumn("h", islands.hysteresis(F.col("v"), 1.5, ["s"], "i"))
+    whole = smooth_trace_nan_aware(whole, "v", ["s"], "i", 1.2, out="m")
+    cut = chunks.over_chunks(df, lambda r, keys: smooth_trace_nan_aware(r.withColumn("g", islands.gradient(F.col("v"), F.col("t"), keys, "i")), "v", keys, "i", 1.2, out="m"), ["s"], "i", chunk, 5)
+    cut = chunks.latched(cut, F.col("v"), 1.5, ["s"], "i", chunk, "h")
+    told = lambda d: [tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r) for r in d.select("s", "i", "v", "t", "g", "m", "h").orderBy("s", "i").collect()]
+    assert told(cut) == told(whole)
+
+
+def test_a_latch_over_chunks_without_a_mark(spark):
+    df = spark.createDataFrame([(k, 9.0 if k == 3 else 0.0) for k in range(40)], "i long, v double")
+    assert [r["h"] for r in chunks.latched(df, F.col("v"), 1.0, [], "i", 5, "h").orderBy("i").collect()] == [0] * 3 + [1] * 37
+
+
+def test_reversed_intervals_have_no_partner(spark):
+    a = spark.createDataFrame([("s", 10.0, 5.0, 7.0), ("s", 1.0, 2.0, 1.5)], "session string, start double, end double, peak double")
+    b = spark.createDataFrame([("s", 1.5, 12.0, 3.0)], a.schema)
+    assert {r["start_a"] for r in intervals.overlapping(a, b, ["session"]).collect()} == {1.0}
+    assert {r["start"] for r in intervals.overlapping(a, b, ["session"], near=9.0, how="left_anti").collect()} == {10.0}
+
+
+def test_claims(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    assert validate.insist(df.where("x > 0"), positive=F.col("x") > 0).count() == 2
+    for broken in (df, df.where("x = 1")):
+        with pytest.raises(Exception, match="does not hold: large"):
+            validate.insist(broken, positive=F.lit(True), large=F.col("x") > 1).collect()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from tessera.functions.kernels import smooth_numpy
 from tessera.sources import tables
 from tessera.streaming import live
 
@@ -51,3 +52,16 @@ def test_late_rows_of_the_latch_are_flagged(spark, tmp_path):
     stream = source(spark, tmp_path, [[(1, 100, 30.0)], [(1, 50, -40.0), (1, 110, 1.0)]])
     got = {int(r["ts"].timestamp()): (r["latch"], r["late"]) for r in drained(live.latched(stream, "v", 25.0, "k"), "late_latch")}
     assert got == {100: (1, False), 50: (None, True), 110: (1, False)}
+
+
+def test_a_filter_goes_on_over_batches(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = {1: rng.normal(size=60).tolist(), 2: rng.normal(size=3).tolist()}  # the second is shorter than the halo
+    parts = [[(k, s, v[s]) for k, v in values.items() for s in range(lo, min(hi, len(v)))] for lo, hi in ((0, 2), (2, 25), (25, 26), (26, 60))]
+    stream = source(spark, tmp_path, [*parts, [(1, 5, 9.0)]]).select("k", F.unix_seconds("ts").alias("s"), "v")
+    got = drained(live.halo_filtered(stream, "v", "k", "s", lambda x: smooth_numpy(x, 1.0), 4), "filtered")
+    want = smooth_numpy(np.array(values[1]), 1.0)
+    assert {(r["k"], r["s"]): round(r["filtered"], 9) for r in got if not r["late"]} == {(1, s): round(want[s], 9) for s in range(56)}
+    assert [(r["k"], r["s"], r["v"], r["filtered"]) for r in got if r["late"]] == [(1, 5, 9.0, None)]
