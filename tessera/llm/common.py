@@ -3,18 +3,37 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import re
 import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def hands_memory_back(train: Callable) -> Callable:
+    """What a fit has freed goes back to the system when it ends: the C library would keep it as long as the driver runs."""
+
+    @functools.wraps(train)
+    def run(*args, **settings):
+        try:
+            return train(*args, **settings)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+                trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 

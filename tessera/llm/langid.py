@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, slices, small_batches, without
+from .common import hands_memory_back, hash_share, slices, small_batches, without
 
 LETTER = re.compile(r"[^\W\d_]")  # letters, and a few other signs of number
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -154,6 +154,7 @@ def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, ep
     return model
 
 
+@hands_memory_back
 def train_language_model(df: DataFrame, *, text: str = "text", lang: str = "lang", id_column: str = "doc_id", where: Column | None = None, per_language: int = 1500, bytes_per_language: int = 24 << 20, most_languages: int = 500, **settings) -> LanguageModel | None:
     """Fit on at most about ``per_language`` labelled rows of each language, chosen by a hash of the id.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, hash_share, slices, small_batches, without
+from .common import Cache, hands_memory_back, hash_share, slices, small_batches, without
 
 BITS = 16
 MOST_WORDS, MEMO_BYTES = 200_000, 40 << 20  # memo of a worker
@@ -193,6 +193,7 @@ def _views(batch: pa.RecordBatch, names: list[str], memo: dict) -> list[list]:
     return [[content_view(t, memo) for t in texts], [page_view(t, a, s) for t, a, s in zip(texts, langs, sources, strict=True)]]
 
 
+@hands_memory_back
 def train_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", id_column: str = "doc_id", label: str = "quality", where: Column | None = None, most_rows: int = 6000, most_pool: int = 4000, **settings) -> QualityModel | None:
     """Fit on at most about ``most_rows`` labelled and at most ``most_pool`` unlabelled rows, each chosen by a hash of the id.
 

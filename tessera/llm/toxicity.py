@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, hash_share, slices, small_batches, without
+from .common import Cache, hands_memory_back, hash_share, slices, small_batches, without
 
 WORD = re.compile(r"[^\W_]+")
 BITS = 22
@@ -140,6 +140,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, *, most_terms: int = 819
     return model
 
 
+@hands_memory_back
 def train_toxicity(df: DataFrame, labels: DataFrame, *, text: str = "text", id_column: str = "doc_id", label: str = "toxic", where: Column | None = None, most_rows: int = 20_000, **settings) -> ToxicityModel:
     """Fit on at most about ``most_rows`` labelled rows, chosen by a hash of the id.
 

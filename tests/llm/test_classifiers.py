@@ -197,3 +197,25 @@ def test_platt_and_ranking():
     assert a == pytest.approx(2, abs=0.25) and b == pytest.approx(-1, abs=0.2)
     assert quality.ranking(np.array([1.0, 2, 3, 4]), np.array([0, 0, 1, 1])) == 1
     assert quality.ranking(np.array([1.0, 1]), np.array([0, 1])) == 0.5
+
+
+def test_a_fit_hands_its_memory_back():
+    """What a fit returned or raised passes through, and what it held is gone afterwards."""
+    import re
+
+    from tessera.llm.common import hands_memory_back
+
+    def held() -> int:
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+
+    @hands_memory_back
+    def fit(n, *, fails=False):
+        rows = [bytes(200) + str(k).encode() for k in range(n)]
+        if fails:
+            raise ValueError("no model")
+        return len(rows)
+
+    before = held()
+    assert fit(400_000) == 400_000 and held() - before < 40
+    with pytest.raises(ValueError, match="no model"):
+        fit(10, fails=True)
