@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -160,3 +160,21 @@ class Cache(dict):
         self[key] = value
         self.held += size
         return value
+
+
+def numbered(df: DataFrame, group: str, order: list[Column], *, place: str, count: str) -> DataFrame:
+    """``df`` with each row's place in its group (from 0) in this order, and the group's size, as longs.
+
+    Rows are dealt out by ranges of (group, order) and numbered within their piece; the places of a piece
+    follow from the sizes of those before it, one row for each piece and group. No group, however large, is
+    sorted in one task. ``group`` must not be null; rows that tie in the order get places in any order.
+    """
+    row, piece, first, before = fresh(df, "_row", "_piece", "_first", "_before")
+    dealt = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    rows = materialize(dealt.withColumn(row, F.monotonically_increasing_id()), "numbered").withColumn(piece, F.shiftright(row, 33))
+    pieces = rows.groupBy(group, piece).agg(F.min(row).alias(first), F.count(F.lit(1)).alias(count))
+    of = Window.partitionBy(group)
+    upto = of.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(group, piece, first, F.coalesce(F.sum(count).over(upto), F.lit(0).cast("long")).alias(before), F.sum(count).over(of).alias(count))
+    pieces = materialize(pieces, "pieces")  # small, and Spark sees its size: rows are not shuffled again for it
+    return rows.join(pieces, [group, piece]).withColumn(place, F.col(before) + F.col(row) - F.col(first)).drop(row, piece, first, before)

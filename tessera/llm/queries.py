@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, media, mixing, neardup, quality, token_store, toxicity
+from . import ann, bpe, chat, langid, media, merkle, mixing, neardup, quality, token_store, toxicity
 from .common import fresh, id_crc, materialize, table
 
 
@@ -75,6 +75,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.when(F.pmod(id_crc("doc_id"), F.lit(3)) == 0, merkle.leaf(text=merkle.lowered("text")))
+    made = merkle.manifest(table(spark, sf_dir, "documents"), carry={"doc_id": F.col("doc_id"), "again": lowered})
+    folded = merkle.folded(F.coalesce("again", "hash"))
+    rows = made.proofs().select("doc_id", F.col("hash").alias("leaf"), "subroot", "root", merkle.proof().alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 # --- stages of the pipeline: documents in, documents out -----------------------------------------
 
 
@@ -134,7 +142,7 @@ STAGES = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_media_columns, op4_quality, op5_nearest_neighbours, op6_bpe, op7_near_duplicates, op8_mixing, op9_chat, op10_language)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_media_columns, op4_quality, op5_nearest_neighbours, op6_bpe, op7_near_duplicates, op8_mixing, op9_chat, op10_language, op13_merkle)}
 
 
 #: Targets by the level that fills all sources, thresholds by sorting: the same rows by another way.
@@ -163,7 +171,36 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 (sum(upto) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars FROM e GROUP BY conv_id
 """
 
+#: Trees by recursion over groups of eight, proofs by walking up with the runs of each level.
+MERKLE_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS k, *, list_reduce([4294967295::BIGINT] || flatten(list_transform(range(length(doc_id::VARCHAR)), lambda i: [ord(substr(doc_id::VARCHAR, i::INT + 1, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END) AS crc FROM documents),
+f AS (SELECT k, lang, doc_id, crc, concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, text FROM d),
+h AS (SELECT k, lang, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN doc_id IS NOT NULL AND xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS again FROM f),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM h),
+node(lang, level, i, n, h) AS (SELECT lang, 0, i, n, leaf FROM leaves UNION ALL SELECT lang, any_value(level) + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lang, i // 8),
+tops AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+peak(level, i, n, h) AS (SELECT 0, i, n, h FROM tops UNION ALL SELECT any_value(level) + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM peak WHERE n > 1 GROUP BY i // 8),
+runs AS (SELECT lang, level, i // 8 AS up, list(h ORDER BY i) AS own FROM node WHERE n > 1 GROUP BY lang, level, i // 8),
+over AS (SELECT level, i // 8 AS up, list(h ORDER BY i) AS own FROM peak WHERE n > 1 GROUP BY level, i // 8),
+walk(k, lang, level, i, h, sides) AS (
+  SELECT k, lang, 0, i, coalesce(again, leaf), '' FROM leaves
+  UNION ALL
+  SELECT w.k, w.lang, w.level + 1, w.i // 8, sha256(array_to_string(own[1:w.i % 8], '') || w.h || array_to_string(own[w.i % 8 + 2:], '')), w.sides || array_to_string(own[1:w.i % 8], '') || array_to_string(own[w.i % 8 + 2:], '')
+  FROM walk w JOIN runs r ON w.lang IS NOT DISTINCT FROM r.lang AND w.level = r.level AND w.i // 8 = r.up),
+at_top AS (SELECT k, w.h, sides, t.i, t.h AS subroot FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY k ORDER BY level DESC) = 1) w JOIN tops t ON w.lang IS NOT DISTINCT FROM t.lang),
+climb(k, level, i, h, sides) AS (
+  SELECT k, 0, i, h, sides FROM at_top
+  UNION ALL
+  SELECT c.k, c.level + 1, c.i // 8, sha256(array_to_string(own[1:c.i % 8], '') || c.h || array_to_string(own[c.i % 8 + 2:], '')), c.sides || array_to_string(own[1:c.i % 8], '') || array_to_string(own[c.i % 8 + 2:], '')
+  FROM climb c JOIN over o ON c.level = o.level AND c.i // 8 = o.up),
+done AS (SELECT * FROM climb QUALIFY row_number() OVER (PARTITION BY k ORDER BY level DESC) = 1)
+SELECT l.doc_id, l.leaf, a.subroot, r.h AS root, sha256(e.sides) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM leaves l JOIN at_top a USING (k) JOIN done e USING (k), (SELECT h FROM peak WHERE n = 1) r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Only two operators are within SQL: models, codes, images, search and merges are tested by brute force."""
-    return {"op8_mixing": MIXING_SQL, "op9_chat": CHAT_SQL}
+    """Models, codes, images, search and merges are beyond SQL and are tested by brute force."""
+    return {"op8_mixing": MIXING_SQL, "op9_chat": CHAT_SQL, "op13_merkle": MERKLE_SQL}
