@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, media, merkle, mixing, neardup, quality, token_store, toxicity
+from . import ann, bpe, chat, langid, media, merkle, mixing, neardup, quality, resample, token_store, toxicity
 from .common import fresh, id_crc, materialize, table
 
 
@@ -75,6 +75,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = F.when(F.pmod(id_crc("doc_id"), F.lit(3)) == 0, merkle.leaf(text=merkle.lowered("text")))
     made = merkle.manifest(table(spark, sf_dir, "documents"), carry={"doc_id": F.col("doc_id"), "again": lowered})
@@ -142,7 +146,7 @@ STAGES = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_media_columns, op4_quality, op5_nearest_neighbours, op6_bpe, op7_near_duplicates, op8_mixing, op9_chat, op10_language, op13_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_media_columns, op4_quality, op5_nearest_neighbours, op6_bpe, op7_near_duplicates, op8_mixing, op9_chat, op10_language, op12_resampling, op13_merkle)}
 
 
 #: Targets by the level that fills all sources, thresholds by sorting: the same rows by another way.
@@ -171,6 +175,25 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 (sum(upto) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars FROM e GROUP BY conv_id
 """
 
+#: crc32 by a table of bytes, once for each distinct feature; no postings, documents and gains are joined by bucket.
+RESAMPLING_SQL = r"""
+WITH
+crcs AS (SELECT list(list_reduce([n, -1, -1, -1, -1, -1, -1, -1, -1], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY n) AS t FROM range(256) r(n)),
+texts AS (SELECT TRUE AS own, row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT FALSE, row_number() OVER (), NULL, text FROM benchmark),
+words AS (SELECT own, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT own, k, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM words),
+counts AS (SELECT own, k, f, count(*) AS n FROM runs GROUP BY own, k, f),
+hashed AS (SELECT f, xor(list_reduce([4294967295::BIGINT] || list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(f), 2 * i::INT + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT f FROM counts), crcs),
+lists AS (SELECT own, k, bucket, sum(n)::BIGINT AS n FROM counts JOIN hashed USING (f) GROUP BY own, k, bucket),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0)::BIGINT AS s, coalesce(sum(n) FILTER (NOT own), 0)::BIGINT AS t FROM lists GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM sums),
+weights AS (SELECT k, sum(n * gain)::BIGINT AS weight FROM lists JOIN gains USING (bucket) WHERE own GROUP BY k),
+scored AS (SELECT doc_id, len(w) AS n, len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM words LEFT JOIN weights USING (k) WHERE own),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (n >= 20) OVER () AS known FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND place <= 5 * known // 100 THEN place END AS rank FROM ranked
+"""
+
 #: Trees by recursion over groups of eight, proofs by walking up with the runs of each level.
 MERKLE_SQL = r"""
 WITH RECURSIVE
@@ -203,4 +226,4 @@ FROM leaves l JOIN at_top a USING (k) JOIN done e USING (k), (SELECT h FROM peak
 
 def oracle_sql() -> dict[str, str]:
     """Models, codes, images, search and merges are beyond SQL and are tested by brute force."""
-    return {"op8_mixing": MIXING_SQL, "op9_chat": CHAT_SQL, "op13_merkle": MERKLE_SQL}
+    return {"op8_mixing": MIXING_SQL, "op9_chat": CHAT_SQL, "op12_resampling": RESAMPLING_SQL, "op13_merkle": MERKLE_SQL}
