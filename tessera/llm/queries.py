@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, media, merkle, mixing, neardup, quality, resample, token_store, toxicity
+from . import ann, bpe, chat, langid, media, merkle, mixing, neardup, pii, quality, resample, token_store, toxicity
 from .common import fresh, id_crc, materialize, table
 
 
@@ -75,6 +75,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+    counts = [pii.count_of(base, k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed_spans(base), 256).alias("base_sha256"), pii.listed_spans(F.col("pii_spans")).alias("spans"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -146,7 +153,7 @@ STAGES = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_media_columns, op4_quality, op5_nearest_neighbours, op6_bpe, op7_near_duplicates, op8_mixing, op9_chat, op10_language, op12_resampling, op13_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_media_columns, op4_quality, op5_nearest_neighbours, op6_bpe, op7_near_duplicates, op8_mixing, op9_chat, op10_language, op11_pii, op12_resampling, op13_merkle)}
 
 
 #: Targets by the level that fills all sources, thresholds by sorting: the same rows by another way.
