@@ -6,12 +6,15 @@ smoothing, information and fields are array expressions without further shuffles
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import gaussian_weights, smooth_array
+from ..functions.kernels import gaussian_weights, smooth_array, smooth_numpy
 from .asof import asof
 
 
@@ -155,6 +158,99 @@ def shifted_spikes(slots: DataFrame, running: DataFrame, shifts: DataFrame, keys
     return moved.drop("bin", "lap").join(running.select("session", "slot", "bin", "lap"), ["session", "slot"])
 
 
+def seeded_shifts(n_shuffles: int, *, seed: int = 0, least: int = 1) -> Callable[[tuple, int], np.ndarray]:
+    """Shifts from ``least`` to n - least - 1 of n slots, by the MD5 of seed, key and number: the same wherever a cell is worked on."""
+
+    def of(key: tuple, n: int) -> np.ndarray:
+        hashed = (hashlib.md5(":".join(map(str, (seed, *key, k))).encode()).hexdigest()[:12] for k in range(1, n_shuffles + 1))
+        return np.array([least + int(h, 16) % max(n - 2 * least, 1) for h in hashed], np.int64)
+
+    return of
+
+
+def multiple_shifts(n_shuffles: int, step: int) -> Callable[[tuple, int], np.ndarray]:
+    return lambda _, n: np.arange(1, n_shuffles + 1, dtype=np.int64) * step % n
+
+
+def shifted_counts(slots: np.ndarray, k: np.ndarray, bins: np.ndarray, shifts: np.ndarray, n_bins: int, masks: np.ndarray | None = None) -> np.ndarray:
+    """(shifts, bins): what falls in each bin once the counts k of these slots are moved on by each shift, round the recording.
+
+    The counts of all shifts are one circular correlation of the slots' counts with each bin's mask (``masks``: its
+    transforms). A few spikes under few shifts are looked up instead, which is exact as well: counts are whole.
+    """
+    n = len(bins)
+    if len(slots) * len(shifts) <= 4 * n_bins * n:
+        out = np.zeros((len(shifts), n_bins))
+        most = max(1, (1 << 22) // max(1, len(slots)))
+        for at in range(0, len(shifts), most):
+            part = shifts[at : at + most]
+            place = bins[(slots + part[:, None]) % n] + n_bins * np.arange(len(part))[:, None]
+            out[at : at + most] = np.bincount(place.ravel(), np.broadcast_to(k, place.shape).ravel(), len(part) * n_bins).reshape(-1, n_bins)
+        return out
+    own = np.conj(np.fft.rfft(np.bincount(slots, k, n)))
+    each = (masks[b] if masks is not None else np.fft.rfft(bins == b) for b in range(n_bins))
+    return np.rint(np.stack([np.fft.irfft(own * m, n)[shifts] for m in each], axis=1))
+
+
+def information(rates: np.ndarray, occupancy: np.ndarray) -> np.ndarray:
+    """Skaggs information of each row of rates (NaN: no rate); NaN for a silent row."""
+    o = np.where(np.isnan(rates), 0.0, occupancy)
+    r = np.nan_to_num(rates)
+    with np.errstate(all="ignore"):
+        p = o / o.sum(axis=-1, keepdims=True)
+        m = (p * r).sum(axis=-1, keepdims=True)
+        x = r / m
+        bits = (p * np.where(x > 0, x * np.log2(np.where(x > 0, x, 1.0)), 0.0)).sum(axis=-1)
+    return np.where(m[..., 0] > 0, bits, np.nan)
+
+
+def shift_null(cells: DataFrame, running: DataFrame, keys: list[str], shifts: Callable[[tuple, int], np.ndarray], *, n_bins: int, slot_s: float = 1.0, sigma: float = 0.0, circular: bool = True, min_occupancy: float = 0.0, digits: int = 7, cells_a_task: int = 64) -> DataFrame:
+    """session, keys, n_spikes, info, null_mean, null_sd, info_z, n_null, n_at_least, p: information against circular shifts.
+
+    cells: session, keys, slot, k (spikes in the slot; slots may repeat). running: session, slot (0, 1, ... in compressed running
+    time), bin. shifts: from (key, number of slots) to the shifts. Rates are smoothed counts over smoothed occupancy, none where the
+    raw occupancy is under its floor. Information is rounded to ``digits``, so that shifts equal but for rounding tie.
+    A session's cells are dealt to tasks by ``cells_a_task``, each with the session's bins; spikes are not multiplied.
+    Under two slots there are no shifts: the null is NULL and p is 1. Sessions without running slots give no rows.
+    """
+    smooth = smooth_numpy(np.eye(n_bins), sigma, "wrap" if circular else "constant")
+    parts = cells.groupBy("session").agg(F.ceil(F.count_distinct(*keys) / cells_a_task).cast("int").alias("_parts"))
+    place = F.pmod(F.xxhash64(*keys), F.col("_parts"))
+    dealt = cells.select("session", *keys, "slot", "k").join(parts, "session").withColumn("_part", place.cast("int")).drop("_parts")
+    bins = running.select("session", "slot", "bin").join(parts, "session").select(*(F.col(c).alias(c) for c in ("session", "slot", "bin")), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+
+    def null(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["session", *keys, "n_spikes", "info", "null_mean", "null_sd", "info_z", "n_null", "n_at_least", "p"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        at = right.sort_values("slot")["bin"].to_numpy(np.int64)
+        occupancy = np.bincount(at, minlength=n_bins) * slot_s
+        held = occupancy @ smooth
+        masks = np.fft.rfft(np.arange(n_bins)[:, None] == at) if len(at) * n_bins <= 1 << 22 else None
+
+        def infos(counts: np.ndarray) -> np.ndarray:
+            with np.errstate(all="ignore"):
+                return np.round(information(np.where((occupancy >= min_occupancy) & (held > 0), counts @ smooth / held, np.nan), occupancy), digits)
+
+        rows = []
+        for key, own in left.groupby(keys, sort=True):
+            key = key if isinstance(key, tuple) else (key,)
+            slots, k = own["slot"].to_numpy(np.int64), own["k"].to_numpy(float)
+            info = float(infos(np.bincount(at[slots], k, n_bins)[None])[0])
+            moved = shifts(key, len(at)) if len(at) > 1 else np.empty(0, np.int64)
+            other = infos(shifted_counts(slots, k, at, moved, n_bins, masks)) if len(moved) else np.empty(0)
+            other = other[np.isfinite(other)]
+            mean, sd = (float(other.mean()), float(other.std())) if len(other) else (None, None)
+            above = int((other >= info).sum())
+            known = np.isfinite(info)
+            rows.append((own["session"].iloc[0], *key, int(k.sum()), info if known else None, mean, sd, (info - mean) / sd if known and sd else None, len(other), above, (1 + above) / (1 + len(other)) if known else None))
+        return pd.DataFrame(rows, columns=names)
+
+    kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in ("session", *keys))
+    by = ["session", "_part"]
+    return dealt.groupBy(*by).cogroup(bins.groupBy(*by)).applyInPandas(null, f"{kinds}, n_spikes long, info double, null_mean double, null_sd double, info_z double, n_null long, n_at_least long, p double")
+
+
 def empirical_p(n_at_least: Column, n: Column | int) -> Column:
     """(1 + #) / (n + 1)."""
     return (n_at_least + 1) / (F.lit(n) + 1 if isinstance(n, int) else n + 1)

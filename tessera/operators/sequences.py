@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHUFFLES = ("column_cycle", "time_permutation")
@@ -116,6 +116,106 @@ def score_events(events: DataFrame, *, circular: bool, kind: str = "column_cycle
 # --- contribution of single cells ------------------------------------------------------------------
 
 
+def placed_posteriors(counts: np.ndarray, rates: np.ndarray, cells: slice, dt: float) -> np.ndarray:
+    """(directions, cells, placements, time, position): posteriors with one cell's field moved round by 0 to positions - 1 bins.
+
+    counts: (time, cells). rates: (directions, cells, positions), floored. The sum over cells is made once; a placement
+    takes out the cell's own term and puts in the moved one, in all directions alike.
+    """
+    logs, n = np.log(rates), rates.shape[2]
+    whole = np.einsum("tc,dcb->dtb", counts, logs) - dt * rates.sum(axis=1)[:, None]
+    moved = (np.arange(n) - np.arange(n)[:, None]) % n
+    gained = logs[:, cells][..., moved] - logs[:, cells][:, :, None]
+    cost = rates[:, cells][..., moved] - rates[:, cells][:, :, None]
+    x = whole[:, None, None] + np.einsum("tc,dcsb->dcstb", counts[:, cells], gained) - dt * cost[:, :, :, None]
+    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def placed_scores(counts: np.ndarray, tbins: np.ndarray, rates: np.ndarray, dt: float, circular: bool, null: tuple | None, n_shuffles: int = 0, kind: str = "column_cycle", seed: tuple = (), most: int = 1 << 20) -> np.ndarray:
+    """(cells, placements): z scores of the best |r| over directions and offsets. NaN where the null has no width.
+
+    null: (mean, sd) of the event's own shuffles, taken for every placement; None: ``n_shuffles`` fresh ones of each placement.
+    Cells are worked on in blocks of about ``most`` numbers.
+    """
+    directions, n_cells, n = rates.shape
+    x, t = np.arange(n, dtype=float), np.asarray(tbins, float)
+    step = max(1, most // (directions * n * len(t) * n))
+    out = np.full((n_cells, n), np.nan)
+    for at in range(0, n_cells, step):
+        p = placed_posteriors(counts, rates, slice(at, at + step), dt)
+        best = np.abs(best_correlation(p, x, t, circular)[0]).max(axis=0)
+        if null is not None:
+            m, s = (np.full(best.shape, np.nan if v is None else float(v)) for v in null)
+        else:
+            m, s = np.empty(best.shape), np.empty(best.shape)
+            for c, k in np.ndindex(best.shape):
+                each = shuffled(p[:, c, k], kind, n_shuffles, np.random.default_rng([*seed, at + c, k]))
+                each = np.abs(best_correlation(each, x, t, circular)[0]).max(axis=1)
+                m[c, k], s[c, k] = each.mean(), each.std()
+        with np.errstate(all="ignore"):
+            out[at : at + step] = np.where(s > 0, (best - m) / s, np.nan)
+    return out
+
+
+def placement_means(events: DataFrame, tuning: DataFrame, keys: list[str], *, dt: float, circular: bool, fresh: bool = False, n_shuffles: int = 500, kind: str = "column_cycle", id: str = "event_id", floor_hz: float = 0.01, least_bins: int = 5, seed: int = 0) -> DataFrame:
+    """keys, cell, shift, mean_rz, n_events, mean_rz_present, n_present: every event scored again with each cell's field at each place.
+
+    events: keys, id, tbins ARRAY<INT> (bins with spikes), counts ARRAY<ARRAY<DOUBLE>> (time x cells, in the order of the cells'
+    numbers in ``tuning``) and, unless ``fresh``, null_mean and null_sd. tuning: direction, cell, bin, rate; as large as one
+    template, it goes to every task. Shift 0 is the field as it is. An event counts for a cell only if every placement has a
+    score; "present" ones have a spike of the cell. Tasks return sums by (keys, cell, shift), one row each for their events, never a row
+    for each event.
+    """
+    rows = tuning.select("direction", "cell", "bin", "rate").collect()
+    axes = [sorted({r[k] for r in rows}) for k in range(3)]
+    at = [{v: i for i, v in enumerate(axis)} for axis in axes]
+    rates = np.full([len(axis) for axis in axes], floor_hz)
+    for d, c, b, rate in rows:
+        rates[at[0][d], at[1][c], at[2][b]] = floor_hz if rate is None or np.isnan(rate) else max(rate, floor_hz)
+    cells = axes[1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for i, row in enumerate(pdf[keys].itertuples(index=False, name=None)):
+                tbins, counts = pdf["tbins"].iloc[i], pdf["counts"].iloc[i]
+                if tbins is None or len(tbins) < least_bins:
+                    continue
+                n = np.stack([np.asarray(c, float) for c in counts])
+                null = None if fresh else (pdf["null_mean"].iloc[i], pdf["null_sd"].iloc[i])
+                scores = placed_scores(n, tbins, rates, dt, circular, null, n_shuffles, kind, (seed, int(pdf[id].iloc[i])))
+                for c, z in enumerate(scores):
+                    if np.isfinite(z).all():
+                        here = float(n[:, c].any())
+                        held = sums.setdefault((*row, c), np.zeros((len(z), 4)))
+                        held += np.stack([z, np.ones(len(z)), z * here, np.full(len(z), here)], axis=1)
+        out = [(*key[:-1], cells[key[-1]], shift, *values) for key, held in sums.items() for shift, values in enumerate(held)]
+        yield pd.DataFrame(out, columns=[*keys, "cell", "shift", "s", "n", "sp", "np"])
+
+    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    columns = [*keys, id, "tbins", "counts", *([] if fresh else ["null_mean", "null_sd"])]
+    parts = events.select(*dict.fromkeys(columns)).mapInPandas(run, f"{kinds}, cell {tuning.schema['cell'].dataType.simpleString()}, shift int, s double, n double, sp double, np double")
+    total = parts.groupBy(*keys, "cell", "shift").agg(*(F.sum(c).alias(c) for c in ("s", "n", "sp", "np")))
+    return total.select(*keys, "cell", "shift", (F.col("s") / F.col("n")).alias("mean_rz"), F.col("n").cast("long").alias("n_events"), F.try_divide("sp", "np").alias("mean_rz_present"), F.col("np").cast("long").alias("n_present"))
+
+
+def placement_contribution(means: DataFrame, keys: list[str], value: str = "mean_rz") -> DataFrame:
+    """keys, pcc, z, p, n_shifts from (keys, shift, value): how far the field's own place (shift 0) stands above the mean of all others.
+
+    z by the others' sample deviation; p: the share of places that lie as far from that mean, on either side,
+    the own one counted with them. NULL without a score of the own place or with under two others.
+    """
+    own, others = F.max(F.when(F.col("shift") == 0, F.col(value))), F.col("shift") > 0
+    w = Window.partitionBy(*keys)
+    shown = means.where(F.col(value).isNotNull()).withColumn("_own", own.over(w)).where(others).withColumn("_mean", F.avg(value).over(w))
+    far = F.count_if(F.abs(F.col(value) - F.col("_mean")) >= F.abs(F.col("_own") - F.col("_mean")))
+    out = shown.groupBy(*keys, "_own", "_mean").agg(F.stddev_samp(value).alias("_sd"), far.alias("_far"), F.count(F.lit(1)).alias("n_shifts"))
+    fine = F.col("_own").isNotNull() & (F.col("n_shifts") >= 2)
+    pcc = F.col("_own") - F.col("_mean")
+    return out.select(*keys, F.when(fine, pcc).alias("pcc"), F.when(fine, z_score(F.col("_own"), F.col("_mean"), F.col("_sd"))).alias("z"), F.when(fine, (1 + F.col("_far")) / (F.col("n_shifts") + 1)).alias("p"), "n_shifts")
+
+
 def finite_everywhere(scores: DataFrame, event: list[str], placement: str, value: str, n_placements: int) -> DataFrame:
     """Scores of events that are defined at every placement."""
     fine = scores.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*event).agg(F.countDistinct(placement).alias("_n")).where(F.col("_n") == n_placements)
@@ -131,8 +231,6 @@ def contribution(shifts: DataFrame, observed: DataFrame, keys: list[str]) -> Dat
 
 def null_contributions(shifts: DataFrame, keys: list[str], value: str = "mean_rz") -> DataFrame:
     """Each shift against the mean of all other shifts of its key; NULL for a single shift."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys)
     n, s = F.count(F.lit(1)).over(w), F.sum(value).over(w)
     return shifts.withColumn("null_pcc", F.col(value) - F.try_divide(s - F.col(value), n - 1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decode, envelopes, sequences, states
 from ..sources.tables import table
-from .registry import EV, days, events, hours, query, r6
+from .registry import EPOCH, EV, days, epoch_of, events, hours, query, r6
 
 CELLS, DT = 12, 3600.0
 
@@ -130,6 +130,59 @@ def null_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.null_contributions(shift_means(spark, sf_dir)[0], ["user_id"]).select("user_id", "shift", F.round(F.col("null_pcc") + 1e-8, 5).alias("null_pcc"))
 
 
+#: Groups of twelve users as cells of one recording each, three-hour blocks as places of a ring of eight, a day of a group as an event.
+SPOT = 3 * DT
+CYCLES = [(k, t, (k * (2 * t + 1) + t * t) % 8) for k in range(1, 13) for t in range(24)]
+PLACED = f"""{EV}, sp AS (SELECT day, user_id // {CELLS} AS grp, (user_id % {CELLS})::INT AS cell, bin AS tbin, bin // 3 AS pos FROM ev), size AS (SELECT (SELECT count(*) FROM days) * count(DISTINCT grp) * {SPOT} AS s FROM sp),
+k AS (SELECT c.c AS cell, b.b AS pos FROM (SELECT range::INT AS c FROM range({CELLS})) c CROSS JOIN (SELECT range::INT AS b FROM range(8)) b),
+rates AS (SELECT k.cell, k.pos, greatest(count(sp.pos) / any_value(s), 1e-6) AS rate FROM k CROSS JOIN size LEFT JOIN sp ON sp.cell = k.cell AND sp.pos = k.pos GROUP BY k.cell, k.pos),
+c AS (SELECT day, grp, tbin, cell, count(*) AS n FROM sp GROUP BY ALL), e AS (SELECT day, grp FROM c GROUP BY ALL HAVING count(DISTINCT tbin) >= 5),
+base AS (SELECT day, grp, tbin, r.pos AS pbin, sum(n * ln(rate)) - (SELECT {DT} * sum(rate) FROM rates q WHERE q.pos = r.pos) AS x FROM c SEMI JOIN e USING (day, grp) JOIN rates r USING (cell) GROUP BY day, grp, tbin, r.pos),
+p0 AS (SELECT day, grp, tbin, pbin, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY day, grp, tbin) AS p FROM (SELECT *, max(x) OVER (PARTITION BY day, grp, tbin) AS m FROM base)),
+sh(k, tbin, d) AS (VALUES {", ".join(map(str, CYCLES))}), n0 AS (SELECT day, grp, k, p0.tbin, (pbin + d) % 8 AS pbin, p FROM p0 JOIN sh USING (tbin)), {corr_sql("z0", "n0", "day, grp, k")}, m AS (SELECT day, grp, avg(abs(r)) AS m, stddev_pop(abs(r)) AS s FROM z0 GROUP BY ALL),
+mv AS (SELECT a.cell, s.s AS shift, a.pos AS pbin, ln(b.rate) - ln(a.rate) AS gained, b.rate - a.rate AS cost FROM rates a CROSS JOIN (SELECT range::INT AS s FROM range(8)) s JOIN rates b ON b.cell = a.cell AND b.pos = (a.pos - s.s + 8) % 8),
+x1 AS (SELECT base.day, base.grp, base.tbin, pbin, mv.cell, shift, x + coalesce(n, 0) * gained - {DT} * cost AS x FROM base JOIN mv USING (pbin) LEFT JOIN c ON c.day = base.day AND c.grp = base.grp AND c.tbin = base.tbin AND c.cell = mv.cell),
+p1 AS (SELECT day, grp, cell, shift, tbin, pbin, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY day, grp, cell, shift, tbin) AS p FROM (SELECT *, max(x) OVER (PARTITION BY day, grp, cell, shift, tbin) AS m FROM x1)), {corr_sql("z1", "p1", "day, grp, cell, shift")},
+here AS (SELECT DISTINCT day, grp, cell, TRUE AS present FROM c),
+mean AS (SELECT {EPOCH} AS epoch, cell, shift, avg((abs(r) - m) / s) AS v, count(*) AS n, avg((abs(r) - m) / s) FILTER (present) AS vp, count(*) FILTER (present) AS np FROM z1 JOIN m USING (day, grp) LEFT JOIN here USING (day, grp, cell) WHERE s > 0 GROUP BY ALL)"""
+
+
+def placed_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events (epoch, event_id, tbins, counts, null_mean, null_sd) and tuning (direction, cell, bin, rate)."""
+    ev = events(spark, sf_dir)
+    group = F.floor(F.col("user_id") / CELLS)
+    sp = ev.select("day", group.alias("grp"), (F.col("user_id") % CELLS).cast("int").alias("cell"), F.col("bin").alias("tbin"), F.floor(F.col("bin") / 3).cast("int").alias("pos"))
+    size = sp.agg((F.count_distinct("grp") * SPOT).alias("s")).join(days(ev).agg(F.max("n_days").alias("d")))
+    spine = spark.range(CELLS * 8).select(F.floor(F.col("id") / 8).cast("int").alias("cell"), (F.col("id") % 8).cast("int").alias("pos"))
+    found = spine.join(sp.groupBy("cell", "pos").agg(F.count(F.lit(1)).alias("n")), ["cell", "pos"], "left").join(size)
+    tuning = found.select(F.lit(0).alias("direction"), "cell", F.col("pos").alias("bin"), F.greatest(F.coalesce("n", F.lit(0)) / (F.col("s") * F.col("d")), F.lit(1e-6)).alias("rate"))
+    counts = sp.groupBy("day", "grp", "tbin", "cell").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("day", "grp", "tbin").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m"))
+    rows = rows.select("day", "grp", "tbin", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.coalesce(F.try_element_at("m", k).cast("double"), F.lit(0.0))).alias("v"))
+    each = rows.groupBy("day", "grp").agg(F.array_sort(F.collect_list(F.struct("tbin", "v"))).alias("x")).where(F.size("x") >= 5)
+    each = each.select("day", "grp", F.transform("x", lambda x: x["tbin"]).alias("tbins"), F.transform("x", lambda x: x["v"]).alias("counts"))
+    lp = decode.log_posterior(counts.select("day", "grp", "tbin", "cell", "n", F.lit(0).alias("direction")), tuning, ["day", "grp", "tbin"], ["direction"], DT, floor_hz=1e-6).select("day", "grp", "tbin", F.col("bin").alias("pbin"), F.exp("lp").alias("p"))
+    shifts = spark.createDataFrame(CYCLES, "shuffle_id int, tbin int, shift int")
+    null = sequences.weighted_correlation(sequences.column_cycled(lp, shifts, 8), ["day", "grp", "shuffle_id"], n_bins=8, circular=True)
+    stats = null.groupBy("day", "grp").agg(F.avg(F.abs("r")).alias("null_mean"), F.stddev_pop(F.abs("r")).alias("null_sd"))
+    return each.join(stats, ["day", "grp"]).select(epoch_of().alias("epoch"), (F.col("grp") * 100_000 + F.col("day")).alias("event_id"), "tbins", "counts", "null_mean", "null_sd"), tuning
+
+
+@query(f"""WITH {PLACED} SELECT epoch, cell, shift, round(v, 5) AS mean_rz, n AS n_events, round(vp, 5) AS mean_rz_present, np AS n_present FROM mean""")
+def placement_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event decoded and scored again with each cell's field at each place of the ring; the event's own null is taken for all."""
+    out = sequences.placement_means(*placed_events(spark, sf_dir), ["epoch"], dt=DT, circular=True, floor_hz=1e-6)
+    return out.select("epoch", "cell", "shift", F.round("mean_rz", 5).alias("mean_rz"), "n_events", F.round("mean_rz_present", 5).alias("mean_rz_present"), "n_present")
+
+
+@query(f"""WITH {PLACED}, o AS (SELECT epoch, cell, v AS own FROM mean WHERE shift = 0), a AS (SELECT epoch, cell, avg(v) AS c, stddev_samp(v) AS sd FROM mean WHERE shift > 0 GROUP BY ALL)
+SELECT epoch, cell, round(any_value(own - c), 5) AS pcc, round(any_value((own - c) / sd), 3) AS z, round((1 + count(*) FILTER (abs(v - c) >= abs(own - c))) / (1.0 + count(*)), 6) AS p, count(*) AS n_shifts FROM mean JOIN o USING (epoch, cell) JOIN a USING (epoch, cell) WHERE shift > 0 GROUP BY epoch, cell""")
+def placement_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the place of a cell's field adds to the sequence scores, against all other places it could have."""
+    means = sequences.placement_means(*placed_events(spark, sf_dir), ["epoch"], dt=DT, circular=True, floor_hz=1e-6)
+    return sequences.placement_contribution(means, ["epoch", "cell"]).select("epoch", "cell", F.round("pcc", 5).alias("pcc"), F.round("z", 3).alias("z"), r6("p", "p"), "n_shifts")
+
+
 RATES = [(s, c, round(1.0 + ((s * 5 + c * 3) % 7) * 0.75, 4)) for s in range(6) for c in range(CELLS)]
 
 

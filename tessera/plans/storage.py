@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import gaussian_weights
 from ..operators import asof, detect, envelopes, fields, ranks
 from ..sources import frames, tables
 from ..sources.tables import scratch, table
 from ..streaming import live
-from .registry import EV, days, events, hours, query, r6
+from .registry import EV, days, events, hours, query, r6, values_sql
 
 # --- result tables ---------------------------------------------------------------------------------
 
@@ -179,6 +180,34 @@ def exact_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHUFFLES = 500
 
 
+def running_slots(ev: DataFrame, moving: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Ten-minute slots with an event that ``moving`` marks, numbered, with their hour of day; and the spikes of forty cells in them."""
+    ev = ev.withColumn("slot10", F.floor(F.col("us") / 600_000_000))
+    # One row a slot, so that this one window is over the recording's length, not its events
+    running = ev.where(moving).select("slot10", "bin").distinct().withColumn("slot", F.row_number().over(Window.orderBy("slot10")) - 1).withColumn("session", F.lit("s"))
+    cells = ev.join(running.select("session", "slot10", "slot"), "slot10").groupBy("session", (F.col("user_id") % 40).alias("cell"), "slot").agg(F.count(F.lit(1)).alias("k"))
+    return running.select("session", "slot", "bin"), cells
+
+
+SMOOTH = [(a, b, w) for a in range(24) for b, w in zip(range(a - 4, a + 5), gaussian_weights(1.0), strict=True)]
+
+
+@query(f"""WITH {EV}, run AS (SELECT slot10, bin, row_number() OVER (ORDER BY slot10) - 1 AS slot FROM (SELECT DISTINCT us // 600000000 AS slot10, bin FROM ev WHERE event_type = 'purchase')), size AS (SELECT count(*) AS n FROM run),
+kern AS (SELECT a, (b + 24) % 24 AS b, w FROM {values_sql(SMOOTH, "t(a, b, w)")}), raw AS (SELECT b.bin, 600 * count(slot) AS o FROM range(24) b(bin) LEFT JOIN run USING (bin) GROUP BY b.bin), occ AS (SELECT b AS bin, any_value(r2.o) AS o, sum(raw.o * w) AS so FROM raw JOIN kern ON raw.bin = a JOIN raw r2 ON r2.bin = b GROUP BY b),
+c AS (SELECT user_id % 40 AS cell, slot, count(*) AS k FROM ev JOIN run ON run.slot10 = us // 600000000 GROUP BY ALL), cells AS (SELECT DISTINCT cell FROM c),
+sh AS (SELECT cell, k AS shuffle_id, CASE WHEN k = 0 THEN 0 ELSE 1 + ('0x' || substr(md5('0:' || cell || ':' || k), 1, 12))::BIGINT % (n - 2) END AS shift FROM range({SHUFFLES + 1}) t(k), size, cells),
+m AS (SELECT cell, shuffle_id, run.bin, sum(k) AS n FROM c JOIN sh USING (cell) CROSS JOIN size JOIN run ON run.slot = (c.slot + shift) % size.n GROUP BY ALL),
+r AS (SELECT cell, shuffle_id, b AS bin, sum(m.n * w) / any_value(so) AS r, any_value(o) AS o FROM m JOIN kern ON m.bin = a JOIN occ ON occ.bin = b WHERE o >= 40000 GROUP BY cell, shuffle_id, b),
+v AS (SELECT *, o / (SELECT sum(o) FROM occ WHERE o >= 40000) AS q, sum(r * o) OVER (PARTITION BY cell, shuffle_id) / (SELECT sum(o) FROM occ WHERE o >= 40000) AS mean FROM r),
+i AS (SELECT cell, shuffle_id, round(sum(CASE WHEN r > 0 THEN q * r / mean * log2(r / mean) ELSE 0 END), 7) AS info FROM v GROUP BY ALL)
+SELECT a.cell, a.info, round(avg(b.info), 6) AS null_mean, round((a.info - avg(b.info)) / stddev_pop(b.info), 4) AS info_z, round((1 + count(*) FILTER (b.info >= a.info)) / {SHUFFLES + 1}.0, 6) AS p FROM i a JOIN i b ON a.cell = b.cell AND a.shuffle_id = 0 AND b.shuffle_id > 0 GROUP BY a.cell, a.info""")
+def running_time_null_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same null as place cells are tested by: smoothed rates, no rate in hours seldom visited, shifts seeded by cell. Slots with a purchase are the running ones."""
+    running, cells = running_slots(events(spark, sf_dir), "event_type = 'purchase'")
+    out = fields.shift_null(cells, running, ["cell"], fields.seeded_shifts(SHUFFLES), n_bins=24, slot_s=600.0, sigma=1.0, min_occupancy=40_000.0)
+    return out.select("cell", "info", r6("null_mean", "null_mean"), F.round("info_z", 4).alias("info_z"), r6("p", "p"))
+
+
 @query(f"""WITH {EV}, run AS (SELECT slot10, bin, row_number() OVER (ORDER BY slot10) - 1 AS slot FROM (SELECT DISTINCT us // 600000000 AS slot10, bin FROM ev)), size AS (SELECT count(*) AS n FROM run),
 occ AS (SELECT bin, count(*) AS o FROM run GROUP BY bin), sp AS (SELECT user_id % 40 AS cell, slot FROM ev JOIN run ON run.slot10 = us // 600000000), c AS (SELECT cell, slot, count(*) AS k FROM sp GROUP BY ALL),
 sh AS (SELECT k AS shuffle_id, CASE WHEN k = 0 THEN 0 ELSE (k * 7919) % n END AS shift FROM range({SHUFFLES + 1}) t(k), size), m AS (SELECT cell, shuffle_id, run.bin, sum(k) AS n FROM c CROSS JOIN sh CROSS JOIN size JOIN run ON run.slot = (c.slot + shift) % size.n GROUP BY ALL),
@@ -186,20 +215,9 @@ i AS (SELECT cell, shuffle_id, round(sum(m.n / t.n * log2((m.n / occ.o) / (t.n /
 SELECT a.cell, a.info AS observed, count(*) FILTER (b.info >= a.info) AS n_at_least, round((1 + count(*) FILTER (b.info >= a.info)) / {SHUFFLES + 1}.0, 6) AS p FROM i a JOIN i b ON a.cell = b.cell AND a.shuffle_id = 0 AND b.shuffle_id > 0 GROUP BY a.cell, a.info""")
 def running_time_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Information about the hour against 500 circular shifts through compressed running time (ten-minute slots with any event)."""
-    ev = events(spark, sf_dir).withColumn("slot10", F.floor(F.col("us") / 600_000_000))
-    # One row a slot, so that this one window is over the recording's length, not its events
-    running = ev.select("slot10", "bin").distinct().withColumn("slot", F.row_number().over(Window.orderBy("slot10")) - 1).withColumn("session", F.lit("s")).withColumn("lap", F.lit(0))
-    slots = ev.join(running.select("slot10", "slot"), "slot10").groupBy((F.col("user_id") % 40).alias("cell"), "slot").agg(F.count(F.lit(1)).alias("k")).withColumn("session", F.lit("s")).withColumn("bin", F.lit(0)).withColumn("lap", F.lit(0))
-    size = running.agg(F.count(F.lit(1)).alias("n"))
-    shifts = spark.range(SHUFFLES + 1).crossJoin(F.broadcast(size)).select(F.col("id").alias("shuffle_id"), ((F.col("id") * 7919) % F.col("n")).alias("shift"))
-    moved = fields.shifted_spikes(slots, running, F.broadcast(shifts), []).groupBy("cell", "shuffle_id", "bin").agg(F.sum("k").alias("m"))
-    occ, total = running.groupBy("bin").agg(F.count(F.lit(1)).alias("o")), slots.groupBy("cell").agg(F.sum("k").alias("t"))
-    share = F.col("m") / F.col("t")
-    each = moved.join(occ, "bin").join(total, "cell").crossJoin(F.broadcast(size)).groupBy("cell", "shuffle_id").agg(F.round(F.sum(share * F.log2((F.col("m") / F.col("o")) / (F.col("t") / F.col("n")))), 7).alias("info"))
-    own = Window.partitionBy("cell")
-    rows = each.withColumn("observed", F.max(F.when(F.col("shuffle_id") == 0, F.col("info"))).over(own)).where("shuffle_id > 0")
-    n = F.count_if(F.col("info") >= F.col("observed"))
-    return rows.groupBy("cell", "observed").agg(n.alias("n_at_least")).select("cell", "observed", "n_at_least", r6((1 + F.col("n_at_least")) / (SHUFFLES + 1.0), "p"))
+    running, cells = running_slots(events(spark, sf_dir))
+    out = fields.shift_null(cells, running, ["cell"], fields.multiple_shifts(SHUFFLES, 7919), n_bins=24)
+    return out.select("cell", F.col("info").alias("observed"), "n_at_least", r6("p", "p"))
 
 
 # --- streams: the batch result, from rows that arrive one micro-batch after the other ---------------
