@@ -104,6 +104,18 @@ def hash_share(id_column: str | list[str], rows: int, bound: int) -> Column:
     return F.pmod(F.xxhash64(*([id_column] if isinstance(id_column, str) else id_column)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
+def bounded(rows: DataFrame, key: list[str], size: Column, most_rows: int, most_bytes: int) -> DataFrame:
+    """At most ``most_rows`` of ``rows`` with at most ``most_bytes`` in all, those with the smallest hash of ``key``: the same in each run.
+
+    Each task keeps its own smallest ones first. Rows equal in ``key`` that cross the bound in bytes go together.
+    """
+    (by,) = fresh(rows, "_by")
+    kept = materialize(rows.withColumn(by, F.xxhash64(*key)).orderBy(by, *key).limit(most_rows), "sample")
+    upto = Window.orderBy(by)  # of at most most_rows narrow rows; equal hashes share one sum
+    over = kept.select(by, size.cast("long").alias("_size")).select(by, F.sum("_size").over(upto).alias("_upto")).where(F.col("_upto") > most_bytes).agg(F.min(by)).first()[0]
+    return (kept if over is None else kept.where(F.col(by) < over)).drop(by)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns that an operator is about to write under these names."""
     return df.drop(*names)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hands_memory_back, hash_share, slices, small_batches, without
@@ -155,32 +155,39 @@ def fit(texts: list[str], langs: list[str], *, bits: int = 16, dim: int = 16, ep
 
 
 @hands_memory_back
-def train_language_model(df: DataFrame, *, text: str = "text", lang: str = "lang", id_column: str = "doc_id", where: Column | None = None, per_language: int = 1500, bytes_per_language: int = 24 << 20, most_languages: int = 500, **settings) -> LanguageModel | None:
-    """Fit on at most about ``per_language`` labelled rows of each language, chosen by a hash of the id.
+def train_language_model(df: DataFrame, *, text: str = "text", lang: str = "lang", id_column: str = "doc_id", where: Column | None = None, per_language: int = 1500, bytes_per_language: int = 24 << 20, most_bytes: int = 192 << 20, most_languages: int = 500, **settings) -> LanguageModel | None:
+    """Fit on at most ``per_language`` labelled rows of each language, chosen by a hash of id and text.
 
     The sample's whole texts come to the driver; where a language's rows are long, fewer are taken, so that
-    they have about ``bytes_per_language`` in all. ValueError beyond ``most_languages``. Rows without text
-    or language teach nothing; an empty table gives None.
+    they have ``bytes_per_language`` at most, and all languages ``most_bytes``; texts of over an eighth of a language's
+    share are not learned from. Of more than ``most_languages``
+    the commonest are learned. Repeated rows teach once, rows without text or language nothing; an empty
+    table gives None.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull())
     known = known.where(where) if where is not None else known
-    counts = known.groupBy(lang).agg(F.count(F.lit(1)), F.sum(F.octet_length(text).cast("long"))).limit(most_languages + 1).collect()
+    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text).cast("long")).alias("size")).orderBy(F.desc("n"), lang).limit(most_languages).collect()
     if not counts:
         return None
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    share = min(bytes_per_language, most_bytes // len(counts))
     chosen = F.lit(False)
     for name, n, size in sorted(counts):
-        chosen = chosen | ((F.col(lang) == name) & hash_share(id_column, n, min(per_language, n * bytes_per_language // max(1, size))))
-    rows = sorted(known.where(chosen).select(id_column, text, lang).collect(), key=lambda r: (r[0], r[2], r[1]))
-    return fit([r[1] for r in rows], [r[2] for r in rows], **settings)
+        chosen = chosen | ((F.col(lang) == name) & hash_share([id_column, text], n, min(per_language, n * share // max(1, size))))
+    rows = known.where(chosen & (F.octet_length(text) <= share // 8)).select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).dropDuplicates()
+    # What an id with very many rows brings beyond the bounds goes; each task drops most of it by itself.
+    by = Window.partitionBy("lang").orderBy("_by", "id", "text")
+    rows = rows.withColumn("_by", F.xxhash64("id", "text")).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_language)
+    rows = rows.withColumn("_size", F.sum(F.octet_length("text").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_size") <= share)
+    sample = sorted(rows.select("id", "text", "lang").collect(), key=lambda r: (r[0], r[2], r[1]))
+    return fit([r[1] for r in sample], [r[2] for r in sample], **settings)
 
 
 def predict_language(df: DataFrame, model: LanguageModel | None, *, text: str = "text") -> DataFrame:
     """Every row of ``df`` with lang_pred, lang_score (0 to 1) and lang_accepted.
 
     Null texts and texts without a letter get ``und``, 0.0, false; so does every row if the model is
-    None. Further columns pass through; columns of these three names are replaced.
+    None. Rows are judged one by one and whole, repeated ones alike; a very long text is folded in pieces
+    in its row's task. Further columns pass through; columns of these three names are replaced.
     """
     small_batches(df.sparkSession)
     df = without(df, "lang_pred", "lang_score", "lang_accepted")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, hands_memory_back, hash_share, slices, small_batches, without
+from .common import Cache, bounded, hands_memory_back, hash_share, slices, small_batches, without
 
 BITS = 16
 MOST_WORDS, MEMO_BYTES = 200_000, 40 << 20  # memo of a worker
@@ -194,8 +194,8 @@ def _views(batch: pa.RecordBatch, names: list[str], memo: dict) -> list[list]:
 
 
 @hands_memory_back
-def train_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", id_column: str = "doc_id", label: str = "quality", where: Column | None = None, most_rows: int = 6000, most_pool: int = 4000, **settings) -> QualityModel | None:
-    """Fit on at most about ``most_rows`` labelled and at most ``most_pool`` unlabelled rows, each chosen by a hash of the id.
+def train_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", id_column: str = "doc_id", label: str = "quality", where: Column | None = None, most_rows: int = 6000, most_pool: int = 4000, most_bytes: int = 160 << 20, **settings) -> QualityModel | None:
+    """Fit on at most ``most_rows`` labelled and ``most_pool`` unlabelled rows with ``most_bytes`` of values each, chosen by a hash of the id and then of the row.
 
     Executors turn the chosen whole texts into both views' values; these come to the driver. As an
     unlabelled row is known only there, ``most_pool + most_rows`` rows are drawn for the pool, of which the
@@ -207,8 +207,8 @@ def train_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", lang:
     known = (known.where(where) if where is not None else known).groupBy(id_column).agg(F.min(label).cast("int").alias("_label"))
     chosen = known.where(hash_share(id_column, known.count(), most_rows))
     rows = df.where(F.col(id_column).isNotNull()).select(id_column, F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(source).alias("_source"))
-    part = rows.where(hash_share(id_column, rows.count(), most_pool + most_rows)).withColumn("_label", F.lit(None).cast("int"))
-    both = rows.join(F.broadcast(chosen), id_column).unionByName(part)  # chosen is bounded
+    part = rows.where(hash_share([id_column, "_text"], rows.count(), most_pool + most_rows)).withColumn("_label", F.lit(None).cast("int"))
+    named = rows.join(F.broadcast(chosen), id_column)  # chosen is bounded in ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Cache(word_values, MOST_WORDS, MEMO_BYTES)
@@ -221,7 +221,11 @@ def train_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", lang:
         half = len(data) // 2
         return np.frombuffer(data[:half], "<u4").astype(np.int64), np.frombuffer(data[half:], "<f4").astype(float)
 
-    found = both.mapInArrow(run, "id long, label int, content binary, page binary").toArrow().to_pylist()
+    size = F.octet_length("content") + F.octet_length("page")
+    found = []
+    for rows, most in ((named, most_rows), (part, most_pool + most_rows)):
+        views = rows.mapInArrow(run, "id long, label int, content binary, page binary")
+        found += bounded(views, ["id", "content", "page"], size, most, most_bytes).toArrow().to_pylist()
     found.sort(key=lambda r: (r["id"], r["label"] is None, r["content"], r["page"]))
     labelled = [r for r in found if r["label"] is not None]
     ids = {r["id"] for r in labelled}

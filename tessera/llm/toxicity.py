@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, hands_memory_back, hash_share, slices, small_batches, without
+from .common import Cache, bounded, hands_memory_back, hash_share, slices, small_batches, without
 
 WORD = re.compile(r"[^\W_]+")
 BITS = 22
@@ -141,12 +141,12 @@ def fit(features: list[np.ndarray], labels: np.ndarray, *, most_terms: int = 819
 
 
 @hands_memory_back
-def train_toxicity(df: DataFrame, labels: DataFrame, *, text: str = "text", id_column: str = "doc_id", label: str = "toxic", where: Column | None = None, most_rows: int = 20_000, **settings) -> ToxicityModel:
-    """Fit on at most about ``most_rows`` labelled rows, chosen by a hash of the id.
+def train_toxicity(df: DataFrame, labels: DataFrame, *, text: str = "text", id_column: str = "doc_id", label: str = "toxic", where: Column | None = None, most_rows: int = 20_000, most_bytes: int = 160 << 20, **settings) -> ToxicityModel:
+    """Fit on at most ``most_rows`` labelled rows with ``most_bytes`` of terms, chosen by a hash of the id and then of id and terms.
 
-    Executors turn the sample's whole texts into distinct term hashes; these come to the driver,
-    bounded by ``most_rows``. Rows with a null id or label teach nothing. An id that has several
-    labels counts as 1 if any is.
+    Executors turn the sample's whole texts into distinct term hashes; these come to the driver.
+    Rows with a null id or label teach nothing. An id that has several labels counts as 1 if any is; one that
+    has very many rows is cut at the same bounds. Empty tables give the prior.
     """
     small_batches(df.sparkSession)
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull())
@@ -160,7 +160,8 @@ def train_toxicity(df: DataFrame, labels: DataFrame, *, text: str = "text", id_c
             terms = [distinct_terms(t, memo).tobytes() for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), batch.column(2).cast(pa.int32())], names=["id", "terms", "label"])
 
-    found = rows.mapInArrow(run, "id long, terms binary, label int").toArrow().to_pydict()
+    terms = rows.mapInArrow(run, "id long, terms binary, label int")
+    found = bounded(terms, ["id", "terms"], F.octet_length("terms"), most_rows, most_bytes).toArrow().to_pydict()
     order = sorted(range(len(found["id"])), key=lambda i: (found["id"][i], found["terms"][i]))
     return fit([np.frombuffer(found["terms"][i], "<u4") for i in order], np.array([found["label"][i] for i in order]) > 0, **settings)
 
@@ -168,8 +169,9 @@ def train_toxicity(df: DataFrame, labels: DataFrame, *, text: str = "text", id_c
 def score_toxicity(df: DataFrame, model: ToxicityModel, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Every row of ``df`` with toxicity (0 to 1) and is_toxic (1 from ``threshold`` on).
 
-    Null and empty texts have no terms and get the prior. Columns of these two names are replaced,
-    further ones pass through.
+    Null and empty texts have no terms and get the prior. Rows are scored one by one and whole: repeated rows
+    score alike, a very long text is one row's work in a task, an empty table stays empty. Columns of these two
+    names are replaced, further ones pass through.
     """
     small_batches(df.sparkSession)
     df = without(df, "toxicity", "is_toxic")

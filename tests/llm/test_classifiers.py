@@ -219,3 +219,32 @@ def test_a_fit_hands_its_memory_back():
     assert fit(400_000) == 400_000 and held() - before < 40
     with pytest.raises(ValueError, match="no model"):
         fit(10, fails=True)
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """30,000 different rows of one labelled id, and as many copies of one row of another."""
+    docs = spark.range(60_000).select(F.when(F.col("id") < 30_000, 1).otherwise(2).cast("long").alias("doc_id"), F.when(F.col("id") < 30_000, F.concat(F.lit("der hund "), F.col("id").cast("string"), F.lit(" x"))).otherwise("the cat").alias("text"), F.lit("de").alias("lang"), F.lit("a").alias("source"))
+    return docs, spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("most", [{"most_rows": 10}, {"most_rows": 50_000, "most_bytes": 900}])
+def test_samples_of_a_hot_id_are_bounded(hot, monkeypatch, most):
+    docs, labels = hot
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda features, y, **_: seen.append((len(features), sum(f.nbytes for f in features))))
+    toxicity.train_toxicity(docs, labels, **most)
+    monkeypatch.setattr(quality, "fit", lambda views, y, pool, **_: seen.append((len(y), 0)) or seen.append((len(pool[0]), 0)))
+    quality.train_quality(docs, labels, most_pool=10, **most)
+    assert all(n <= most["most_rows"] and size <= most.get("most_bytes", size) for n, size in seen) and len(seen) == 3
+    if "most_bytes" in most:
+        assert all(n < 100 for n, _ in seen)
+
+
+def test_language_sample_of_a_hot_id_is_bounded(hot, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs, **_: seen.append((len(texts), sum(map(len, texts)))))
+    langid.train_language_model(hot[0], per_language=20)
+    langid.train_language_model(hot[0], per_language=50_000, most_bytes=1000)
+    langid.train_language_model(hot[0].withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string"))), most_languages=1, per_language=10)
+    assert 0 < seen[0][0] <= 20 and 0 < seen[1][1] <= 1000 and 0 < seen[2][0] <= 10
