@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import gaussian_weights
+from ..functions.kernels import gaussian_weights, smooth_numpy
 from ..operators import asof, detect, envelopes, fields, ranks
 from ..sources import frames, tables
 from ..sources.tables import scratch, table
-from ..streaming import live
+from ..streaming import live, stateful
 from .registry import EV, days, events, hours, query, r6, values_sql
 
 # --- result tables ---------------------------------------------------------------------------------
@@ -233,6 +233,18 @@ def event_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def arrivals(spark: SparkSession, rows: DataFrame, ts: str, closing: DataFrame, parts: int = 4) -> DataFrame:
+    """Rows as a stream of ``parts`` spans of time, each of several files in any order, and last a row far ahead that moves the watermark past all."""
+    path = scratch(spark, "arrivals")
+    at = F.unix_micros(ts)
+    ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    dealt = rows.join(ends).withColumn("part", F.floor((at - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1)))
+    for k in range(parts):
+        dealt.where(F.col("part") == k).select(*rows.columns).repartition(4).write.mode("append").parquet(path)
+    closing.select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
 def run_stream(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return live.drained(stream, scratch(spark, "arrived"), scratch(spark, "progress"), mode=mode)
 
@@ -264,3 +276,43 @@ def stream_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir).select("user_id", "ts", (F.col("value") - 50).alias("x"))
     out = run_stream(spark, live.latched(rows, "x", 25.0, "user_id"), "append")
     return out.select("user_id", (F.unix_micros("ts") - 1_704_067_200_000_000).alias("us"), "latch", "late")
+
+
+TENS = """tr AS (SELECT t.event_type, h.i * 6 + k.k AS i, coalesce(n.n, 0)::DOUBLE AS v FROM hours h CROSS JOIN (SELECT range AS k FROM range(6)) k CROSS JOIN (SELECT DISTINCT event_type FROM ev) t LEFT JOIN (SELECT event_type, us // 600000000 AS i, count(*) AS n FROM ev GROUP BY ALL) n ON n.event_type = t.event_type AND n.i = h.i * 6 + k.k)"""
+
+
+def ten_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_type, i, t, v, ts: events of each type by ten minutes, the empty ones too."""
+    ev = events(spark, sf_dir)
+    n = ev.groupBy("event_type", F.floor(F.col("us") / 600_000_000).alias("i")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    grid = hours(ev).select(F.explode(F.sequence(F.col("i") * 6, F.col("i") * 6 + 5)).alias("i")).crossJoin(ev.select("event_type").distinct())
+    return grid.join(n, ["event_type", "i"], "left").select("event_type", "i", (F.col("i") * 600.0).alias("t"), F.coalesce("v", F.lit(0.0)).alias("v"), F.timestamp_seconds(F.col("i") * 600).alias("ts"))
+
+
+def ten_minute_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream; the type ``~`` closes it."""
+    rows = ten_minutes(spark, sf_dir)
+    last = rows.agg(F.max("i").alias("i")).select(F.lit("~").alias("event_type"), "i", F.lit(0.0).alias("t"), F.lit(0.0).alias("v"), F.timestamp_seconds(F.col("i") * 600 + 366 * 86_400).alias("ts"))
+    return arrivals(spark, rows, "ts", last)
+
+
+@query(f"""WITH {EV}, {TENS}, b AS (SELECT event_type, round(avg(v), 6) AS lo, round(avg(v) + 1.5 * stddev_pop(v), 6) AS hi FROM tr GROUP BY event_type), f AS (SELECT tr.*, v >= lo AND v > 0 AS low, v >= hi AS high FROM tr JOIN b USING (event_type)),
+r AS (SELECT event_type, min(i) AS a, max(i) AS z FROM (SELECT *, i - row_number() OVER (PARTITION BY event_type ORDER BY i) AS island FROM f WHERE low) GROUP BY event_type, island HAVING bool_or(high)),
+m AS (SELECT event_type, min(a) AS first, max(z) AS last FROM (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY a) AS e FROM (SELECT *, CASE WHEN a - lag(z) OVER (PARTITION BY event_type ORDER BY a) < 3 THEN 0 ELSE 1 END AS new FROM r)) GROUP BY event_type, e)
+SELECT m.event_type, first * 600.0::DOUBLE AS start, arg_max(t.i, (t.v, -t.i)) * 600.0::DOUBLE AS peak, (last + 1) * 600.0::DOUBLE AS "end", max(t.v) AS peak_value FROM m JOIN tr t ON t.event_type = m.event_type AND t.i BETWEEN first AND last WHERE last - first + 1 BETWEEN 2 AND 24 GROUP BY ALL""")
+def stream_two_threshold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-threshold events on a stream: open run, candidate, merge and duration rule live in state; timers end what nothing can change any more."""
+    stream = ten_minute_stream(spark, sf_dir)
+    base = ten_minutes(spark, sf_dir).groupBy("event_type").agg(F.round(F.avg("v"), 6).alias("lo"), F.round(F.avg("v") + 1.5 * F.stddev_pop("v"), 6).alias("hi"))
+    rows = stream.join(base, "event_type", "left")
+    found = stateful.two_threshold_events(rows, "event_type", low=F.greatest(F.col("lo"), F.lit(1e-9)), high=F.col("hi"), merge_gap=1800.0, min_duration=1200.0, max_duration=4 * 3600.0, dt=600.0, idle=86_400.0, late="10 days")
+    return run_stream(spark, found, "append")
+
+
+@query(f"""WITH {EV}, {TENS}, kern AS (SELECT * FROM {values_sql([(k - 8, w) for k, w in enumerate(gaussian_weights(2.0))], "t(k, w)")}), ends AS (SELECT min(i) AS lo, max(i) AS hi FROM tr)
+SELECT a.event_type, a.i, a.v, round(sum(b.v * w), 6) AS filtered FROM tr a CROSS JOIN ends CROSS JOIN kern JOIN tr b ON b.event_type = a.event_type AND b.i = least(greatest(a.i + k, lo), hi) GROUP BY a.event_type, a.i, a.v""")
+def stream_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothing on a stream to its very end: the last samples of a key leave once it is idle."""
+    rows = ten_minute_stream(spark, sf_dir)
+    out = run_stream(spark, stateful.filtered(rows, "event_type", lambda x: smooth_numpy(x, 2.0), 16, idle=86_400.0, late="10 days"), "append").where("event_type <> '~'")
+    return out.select("event_type", "i", "v", r6("filtered", "filtered"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .stateful import STORE
+
 
 def binned_counts(stream: DataFrame, width: str, keys: list[str], *, ts: str = "ts", late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """keys, start, end, n: counts in tumbling (or sliding) windows of event time; a window is final once the watermark passes it."""
@@ -77,11 +80,30 @@ def halo_filtered(stream: DataFrame, value: str, key: str, i: str, kernel: Calla
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (value, "filtered")})
 
 
+@contextmanager
+def set_for_now(spark: SparkSession, *settings: tuple[str, str]) -> Iterator[None]:
+    """Settings of the session that hold inside, and no longer."""
+    before = {key: spark.conf.get(key, None) for key, _ in settings}
+    try:
+        for key, value in settings:
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> DataFrame:
     """Run a stream over all input there is now and return its result as a table at ``path``.
 
     append: rows that are final; complete: all rows as of the last micro-batch, each of which writes them anew.
+    State is kept in RocksDB, which operators with timers need.
     """
+    with set_for_now(stream.sparkSession, STORE):
+        return _drained(stream, path, checkpoint, mode)
+
+
+def _drained(stream: DataFrame, path: str, checkpoint: str, mode: str) -> DataFrame:
     spark = stream.sparkSession
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -65,3 +65,70 @@ def test_a_filter_goes_on_over_batches(spark, tmp_path):
     want = smooth_numpy(np.array(values[1]), 1.0)
     assert {(r["k"], r["s"]): round(r["filtered"], 9) for r in got if not r["late"]} == {(1, s): round(want[s], 9) for s in range(56)}
     assert [(r["k"], r["s"], r["v"], r["filtered"]) for r in got if r["late"]] == [(1, 5, 9.0, None)]
+
+
+def arriving(spark, tmp_path, parts):
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "k int, i long, v double").select("k", "i", (F.col("i") * 1.0).alias("t"), "v", F.timestamp_seconds("i").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/p={k}")
+    return spark.readStream.schema("k int, i long, t double, v double, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+
+
+def test_two_thresholds_on_a_stream(spark, tmp_path):
+    """Samples out of order inside a span, missing samples, NULLs, silences: the batch detector's events."""
+    import random
+
+    from tessera.operators import detect
+    from tessera.streaming import stateful
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(3):
+        i = k
+        while i < 400:
+            rows.append((k, i, None if rng.random() < 0.02 else float(rng.choice([0, 0, 1, 2, 2, 3, 4]))))
+            i += 1 if rng.random() < 0.95 else rng.choice([2, 3, 5, 60])
+    parts = [[r for r in rows if lo <= r[1] < lo + 37] for lo in range(0, 400, 37)]
+    for part in parts:
+        rng.shuffle(part)
+    settings = {"merge_gap": 3.0, "min_duration": 2.0, "max_duration": 12.0, "dt": 1.0}
+    stream = arriving(spark, tmp_path, [*parts, [(9, 100_000, 0.0)]])
+    found = stateful.two_threshold_events(stream, "k", low=F.lit(2.0), high=F.lit(4.0), idle=20.0, late="40 seconds", **settings)
+    got = live.drained(found, f"{tmp_path}/out", f"{tmp_path}/check").collect()
+    trace = spark.createDataFrame(rows, "k int, i long, v double").withColumn("t", F.col("i") * 1.0)
+    want = detect.two_threshold(trace, ["k"], low=F.lit(2.0), high=F.lit(4.0), **settings).collect()
+    shown = lambda x: sorted((r["k"], r["start"], r["peak"], r["end"], r["peak_value"]) for r in x)
+    assert shown(got) == shown(want) and len(got) > 20
+
+
+def test_events_leave_before_the_stream_ends(spark, tmp_path):
+    """An event is given as soon as the watermark shows that nothing merges with it any more; its key's state goes when it is idle."""
+    from tessera.streaming import stateful
+
+    parts = [[(1, i, v) for i, v in enumerate([0.0, 5.0, 5.0, 0.0, 0.0, 0.0, 0.0])], [(1, i, 0.0) for i in range(7, 12)], [(2, 500, 0.0)], [(1, 600, 5.0), (1, 601, 5.0)], [(2, 5000, 0.0)], [(1, 7, 9.0)]]
+    stream = arriving(spark, tmp_path, parts)
+    found = stateful.two_threshold_events(stream, "k", low=F.lit(2.0), high=F.lit(4.0), merge_gap=2.0, min_duration=1.0, max_duration=9.0, dt=1.0, idle=50.0)
+    with live.set_for_now(spark, stateful.STORE):
+        q = found.writeStream.format("memory").queryName("early").outputMode("append").start()
+        try:
+            q.processAllAvailable()
+            assert sorted((r["k"], r["start"], r["end"]) for r in spark.table("early").collect()) == [(1, 1.0, 3.0), (1, 600.0, 602.0)]
+            left = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda x: __import__("json").loads(x.json), q.recentProgress) if p["stateOperators"]]
+            assert left[-1] < max(left)
+        finally:
+            q.stop()
+
+
+def test_a_filter_gives_its_last_samples(spark, tmp_path):
+    """Out of order inside a span; the end of a trace and a silence inside it are ends alike; NULLs count as NaN."""
+    import numpy as np
+    from tessera.streaming import stateful
+
+    rng = np.random.default_rng(5)
+    traces = {(1, 0): rng.normal(size=60), (1, 1000): rng.normal(size=9), (2, 3): rng.normal(size=2)}
+    rows = [(k, first + j, float(v)) for (k, first), own in traces.items() for j, v in enumerate(own)]
+    parts = [[r for r in rows if lo <= r[1] < hi][::-1] for lo, hi in ((0, 25), (25, 26), (26, 500), (500, 2000))]
+    out = stateful.filtered(arriving(spark, tmp_path, [*parts, [(9, 100_000, 0.0)]]), "k", lambda x: smooth_numpy(x, 1.0), 4, idle=100.0, late="40 seconds")
+    got = {(r["k"], r["i"]): r["filtered"] for r in live.drained(out, f"{tmp_path}/out", f"{tmp_path}/check").where("k < 9").collect()}
+    assert len(got) == len(rows)
+    for (k, first), own in traces.items():
+        assert np.allclose([got[k, first + j] for j in range(len(own))], smooth_numpy(own, 1.0))
