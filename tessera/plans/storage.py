@@ -82,18 +82,22 @@ def list_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- recordings ------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {EV}, n AS (SELECT us // 3600000000 AS i, user_id % 6 AS c, count(*) AS n FROM ev GROUP BY ALL) SELECT h.i - lo.i AS i, k.c, coalesce(n, 0)::SMALLINT::INT AS v FROM hours h CROSS JOIN (SELECT min(i) AS i FROM hours) lo CROSS JOIN (VALUES (5), (2)) k(c) LEFT JOIN n ON n.i = h.i AND n.c = k.c WHERE h.i - lo.i >= 100 AND h.i - lo.i < 500""")
-def frames_of_a_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by hour of six groups as a recording; two channels of a window are read back, the rest never leaves the file."""
-    ev = events(spark, sf_dir)
+def hourly_frames(ev: DataFrame) -> DataFrame:
+    """i, values: events of six groups of users by hour, as frames of six channels."""
     n = ev.groupBy(F.floor(F.col("us") / 3_600_000_000).alias("i"), (F.col("user_id") % 6).cast("int").alias("c")).agg(F.count(F.lit(1)).cast("smallint").alias("v"))
     row = n.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"))
     first = days(ev).agg(F.min("day").cast("long").alias("d0"))
-    grid = hours(ev).crossJoin(F.broadcast(first)).select("i", (F.col("i") - F.col("d0") * 24).alias("at"))
-    whole = grid.join(row, "i", "left")
+    grid = hours(ev).join(first).select("i", (F.col("i") - F.col("d0") * 24).alias("at"))
     values = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("smallint")))
+    return grid.join(row, "i", "left").select(F.col("at").alias("i"), values.alias("values"))
+
+
+@query(f"""WITH {EV}, n AS (SELECT us // 3600000000 AS i, user_id % 6 AS c, count(*) AS n FROM ev GROUP BY ALL) SELECT h.i - lo.i AS i, k.c, coalesce(n, 0)::SMALLINT::INT AS v FROM hours h CROSS JOIN (SELECT min(i) AS i FROM hours) lo CROSS JOIN (VALUES (5), (2)) k(c) LEFT JOIN n ON n.i = h.i AND n.c = k.c WHERE h.i - lo.i >= 100 AND h.i - lo.i < 500""")
+def frames_of_a_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by hour of six groups as a recording; two channels of a window are read back, the rest never leaves the file."""
+    whole = hourly_frames(events(spark, sf_dir))
     path = scratch(spark, "frames")
-    frames.write_frames(whole.select(F.col("at").alias("i"), values.alias("values")), path, 6)
+    frames.write_frames(whole, path, 6)
     read = frames.read_frames(spark, path, n_channels=6, rate_hz=1.0, session="s", channels=[5, 2]).where("i >= 100 and i < 500")
     return read.select("i", F.posexplode("values").alias("k", "v")).select("i", F.when(F.col("k") == 0, 5).otherwise(2).alias("c"), F.col("v").cast("int").alias("v"))
 
@@ -175,6 +179,21 @@ def exact_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("grp", "bin", "n1", "n2", "u", r6(ranks.mann_whitney_p("u", "n1", "n2", "z", F.lit(False)), "p"))
 
 
+@query(f"""WITH {EV}, n AS (SELECT us // 3600000000 AS i, (user_id % 6)::INT AS c, count(*) AS n FROM ev GROUP BY ALL), lo AS (SELECT min(i) AS i FROM hours)
+SELECT k.c, (h.i - lo.i) // 24 AS day, count(*) AS n_frames, sum(coalesce(n.n, 0))::BIGINT AS total FROM hours h CROSS JOIN lo CROSS JOIN (SELECT range::INT AS c FROM range(6)) k LEFT JOIN n ON n.i = h.i AND n.c = k.c GROUP BY ALL""")
+def frames_of_a_growing_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over a recording that is appended to: it stops, the recording grows, it goes on from its checkpoint; each frame comes once."""
+    whole = hourly_frames(events(spark, sf_dir))
+    path, arrived, progress = (scratch(spark, name) for name in ("growing", "arrived", "progress"))
+    half = F.col("i") < F.lit(361)
+    for part, later in ((whole.where(half), False), (whole.where(~half), True)):
+        frames.write_frames(part, path, 6, append=later)
+        stream = frames.stream_frames(spark, path, n_channels=6, rate_hz=1.0, session="s").select("i", "values")
+        got = live.drained(stream, arrived, progress)
+    each = got.select("i", F.posexplode("values").alias("c", "v"))
+    return each.groupBy("c", F.floor(F.col("i") / 24).alias("day")).agg(F.count(F.lit(1)).alias("n_frames"), F.sum("v").alias("total"))
+
+
 # --- a null over running time ----------------------------------------------------------------------
 
 SHUFFLES = 500
