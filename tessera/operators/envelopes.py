@@ -1,7 +1,7 @@
 """Band envelopes of long recordings, channel profiles, and support of events over channels.
 
-A trace is cut into chunks that carry a halo of neighbours, so that each chunk can be filtered alone; the
-halo is cut off again. Frames are rows (i, values ARRAY<SMALLINT>), and only the channels asked for leave
+Filters run over chunks exactly (``filters.zero_phase``). The analytic signal of a chunk is made with a halo of
+neighbours, which is cut off again; a trace of one chunk is transformed whole. Frames are rows (i, values ARRAY<SMALLINT>), and only the channels asked for leave
 the scan.
 """
 
@@ -13,25 +13,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import smooth_numpy
-from ..functions.signal import band_envelope, bandpass, top_peaks
+from ..functions.signal import analytic_amplitude, band_envelope, band_sections, bandpass, top_peaks
+from ..sources.tables import written
 from .chunks import with_halo
+from .filters import zero_phase
+from .percentiles import exact_percentiles
 
 CHUNK, HALO = 1 << 21, 1 << 11
+FILTER_CHUNK = 1 << 18
 
 
 def channel_envelope(frames: DataFrame, channels: list[int], *, rate_hz: float, band: tuple[float, float], sigma_ms: float = 0.0, order: int = 3, chunk: int = CHUNK, halo: int = HALO, keys: list[str] | None = None) -> DataFrame:
-    """keys, channel, i, v FLOAT: smoothed band envelope of each channel; chunks don't show in the result beyond rounding."""
+    """keys, channel, i, v FLOAT: smoothed band envelope of each channel; chunks don't show in the result beyond the analytic signal's far reach."""
     keys = keys or ["session"]
     sigma = sigma_ms * rate_hz / 1000
     halo = halo + int(4 * sigma + 0.5)
     long = frames.select(*keys, "i", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.element_at("values", c + 1).cast("double").alias("x")) for c in channels))).alias("_c")).select(*keys, "i", "_c.*")
-    cut = with_halo(long, "i", chunk, halo)
+    passed = zero_phase(long, [*keys, "channel"], band_sections(rate_hz, band, order), chunk=min(chunk, FILTER_CHUNK))
+    cut = with_halo(passed, "i", chunk, halo)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if not pdf["_core"].any():  # only the halo of a chunk beyond the trace
             return pd.DataFrame(columns=[*keys, "channel", "i", "v"])
         pdf = pdf.sort_values("i")
-        env = band_envelope(pdf["x"].to_numpy(), rate_hz, band, order).astype(np.float32)
+        env = analytic_amplitude(pdf["x"].to_numpy()).astype(np.float32)
         if sigma:
             env = smooth_numpy(env, sigma).astype(np.float32)
         return pdf.assign(v=env)[pdf["_core"].to_numpy()][[*keys, "channel", "i", "v"]]
@@ -43,17 +48,18 @@ def channel_envelope(frames: DataFrame, channels: list[int], *, rate_hz: float,
 def channel_profile(frames: DataFrame, channels: list[int], bands: dict[str, tuple[float, float]], *, rate_hz: float, keys: list[str] | None = None, order: int = 3, **pieces) -> DataFrame:
     """keys, channel, band, mean, median, p99 of the envelope, and the raw standard deviation, of the given frames.
 
-    Envelopes are made in pieces (``chunk`` and ``halo`` of channel_envelope), so no task holds a channel;
-    their percentiles are approximate, by a hundred-thousandth of the ranks.
+    Envelopes are made in pieces (``chunk`` and ``halo`` of channel_envelope) and written once; percentiles are exact, and
+    no task holds a channel for them either.
     """
     keys = keys or ["session"]
     value = F.element_at("values", F.col("channel") + 1).cast("double")
     raw = frames.select(*keys, "values", F.explode(F.array(*map(F.lit, channels))).alias("channel")).groupBy(*keys, "channel").agg(F.stddev_pop(value).alias("sd"))
     out = None
     for name, band in bands.items():
-        envelope = channel_envelope(frames, channels, rate_hz=rate_hz, band=band, keys=keys, order=order, **pieces)
-        at = F.percentile_approx(F.col("v").cast("double"), [0.5, 0.99], 100_000)
-        part = envelope.groupBy(*keys, "channel").agg(F.avg("v").alias("mean"), at.alias("_at")).select(*keys, "channel", F.lit(name).alias("band"), "mean", F.col("_at")[0].alias("median"), F.col("_at")[1].alias("p99"))
+        envelope = written(channel_envelope(frames, channels, rate_hz=rate_hz, band=band, keys=keys, order=order, **pieces), "envelope")
+        at = exact_percentiles(envelope, [*keys, "channel"], "v", [0.5, 0.99])
+        mean = envelope.groupBy(*keys, "channel").agg(F.avg("v").alias("mean"))
+        part = mean.join(at, [*keys, "channel"]).select(*keys, "channel", F.lit(name).alias("band"), "mean", F.col("percentiles")[0].alias("median"), F.col("percentiles")[1].alias("p99"))
         out = part if out is None else out.unionByName(part)
     return out.join(raw, [*keys, "channel"])
 

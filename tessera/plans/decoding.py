@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decode, envelopes, sequences, states
+from ..functions import signal
+from ..operators import decode, envelopes, filters, sequences, states
 from ..sources.tables import table
-from .registry import EPOCH, EV, days, epoch_of, events, hours, query, r6
+from .registry import EPOCH, EV, days, epoch_of, events, hours, query, r6, values_sql
 
 CELLS, DT = 12, 3600.0
 
@@ -206,17 +208,62 @@ def hmm_fit_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_states", "seed", "fold", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("held_out_ll", 3).alias("held_out_ll"), "n_iterations", "converged")
 
 
-@query()
-def band_envelope_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Envelope statistics by channel: events by ten minutes of eight groups of users as a recording."""
+BANDS = {"slow": (0.02, 0.08), "fast": (0.1, 0.3)}
+
+
+def tens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, i, values: events by ten minutes of eight groups of users as the frames of a recording."""
     ev = events(spark, sf_dir)
     n = ev.groupBy(F.floor(F.col("us") / 600_000_000).alias("i"), (F.col("user_id") % 8).cast("int").alias("c")).agg(F.sum("value").cast("smallint").alias("v"))
     row = n.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"))
-    tens = days(ev).select("day", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("k")).select((F.col("day").cast("long") * 144 + F.col("k")).alias("i"))
-    grid = tens.join(row, "i", "left")
-    frames = grid.select(F.lit("s").alias("session"), "i", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("smallint"))).alias("values"))
-    bands = {"slow": (0.02, 0.08), "fast": (0.1, 0.3)}
-    return envelopes.channel_profile(frames, list(range(8)), bands, rate_hz=1.0).select("channel", "band", *(F.round(c, 4).alias(c) for c in ("mean", "median", "p99", "sd")))
+    every = days(ev).select("day", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("k")).select((F.col("day").cast("long") * 144 + F.col("k")).alias("i"))
+    return every.join(row, "i", "left").select(F.lit("s").alias("session"), "i", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("smallint"))).alias("values"))
+
+
+def zero_phase_sql(source: str, sections: dict[str, np.ndarray]) -> str:
+    """Cascades of three sections run forwards and backwards by recursion over the samples: CTE ``filtered`` with channel, band, k, v. source: channel, i, v."""
+    pad = filters.extension(next(iter(sections.values())))
+    rows = [(band, *(float(v) for s in sos for v in (*s[:3], *s[4:])), *(float(v) for v in filters.resting(sos).ravel())) for band, sos in sections.items()]
+    names = [f"{c}{k}" for k in (1, 2, 3) for c in ("p", "q", "r", "a", "b")] + [f"z{k}{j}" for k in (1, 2, 3) for j in (1, 2)]
+    state = [f"s{k}{j}" for k in (1, 2, 3) for j in (1, 2)]
+
+    def run(name: str, over: str) -> str:
+        step = "SELECT w.channel, w.band, w.k + 1 AS k, c.*, xs[w.k + 1] AS x0, " + ", ".join(f"w.{s}" for s in state) + f" FROM {name} w JOIN {over} l ON l.channel = w.channel AND l.band = w.band JOIN coef c ON c.name = w.band WHERE w.k < len(xs)"
+        for k in (1, 2, 3):
+            step = f"SELECT *, p{k} * x{k - 1} + s{k}1 AS x{k} FROM ({step})"
+        after = ", ".join(f"q{k} * x{k - 1} - a{k} * x{k} + s{k}2, r{k} * x{k - 1} - b{k} * x{k}" for k in (1, 2, 3))
+        begin = ", ".join(f"z{k}{j} * xs[1]" for k in (1, 2, 3) for j in (1, 2))
+        return f"{name}(channel, band, k, y, {', '.join(state)}) AS (SELECT channel, band, 0, 0::DOUBLE, {begin} FROM {over} JOIN coef c ON c.name = band UNION ALL SELECT channel, band, k, x3, {after} FROM ({step}))"
+
+    return f"""coef AS (SELECT * FROM {values_sql(rows, f"t(name, {', '.join(names)})")}), whole AS (SELECT channel, list(v ORDER BY i) AS x FROM {source} GROUP BY channel),
+wide AS (SELECT channel, name AS band, list_transform(range({pad}), lambda j: 2 * x[1] - x[{pad + 1} - j]) || x || list_transform(range({pad}), lambda j: 2 * x[-1] - x[-2 - j]) AS xs FROM whole CROSS JOIN coef),
+{run("forth", "wide")}, turned AS (SELECT channel, band, list(y ORDER BY k DESC) AS xs FROM forth WHERE k > 0 GROUP BY channel, band), {run("back", "turned")},
+filtered AS (SELECT channel, band, len(xs) - {pad} - back.k AS k, y AS v FROM back JOIN turned USING (channel, band) WHERE back.k BETWEEN {pad + 1} AND len(xs) - {pad})"""
+
+
+TENS = """grid AS (SELECT c.c AS channel, d.day::BIGINT * 144 + k.k AS i FROM days d CROSS JOIN (SELECT range AS k FROM range(144)) k CROSS JOIN (SELECT range::INT AS c FROM range(8)) c),
+tr AS (SELECT channel, i, coalesce(n.v, 0)::DOUBLE AS v FROM grid LEFT JOIN (SELECT us // 600000000 AS i, (user_id % 8)::INT AS channel, trunc(sum(value)) AS v FROM ev GROUP BY ALL) n USING (channel, i))"""
+SECTIONS = {name: signal.band_sections(1.0, band, 3) for name, band in BANDS.items()}
+
+
+@query(f"""WITH RECURSIVE {EV}, {TENS}, {zero_phase_sql("tr", SECTIONS)}, lo AS (SELECT min(i) AS i FROM tr) SELECT channel, band, lo.i + k AS i, round(v, 5) AS v FROM filtered CROSS JOIN lo""")
+def zero_phase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band-passes run over chunks of 500 samples, exactly: no halo."""
+    frames = tens(spark, sf_dir)
+    long = frames.select("i", F.posexplode("values").alias("channel", "x"))
+    each = [filters.zero_phase(long, ["channel"], sos, chunk=500).withColumn("band", F.lit(name)) for name, sos in SECTIONS.items()]
+    return each[0].unionByName(each[1]).select("channel", "band", "i", F.round("x", 5).alias("v"))
+
+
+#: The analytic signal of a whole trace is its circular convolution with a cotangent kernel.
+@query(f"""WITH RECURSIVE {EV}, {TENS}, {zero_phase_sql("tr", SECTIONS)}, n AS (SELECT count(*) AS n FROM tr WHERE channel = 0),
+kern AS (SELECT range AS d, (1 / tan(pi() * range / n) - CASE WHEN n % 2 = 0 THEN (CASE WHEN range % 2 = 0 THEN 1 ELSE -1 END) / tan(pi() * range / n) ELSE (CASE WHEN range % 2 = 0 THEN 1 ELSE -1 END) / sin(pi() * range / n) END) / n AS h FROM n, range(1, (SELECT n FROM n))),
+im AS (SELECT channel, band, (k + d) % n AS k, sum(v * h) AS w FROM filtered CROSS JOIN kern CROSS JOIN n WHERE abs(h) > 0 GROUP BY ALL),
+env AS (SELECT channel, band, sqrt(v * v + w * w)::FLOAT::DOUBLE AS e FROM filtered JOIN im USING (channel, band, k)), raw AS (SELECT channel, stddev_pop(v) AS sd FROM tr GROUP BY channel)
+SELECT channel, band, round(avg(e), 4) AS mean, round(quantile_cont(e, 0.5), 4) AS median, round(quantile_cont(e, 0.99), 4) AS p99, round(any_value(sd), 4) AS sd FROM env JOIN raw USING (channel) GROUP BY channel, band""")
+def band_envelope_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelope statistics by channel: events by ten minutes of eight groups of users as a recording."""
+    return envelopes.channel_profile(tens(spark, sf_dir), list(range(8)), BANDS, rate_hz=1.0).select("channel", "band", *(F.round(c, 4).alias(c) for c in ("mean", "median", "p99", "sd")))
 
 
 @query()

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranks
+from ..operators import percentiles, ranks
 from .registry import EV, events, query, r6
 
 RANKS = """rk AS (SELECT epoch, g, x, rank() OVER (PARTITION BY epoch ORDER BY x) + (count(*) OVER (PARTITION BY epoch, x) - 1) / 2.0 AS r FROM d),
@@ -141,3 +141,10 @@ def sorted_count_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = v.where("i % 3 <> 0").groupBy("v").agg(F.min("i").alias("j")).withColumnRenamed("v", "w")
     test = v.where("i % 3 = 0")
     return nearest_vectors(test, train).select("i", F.col("j").alias("nearest"), F.col("d").alias("distance"))
+
+
+@query(f"""WITH {EV} SELECT event_type, count(value) AS n, {", ".join(f"round(quantile_cont(value, {q}), 6) AS p{round(1000 * q)}" for q in (0.001, 0.25, 0.5, 0.999))} FROM ev GROUP BY event_type""")
+def exact_value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles by refined histograms: a type may hold any share of all rows."""
+    out = percentiles.exact_percentiles(events(spark, sf_dir), ["event_type"], "value", [0.001, 0.25, 0.5, 0.999], parts=64, few=100)
+    return out.select("event_type", "n", *(F.round(F.col("percentiles")[k], 6).alias(f"p{n}") for k, n in enumerate((1, 250, 500, 999))))

@@ -82,6 +82,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{there.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: it cuts the lineage, and Spark knows its size. All go with the application's folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, sort: list[str]) -> None:
     """Result table as CSV with a header, in order over all its files; NULL is an empty field, an empty text is quoted."""
     df.repartitionByRange(*sort).sortWithinPartitions(*sort).write.option("header", True).csv(path)
