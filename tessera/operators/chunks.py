@@ -39,3 +39,17 @@ def latched(df: DataFrame, signal: Column, threshold: float, keys: list[str], i:
     same = reduce(lambda a, b: a & b, [F.col("_chunk") == F.col("_at"), *(F.col(k).eqNullSafe(F.col(f"_{n}")) for n, k in enumerate(keys))])
     held = rows.withColumn("_held", F.last("_mark", ignorenulls=True).over(inside)).join(carried, same)
     return held.withColumn(out, F.coalesce("_held", "_carried", F.lit(0))).select(*df.columns, out)
+
+
+def running_sum(df: DataFrame, value: str, keys: list[str], order: list[str], piece: float, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with each row, in ``order``, whose first column is a time that deals rows out by spans of ``piece``.
+
+    Each span is summed by itself; one row a span carries the sum of all before it. NULL values add nothing; rows without a time leave.
+    """
+    rows = df.where(F.col(order[0]).isNotNull()).withColumn("_piece", F.floor(F.col(order[0]) / piece).cast("long")).withColumn("_x", F.coalesce(value, F.lit(0)))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_piece").agg(F.sum("_x").alias("_total"))
+    carried = totals.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_piece").alias("_at"), F.coalesce(F.sum("_total").over(upto), F.lit(0)).alias("_carried"))
+    same = reduce(lambda a, b: a & b, [F.col("_piece") == F.col("_at"), *(F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys))])
+    return rows.withColumn("_own", F.sum("_x").over(inside)).join(carried, same).withColumn(out, F.col("_own") + F.col("_carried")).select(*df.columns, out)

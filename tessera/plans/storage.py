@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian_weights, smooth_numpy
-from ..operators import asof, detect, envelopes, fields, ranks
+from ..operators import asof, chunks, detect, envelopes, fields, ranks
 from ..sources import frames, tables
 from ..sources.tables import scratch, table
 from ..streaming import live, stateful
@@ -194,6 +194,26 @@ def frames_of_a_growing_recording(spark: SparkSession, sf_dir: str) -> DataFrame
     return each.groupBy("c", F.floor(F.col("i") / 24).alias("day")).agg(F.count(F.lit(1)).alias("n_frames"), F.sum("v").alias("total"))
 
 
+# --- one key over all tasks ------------------------------------------------------------------------
+
+
+@query(f"""WITH {EV}, q AS (SELECT event_id, us FROM ev WHERE event_type = 'purchase'), r AS (SELECT us, min(event_id) AS ref_id FROM ev WHERE event_type = 'error' GROUP BY us),
+b AS (SELECT q.*, p.us AS u0, p.ref_id AS r0 FROM q ASOF LEFT JOIN r p ON q.us >= p.us), a AS (SELECT q.event_id, n.us AS u1, n.ref_id AS r1 FROM q ASOF LEFT JOIN r n ON q.us <= n.us)
+SELECT event_id, CASE WHEN u1 - us < us - u0 OR u0 IS NULL THEN r1 ELSE r0 END AS ref_id, CASE WHEN u1 - us < us - u0 OR u0 IS NULL THEN u1 - us ELSE us - u0 END AS away_us FROM b JOIN a USING (event_id)""")
+def nearest_asof_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest error of each purchase in the whole recording: no key but the recording, dealt out by spans of an hour."""
+    ev = events(spark, sf_dir)
+    q, r = ev.where("event_type = 'purchase'").select("event_id", "us"), ev.where("event_type = 'error'").select("us", F.col("event_id").alias("ref_id"))
+    return asof.asof(q, r, [], t="us", values=["ref_id"], piece=3.6e9).select("event_id", "ref_id", F.abs(F.col("us") - F.col("ref_t")).alias("away_us"))
+
+
+@query(f"""WITH {EV} SELECT event_id, sum(round(value * 100)::BIGINT) OVER (ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cents FROM ev""")
+def running_sum_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running sum over the whole recording, in spans of an hour."""
+    rows = events(spark, sf_dir).select("event_id", "us", F.round(F.col("value") * 100).cast("long").alias("c"))
+    return chunks.running_sum(rows, "c", [], ["us", "event_id"], 3.6e9, "cents").select("event_id", "cents")
+
+
 # --- a null over running time ----------------------------------------------------------------------
 
 SHUFFLES = 500

@@ -50,3 +50,34 @@ def test_maps_of_chunks_compose(spark):
     _, after = filters.run_cascade(sos, x, state)
     _, offset = filters.run_cascade(sos, x, np.zeros((2, 2)))
     assert np.allclose(after.ravel(), np.linalg.matrix_power(filters.transition(sos), 57) @ state.ravel() + offset.ravel())
+
+
+@pytest.mark.parametrize("piece", [None, 0.7, 5.0, 1e6])
+def test_asof_in_pieces(spark, piece):
+    """Spans without references, without queries, ties in time, keys of one side only, NULL keys."""
+    from tessera.operators.asof import asof
+
+    rng = np.random.default_rng(12)
+    q = [(k, float(rng.integers(-200, 400)) / 10, i) for i, k in enumerate(rng.choice(["a", "b", None, "q"], 200))]
+    r = [(k, float(rng.integers(0, 60)) / 2, i) for i, k in enumerate(rng.choice(["a", "b", None, "r"], 40))] + [("a", 399.0, 99)]
+    queries, reference = spark.createDataFrame(q, "k string, t double, id int"), spark.createDataFrame(r, "k string, t double, v int")
+    for direction in ("backward", "forward", "nearest"):
+        got = {x["id"]: (x["ref_t"], x["v"]) for x in asof(queries, reference, ["k"], values=["v"], direction=direction, piece=piece).collect()}
+        for k, t, i in q:
+            own = [(abs(t - u), u, v) for kk, u, v in r if kk == k and (u <= t if direction == "backward" else u >= t if direction == "forward" else True)]
+            assert got[i] == (min(own)[1:] if own else (None, None)), (direction, k, t)
+
+
+@pytest.mark.parametrize("piece", [0.5, 3.0, 1e9])
+def test_running_sum_in_pieces(spark, piece):
+    from tessera.operators.chunks import running_sum
+
+    rng = np.random.default_rng(1)
+    rows = [(k, float(rng.integers(-50, 50)) / 4, i, None if i % 9 == 0 else int(rng.integers(-5, 6))) for i, k in enumerate(rng.choice(["a", None], 150))]
+    got = {r["id"]: r["s"] for r in running_sum(spark.createDataFrame([*rows, ("a", None, 999, 1)], "k string, t double, id int, x long"), "x", ["k"], ["t", "id"], piece, "s").collect()}
+    for k in ("a", None):
+        total = 0
+        for _, _, i, x in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3]):
+            total += x or 0
+            assert got.pop(i) == total
+    assert not got
