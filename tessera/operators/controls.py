@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .draws import hashed
 from .ranks import finite, mann_whitney, subsampled
 
 
@@ -57,7 +58,7 @@ def chance_errors(test: DataFrame, mapping: DataFrame, keys: list[str], level: s
     w = Window.partitionBy(*keys, "perm")
     fan = mapping.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     a = fan.withColumn("_r", F.row_number().over(w.orderBy(level)))
-    b = fan.withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "perm", level), level))).select(*keys, "perm", "_r", F.col("mapped").alias("_other"))
+    b = fan.withColumn("_r", F.row_number().over(w.orderBy(hashed(seed, "perm", level), level))).select(*keys, "perm", "_r", F.col("mapped").alias("_other"))
     moved = a.join(b, [*keys, "perm", "_r"]).select(*keys, "perm", level, F.col("_other").alias("mapped"))
     each = mapped_errors(test.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), moved, [*keys, "perm"], level, x, period)
     return each.groupBy(*keys).agg(F.percentile("median_error", 0.5).alias("median_error"))
@@ -77,16 +78,18 @@ def quantile_levels(train: DataFrame, test: DataFrame, value: str, n: int) -> tu
 
 
 def concentration_null(active: DataFrame, sizes: list[int], *, k: str = "n_active", draws: int = 400, seed: int = 0) -> DataFrame:
-    """k, expected: mean share of the busiest group if k cells are drawn without replacement. Only distinct k are simulated."""
-    cells = np.repeat(np.arange(len(sizes)), sizes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf[k].iloc[0])
-        rng = np.random.default_rng([seed, n])
-        top = [np.bincount(rng.choice(cells, min(n, len(cells)), replace=False)).max() / min(n, len(cells)) for _ in range(draws)] if n > 0 and len(cells) else [np.nan]
-        return pd.DataFrame({k: [n], "expected": [float(np.mean(top)) if n > 0 else None]})
-
-    return active.select(F.col(k).cast("int").alias(k)).distinct().groupBy(k).applyInPandas(run, f"{k} int, expected double")
+    """k, expected: mean share of the busiest group if k cells are drawn without replacement. Only distinct k are simulated.
+
+    A draw is the k cells whose hashes of (seed, k, draw, cell) are the smallest; k beyond all cells takes all.
+    """
+    spark, total = active.sparkSession, sum(sizes)
+    cells = spark.createDataFrame([(c, g) for c, g in enumerate(np.repeat(np.arange(len(sizes)), sizes).tolist())], "cell int, grp int")
+    wanted = active.select(F.col(k).cast("int").alias(k)).distinct()
+    fan = wanted.where(F.col(k) > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).crossJoin(cells)
+    place = F.row_number().over(Window.partitionBy(k, "draw").orderBy(hashed(seed, k, "draw", "cell"), "cell"))
+    held = fan.withColumn("_r", place).where(F.col("_r") <= F.col(k)).groupBy(k, "draw", "grp").agg(F.count(F.lit(1)).alias("_n"))
+    top = held.groupBy(k, "draw").agg((F.max("_n") / F.least(F.col(k), F.lit(total))).alias("_top"))
+    return wanted.join(top.groupBy(k).agg(F.avg("_top").alias("expected")), k, "left")
 
 
 def compare_epochs(scores: DataFrame, keys: list[str], value: str, first: str = "PRE", second: str = "POST", epoch: str = "epoch") -> DataFrame:

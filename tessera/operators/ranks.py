@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from .draws import hashed
 from pyspark.sql.types import DoubleType
 
 
@@ -138,7 +140,7 @@ def empirical_p(df: DataFrame, keys: list[str], observed: str, draw: str) -> Dat
 def subsampled(df: DataFrame, keys: list[str], id: str, n: Column, draws: int, seed: int) -> DataFrame:
     """``draws`` seeded samples without replacement of ``n`` rows for each key: draw, rank and the row's columns."""
     fan = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    w = Window.partitionBy(*keys, "draw").orderBy(F.xxhash64(F.lit(seed), "draw", id), id)
+    w = Window.partitionBy(*keys, "draw").orderBy(hashed(seed, "draw", id), id)
     return fan.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .draws import hashed_numbers, placed, stream_numbers
+
 SHUFFLES = ("column_cycle", "time_permutation")
 
 
@@ -71,46 +73,56 @@ def best_correlation(p: np.ndarray, x: np.ndarray, t: np.ndarray, circular: bool
 
 
 def shuffled(p: np.ndarray, kind: str, n: int, rng: np.random.Generator) -> np.ndarray:
-    """(n, directions, time, position): each shuffle is the same for all directions.
+    """(n, directions, time, position): each shuffle is the same for all directions."""
+    return shuffled_by(p, kind, rng.integers(1 << 48, size=(n, p.shape[1])))
+
+
+def shuffled_by(p: np.ndarray, kind: str, numbers: np.ndarray) -> np.ndarray:
+    """The same by one number (shuffles, time) for each time bin: what it is rolled by, or its rank in the new order.
 
     Both kinds pick, for every place of the result, a time bin and a position to copy from.
     """
     times, places = p.shape[1:]
+    n = len(numbers)
     time, place = np.broadcast_to(np.arange(times)[:, None], (n, times, 1)), np.broadcast_to(np.arange(places), (n, times, places))
     if kind == "column_cycle":
-        place = (place + rng.integers(places, size=(n, times, 1))) % places
+        place = (place + (numbers % places)[..., None]) % places
     elif kind == "time_permutation":
-        time = rng.random((n, times, 1)).argsort(axis=1)
+        time = numbers.argsort(axis=1, kind="stable")[..., None]
     else:
         raise ValueError(f"shuffle is one of {SHUFFLES}")
     return np.moveaxis(p[:, time, place], 0, 1)
 
 
-def score_events(events: DataFrame, *, circular: bool, kind: str = "column_cycle", n_shuffles: int = 500, least_bins: int = 5, bin_s: float = 0.02, id: str = "event_id", seed: int = 0) -> DataFrame:
+def score_events(events: DataFrame, *, circular: bool, kind: str = "column_cycle", n_shuffles: int = 500, least_bins: int = 5, bin_s: float = 0.02, id: str = "event_id", seed: int = 0, one_stream: bool = False) -> DataFrame:
     """``id``, r, rz, direction, offset, null_mean, null_sd, n_bins of events with enough bins.
 
     events: id, tbins ARRAY<INT> (original numbers of the bins kept), posteriors ARRAY<ARRAY<DOUBLE>> (directions, flattened time x
-    position). The observation and each shuffle take the best |r| over directions and offsets alike. Random numbers are seeded
-    by event, so results don't depend on partitions.
+    position). The observation and each shuffle take the best |r| over directions and offsets alike. A shuffle's numbers are hashes of
+    (seed, id, shuffle, bin); with ``one_stream`` those of one sequential generator that draws for event after event in the
+    order of their ids, wherever they are worked on.
     """
+    size = F.coalesce(F.size("tbins"), F.lit(0))
+    kept = events.where(size >= least_bins)
+    kept = placed(kept, [id], size * n_shuffles, "_place") if one_stream else kept.withColumn("_place", F.lit(0).cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, tbins, flat in zip(pdf[id], pdf["tbins"], pdf["posteriors"], strict=True):
-                if tbins is None or len(tbins) < least_bins:
-                    continue
+            for key, tbins, flat, place in zip(pdf[id], pdf["tbins"], pdf["posteriors"], pdf["_place"], strict=True):
                 p = np.stack([np.asarray(f, float) for f in flat]).reshape(len(flat), len(tbins), -1)
                 x, t = np.arange(p.shape[-1], dtype=float), np.asarray(tbins, float) * bin_s
                 r, off = best_correlation(p, x, t, circular)
                 d = int(np.abs(r).argmax())
-                null = np.abs(best_correlation(shuffled(p, kind, n_shuffles, np.random.default_rng([seed, int(key)])), x, t, circular)[0]).max(axis=1)
+                shape = (n_shuffles, len(tbins))
+                numbers = stream_numbers(seed, int(place), shape) if one_stream else hashed_numbers(seed, key, shape)
+                null = np.abs(best_correlation(shuffled_by(p, kind, numbers), x, t, circular)[0]).max(axis=1)
                 m, s = float(null.mean()), float(null.std())
                 rows.append((key, float(r[d]), (abs(float(r[d])) - m) / s if s > 0 else None, d, int(off[d]), m, s, len(tbins)))
             yield pd.DataFrame(rows, columns=[id, "r", "rz", "direction", "offset", "null_mean", "null_sd", "n_bins"])
 
     kind_ = events.schema[id].dataType.simpleString()
-    return events.mapInPandas(run, f"{id} {kind_}, r double, rz double, direction int, offset int, null_mean double, null_sd double, n_bins int")
+    return kept.select(id, "tbins", "posteriors", "_place").mapInPandas(run, f"{id} {kind_}, r double, rz double, direction int, offset int, null_mean double, null_sd double, n_bins int")
 
 
 # --- contribution of single cells ------------------------------------------------------------------

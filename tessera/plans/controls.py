@@ -22,11 +22,14 @@ def epoch_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.compare_epochs(d, ["grp"], "x").withColumn("rank_biserial", r6("rank_biserial")).withColumn("z", r6("z"))
 
 
-@query()
+@query(f"""WITH {EV}, d AS (SELECT user_id // 50 AS grp, {EPOCH} AS epoch, event_id, value FROM ev WHERE day < 10 OR day >= 24), s AS (SELECT grp, count(*) AS n, quantile_cont(value, 0.5) AS m FROM d WHERE epoch = 'POST' GROUP BY grp),
+r AS (SELECT grp, draw, value, row_number() OVER (PARTITION BY grp, draw ORDER BY md5('3:' || draw || ':' || event_id), event_id) AS k FROM d CROSS JOIN range(20) t(draw) WHERE epoch = 'PRE'),
+e AS (SELECT grp, draw, m - quantile_cont(value, 0.5) AS x FROM r JOIN s USING (grp) WHERE k <= n GROUP BY grp, draw, m) SELECT grp, round(quantile_cont(x, 0.05), 6) AS p5, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95 FROM e GROUP BY grp""")
 def subsampled_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earlier epoch drawn at the later one's size, 20 seeded draws."""
     d = events(spark, sf_dir).where("day < 10 or day >= 24").select(F.floor(F.col("user_id") / 50).alias("grp"), epoch_of().alias("epoch"), "event_id", "value")
-    return controls.subsampled_differences(d, ["grp"], "event_id", "value", 20, 3)
+    out = controls.subsampled_differences(d, ["grp"], "event_id", "value", 20, 3)
+    return out.select("grp", *(r6(c, c) for c in ("p5", "p50", "p95")))
 
 
 @query(f"""WITH {EV}, n AS (SELECT event_type, least(floor(value / 10), 9)::INT AS bin, count(*) AS n FROM ev WHERE value BETWEEN 0 AND 100 GROUP BY ALL)
@@ -109,13 +112,16 @@ def phase_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", F.round("median_error", 5).alias("median_error"))
 
 
-@query()
+@query(f"""WITH {EV}, h AS (SELECT day, bin, count(*) AS n FROM ev GROUP BY ALL), p AS (SELECT *, least(row_number() OVER (PARTITION BY day ORDER BY bin) - 1, 11)::INT AS phase FROM h), m AS (SELECT phase, atan2(sum(sin(2 * pi() * bin / 24)), sum(cos(2 * pi() * bin / 24))) AS a FROM p WHERE day % 3 <> 0 GROUP BY phase),
+q AS (SELECT phase, (a / (2 * pi()) * 24 + 24) - floor((a / (2 * pi()) * 24 + 24) / 24) * 24 AS mapped FROM m), a AS (SELECT perm, phase, row_number() OVER (PARTITION BY perm ORDER BY phase) AS k FROM q CROSS JOIN range(20) t(perm)),
+b AS (SELECT perm, mapped, row_number() OVER (PARTITION BY perm ORDER BY md5('7:' || perm || ':' || phase), phase) AS k FROM q CROSS JOIN range(20) t(perm)), e AS (SELECT perm, abs(mapped - bin) - floor(abs(mapped - bin) / 24) * 24 AS d FROM p JOIN a USING (phase) JOIN b USING (perm, k) WHERE day % 3 = 0),
+r AS (SELECT perm, quantile_cont(least(d, 24 - d), 0.5) AS e FROM e GROUP BY perm) SELECT round(quantile_cont(e, 0.5), 5) AS median_error FROM r""")
 def phase_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same under 20 permuted maps."""
     h = events(spark, sf_dir).groupBy("day", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("session", F.lit("s"))
     p = controls.phase_levels(h, ["session"], "day", "bin")
     mapping = controls.level_map(p.where("day % 3 <> 0"), ["session"], "phase", "bin", 24.0)
-    return controls.chance_errors(p.where("day % 3 = 0"), mapping, ["session"], "phase", "bin", 20, 7, 24.0)
+    return controls.chance_errors(p.where("day % 3 = 0"), mapping, ["session"], "phase", "bin", 20, 7, 24.0).select(F.round("median_error", 5).alias("median_error"))
 
 
 DETECTED = f"{EV}, {trace_sql('tr')}, {detect_sql('e', 'tr')}"
@@ -137,11 +143,12 @@ def decodable_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.decodable(part, n, share=0.5).groupBy("decodable").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {EV}, a AS (SELECT DISTINCT count(DISTINCT user_id)::INT AS n_active FROM ev GROUP BY day, bin), r AS (SELECT n_active, draw, cell // 10 AS grp, row_number() OVER (PARTITION BY n_active, draw ORDER BY md5('0:' || n_active || ':' || draw || ':' || cell), cell) AS k FROM a CROSS JOIN range(400) t(draw) CROSS JOIN range(150) c(cell)),
+g AS (SELECT n_active, draw, grp, count(*) AS n FROM r WHERE k <= n_active GROUP BY ALL), t AS (SELECT n_active, draw, max(n) / least(n_active, 150) AS top FROM g GROUP BY n_active, draw) SELECT n_active, round(avg(top), 6) AS expected FROM t GROUP BY n_active""")
 def concentration_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected share of the busiest group by number of active cells, from 400 seeded draws each."""
     n = events(spark, sf_dir).groupBy("day", "bin").agg(F.countDistinct("user_id").alias("n_active"))
-    return controls.concentration_null(n, [10] * 15)
+    return controls.concentration_null(n, [10] * 15).withColumn("expected", r6("expected"))
 
 
 @query(f"""WITH {EV}, r AS (SELECT event_type, event_id, value, ntile(4) OVER w AS part FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)) SELECT event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, part ORDER BY value, event_id) AS k FROM r) WHERE k = 1""")

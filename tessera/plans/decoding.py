@@ -266,7 +266,8 @@ def band_envelope_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.channel_profile(tens(spark, sf_dir), list(range(8)), BANDS, rate_hz=1.0).select("channel", "band", *(F.round(c, 4).alias(c) for c in ("mean", "median", "p99", "sd")))
 
 
-@query()
+@query(f"""WITH {POST}, n AS (SELECT p.vec_id, k.k AS k, tbin, (pbin - d + 8) % 8 AS pbin, p.p AS p FROM p JOIN (SELECT v.vec_id, s.k, t.t, ('0x' || substr(md5('0:' || v.vec_id || ':' || s.k || ':' || t.t), 1, 12))::BIGINT % 8 AS d FROM (SELECT DISTINCT vec_id FROM p) v CROSS JOIN (SELECT range AS k FROM range(200)) s CROSS JOIN (SELECT range::INT AS t FROM range(8)) t) k ON k.vec_id = p.vec_id AND k.t = p.tbin), {corr_sql("w", "p", "vec_id")}, {corr_sql("z", "n", "vec_id, k")},
+m AS (SELECT vec_id, avg(abs(r)) AS m, stddev_pop(abs(r)) AS s FROM z GROUP BY vec_id) SELECT vec_id AS event_id, round(r, 6) AS r, round((abs(r) - m) / s, 6) AS rz, round(m, 6) AS null_mean, round(s, 6) AS null_sd, off AS "offset", 8 AS n_bins FROM w JOIN m USING (vec_id)""")
 def sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense form: one event a row, 200 seeded shuffles in an Arrow kernel."""
     p = posteriors(spark, sf_dir)

@@ -139,3 +139,40 @@ def test_null_like_the_loop(spark, circular):
             assert r["p"] == pytest.approx((1 + (null >= info(own)).sum()) / (1 + len(null)))
         else:
             assert r["null_mean"] is None and r["n_null"] == 0
+
+
+# --- one generator dealt out -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", sequences.SHUFFLES)
+def test_one_stream_over_all_events_like_plain_numpy(spark, kind):
+    """Events of all lengths in many partitions draw what one loop in the order of their ids draws."""
+    rng = np.random.default_rng(21)
+    ids = rng.permutation(60)[:25]
+    events = {int(i): rng.uniform(0.1, 1, (2, int(rng.integers(2, 9)), 6)) for i in ids}
+    rows = [(i, list(range(p.shape[1])), [d.ravel().tolist() for d in p]) for i, p in events.items()]
+    df = spark.createDataFrame(rows, "event_id long, tbins array<int>, posteriors array<array<double>>").repartition(7)
+    got = {r["event_id"]: r for r in sequences.score_events(df, circular=True, kind=kind, n_shuffles=30, seed=77, one_stream=True).collect()}
+    bits = np.random.PCG64(77)
+    for i in sorted(events):
+        p = events[i]
+        if p.shape[1] < 5:
+            assert i not in got
+            continue
+        numbers = (bits.random_raw(30 * p.shape[1]) >> np.uint64(16)).astype(np.int64).reshape(30, -1)
+        null = []
+        for row in numbers:
+            q = np.stack([np.stack([np.roll(d[t], -int(row[t] % 6)) for t in range(p.shape[1])]) if kind == "column_cycle" else d[np.argsort(row, kind="stable")] for d in p])
+            null.append(np.abs(sequences.best_correlation(q, np.arange(6.0), np.arange(p.shape[1]) * 0.02, True)[0]).max())
+        assert got[i]["null_mean"] == pytest.approx(np.mean(null)) and got[i]["null_sd"] == pytest.approx(np.std(null))
+
+
+def test_places_in_the_order_of_keys(spark):
+    from pyspark.sql import functions as F
+    from tessera.operators.draws import placed
+
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 4).alias("n")).repartition(6)
+    total = 0
+    for r in sorted(placed(df, ["k"], F.col("n"), "at").collect(), key=lambda r: r["k"]):
+        assert r["at"] == total
+        total += r["n"]
