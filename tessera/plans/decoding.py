@@ -199,12 +199,12 @@ def memoryless_state_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hmm_fit_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State models of counts by hour: sizes, folds and seeds are independent fits, dealt over tasks; days are sequences."""
+    """State models of counts by hour: sizes, folds and seeds climb together, one job a round; days are sequences."""
     c = events(spark, sf_dir).groupBy("day", "bin", (F.col("user_id") % CELLS).cast("int").alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     row = c.groupBy("day", "bin").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m")).select("day", "bin", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("v"))
     days = row.groupBy("day").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "v"))), lambda x: x["v"]).alias("counts")).select(F.lit("s").alias("session"), F.col("day").alias("sequence"), "counts")
     grid = spark.createDataFrame([("s", m, seed, fold, 3) for m in (2, 3, 4) for seed in (0, 1) for fold in (0, 1, 2)], "session string, n_states int, seed int, fold int, n_folds int")
-    out = states.fit_models(days, grid, bin_s=DT, key=["session"], iterations=30)
+    out = states.fit_models(days, grid, bin_s=1.0, key=["session"], iterations=30)  # rates by the hour: by the second they would all be under the floor
     return out.select("n_states", "seed", "fold", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("held_out_ll", 3).alias("held_out_ll"), "n_iterations", "converged")
 
 

@@ -87,37 +87,57 @@ def test_planted_bursts_are_found_with_their_channels(spark):
 
 # --- state models ----------------------------------------------------------------------------------
 
-TINY = states.StateModel(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.4, 0.6]]), np.array([[4.0, 1.0], [1.0, 6.0]]), 0.25)
+TINY = states.StateModel(0.25, np.array([[4.0, 1.0], [1.0, 6.0]]), np.array([[0.7, 0.3], [0.4, 0.6]]), np.array([0.6, 0.4]))
 
 
-def test_forward_backward_against_all_paths():
-    x = np.array([[1.0, 0], [0, 2], [1, 1]])
+def by_paths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """State weights, expected transitions and log likelihood from every path there is."""
     log_b = states.log_emissions(x, TINY.rates, TINY.bin_s)
-    gamma, xi, ll = states.forward_backward(log_b, TINY.initial, TINY.transition)
-    paths = {p: math.log(TINY.initial[p[0]]) + sum(math.log(TINY.transition[a, b]) for a, b in itertools.pairwise(p)) + sum(log_b[k, s] for k, s in enumerate(p)) for p in itertools.product((0, 1), repeat=3)}
+    paths = {p: math.log(TINY.initial[p[0]]) + sum(math.log(TINY.transition[a, b]) for a, b in itertools.pairwise(p)) + sum(log_b[k, s] for k, s in enumerate(p)) for p in itertools.product((0, 1), repeat=len(x))}
     total = math.log(sum(math.exp(v) for v in paths.values()))
-    assert ll == pytest.approx(total)
-    for k in range(3):
-        for s in (0, 1):
-            assert gamma[k, s] == pytest.approx(sum(math.exp(v - total) for p, v in paths.items() if p[k] == s))
-    assert xi.sum() == pytest.approx(2)
-    with pytest.raises(ValueError):
-        states.forward_backward(np.full((2, 2), -np.inf), TINY.initial, TINY.transition)
+    gamma, moves = np.zeros((len(x), 2)), np.zeros((2, 2))
+    for p, v in paths.items():
+        for k, s in enumerate(p):
+            gamma[k, s] += math.exp(v - total)
+        for a, b in itertools.pairwise(p):
+            moves[a, b] += math.exp(v - total)
+    return gamma, moves, total
 
 
-def test_expectations_of_padded_sequences():
+def test_expectations_against_all_paths():
     rng = np.random.default_rng(4)
-    seqs = [rng.poisson(1.0, (n, 2)).astype(float) for n in (2, 5, 9, 3)]
-    padded = np.zeros((4, 9, 2))
-    for row, s in zip(padded, seqs, strict=True):
-        row[: len(s)] = s
-    weights, moves, total = states.expected(states.log_emissions(padded, TINY.rates, TINY.bin_s), np.array([len(s) for s in seqs]), TINY)
-    alone = [states.forward_backward(states.log_emissions(s, TINY.rates, TINY.bin_s), TINY.initial, TINY.transition) for s in seqs]
+    seqs = [rng.poisson(1.0, (n, 2)).astype(float) for n in (2, 5, 9, 3, 1)]
+    counts, lengths = states.padded(seqs)
+    weights, moves, total = states.expected(states.log_emissions(counts, TINY.rates, TINY.bin_s), lengths, TINY)
+    alone = [by_paths(s) for s in seqs]
     assert np.allclose(total, [ll for _, _, ll in alone]) and np.allclose(moves, sum(xi for _, xi, _ in alone))
     for k, (gamma, _, _) in enumerate(alone):
-        assert np.allclose(weights[k, : len(gamma)], gamma) and not weights[k, len(gamma) :].any()
-    with pytest.raises(ValueError):
-        states.baum_welch([np.zeros((1, 2))], 2, 0.1)
+        assert np.allclose(weights[k, : len(gamma)], gamma) and not weights[k, len(gamma) :].any() and np.allclose(states.posterior(TINY, seqs[k]), gamma)
+    assert states.sequence_log_likelihood(TINY, [*seqs, np.zeros((0, 2))]) == pytest.approx(total.sum())
+    assert np.allclose(states.sums_of(seqs, TINY), states.sums_of(seqs, TINY, most=1))
+    with pytest.raises(ValueError, match="no path"):
+        states.sums_of([np.array([[1.0, np.inf]])], TINY)
+    with pytest.raises(ValueError, match="two bins"):
+        states.fit_here([np.zeros((1, 2))], 2, 0.1)
+
+
+def test_fits_by_sums_are_those_of_one_task(spark):
+    """Sequences of two recordings over many partitions, folds, sizes and seeds in one grid, against fits of lists."""
+    rng = np.random.default_rng(8)
+    seqs = {k: [rng.poisson(rng.choice([0.3, 3.0], (1, 4)), (int(rng.integers(1, 14)), 4)).astype(float) for _ in range(n)] for k, n in (("a", 9), ("b", 4))}
+    rows = [(k, 100 - i, own[i].tolist()) for k, own in seqs.items() for i in range(len(own))]
+    df = spark.createDataFrame(rows, "session string, sequence int, counts array<array<double>>").repartition(5)
+    grid = [(k, m, seed, fold, 3) for k in seqs for m in (2, 3) for seed in (0, 1) for fold in (-1, 0, 2)] + [("none", 2, 0, -1, 3)]
+    got = states.fit_models(df, spark.createDataFrame(grid, "session string, n_states int, seed int, fold int, n_folds int"), bin_s=0.25, key=["session"], iterations=7, tol=1e-4).collect()
+    assert len(got) == len(grid) - 1
+    for r in got:
+        own = seqs[r["session"]][::-1]  # in the order of their numbers
+        cuts = np.linspace(0, len(own), 4).astype(int)
+        out = set(range(cuts[r["fold"]], cuts[r["fold"] + 1])) if r["fold"] >= 0 else set()
+        want = states.fit_here([s for i, s in enumerate(own) if i not in out], r["n_states"], 0.25, seed=r["seed"], iterations=7, tol=1e-4)
+        assert (r["n_iterations"], r["converged"]) == (want.rounds, want.converged) and r["log_likelihood"] == pytest.approx(want.ll)
+        assert np.allclose(r["rates"], want.model.rates) and np.allclose(r["transition"], want.model.transition) and np.allclose(r["initial"], want.model.initial)
+        assert r["held_out_ll"] == pytest.approx(states.sequence_log_likelihood(want.model, [own[i] for i in sorted(out)]))
 
 
 def test_fit_climbs_and_orders_a_ring():
@@ -133,8 +153,9 @@ def test_fit_climbs_and_orders_a_ring():
             rows.append(rng.poisson(rates[s] * 0.25))
             s = rng.choice(4, p=move[s])
         seqs.append(np.array(rows))
-    few, many = (states.baum_welch(seqs, 4, 0.25, seed=2, iterations=n) for n in (2, 60))
-    assert many.log_likelihood >= few.log_likelihood and np.allclose(many.transition.sum(axis=1), 1)
+    begun, climbed = (states.fit_here(seqs, 4, 0.25, seed=2, iterations=n) for n in (2, 60))
+    few, many = begun.model, climbed.model
+    assert climbed.ll >= begun.ll and np.allclose(many.transition.sum(axis=1), 1)
     assert states.sequence_log_likelihood(many, seqs) >= states.sequence_log_likelihood(few, seqs) - 1
     assert sorted(states.spectral_order(many.transition)) == [0, 1, 2, 3]
     flat = states.memoryless_posterior(many, seqs[0], 0.25)
