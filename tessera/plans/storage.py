@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import table_functions
 from ..functions.kernels import gaussian_weights, smooth_numpy
 from ..operators import asof, chunks, detect, envelopes, fields, ranks
 from ..sources import frames, tables
@@ -150,6 +151,32 @@ def greedy_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.largest_peaks(h, ["event_type"], rate_hz=1.0, n=5, refractory_s=12.0)
 
 
+# --- table functions in SQL ------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {EV}, h AS (SELECT event_type, us // 3600000000 AS i, round(sum(value), 4) AS v FROM ev GROUP BY ALL), k AS (SELECT DISTINCT event_type FROM h),
+p AS (SELECT event_type, 0 AS place, []::BIGINT[] AS taken, NULL::BIGINT AS i, NULL::DOUBLE AS v FROM k UNION ALL
+SELECT event_type, place + 1, list_append(taken, b.i), b.i, b.v FROM (SELECT p.event_type, p.place, p.taken, arg_max({{'i': h.i, 'v': h.v}}, (h.v, -h.i)) AS b FROM p JOIN h ON h.event_type = p.event_type AND len(list_filter(p.taken, lambda t: abs(t - h.i) < 12)) = 0 WHERE p.place < 5 GROUP BY ALL))
+SELECT event_type, place::INT AS "rank", i, v FROM p WHERE place > 0""")
+def greedy_peaks_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same peaks by a table function that is called from SQL."""
+    table_functions.register(spark)
+    h = events(spark, sf_dir).groupBy("event_type", F.floor(F.col("us") / 3_600_000_000).alias("i")).agg(F.round(F.sum("value"), 4).alias("v"))
+    return spark.sql("SELECT * FROM largest_peaks(TABLE({hours}), 5, 12.0)", hours=h)
+
+
+@query(f"""WITH {EV}, iv AS (SELECT event_type, min(t) AS s, max(t) AS e FROM ev GROUP BY event_type, day), u AS (SELECT *, e - s - 72000 AS room FROM iv WHERE e - s >= 72000),
+c AS (SELECT *, sum(room) OVER (PARTITION BY event_type ORDER BY s, e) AS upto, sum(room) OVER (PARTITION BY event_type) AS total, count(*) OVER (PARTITION BY event_type) AS usable FROM u),
+k AS (SELECT c.*, k.k::INT AS k, (k.k + 0.5) * total / least(60, floor(total / 72000) + usable) AS target FROM c CROSS JOIN range(60) k(k) WHERE k.k < least(60, floor(total / 72000) + usable))
+SELECT event_type, k, round(s + target - (upto - room), 5)::DOUBLE AS start, round(s + target - (upto - room) + 72000, 5)::DOUBLE AS "end" FROM k WHERE target >= upto - room AND target < upto""")
+def sample_windows_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of twenty hours in the days of each kind of event, by a table function."""
+    table_functions.register(spark)
+    active = events(spark, sf_dir).groupBy("event_type", "day").agg(F.min("t").alias("start"), F.max("t").alias("end")).drop("day")
+    found = spark.sql("SELECT * FROM sample_windows(TABLE({active}), 72000.0, 60)", active=active)
+    return found.select("event_type", "k", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"))
+
+
 # --- rank tests with their p values ----------------------------------------------------------------
 
 

@@ -81,3 +81,57 @@ def test_running_sum_in_pieces(spark, piece):
             total += x or 0
             assert got.pop(i) == total
     assert not got
+
+
+# --- table functions -------------------------------------------------------------------------------
+
+
+def test_sample_windows_from_sql(spark):
+    """Keys with too little room, with none, NULL ends, no keys at all; against the rule written out."""
+    from tessera.functions import table_functions
+
+    table_functions.register(spark)
+    rng = np.random.default_rng(3)
+    rows = [(k, float(s), float(s + d)) for k in "abc" for s, d in zip(np.arange(0, 1000, 100), rng.uniform(1, 60, 10), strict=True)] + [("none", 0.0, 5.0), ("exact", 3.0, 13.0), ("a", None, 7.0)]
+    spark.createDataFrame(rows, "key string, start double, end double").createOrReplaceTempView("spells")
+
+    def by_rule(own, n, window=10.0):
+        fit = sorted((s, e - s - window) for s, e in own if s is not None and e - s >= window)
+        total = sum(r for _, r in fit)
+        n, out = min(n, int(total // window) + len(fit)), []
+        for k in range(n):
+            at, before = (k + 0.5) * total / n, 0.0
+            for j, (s, room) in enumerate(fit):
+                if at < before + room or j == len(fit) - 1:
+                    out.append((k, s + at - before))
+                    break
+                before += room
+        return out
+
+    got = spark.sql("SELECT * FROM sample_windows(TABLE(spells), 10.0, 7)").collect()
+    for k in ("a", "b", "c", "none", "exact"):
+        want = by_rule([r[1:] for r in rows if r[0] == k], 7)
+        mine = sorted((r["k"], r["start"]) for r in got if r["key"] == k)
+        assert [m[0] for m in mine] == [w[0] for w in want] and np.allclose([m[1] for m in mine], [w[1] for w in want])
+    whole = spark.sql("SELECT * FROM sample_windows(TABLE(SELECT start, end FROM spells), 10.0, 50)").collect()
+    assert np.allclose(sorted(r["start"] for r in whole), sorted(w[1] for w in by_rule([r[1:] for r in rows], 50)))
+    for wrong in ("TABLE(SELECT key, start FROM spells), 10.0, 7", "TABLE(spells), 0.0, 7", "TABLE(spells), 'x', 7"):
+        with pytest.raises(Exception, match="numeric column|above 0"):
+            spark.sql(f"SELECT * FROM sample_windows({wrong})").collect()
+
+
+def test_largest_peaks_from_sql(spark):
+    from tessera.functions import table_functions
+
+    table_functions.register(spark)
+    rng = np.random.default_rng(4)
+    rows = [(k, int(i), None if rng.random() < 0.05 else float(rng.integers(0, 9))) for k in ("a", None) for i in range(80)]
+    spark.createDataFrame(rows, "k string, i long, v double").createOrReplaceTempView("trace")
+    got = {(r["k"], r["rank"]): (r["i"], r["v"]) for r in spark.sql("SELECT * FROM largest_peaks(TABLE(trace), 4, 6)").collect()}
+    for k in ("a", None):
+        taken = []
+        for _, i, v in sorted((r for r in rows if r[0] == k and r[2] is not None), key=lambda r: (-r[2], r[1])):
+            if len(taken) < 4 and all(abs(i - j) >= 6 for j, _ in taken):
+                taken.append((i, v))
+        assert [got.pop((k, n + 1)) for n in range(4)] == taken
+    assert not got
