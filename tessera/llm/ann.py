@@ -86,16 +86,27 @@ def leaves_of(forest: Forest, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def visit_order(forest: Forest, margins: np.ndarray, budget: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
-    """The leaves one query visits, best first. margins: its signed distance from the cut of each node."""
+class Margins:
+    """A query's signed distance from the cut of a node, worked out for the nodes that are asked for: a walk's memory is its path's."""
+
+    def __init__(self, forest: Forest, x: np.ndarray):
+        self.forest, self.x = forest, x
+
+    def __getitem__(self, at: int) -> float:
+        return float(self.forest.normals[at] @ self.x - self.forest.cuts[at])
+
+
+def visit_order(forest: Forest, margins: Margins | np.ndarray, budget: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+    """The leaves one query visits, best first. margins: its signed distance from the cut of each node, by number."""
     queue = [(-np.inf, root) for root in forest.roots]
     heapq.heapify(queue)
     out, rows = [], 0
     while queue and (len(out) < budget or rows < least):
         missed, at = heapq.heappop(queue)
         while forest.leaf[at] < 0:
-            right = margins[at] >= 0
-            heapq.heappush(queue, (max(missed, abs(margins[at])), int(forest.children[at, int(not right)])))
+            margin = margins[at]
+            right = margin >= 0
+            heapq.heappush(queue, (max(missed, abs(margin)), int(forest.children[at, int(not right)])))
             at = int(forest.children[at, int(right)])
         out.append(int(forest.leaf[at]))
         rows += 0 if sizes is None else int(sizes[out[-1]])
@@ -152,7 +163,7 @@ def nearest_neighbours(
     driver; all are bounded by parameters. Rows take no part whose id or vector is null, whose
     vector is zero, has a null or non-finite component, or another length than most. Rows with the same
     id count as forms of one vector: their best product counts, and none is its own neighbour. With k
-    candidates or fewer all are returned; ties go to the smaller id. Empty tables give no rows.
+    candidates or fewer all are returned; ties go to the smaller id. Empty tables give no rows; further columns are not read.
     """
     spark = df.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -198,9 +209,6 @@ def nearest_neighbours(
         owners[r[0]] = r[1]
     n_queries = indexed.where("is_query").count()
 
-    def margins(x: np.ndarray) -> np.ndarray:
-        return x @ forest.normals.T - forest.cuts
-
     # The budget, from brute force for a few queries
     tests = sorted(indexed.where("is_query").where(hash_share(["id", "v"], n_queries, test_queries)).select("id", "v").collect())
     if not tests:
@@ -223,7 +231,7 @@ def nearest_neighbours(
     top = Window.partitionBy("q").orderBy(F.desc("s"), "id")
     true = indexed.mapInArrow(brute, "q int, s double, id long, leaves array<int>").groupBy("q", "id").agg(F.max(F.struct("s", "leaves")).alias("x")).select("q", "id", "x.s", "x.leaves")
     true = true.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("q", "leaves").collect()
-    ranks = [{leaf: r for r, leaf in enumerate(visit_order(forest, m, forest.leaves))} for m in margins(test_x)]
+    ranks = [{leaf: r for r, leaf in enumerate(visit_order(forest, Margins(forest, q), forest.leaves))} for q in test_x]
     found = np.sort([min(ranks[r["q"]][leaf] for leaf in r["leaves"]) for r in true])
     budget = int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1 if len(found) else forest.leaves
 
@@ -235,7 +243,7 @@ def nearest_neighbours(
         for b in batches:
             if b.num_rows:
                 x = matrix(b.column("v").to_pylist(), dim)
-                seen = [visit_order(own, m, budget, owners, 4 * k) for m in x @ own.normals.T - own.cuts]
+                seen = [visit_order(own, Margins(own, q), budget, owners, 4 * k) for q in x]
                 who = np.repeat(np.arange(len(x)), [len(s) for s in seen])
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(np.concatenate(seen).astype(np.int32))], names=["id", "v", "leaf"])
 

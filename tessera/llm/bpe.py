@@ -253,7 +253,8 @@ def round_trip_digests(df: DataFrame, path: str, *, text: str = "text", id_colum
     """By row: id, n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass over the texts.
 
     With ``keep_ids`` also token_ids (binary, little-endian unsigned 32-bit) and restores: whether the ids spell
-    the text's normalised words.
+    the text's normalised words. Null texts count as empty and have no ids; rows are encoded one by one and whole,
+    repeated ones alike, a very long text in its row's task; an empty table stays empty; further columns are not read.
     """
     small_batches(df.sparkSession)
     kind = df.schema[id_column].dataType

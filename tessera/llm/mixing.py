@@ -66,7 +66,8 @@ def mix(df: DataFrame, *, text: str = "text", id_column: str = "doc_id", source:
     the source nearer to its target, so a source misses it by half of its last boundary bucket's words at
     most. Where ids are unique that is half of one document; rows of one id, or without an id, are told
     apart by 14 bits of their text's hash, so of them a 16,384th part, or those equal in text too, share
-    their fate. Null texts have size 0; null sources are a source of their own. An empty table stays empty.
+    their fate. Null texts have size 0; null sources are a source of their own. A very long text
+    is one document of its size, counted in its row's task. An empty table stays empty.
     Columns of these four names are replaced.
     """
     df = without(df, "mix_size", "mix_source_size", "mix_target", "mix_copies")

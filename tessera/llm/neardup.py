@@ -338,7 +338,8 @@ def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_
     threshold shares no band, and the posterior under which a pair goes. Ids should be unique: rows that
     share one are judged by their own text, and a link of any of their texts holds for the id. Rows without
     an id stay alone, with a null component, and are kept. A very long text is one row's work: its set and its
-    signature are made in one task, from the whole text. Further columns are not read.
+    signature are made in one task, from the whole text. Further columns are not read;
+    an empty table gives no rows.
     """
     small_batches(df.sparkSession)
     threshold = percent / 100

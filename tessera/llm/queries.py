@@ -105,11 +105,15 @@ def _filtered(docs: DataFrame, written: set[str], judged: Callable[[DataFrame],
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is accepted. Null texts and those without letters go; repeated rows go or stay alike, very long
+    texts are judged whole; without a row to learn from none is accepted; an empty table stays empty."""
     model = langid.train_language_model(docs)
     return _filtered(docs, {"lang_pred", "lang_score", "lang_accepted"}, lambda d: langid.predict_language(d, model), "lang_accepted")
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier keeps. A null text is judged as empty, repeated rows alike, very long texts whole; without labels
+    of both kinds all rows stay; an empty table stays empty."""
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
     return _filtered(docs, {"quality_score", "content_score", "page_score", "quality_kept"}, lambda d: quality.score_quality(d, model), "quality_kept")
 
@@ -134,6 +138,8 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them. Null and empty texts have no words to mix and count as documents of size 0; ties of ids
+    are told apart by their text; an empty table stays empty."""
     return mixing.mixed_rows(docs)
 
 

@@ -158,7 +158,8 @@ def write_tokens(df: DataFrame, path: str, *, text: str = "text", id_column: str
 
     Rows are range-partitioned by (id, hash of the text), so that a single id with very many rows is
     dealt out too. Null ids come first; rows with equal ids are in order of the text's hash. A null
-    text has no ids but the end id. An empty table gives an empty one.
+    text has no ids but the end id. A very long text is encoded whole in its row's task and goes on over as many
+    shards as it fills; further columns are not read. An empty table gives an empty one.
     """
     small_batches(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

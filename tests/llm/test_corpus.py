@@ -292,6 +292,25 @@ def test_vectors_of_doubles_keep_their_digits(spark):
     assert len(found) == 180 and all(r.score == (x[r.query_id] * x[r.vec_id]).sum() for r in found.itertuples())
 
 
+def test_a_walk_works_out_only_the_nodes_it_meets():
+    """A few leaves of many take a few paths, however many nodes there are; lazily or all at once, the order is one."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 8))
+    forest = ann.grow(x, trees=2, leaf_points=4)
+
+    class Counted(ann.Margins):
+        met = 0
+
+        def __getitem__(self, at):
+            self.met += 1
+            return super().__getitem__(at)
+
+    for q in x[:5]:
+        lazily = Counted(forest, q)
+        assert ann.visit_order(forest, lazily, 6) == ann.visit_order(forest, forest.normals @ q - forest.cuts, 6)
+        assert lazily.met <= 8 * 20 < len(forest.normals) / 10
+
+
 def test_queue_visits_all_leaves_best_first():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 8))
