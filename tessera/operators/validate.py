@@ -75,7 +75,11 @@ def check_epochs(epochs: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def check_position(position: DataFrame, epochs: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Too few samples or an undefined 1-D position end a recording's checks there."""
+    """Too few samples or an undefined 1-D position end a recording's checks there.
+
+    sessions: session, track_length_m (NULL: unknown) and maze_kind. On a linear track the position has to lie on [0, length]; on a
+    circular one, which wraps at 0, it must not be negative. A session of no kind is taken as linear.
+    """
     w = Window.partitionBy("session").orderBy("sample")
     maze = epochs.where("epoch = 'MAZE'").select("session", F.col("start").alias("_lo"), F.col("end").alias("_hi"))
     rows = position.withColumn("_dt", F.col("t") - F.lag("t").over(w)).join(maze, "session", "left")
@@ -84,23 +88,25 @@ def check_position(position: DataFrame, epochs: DataFrame, sessions: DataFrame)
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_dt") <= 0).alias("back"), F.count_if((F.col("t") < F.col("_lo") - SLACK_S) | (F.col("t") > F.col("_hi") + SLACK_S)).alias("outside"),
         F.percentile("_dt", 0.5).alias("dt"), F.max("_dt").alias("gap"), F.count_if(F.col("x").isNull() != F.col("y").isNull()).alias("partial"), F.count_if(~one).alias("nan"),
         F.count_if(one & ~xy).alias("odd"), F.count_if(one).alias("defined"), F.min("x1d").alias("lo"), F.max("x1d").alias("hi"),
-    ).join(sessions.select("session", "track_length_m"), "session", "left")
+    ).join(sessions.select("session", "track_length_m", (F.col("maze_kind") if "maze_kind" in sessions.columns else F.lit(None).cast("string")).alias("kind")), "session", "left")
+    ring = F.coalesce(F.col("kind") == "circular", F.lit(False))
+    beyond = (F.col("lo") < -TRACK_M) | F.coalesce(F.col("hi") > F.col("track_length_m") + TRACK_M, F.lit(False))
     long, some = F.col("n") >= 2, (F.col("n") >= 2) & (F.col("defined") > 0)
     off = F.abs(F.col("dt") - DT_S) > DT_SHARE * DT_S
     return _issues(agg, [
         ("error", "position_too_short", ~long, F.format_string("%d samples", "n")),
         ("error", "position_t_not_monotonic", long & (F.col("back") > 0), F.format_string("%d steps that do not go on", "back")),
         ("error", "position_outside_maze", long & (F.col("outside") > 0), F.format_string("%d samples outside MAZE", "outside")),
-        ("info", "position_dt", long & ~off, F.format_string("step %.6f s", "dt")),
+        ("info", "position_dt", long, F.format_string("step %.6f s", "dt")),
         ("warning", "position_dt_unexpected", long & off, F.format_string("step %.6f s", "dt")),
         ("warning", "position_time_gaps", long & (F.col("gap") > 1.5 * F.col("dt")), F.format_string("longest step %.6f s", "gap")),
         ("warning", "xy_partial_nan", long & (F.col("partial") > 0), F.format_string("%d samples with one of x, y", "partial")),
-        ("info", "position_nan", long & (F.col("nan") > 0), F.format_string("%d samples without 1-D position", "nan")),
+        ("info", "position_nan", long, F.format_string("%d samples without 1-D position", "nan")),
         ("warning", "1d_valid_where_2d_nan", long & (F.col("odd") > 0), F.format_string("%d samples", "odd")),
         ("error", "position_1d_all_nan", long & (F.col("defined") == 0), F.lit("no 1-D position")),
         ("info", "position_1d_range", some, F.format_string("%.4f to %.4f m", "lo", "hi")),
-        ("warning", "position_1d_out_of_track", some & (F.col("hi") > F.col("track_length_m") + TRACK_M), F.format_string("up to %.4f m", "hi")),
-        ("warning", "position_1d_negative", some & (F.col("lo") < -TRACK_M), F.format_string("down to %.4f m", "lo")),
+        ("warning", "position_1d_out_of_track", some & ~ring & beyond, F.format_string("from %.4f to %.4f m", "lo", "hi")),
+        ("warning", "position_1d_negative", some & ring & (F.col("lo") < -TRACK_M), F.format_string("down to %.4f m", "lo")),
     ])
 
 

@@ -17,7 +17,7 @@ from .storage import event_stream, run_stream
 
 # --- the validator's own table ---------------------------------------------------------------------
 
-#: Every fifty users are a session of 25 days on a track of 300 m. Sleep is a state that no session has.
+#: Every fifty users are a session of 25 days on a track of 300 m, linear and circular by turns. Sleep is a state that no session has.
 SESSION_S, TRACK, KNOWN = 25 * DAY_US / 1e6, 300.0, ["click", "error", "purchase", "signup", "sleep", "view"]
 
 
@@ -58,15 +58,16 @@ ov AS (SELECT a.session, a.state AS one, b.state AS two, sum(least(a.e, b.e) - g
     _found("pa", "error", "position_too_short", "'# samples'", "n", "n < 2"),
     _found("pa", "error", "position_t_not_monotonic", "'# steps that do not go on'", "back", "n >= 2 AND back > 0"),
     _found("pa", "error", "position_outside_maze", "'# samples outside MAZE'", "outside", "n >= 2 AND outside > 0"),
+    _found("pa", "info", "position_dt", "'step # s'", "floor(mid)", "n >= 2"),
     _found("pa", "warning", "position_dt_unexpected", "'step # s'", "floor(mid)", "n >= 2"),
     _found("pa", "warning", "position_time_gaps", "'longest step # s'", "floor(gap)", "n >= 2 AND gap > 1.5 * mid"),
     _found("pa", "warning", "xy_partial_nan", "'# samples with one of x, y'", "partial", "n >= 2 AND partial > 0"),
-    _found("pa", "info", "position_nan", "'# samples without #-D position'", "nan", "n >= 2 AND nan > 0"),
+    _found("pa", "info", "position_nan", "'# samples without #-D position'", "nan", "n >= 2"),
     _found("pa", "warning", "1d_valid_where_2d_nan", "'# samples'", "odd", "n >= 2 AND odd > 0"),
     _found("pa", "error", "position_1d_all_nan", "'no #-D position'", "1", "n >= 2 AND defined = 0"),
     _found("pa", "info", "position_1d_range", "CASE WHEN lo < 0 THEN '-' ELSE '' END || '# to # m'", "floor(abs(lo))", "n >= 2 AND defined > 0"),
-    _found("pa", "warning", "position_1d_out_of_track", "'up to # m'", "floor(hi)", f"n >= 2 AND hi > {TRACK} + 0.01"),
-    _found("pa", "warning", "position_1d_negative", "'down to -# m'", "floor(abs(lo))", "n >= 2 AND lo < -0.01"),
+    _found("pa", "warning", "position_1d_out_of_track", "CASE WHEN lo < 0 THEN 'from -# to # m' ELSE 'from # to # m' END", "floor(abs(lo))", f"n >= 2 AND substr(session, 2)::INT % 2 = 0 AND (lo < -0.01 OR hi > {TRACK} + 0.01)"),
+    _found("pa", "warning", "position_1d_negative", "'down to -# m'", "floor(abs(lo))", "n >= 2 AND substr(session, 2)::INT % 2 = 1 AND lo < -0.01"),
     *(_found("st", severity, code, f"state || ': # {said}'", n) for severity, code, said, n in (("warning", "state_zero_length", "of no length", "zero"), ("error", "state_negative_length", "end before they start", "neg"),
       ("warning", "state_unsorted", "start before the one before", "unsorted"), ("warning", "state_self_overlap", "overlap another", "self"), ("warning", "state_outside_session", "leave the session", "outside"))),
     _found(f"(SELECT session, known FROM sess CROSS JOIN (SELECT unnest({KNOWN}) AS known) WHERE NOT EXISTS (SELECT 1 FROM iv WHERE iv.session = sess.session AND iv.state = known))", "info", "state_empty", "known || ' has no interval'", where="TRUE"),
@@ -80,7 +81,7 @@ def recording_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     name = lambda c: F.concat(F.lit("S"), shank_of(F.col(c), 50).cast("string"))
     sp = ev.withColumn("session", name("user_id"))
-    sessions = sp.select("session").distinct().withColumns({"sess_duration": F.lit(SESSION_S), "track_length_m": F.lit(TRACK)})
+    sessions = sp.select("session").distinct().withColumns({"sess_duration": F.lit(SESSION_S), "track_length_m": F.lit(TRACK), "maze_kind": F.when(F.substring("session", 2, 9).cast("int") % 2 == 0, "linear").otherwise("circular")})
     spikes = sp.select("session", F.col("event_id").alias("seq"), F.col("user_id").alias("cluster_id"), "t")
     told = [sp.where((F.col("event_type") == k) & (F.col("value") > 150)).select("session", F.col("user_id").alias("cluster_id"), F.lit(kind).alias("kind")) for k, kind in (("signup", "pyr"), ("view", "int"))]
     buyers = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(name("c_custkey").alias("session"), F.col("c_custkey").alias("cluster_id"), F.lit("pyr").alias("kind"))

@@ -289,6 +289,15 @@ def test_clean_recording_and_mutations(rec, spark):
     assert ("error", "state_negative_length") in codes(rec, spark, states=st.unionByName(spark.createDataFrame([(synthetic.NAME, "REM", 99.0, 98.0)], st.schema)))
 
 
+@pytest.mark.parametrize(("kind", "low", "high", "want"), [("linear", -0.5, 1.0, {"position_1d_out_of_track"}), ("linear", 0.0, 9.0, {"position_1d_out_of_track"}), ("circular", -0.5, 9.0, {"position_1d_negative"}), ("circular", 0.0, 9.0, set()), (None, 0.0, 1.0, set())])
+def test_range_of_position_by_maze_kind(rec, spark, kind, low, high, want):
+    """Below zero a linear track is left, a circular one numbered wrongly; only a linear one has an end."""
+    sessions = rec["sessions"].withColumns({"maze_kind": F.lit(kind).cast("string"), "track_length_m": F.lit(1.6)})
+    position = rec["position"].withColumn("x1d", F.when(F.col("sample") % 2 == 0, F.lit(low)).otherwise(F.lit(high)))
+    found = {c for _, c in codes(rec, spark, sessions=sessions, position=position)}
+    assert found & {"position_1d_out_of_track", "position_1d_negative"} == want and "position_nan" in found
+
+
 def test_truncation(rec, spark):
     s = rec["spikes"].unionByName(spark.createDataFrame([(synthetic.NAME, 102, 300.0), (synthetic.NAME, 103, 310.5)], rec["spikes"].schema))
     kept, _, _, report = validate.truncate(s, rec["states"], rec["epochs"], rec["sessions"])
