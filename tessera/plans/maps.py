@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian_weights
 from ..functions import axis as ax
-from ..operators import fields, islands
+from ..operators import cells, controls, fields, islands
+from ..sources import tables
 from .registry import EV, events, hours, query, r6, values_sql
 
 N = 24
@@ -175,3 +176,60 @@ def ring_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, v = (F.col("us") % 86_400_000_000) / 3.6e9, F.col("value") / 4
     return events(spark, sf_dir).select("event_id", r6(ax.way(HOUR_RING, h, v), "difference"), r6(F.abs(ax.way(HOUR_RING, h, v)), "distance"), ax.bin_number(HOUR_RING, h - v).alias("bin"))
 
+
+
+# --- the table of place fields ---------------------------------------------------------------------
+
+SHUFFLES, LEAST_H = 200, 4.9
+CRITERIA = {"min_spikes": 20, "min_peak_hz": 0.05, "alpha": 0.6, "min_stability": -0.5}
+_NEAR = [(a, (a + k - len(WEIGHTS) // 2) % 24, w) for a in range(24) for k, w in enumerate(WEIGHTS)]
+
+#: Ten-minute slots with a purchase are the running ones, days are laps, forty groups of users are cells; whole maps (h -1) and those of every other day.
+PLACE = f"""{EV}, run AS (SELECT *, row_number() OVER (ORDER BY slot10) - 1 AS slot FROM (SELECT DISTINCT us // 600000000 AS slot10, day, bin FROM ev WHERE event_type = 'purchase')), size AS (SELECT count(*) AS n, count(DISTINCT day) AS laps FROM run),
+lap AS (SELECT day, (row_number() OVER (ORDER BY day) - 1) % 2 AS half FROM (SELECT DISTINCT day FROM run)), rn AS (SELECT slot, bin, -1::BIGINT AS h FROM run UNION ALL SELECT slot, bin, half FROM run JOIN lap USING (day)),
+grid AS (SELECT range // 24 - 1 AS h, (range % 24)::INT AS bin FROM range(72)), kern AS (SELECT * FROM {values_sql(_NEAR, "t(a, b, w)")}),
+raw AS (SELECT grid.h, grid.bin, count(slot) / 6.0 AS o FROM grid LEFT JOIN rn ON rn.h = grid.h AND rn.bin = grid.bin GROUP BY ALL), occ AS (SELECT raw.h, b AS bin, any_value(own.o) AS o, sum(raw.o * w) AS so FROM raw JOIN kern ON raw.bin = a JOIN raw own ON own.h = raw.h AND own.bin = b GROUP BY raw.h, b),
+c AS (SELECT user_id % 40 AS cell, slot, count(*) AS k FROM ev JOIN run ON run.slot10 = us // 600000000 GROUP BY ALL), cells AS (SELECT cell, sum(k) AS n_spikes FROM c GROUP BY cell),
+sh AS (SELECT cell, k AS s, CASE WHEN k = 0 THEN 0 ELSE 1 + ('0x' || substr(md5('0:' || cell || ':' || k), 1, 12))::BIGINT % (n - 2) END AS shift, n AS slots FROM range({SHUFFLES + 1}) t(k), size, cells),
+mv AS MATERIALIZED (SELECT cell * 1000 + s AS cs, (c.slot + shift) % slots AS slot, k FROM c JOIN sh USING (cell)), mk AS (SELECT cs * 72 + run.bin AS k, mv.k AS n FROM mv JOIN run USING (slot) UNION ALL SELECT ((cell * 1000) * 3 + half + 1) * 24 + bin, c.k FROM c JOIN run USING (slot) JOIN lap USING (day)),
+m AS (SELECT k, sum(n) AS n FROM mk GROUP BY k), sk AS (SELECT k - k % 24 + b AS k, n * w AS n FROM m JOIN kern ON k % 24 = a), sm AS (SELECT k // 72000 AS cell, k // 72 % 1000 AS s, k // 24 % 3 - 1 AS h, (k % 24)::INT AS bin, n FROM (SELECT k, sum(n) AS n FROM sk GROUP BY k)),
+valid AS (SELECT h, bin, o, so, o / sum(o) OVER (PARTITION BY h) AS q FROM occ WHERE o >= {LEAST_H}),
+r AS (SELECT sh.cell, sh.s, v.h, v.bin, v.q, coalesce(sm.n, 0) / so AS r FROM sh JOIN valid v ON sh.s = 0 OR v.h = -1 LEFT JOIN sm ON sm.cell = sh.cell AND sm.s = sh.s AND sm.h = v.h AND sm.bin = v.bin),
+i AS (SELECT cell, s, round(sum(CASE WHEN r > 0 THEN q * r / m * log2(r / m) ELSE 0 END), 7) AS info, any_value(m) AS m FROM (SELECT *, sum(q * r) OVER (PARTITION BY cell, s) AS m FROM r WHERE h = -1) WHERE m > 0 GROUP BY cell, s),
+nul AS (SELECT a.cell, any_value(a.info) AS info, any_value(a.m) AS m, avg(b.info) AS null_mean, (any_value(a.info) - avg(b.info)) / stddev_pop(b.info) AS z, (1 + count(*) FILTER (b.info >= a.info)) / (1.0 + count(*)) AS p FROM i a JOIN i b ON a.cell = b.cell AND a.s = 0 AND b.s > 0 GROUP BY a.cell),
+peak AS (SELECT cell, max(r) AS peak, arg_max(bin, (round(r, 9), -bin)) AS place FROM r WHERE s = 0 AND h = -1 GROUP BY cell), hi AS (SELECT peak.cell, b.b AS bin, r.r, coalesce(r.r >= 0.7 * peak AND peak > 0, FALSE) AS on_ FROM peak CROSS JOIN (SELECT range::INT AS b FROM range(24)) b LEFT JOIN (SELECT * FROM r WHERE s = 0 AND h = -1) r ON r.cell = peak.cell AND r.bin = b.b),
+e AS (SELECT a.cell, a.bin, a.on_ AND NOT p.on_ AS opens, a.on_ AND NOT n.on_ AS shuts, bool_and(a.on_) OVER (PARTITION BY a.cell) AS every FROM hi a JOIN hi p ON p.cell = a.cell AND p.bin = (a.bin + 23) % 24 JOIN hi n ON n.cell = a.cell AND n.bin = (a.bin + 1) % 24),
+f AS (SELECT s.cell, s.bin AS first, min((t.bin - s.bin + 24) % 24) + 1 AS n FROM e s JOIN e t ON t.cell = s.cell AND t.shuts WHERE s.opens GROUP BY ALL HAVING min((t.bin - s.bin + 24) % 24) + 1 BETWEEN 2 AND 12),
+fs AS (SELECT cell, count(*)::INT AS n_fields, sum(n)::INT AS width, max(n)::INT AS largest FROM f GROUP BY cell), io AS (SELECT hi.cell, avg(r) FILTER (f.cell IS NOT NULL) AS in_, avg(r) FILTER (f.cell IS NULL) AS out_ FROM hi LEFT JOIN f ON f.cell = hi.cell AND (hi.bin - first + 24) % 24 < n WHERE r IS NOT NULL GROUP BY hi.cell),
+st AS (SELECT cell, CASE WHEN count(*) >= 3 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END AS stability FROM (SELECT a.cell, a.r AS x, b.r AS y FROM r a JOIN r b ON a.cell = b.cell AND a.bin = b.bin AND a.s = 0 AND b.s = 0 AND a.h = 0 AND b.h = 1) GROUP BY cell),
+act AS (SELECT cell, count(DISTINCT day) AS n_laps_active FROM c JOIN run USING (slot) GROUP BY cell),
+tab AS (SELECT cell, n_spikes, m, peak, place, info, null_mean, z, p, coalesce(n_fields, 0) AS n_fields, coalesce(width, 0) AS width, largest, in_, out_, stability, n_laps_active, laps,
+ coalesce(n_spikes >= 20 AND peak >= 0.05 AND p < 0.6 AND coalesce(n_fields, 0) >= 1, FALSE) AS core FROM cells JOIN peak USING (cell) LEFT JOIN nul USING (cell) LEFT JOIN fs USING (cell) LEFT JOIN io USING (cell) LEFT JOIN st USING (cell) JOIN act USING (cell) CROSS JOIN size)"""
+
+
+def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir).withColumn("slot10", F.floor(F.col("us") / 600_000_000))
+    # One row a slot: a window over the recording's length, not its events
+    running = ev.where("event_type = 'purchase'").select("slot10", "day", "bin").distinct().withColumn("slot", F.row_number().over(Window.orderBy("slot10")) - 1).withColumn("session", F.lit("s"))
+    spikes = ev.join(running.select("session", "slot10", "slot"), "slot10").groupBy("session", (F.col("user_id") % 40).alias("cluster_id"), "slot").agg(F.count(F.lit(1)).alias("k"))
+    return cells.place_field_table(spikes, running.select("session", "slot", "bin", F.col("day").alias("lap")), fields.seeded_shifts(SHUFFLES), n_bins=24, slot_s=1 / 6.0, min_occupancy=LEAST_H, threshold_frac=0.7, min_width=2, max_width_frac=0.5, **CRITERIA)
+
+
+@query(f"""WITH {PLACE} SELECT cell AS cluster_id, n_spikes::BIGINT AS n_spikes, round(m, 6) AS mean_rate, round(peak, 6) AS peak_rate, place AS peak_bin, round(info, 5) AS info, round(info * m, 5) AS info_per_second, round(null_mean, 5) AS null_mean, round(z, 3) AS info_z, round(p, 6) AS p, n_fields, width::DOUBLE AS field_width, largest::DOUBLE AS largest_field_width,
+round(in_, 6) AS in_field_rate, round(out_, 6) AS out_field_rate, round(stability, 5) AS stability, n_laps_active, laps AS n_laps, core AND coalesce(stability >= -0.5, FALSE) AS is_place_cell, core AS passes_core FROM tab""")
+def place_field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps, information against 200 shifts, fields, stability and the verdict of every cell."""
+    t = place_fields(spark, sf_dir)
+    return t.select(
+        "cluster_id", "n_spikes", r6("mean_rate", "mean_rate"), r6("peak_rate", "peak_rate"), "peak_bin", F.round("info", 5).alias("info"), F.round("info_per_second", 5).alias("info_per_second"), F.round("null_mean", 5).alias("null_mean"), F.round("info_z", 3).alias("info_z"), r6("p", "p"), "n_fields", "field_width",
+        "largest_field_width", r6("in_field_rate", "in_field_rate"), r6("out_field_rate", "out_field_rate"), F.round("stability", 5).alias("stability"), "n_laps_active", "n_laps", "is_place_cell", "passes_core",
+    )
+
+
+@query(f"""WITH {PLACE}, v(variant, spikes, alpha, stab) AS (VALUES ('base', 20, 0.6, -0.5), ('stable', 20, 0.6, 0.1), ('sure', 20, 0.2, -0.5), ('busy', 90, 0.6, -0.5))
+SELECT variant, count(*) AS n_cells, count(*) AS n_pairs FROM tab, v WHERE n_spikes >= spikes AND peak >= 0.05 AND p < alpha AND n_fields >= 1 AND stability >= stab GROUP BY variant""")
+def place_cell_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many place cells each set of criteria leaves of the same table."""
+    variants = {"base": {}, "stable": {"min_stability": 0.1}, "sure": {"alpha": 0.2}, "busy": {"min_spikes": 90}}
+    made = tables.written(place_fields(spark, sf_dir), "place-fields")
+    return controls.criteria_sweep(made, {name: CRITERIA | own for name, own in variants.items()}, [])
