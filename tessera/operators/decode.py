@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .draws import hashed
+
 FLOOR_HZ = 0.01
 
 
@@ -101,6 +103,24 @@ def ensembles(cells: list[int], sizes: list[int], draws: int, seed: int) -> list
     return [(s, d, int(c)) for s in sizes if s <= len(cells) for d in range(draws) for c in rng.choice(cells, s, replace=False)]
 
 
+def drawn_ensembles(cells: DataFrame, sizes: list[int], draws: int, seed: int, cell: str = "cell") -> DataFrame:
+    """size, draw, cell: random subsets of the cells by hashes of (seed, size, draw, cell); a size of all cells or more is drawn once, whole."""
+    n = cells.agg(F.count(F.lit(1)).alias("_n"))
+    fan = cells.select(cell).crossJoin(n).withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("size", F.least("size", "_n").cast("int")).distinct()
+    fan = fan.withColumn("draw", F.explode(F.sequence(F.lit(0), F.when(F.col("size") < F.col("_n"), draws - 1).otherwise(0))))
+    w = Window.partitionBy("size", "draw").orderBy(hashed(seed, "size", "draw", cell), cell)
+    return fan.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("size")).select("size", "draw", cell)
+
+
+def drawn_permutations(cells: DataFrame, n: int, seed: int, cell: str = "cell") -> DataFrame:
+    """perm_id, cell, takes: in each of ``n`` permutations every cell takes another one's place, by hashes of (seed, perm_id, cell)."""
+    fan = cells.select(cell).withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    w = Window.partitionBy("perm_id")
+    a = fan.withColumn("_r", F.row_number().over(w.orderBy(cell)))
+    b = fan.withColumn("_r", F.row_number().over(w.orderBy(hashed(seed, "perm_id", cell), cell))).select("perm_id", "_r", F.col(cell).alias("takes"))
+    return a.join(b, ["perm_id", "_r"]).select("perm_id", cell, "takes")
+
+
 def interpolate_flag(column: Column) -> Column:
     """Undecodable bins (no spikes) stay in the result with a NULL position."""
     return F.when(column > 0, F.lit(True)).otherwise(F.lit(False))

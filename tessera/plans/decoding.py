@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal
 from ..operators import decode, envelopes, filters, sequences, states
+from ..sources import tables
 from ..sources.tables import table
 from .registry import EPOCH, EV, days, epoch_of, events, hours, query, r6, values_sql
 
@@ -73,6 +74,54 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.confusion_matrix(decoded(spark, sf_dir)[1], "bin", "decoded").withColumn("share", r6("share"))
 
 
+# --- how many cells, and which ---------------------------------------------------------------------
+
+SIZES, DRAWS, PERMUTATIONS = (2, 4, 8, 12), 10, 20
+
+
+def loo_sql(fan: str, key: str) -> str:
+    """Decoding as in LOO for each ``key`` of ``fan`` (key, cell, takes): CTE err with key, error."""
+    loo = LOO[: LOO.index("raw AS")]
+    return f"""{loo}fan AS ({fan}), raw AS (SELECT {key}, g.day, g.bin, t.bin AS pos, sum(g.n * ln(t.rate)) - {DT} * sum(t.rate) AS x FROM g JOIN fan ON fan.cell = g.cell JOIN tune t ON t.day = g.day AND t.cell = fan.takes GROUP BY ALL HAVING sum(g.n) > 0),
+lp AS (SELECT *, x - max(x) OVER w - ln(sum(exp(x - mx)) OVER w) AS lp FROM (SELECT *, max(x) OVER (PARTITION BY {key}, day, bin) AS mx FROM raw) WINDOW w AS (PARTITION BY {key}, day, bin)),
+dec AS (SELECT {key}, day, bin, arg_max(pos, (round(lp, 7), -pos)) AS decoded FROM lp GROUP BY {key}, day, bin), err AS (SELECT {key}, {RING_ERROR} AS error FROM dec)"""
+
+
+def errors_by(counts: DataFrame, tuning: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, median: of the ring error of counts and templates that both carry the keys."""
+    lp = decode.log_posterior(counts.withColumnRenamed("bin", "tbin"), tuning, ["tbin"], [*keys, "day"], DT, floor_hz=1e-5)
+    best = decode.posterior_mode(lp.withColumn("lp", F.round("lp", 7)), [*keys, "day", "tbin"]).withColumnRenamed("tbin", "bin")
+    return best.withColumn("error", ring_error()).groupBy(*keys).agg(F.percentile("error", 0.5).alias("median"))
+
+
+_ENSEMBLES = f"""SELECT size, draw, cell, cell AS takes FROM (SELECT s.s AS size, d.d AS draw, c.c AS cell, row_number() OVER (PARTITION BY s.s, d.d ORDER BY md5('5:' || s.s || ':' || d.d || ':' || c.c), c.c) AS r FROM (SELECT unnest({list(SIZES)}) AS s) s CROSS JOIN (SELECT range AS d FROM range({DRAWS})) d CROSS JOIN (SELECT range AS c FROM range({CELLS})) c WHERE s.s < {CELLS} OR d.d = 0) WHERE r <= size"""
+
+
+@query(f"""WITH {loo_sql(_ENSEMBLES, "size, draw")}, m AS (SELECT size, draw, quantile_cont(error, 0.5) AS e FROM err GROUP BY size, draw)
+SELECT size, count(*) AS n_draws, round(quantile_cont(e, 0.5), 6) AS median, round(quantile_cont(e, 0.25), 6) AS p25, round(quantile_cont(e, 0.75), 6) AS p75 FROM m GROUP BY size""")
+def error_by_ensemble_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoding error of random ensembles of each size; all of them are templates of one decoding."""
+    counts, tuning = left_out(spark, sf_dir)
+    drawn = tables.written(decode.drawn_ensembles(tuning.select("cell").distinct(), list(SIZES), DRAWS, 5), "ensembles")
+    each = errors_by(counts.join(drawn, "cell"), tuning.join(drawn, "cell"), ["size", "draw"])
+    out = each.groupBy("size").agg(F.count(F.lit(1)).alias("n_draws"), F.percentile("median", F.array(*map(F.lit, (0.5, 0.25, 0.75)))).alias("_p"))
+    return out.select("size", "n_draws", *(r6(F.col("_p")[k], n) for k, n in enumerate(("median", "p25", "p75"))))
+
+
+_CELLS12 = f"(SELECT p.p AS perm_id, c.c AS cell FROM (SELECT range AS p FROM range({PERMUTATIONS})) p CROSS JOIN (SELECT range AS c FROM range({CELLS})) c)"
+_PERMUTED = f"""SELECT a.perm_id, a.cell, b.cell AS takes FROM (SELECT *, row_number() OVER (PARTITION BY perm_id ORDER BY cell) AS r FROM {_CELLS12}) a JOIN (SELECT *, row_number() OVER (PARTITION BY perm_id ORDER BY md5('6:' || perm_id || ':' || cell), cell) AS r FROM {_CELLS12}) b ON a.perm_id = b.perm_id AND a.r = b.r"""
+
+
+@query(f"""WITH {loo_sql(_PERMUTED, "perm_id")} SELECT perm_id::INT AS perm_id, round(quantile_cont(error, 0.5), 6) AS median FROM err GROUP BY perm_id""")
+def decoding_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error left when fields are dealt out to cells anew, on the same held-out templates."""
+    counts, tuning = left_out(spark, sf_dir)
+    drawn = tables.written(decode.drawn_permutations(tuning.select("cell").distinct(), PERMUTATIONS, 6), "permutations")
+    perms = spark.range(PERMUTATIONS).select(F.col("id").cast("int").alias("perm_id"))
+    each = errors_by(counts.crossJoin(perms), decode.permuted_cells(tuning, drawn), ["perm_id"])
+    return each.select("perm_id", r6("median", "median"))
+
+
 #: An embedding as a posterior of 8 time bins by 8 positions: squares, divided by their sum.
 POST = "p AS (SELECT vec_id, ((k - 1) // 8)::INT AS tbin, ((k - 1) % 8)::INT AS pbin, x * x / sum(x * x) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings))"
 
