@@ -35,7 +35,7 @@ def two_threshold(trace: DataFrame, keys: list[str], *, value: str = "v", i: str
     [min_duration, max_duration]. low and high are expressions over the trace's columns.
     """
     over = trace.withColumn("_hi", (F.col(value) >= high).cast("int"))
-    runs = true_runs(over, F.col(value) >= low, keys, i, chunk=chunk, values={"t0": F.min(t), "t1": F.max(t), "reached": F.max("_hi")}).where("reached = 1")
+    runs = true_runs(over, F.col(value) >= low, keys, i, chunk=chunk, values={"t0": ("min", t), "t1": ("max", t), "reached": ("max", "_hi")}).where("reached = 1")
     w = Window.partitionBy(*keys).orderBy("first")
     new = F.coalesce(F.col("t0") - F.lag("t1").over(w) >= merge_gap, F.lit(True)).cast("long")
     merged = runs.withColumn("_event", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy(*keys, "_event").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("t0").alias("start"), (F.max("t1") + dt).alias("end"))

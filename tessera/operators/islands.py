@@ -11,39 +11,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def true_runs(df: DataFrame, flag: Column, keys: list[str], i: str = "i", *, chunk: int | None = None, values: dict[str, Column] | None = None) -> DataFrame:
+#: Aggregates whose results over parts give that of the whole.
+MERGED = {"min": F.min, "max": F.max, "sum": F.sum}
+
+
+def true_runs(df: DataFrame, flag: Column, keys: list[str], i: str = "i", *, chunk: int | None = None, values: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """keys, first, last, n and aggregates of each maximal run of consecutive indexes where ``flag`` holds.
 
-    values: name -> mergeable aggregate column over the run's samples (min, max or sum of samples). A
-    NULL flag is FALSE. Only samples that hold the flag are shuffled.
+    values: name -> (min, max or sum, column of the run's samples). A NULL flag is FALSE. Only samples that hold the flag are shuffled.
     """
     part = [*keys, "_chunk"]
     held = df.where(F.coalesce(flag, F.lit(False))).withColumn("_chunk", F.floor(F.col(i) / chunk).cast("long") if chunk else F.lit(0).cast("long"))
     # Consecutive indexes minus their rank are constant: no FALSE samples are needed.
     island = F.col(i) - F.row_number().over(Window.partitionBy(*part).orderBy(i))
     values = values or {}
-    local = held.withColumn("_island", island).groupBy(*part, "_island").agg(F.min(i).alias("first"), F.max(i).alias("last"), *(v.alias(k) for k, v in values.items()))
+    local = held.withColumn("_island", island).groupBy(*part, "_island").agg(F.min(i).alias("first"), F.max(i).alias("last"), *(MERGED[how](column).alias(name) for name, (how, column) in values.items()))
     if not chunk:
         return local.select(*keys, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"), *values)
     order = Window.partitionBy(*keys).orderBy("first")
     new = F.coalesce(F.lag("last").over(order) + 1 != F.col("first"), F.lit(True)).cast("long")
     runs = local.withColumn("_run", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    again = {k: _again(v, k) for k, v in values.items()}
-    return runs.groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), *(v.alias(k) for k, v in again.items())).select(*keys, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"), *values)
-
-
-def _again(aggregate: Column, name: str) -> Column:
-    """The same aggregate over partial results."""
-    said = str(aggregate).split("'")[1] if "'" in str(aggregate) else str(aggregate)
-    for word, function in (("min", F.min), ("max", F.max), ("sum", F.sum)):
-        if said.lower().startswith(word + "("):
-            return function(name)
-    raise ValueError("values of chunked runs must be min, max or sum")
+    again = [MERGED[how](name).alias(name) for name, (how, _) in values.items()]
+    return runs.groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), *again).select(*keys, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"), *values)
 
 
 def mask_to_intervals(df: DataFrame, flag: Column, keys: list[str], *, i: str = "i", t: str = "t", dt: float, chunk: int | None = None) -> DataFrame:
     """keys, start, end, n: runs of the flag as half-open intervals, the last sample's step included."""
-    runs = true_runs(df, flag, keys, i, chunk=chunk, values={"start": F.min(t), "stop": F.max(t)})
+    runs = true_runs(df, flag, keys, i, chunk=chunk, values={"start": ("min", t), "stop": ("max", t)})
     return runs.select(*keys, "start", (F.col("stop") + dt).alias("end"), "n")
 
 

@@ -42,7 +42,7 @@ def detected(rows: DataFrame, low: float = 0.3, high: float = 1.0, gap_h: int =
     """session, event_id (hour of the peak), start, peak, end, v. The baseline is one row."""
     base = detect.baseline(rows, ["session"])
     lo, hi = (F.round(F.col("mean") + k * F.col("sd"), 6) for k in (low, high))
-    found = detect.two_threshold(rows.join(F.broadcast(base), "session"), ["session", "day"], low=lo, high=hi, merge_gap=gap_h * 3600.0, min_duration=7200.0, max_duration=12 * 3600.0, dt=3600.0)
+    found = detect.two_threshold(rows.join(base, "session"), ["session", "day"], low=lo, high=hi, merge_gap=gap_h * 3600.0, min_duration=7200.0, max_duration=12 * 3600.0, dt=3600.0)
     return found.select("session", F.floor(F.col("peak") / 3600).alias("event_id"), "start", "peak", "end", F.col("peak_value").alias("v"))
 
 
@@ -61,7 +61,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sweep is one more key of the detector: all thresholds in one job."""
     rows = trace(events(spark, sf_dir))
     base = detect.baseline(rows, ["session"])
-    fan = rows.join(F.broadcast(base), "session").withColumn("high", F.explode(F.array(*(F.lit(h) for h in (0.5, 1.0, 1.5, 2.0)))))
+    fan = rows.join(base, "session").withColumn("high", F.explode(F.array(*(F.lit(h) for h in (0.5, 1.0, 1.5, 2.0)))))
     found = detect.two_threshold(fan, ["session", "high", "day"], low=F.round(F.col("mean") + 0.3 * F.col("sd"), 6), high=F.round(F.col("mean") + F.col("high") * F.col("sd"), 6), merge_gap=7200.0, min_duration=7200.0, max_duration=12 * 3600.0, dt=3600.0)
     return found.groupBy("high").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round((F.col("end") - F.col("start")) / 3600)).cast("long").alias("hours"))
 

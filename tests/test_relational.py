@@ -28,7 +28,7 @@ def test_runs(spark, chunk):
     rng = random.Random(4)
     flags = {s: [rng.random() < 0.6 for _ in range(90)] for s in "ab"}
     df = spark.createDataFrame([(s, k, f if rng.random() > 0 else None, float(k)) for s, fs in flags.items() for k, f in enumerate(fs)], "s string, i long, f boolean, v double")
-    got = islands.true_runs(df, F.col("f"), ["s"], chunk=chunk, values={"top": F.max("v")}).collect()
+    got = islands.true_runs(df, F.col("f"), ["s"], chunk=chunk, values={"top": ("max", "v")}).collect()
     assert {(r["s"], r["first"], r["last"], r["n"], r["top"]) for r in got} == {(s, a, b, b - a + 1, float(b)) for s, fs in flags.items() for a, b in runs_of(fs)}
 
 
