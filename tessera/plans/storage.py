@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import table_functions
 from ..functions.kernels import gaussian_weights, smooth_numpy
 from ..operators import asof, chunks, detect, envelopes, fields, ranks
-from ..sources import frames, tables
+from ..sources import frames, parameters, tables
 from ..sources.tables import scratch, table
 from ..streaming import live, stateful
 from .registry import EV, days, events, hours, query, r6, values_sql
@@ -80,6 +80,28 @@ def list_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(session.alias("session"), F.regexp_replace("path", "^file:/*", "/").alias("path")).join(counted.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "count"), "path").groupBy("session").agg(F.sum("count").alias("n_events"))
 
 
+# --- where a result comes from ---------------------------------------------------------------------
+
+
+@query(f"""WITH {EV} SELECT event_type, count(*) AS n, 'abc123' AS "commit", '{{"low": 0.5, "seed": 3}}' AS params, TRUE AS dated FROM ev GROUP BY event_type""")
+def result_with_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table that carries its commit, its parameters and the time of writing through a file."""
+    n = events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    made = tables.written(parameters.with_provenance(n, "abc123", {"seed": 3, "low": 0.5}), "with-provenance")
+    return made.select("event_type", "n", "commit", "params", (F.col("written_at") <= F.current_timestamp()).alias("dated"))
+
+
+@query(f"""WITH {EV} SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM ev GROUP BY event_type""")
+def sidecar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two results written into one sidecar, one after the other, each under its own keys; read back as a table."""
+    ev, path = events(spark, sf_dir), f"{scratch(spark, 'sidecar')}/result.json"
+    for name, column in (("n", F.count(F.lit(1))), ("n_users", F.count_distinct("user_id"))):
+        rows = ev.groupBy("event_type").agg(column.alias("v")).collect()  # a handful of types
+        parameters.merged_sidecar(path, {"types": {r["event_type"]: {name: r["v"]} for r in rows}}, "abc123")
+    said = spark.read.schema("types map<string, struct<n: long, n_users: long>>").option("multiLine", True).json(path)
+    return said.select(F.explode("types").alias("event_type", "x")).select("event_type", "x.n", "x.n_users")
+
+
 # --- recordings ------------------------------------------------------------------------------------
 
 

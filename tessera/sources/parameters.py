@@ -69,21 +69,30 @@ def git_commit(repo: str | os.PathLike = ".", short: bool = True) -> str:
 
 
 def merged_sidecar(path: str | os.PathLike, found: dict[str, Any], commit: str) -> dict[str, Any]:
-    """Write ``found`` into a JSON file beside a result: keys that are there and not in ``found`` stay, nested ones too.
+    """Write ``found`` into a JSON file beside a result, in any store: keys that are there and not in ``found`` stay, nested ones too.
 
     The whole file is written under another name and put in place at once.
     """
+    from pyarrow import fs
+
+    from .archives import located
+
     import json
     from datetime import UTC, datetime
 
     def laid(old: Any, new: Any) -> Any:
         return {**old, **{k: laid(old.get(k), v) for k, v in new.items()}} if isinstance(old, dict) and isinstance(new, dict) else new
 
-    at = Path(path)
-    said = laid(json.loads(at.read_text(encoding="utf-8")) if at.exists() else {}, found | {"commit": commit, "written_at": datetime.now(UTC).isoformat(timespec="seconds")})
-    beside = at.with_name(f"{at.name}.new")
-    beside.write_text(json.dumps(said, indent=1, sort_keys=True, default=str), encoding="utf-8")
-    beside.replace(at)
+    store, at = located(str(path))
+    there = {}
+    if store.get_file_info(at).type == fs.FileType.File:
+        with store.open_input_stream(at) as file:
+            there = json.loads(file.read())
+    said = laid(there, found | {"commit": commit, "written_at": datetime.now(UTC).isoformat(timespec="seconds")})
+    store.create_dir(os.path.dirname(at))
+    with store.open_output_stream(f"{at}.new") as file:
+        file.write(json.dumps(said, indent=1, sort_keys=True, default=str).encode())
+    store.move(f"{at}.new", at)
     return said
 
 
