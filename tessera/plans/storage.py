@@ -105,6 +105,22 @@ def sidecar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- recordings ------------------------------------------------------------------------------------
 
 
+@query("""WITH s AS (SELECT s_nationkey AS k, s_suppkey, s_suppkey % 3 AS grp, s_acctbal < 0 AS skip, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS channel FROM supplier), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), g AS (SELECT k, grp, row_number() OVER (PARTITION BY k ORDER BY grp) AS shank FROM (SELECT DISTINCT k, grp FROM s))
+SELECT (1000 + k)::DOUBLE AS rate_hz, n::DOUBLE AS n_channels, shank::INT AS shank, (row_number() OVER (PARTITION BY k, grp ORDER BY s_suppkey) - 1)::INT AS pos, channel::INT AS channel, skip FROM s JOIN n USING (k) JOIN g USING (k, grp)""")
+def recording_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML descriptions, one for each nation with its suppliers as channels of three shanks, read back as tables; none has a problem."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey", (F.col("s_suppkey") % 3).alias("grp"), (F.col("s_acctbal") < 0).cast("int").alias("skip"))
+    s = s.withColumn("channel", F.row_number().over(Window.partitionBy("k").orderBy("s_suppkey")) - 1)
+    group = s.groupBy("k", "grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel", "skip"))), lambda c: F.format_string('<channel skip="%d">%d</channel>', c["skip"], c["channel"])), "").alias("x"), F.count(F.lit(1)).alias("c"))
+    each = group.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "x"))), lambda g: F.concat(F.lit("<group>"), g["x"], F.lit("</group>"))), "").alias("g"), F.sum("c").alias("n"))
+    text = F.format_string("<parameters><acquisitionSystem><nBits>16</nBits><nChannels>%d</nChannels></acquisitionSystem><fieldPotentials><lfpSamplingRate>%d</lfpSamplingRate></fieldPotentials><anatomicalDescription><channelGroups>%s</channelGroups></anatomicalDescription></parameters>", "n", F.col("k") + 1000, "g")
+    path = scratch(spark, "descriptions")
+    each.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)  # a file is a recording
+    recordings, channels = frames.read_descriptions(spark, f"{path}/part-*")
+    sound = recordings.join(frames.problems(recordings, channels).select("session").distinct(), "session", "left_anti")
+    return sound.join(channels, "session").select("rate_hz", "n_channels", "shank", "pos", "channel", "skip")
+
+
 def hourly_frames(ev: DataFrame) -> DataFrame:
     """i, values: events of six groups of users by hour, as frames of six channels."""
     n = ev.groupBy(F.floor(F.col("us") / 3_600_000_000).alias("i"), (F.col("user_id") % 6).cast("int").alias("c")).agg(F.count(F.lit(1)).cast("smallint").alias("v"))
