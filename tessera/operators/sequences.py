@@ -38,6 +38,17 @@ def column_cycled(weights: DataFrame, shifts: DataFrame, n_bins: int, pbin: str
     return weights.join(shifts, "tbin").withColumn(pbin, F.pmod(F.col(pbin) + F.col("shift"), F.lit(n_bins))).drop("shift")
 
 
+def gated(tuning: DataFrame, laps: DataFrame, keys: list[str], least: int, direction: str = "direction", lap: str = "lap") -> DataFrame:
+    """tuning of the directions that have ``least`` laps or more (laps: keys, direction, lap): a template of few laps is noise that raises every null."""
+    enough = laps.groupBy(*keys, direction).agg(F.countDistinct(lap).alias("_n")).where(F.col("_n") >= least)
+    return tuning.join(enough.select(*keys, direction), [*keys, direction], "left_semi")
+
+
+def best_direction(scores: DataFrame, keys: list[str], r: str = "r") -> DataFrame:
+    """keys, abs_r: the largest |r| over directions, taken for the observation and for each shuffle alike."""
+    return scores.groupBy(*keys).agg(F.max(F.abs(r)).alias("abs_r"))
+
+
 def z_score(observed: Column, mean: Column, sd: Column) -> Column:
     return F.when(sd > 0, (observed - mean) / sd)
 

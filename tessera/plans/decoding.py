@@ -234,6 +234,50 @@ def placement_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.placement_contribution(means, ["epoch", "cell"]).select("epoch", "cell", F.round("pcc", 5).alias("pcc"), F.round("z", 3).alias("z"), r6("p", "p"), "n_shifts")
 
 
+#: Templates of two directions from the ten middle days (a third one has too few laps), as they are and with cells exchanged, the same way in both.
+LEAST_LAPS = 3
+WAY = "CASE WHEN day % 10 = 3 THEN 'rare' WHEN day % 2 = 0 THEN 'neg' ELSE 'pos' END"
+IDENTITY = f"""{EV}, sp AS (SELECT day, user_id // {CELLS} AS grp, (user_id % {CELLS})::INT AS cell, bin AS tbin, bin // 3 AS pos FROM ev), maze AS (SELECT *, {WAY} AS way FROM sp WHERE day >= 10 AND day < 20),
+gate AS (SELECT way, count(DISTINCT day) AS laps FROM maze GROUP BY way HAVING count(DISTINCT day) >= {LEAST_LAPS}), k AS (SELECT c.c AS cell, b.b AS pos FROM (SELECT range::INT AS c FROM range({CELLS})) c CROSS JOIN (SELECT range::INT AS b FROM range(8)) b),
+cnt AS (SELECT way, cell, pos, count(*) AS n FROM maze GROUP BY ALL), rates AS (SELECT gate.way, k.cell, k.pos, greatest(coalesce(n, 0) / (laps * (SELECT count(DISTINCT grp) FROM sp) * {SPOT}), 1e-6) AS rate FROM gate CROSS JOIN k LEFT JOIN cnt ON cnt.way = gate.way AND cnt.cell = k.cell AND cnt.pos = k.pos),
+ids AS (SELECT range::INT AS cell, row_number() OVER (ORDER BY range) AS a, row_number() OVER (ORDER BY md5('9:0:' || range), range) AS b FROM range({CELLS})), perm AS (SELECT x.cell, y.cell AS takes FROM ids x JOIN ids y ON x.a = y.b),
+tmpl AS (SELECT 'real' AS variant, way, cell, pos, rate FROM rates UNION ALL SELECT 'exchanged', way, perm.cell, pos, rate FROM rates JOIN perm ON rates.cell = perm.takes), pen AS (SELECT variant, way, pos, {DT} * sum(rate) AS pen FROM tmpl GROUP BY ALL),
+c AS (SELECT day, grp, tbin, cell, count(*) AS n FROM sp GROUP BY ALL), e AS (SELECT day, grp FROM c GROUP BY ALL HAVING count(DISTINCT tbin) >= 5),
+base AS (SELECT variant, way, day, grp, tbin, r.pos AS pbin, sum(n * ln(rate)) AS x FROM c SEMI JOIN e USING (day, grp) JOIN tmpl r USING (cell) GROUP BY variant, way, day, grp, tbin, r.pos), lq AS (SELECT base.*, x - pen AS y FROM base JOIN pen ON pen.variant = base.variant AND pen.way = base.way AND pen.pos = base.pbin),
+p0 AS (SELECT variant, way, day, grp, tbin, pbin, exp(y - m) / sum(exp(y - m)) OVER (PARTITION BY variant, way, day, grp, tbin) AS p FROM (SELECT *, max(y) OVER (PARTITION BY variant, way, day, grp, tbin) AS m FROM lq)), {corr_sql("w0", "p0", "variant, way, day, grp")},
+sh(k, tbin, d) AS (VALUES {", ".join(map(str, CYCLES))}), n0 AS (SELECT variant, way, day, grp, k, p0.tbin, (pbin + d) % 8 AS pbin, p FROM p0 JOIN sh USING (tbin)), {corr_sql("z0", "n0", "variant, way, day, grp, k")},
+obs AS (SELECT variant, day, grp, max(abs(r)) AS r FROM w0 GROUP BY ALL), nul AS (SELECT variant, day, grp, avg(r) AS m, stddev_pop(r) AS s FROM (SELECT variant, day, grp, k, max(abs(r)) AS r FROM z0 GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"""WITH {IDENTITY} SELECT variant, {EPOCH} AS epoch, count(*) AS n_events, round(avg((r - m) / s), 5) AS mean_rz, round(count(*) FILTER ((r - m) / s > 1) / count(*), 6) AS above_1 FROM obs JOIN nul USING (variant, day, grp) WHERE s > 0 GROUP BY ALL""")
+def identity_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence scores with every cell's own fields, and with another cell's: the share of events that stand out in either."""
+    ev = events(spark, sf_dir)
+    sp = ev.select("day", F.floor(F.col("user_id") / CELLS).alias("grp"), (F.col("user_id") % CELLS).cast("int").alias("cell"), F.col("bin").alias("tbin"), F.floor(F.col("bin") / 3).cast("int").alias("pos"))
+    maze = sp.where("day >= 10 and day < 20").withColumn("direction", F.expr(WAY))
+    laps = maze.select("direction", F.col("day").alias("lap")).distinct()
+    size = laps.groupBy("direction").agg(F.count(F.lit(1)).alias("laps")).join(sp.agg(F.count_distinct("grp").alias("g")))
+    spine = spark.range(CELLS * 8).select(F.floor(F.col("id") / 8).cast("int").alias("cell"), (F.col("id") % 8).cast("int").alias("bin"))
+    counted = maze.groupBy("direction", "cell", F.col("pos").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = size.crossJoin(spine).join(counted, ["direction", "cell", "bin"], "left").select("direction", "cell", "bin", F.greatest(F.coalesce("n", F.lit(0)) / (F.col("laps") * F.col("g") * SPOT), F.lit(1e-6)).alias("rate"))
+    tuning = tables.written(sequences.gated(every, laps, [], LEAST_LAPS), "tuning")
+    exchanged = decode.permuted_cells(tuning, decode.drawn_permutations(tuning.select("cell").distinct(), 1, 9).drop("perm_id"))
+    both = tuning.withColumn("variant", F.lit("real")).unionByName(exchanged.withColumn("variant", F.lit("exchanged")))
+    counts = sp.groupBy("day", "grp", "tbin", "cell").agg(F.count(F.lit(1)).alias("n"))
+    wide = counts.groupBy("day", "grp").agg(F.countDistinct("tbin").alias("_b")).where("_b >= 5")
+    counts = counts.join(wide.select("day", "grp"), ["day", "grp"], "left_semi")
+    ways = both.select("variant", "direction").distinct()
+    keys, template = ["day", "grp"], ["variant", "direction"]
+    lp = decode.log_posterior(counts.crossJoin(ways), both, [*keys, "tbin"], template, DT, floor_hz=1e-6)
+    p = tables.written(lp.select(*keys, *template, "tbin", F.col("bin").alias("pbin"), F.exp("lp").alias("p")), "posteriors")
+    shifts = spark.createDataFrame(CYCLES, "shuffle_id int, tbin int, shift int")
+    observed = sequences.best_direction(sequences.weighted_correlation(p, [*keys, *template], n_bins=8, circular=True), [*keys, "variant"])
+    null = sequences.weighted_correlation(sequences.column_cycled(p, shifts, 8), [*keys, *template, "shuffle_id"], n_bins=8, circular=True)
+    null = sequences.best_direction(null, [*keys, "variant", "shuffle_id"])
+    scored = sequences.null_scores(null, observed.withColumnRenamed("abs_r", "r"), [*keys, "variant"]).where("null_sd > 0")
+    return scored.groupBy("variant", epoch_of().alias("epoch")).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.avg("rz"), 5).alias("mean_rz"), r6(F.avg((F.col("rz") > 1).cast("double")), "above_1"))
+
+
 RATES = [(s, c, round(1.0 + ((s * 5 + c * 3) % 7) * 0.75, 4)) for s in range(6) for c in range(CELLS)]
 
 
