@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal
-from ..operators import decode, envelopes, filters, sequences, states
+from ..operators import controls, decode, envelopes, filters, sequences, states
 from ..sources import tables
 from ..sources.tables import table
 from .registry import EPOCH, EV, days, epoch_of, events, hours, query, r6, values_sql
@@ -301,6 +301,42 @@ def hmm_fit_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_states", "seed", "fold", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("held_out_ll", 3).alias("held_out_ll"), "n_iterations", "converged")
 
 
+def hourly_sequences(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tbins, counts: the hours with an event of each key's day, as sequences of cells' counts. counts: keys, bin, cell, n."""
+    row = counts.groupBy(*keys, "bin").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m")).select(*keys, "bin", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("v"))
+    packed = row.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "v"))).alias("x"))
+    return packed.select(*keys, F.transform("x", lambda x: x["bin"]).alias("tbins"), F.transform("x", lambda x: x["v"]).alias("counts"))
+
+
+@query()
+def states_chosen_by_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many states real fits ask for, against fits of the same counts with every cell rolled by itself."""
+    ev = events(spark, sf_dir)
+    size = days(ev).agg((F.count(F.lit(1)) * 24).alias("n_bins"), F.min("day").alias("d0"))
+    c = ev.groupBy("day", "bin", (F.col("user_id") % CELLS).cast("int").alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("n")).join(size)
+    c = c.withColumn("i", ((F.col("day") - F.col("d0")) * 24 + F.col("bin")).cast("long"))
+    moved = states.rolled_cells(c, [], "cell", "i", "n_bins", 4)
+    both = c.withColumn("kind", F.lit("real")).unionByName(moved.withColumn("kind", F.lit("shuffled")))
+    sequences_ = hourly_sequences(both.select("kind", F.floor(F.col("i") / 24).alias("sequence"), (F.col("i") % 24).cast("int").alias("bin"), "cell", "n"), ["kind", "sequence"])
+    grid = spark.createDataFrame([(kind, m, seed, fold, 3) for kind in ("real", "shuffled") for m in (2, 3, 4) for seed in (0, 1) for fold in (0, 1, 2)], "kind string, n_states int, seed int, fold int, n_folds int")
+    fits = states.fit_models(sequences_, grid, bin_s=1.0, key=["kind"], iterations=10).withColumn("session", F.lit("s"))
+    return controls.choose_size(fits, ["session"], "held_out_ll", "log_likelihood").select("chosen", "by_likelihood", F.round("fold_agreement", 6).alias("fold_agreement"), "clear")
+
+
+@query()
+def state_sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of groups of users scored as sequences of states of models that were fitted on the middle days of all."""
+    c = events(spark, sf_dir).select("day", F.floor(F.col("user_id") / CELLS).alias("grp"), (F.col("user_id") % CELLS).cast("int").alias("cell"), "bin").groupBy("day", "grp", "cell", "bin").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    learned = hourly_sequences(c.where("day >= 10 and day < 20").groupBy("day", "cell", "bin").agg(F.sum("n").alias("n")), ["day"]).select(F.lit("s").alias("session"), F.col("day").alias("sequence"), "counts")
+    grid = spark.createDataFrame([("s", 4, seed, -1, 3) for seed in (0, 1)], "session string, n_states int, seed int, fold int, n_folds int")
+    fits = tables.written(states.fit_models(learned, grid, bin_s=1.0, key=["session"], iterations=10).withColumnRenamed("seed", "fit"), "fits")
+    found = hourly_sequences(c.where("day < 10 or day >= 20"), ["day", "grp"]).where(F.size("tbins") >= 5).withColumn("event_id", F.col("grp") * 100_000 + F.col("day"))
+    posed = tables.written(states.state_events(found, fits, bin_s=1.0), "state-events")
+    scored = sequences.score_events(posed, circular=False, n_shuffles=40, id="score_id")
+    rows = scored.join(posed.select("score_id", "fit", (F.col("event_id") % 100_000).alias("day")), "score_id")
+    return rows.groupBy("fit", epoch_of().alias("epoch")).agg(F.count("rz").alias("n_events"), F.round(F.avg("rz"), 5).alias("mean_rz"))
+
+
 BANDS = {"slow": (0.02, 0.08), "fast": (0.1, 0.3)}
 
 

@@ -140,6 +140,34 @@ def test_fits_by_sums_are_those_of_one_task(spark):
         assert r["held_out_ll"] == pytest.approx(states.sequence_log_likelihood(want.model, [own[i] for i in sorted(out)]))
 
 
+def test_events_as_sequences_of_states(spark):
+    """Posteriors of each bin's counts alone, states in the asked order; scored like any other posterior."""
+    rng = np.random.default_rng(3)
+    fits = [("a", rng.uniform(1, 9, (3, 4)), rng.dirichlet(np.ones(3), 3), [2.0, None, 1.0]), ("b", rng.uniform(1, 9, (2, 4)), np.full((2, 2), 0.5), [0.0, 1.0])]
+    events = {i: rng.poisson(1.0, (6, 4)).astype(float) for i in (4, 7)}
+    df = spark.createDataFrame([(i, list(range(6)), n.tolist()) for i, n in events.items()], "event_id long, tbins array<int>, counts array<array<double>>")
+    models = spark.createDataFrame([(k, r.tolist(), t.tolist(), p) for k, r, t, p in fits], "fit string, rates array<array<double>>, transition array<array<double>>, positions array<double>")
+    for ordering in ("spectral", "position"):
+        got = {r["score_id"]: r for r in states.state_events(df, models, bin_s=0.5, ordering=ordering).collect()}
+        assert set(got) == {f"{k}:{i}" for k in "ab" for i in events}
+        for k, rates, transition, positions in fits:
+            order = states.spectral_order(transition) if ordering == "spectral" else sorted(range(len(positions)), key=lambda s: (positions[s] is None, positions[s] or 0))
+            for i, n in events.items():
+                e = np.exp(n @ np.log(rates * 0.5).T - rates.sum(axis=1) * 0.5)
+                assert np.allclose(got[f"{k}:{i}"]["posteriors"][0], (e / e.sum(axis=1, keepdims=True))[:, order].ravel())
+    rows = sequences.score_events(states.state_events(df, models, bin_s=0.5), circular=False, n_shuffles=5, id="score_id").collect()
+    assert {r["score_id"] for r in rows} == set(got)
+
+
+def test_rolled_cells_keep_their_counts(spark):
+    df = spark.createDataFrame([(c, i, float(i % 5), 40) for c in range(3) for i in range(40)], "cell int, i long, n double, n_bins int")
+    moved = {}
+    for r in states.rolled_cells(df, [], "cell", "i", "n_bins", 2).collect():
+        moved.setdefault(r["cell"], {})[r["i"]] = r["n"]
+    starts = {c: [k for k in range(40) if all(own[(k + j) % 40] == j % 5 for j in range(40))] for c, own in moved.items()}
+    assert all(starts.values()) and len({tuple(s) for s in starts.values()}) > 1
+
+
 def test_fit_climbs_and_orders_a_ring():
     rng = np.random.default_rng(1)
     rates = np.array([[20.0 if c // 2 == s else 0.2 for c in range(8)] for s in range(4)])
