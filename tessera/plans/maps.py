@@ -204,7 +204,7 @@ fs AS (SELECT cell, count(*)::INT AS n_fields, sum(n)::INT AS width, max(n)::INT
 st AS (SELECT cell, CASE WHEN count(*) >= 3 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END AS stability FROM (SELECT a.cell, a.r AS x, b.r AS y FROM r a JOIN r b ON a.cell = b.cell AND a.bin = b.bin AND a.s = 0 AND b.s = 0 AND a.h = 0 AND b.h = 1) GROUP BY cell),
 act AS (SELECT cell, count(DISTINCT day) AS n_laps_active FROM c JOIN run USING (slot) GROUP BY cell),
 tab AS (SELECT cell, n_spikes, m, peak, place, info, null_mean, z, p, coalesce(n_fields, 0) AS n_fields, coalesce(width, 0) AS width, largest, in_, out_, stability, n_laps_active, laps,
- coalesce(n_spikes >= 20 AND peak >= 0.05 AND p < 0.6 AND coalesce(n_fields, 0) >= 1, FALSE) AS core FROM cells JOIN peak USING (cell) LEFT JOIN nul USING (cell) LEFT JOIN fs USING (cell) LEFT JOIN io USING (cell) LEFT JOIN st USING (cell) JOIN act USING (cell) CROSS JOIN size)"""
+ coalesce(n_spikes >= 20 AND peak >= 0.05 AND p < 0.6 AND coalesce(n_fields, 0) >= 1, FALSE) AS core FROM cells LEFT JOIN peak USING (cell) LEFT JOIN nul USING (cell) LEFT JOIN fs USING (cell) LEFT JOIN io USING (cell) LEFT JOIN st USING (cell) JOIN act USING (cell) CROSS JOIN size)"""
 
 
 def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +227,7 @@ def place_field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PLACE}, v(variant, spikes, alpha, stab) AS (VALUES ('base', 20, 0.6, -0.5), ('stable', 20, 0.6, 0.1), ('sure', 20, 0.2, -0.5), ('busy', 90, 0.6, -0.5))
-SELECT variant, count(*) AS n_cells, count(*) AS n_pairs FROM tab, v WHERE n_spikes >= spikes AND peak >= 0.05 AND p < alpha AND n_fields >= 1 AND stability >= stab GROUP BY variant""")
+SELECT variant, count(cell) AS n_cells, count(cell) AS n_pairs FROM v LEFT JOIN tab ON n_spikes >= spikes AND peak >= 0.05 AND p < alpha AND n_fields >= 1 AND stability >= stab GROUP BY variant""")
 def place_cell_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many place cells each set of criteria leaves of the same table."""
     variants = {"base": {}, "stable": {"min_stability": 0.1}, "sure": {"alpha": 0.2}, "busy": {"min_spikes": 90}}
