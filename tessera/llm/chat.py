@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -54,18 +54,18 @@ def format_conversations(df: DataFrame, *, conversation: str = "conv_id", turn:
     reply after it, so it grows with the square of a conversation's replies, as the method asks. A very long
     text is part of each example after it; repeated rows are turns of their own; further columns are not read.
     """
-    header = F.concat(F.lit("<|"), F.coalesce(F.replace(escaped(F.col("_role")), F.lit("|"), F.lit("\\|")), F.lit("\\0")), F.lit("|>"))
-    rows = df.select(F.col(conversation).alias("_conv"), F.col(turn).alias("_turn"), F.col(role).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_head", header).withColumn("_body", escaped(F.col("_text")))
-    inside = Window.partitionBy("_conv")
-    order = inside.orderBy("_turn", "_role", "_text")
-    rows = rows.select("*", F.row_number().over(order).alias("example"), F.count(F.lit(1)).over(inside).alias("_n"), F.collect_list(F.concat("_head", "_body", F.lit(END))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_parts"))
-    target = F.coalesce(F.col("_role") == target_role, F.lit(False))
-    rows = rows.where(target | (F.col("example") == F.col("_n"))).withColumn("formatted", F.array_join("_parts", ""))
+    head = lambda role: F.concat(F.lit("<|"), F.coalesce(F.replace(escaped(role), F.lit("|"), F.lit("\\|")), F.lit("\\0")), F.lit("|>"))
+    rows = df.select(F.col(conversation).alias("_conv"), F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("_row"))
+    whole = rows.groupBy("_conv").agg(F.array_sort(F.collect_list("_row")).alias("_turns"))
+    whole = whole.select("_conv", "_turns", F.transform("_turns", lambda t: F.concat(head(t["role"]), escaped(t["text"]), F.lit(END))).alias("_parts"), F.size("_turns").alias("_n"))
+    # Only turns that give an example are multiplied; each then takes the parts up to its own.
+    given = F.filter(F.sequence(F.lit(1), F.col("_n")), lambda k: F.coalesce(F.element_at("_turns", k)["role"] == target_role, F.lit(False)) | (k == F.col("_n")))
+    each = whole.select("_conv", "_n", "_turns", "_parts", F.explode(given).alias("example")).withColumn("_own", F.element_at("_turns", F.col("example")))
+    each = each.select("_conv", "_n", "example", F.array_join(F.slice("_parts", F.lit(1), F.col("example")), "").alias("formatted"), F.coalesce(F.col("_own.role") == target_role, F.lit(False)).alias("_target"), escaped(F.col("_own.text")).alias("_body"))
     stop = (F.length("formatted") - len(END)).cast("long")
-    return rows.select(
+    return each.select(
         F.col("_conv").alias(conversation), "example", (F.col("example") == F.col("_n")).alias("last"), "formatted",
-        F.when(target, stop - F.length("_body")).otherwise(stop).alias("loss_start"), stop.alias("loss_end"),
+        F.when(F.col("_target"), stop - F.length("_body")).otherwise(stop).alias("loss_start"), stop.alias("loss_end"),
     )
 
 
