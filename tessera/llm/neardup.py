@@ -41,7 +41,7 @@ BATCH = 32  # minima compared before each look at the posterior
 MOST_WORDS, MEMO_BYTES = 100_000, 20 << 20  # memo of a worker
 BLOCK = 256  # classes in a block
 PART = 512  # candidates of a centre that are joined in one place
-BUCKET_PARTS, CLASS_PARTS = 4, 16  # parts of every bucket and class: their rows are narrow, and a group of copies has many buckets
+PART_ROWS = 2048  # rows of a bucket or class that are joined in one place
 
 _rng = np.random.default_rng(20_240_229)
 FACTORS = _rng.integers(1 << 62, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -329,6 +329,19 @@ def _linked(tasks: DataFrame, signatures: DataFrame, sets_: DataFrame, least: tu
     return _gathered(both.select(*(c.split()[0] for c in MEMBER.split(", ")), "signature", "shingles")).mapInArrow(run, "a long, b long").distinct()
 
 
+def _dealt(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` (with id) joined with their group's row (keys, size): a group of many rows is joined in as many parts as it fills.
+
+    What groups those are is one narrow table, a row for each PART_ROWS rows at most; all other groups are one part.
+    """
+    deals = F.ceil(F.col("size") / PART_ROWS).cast("long")
+    large = materialize(groups.where(F.col("size") > PART_ROWS).select(*keys, deals.alias("deals")), "near-large")
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("deals")), F.lit(0).cast("long"))
+    placed = rows.join(large, keys, "left").withColumn("part", part).drop("deals")
+    copies = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)))
+    return placed.join(copies, [*keys, "part"], how)
+
+
 def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_id", words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """By row: id, n_shingles (size of its set), component_id (smallest id reachable by links), kept (it is its own).
 
@@ -346,13 +359,11 @@ def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_
     least = least_matches(threshold, miss)
     signed = materialize(_signed(df, text, id_column, words, threshold, miss), "near-signatures")
     usable = signed.where("n_shingles > 0 and id is not null")
-    classes = materialize(usable.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "near-classes")
+    classes = materialize(usable.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")), "near-classes")
     firsts = usable.join(classes.select(F.col("rep").alias("id"), "key_a", "key_b"), ["id", "key_a", "key_b"], "left_semi")
     banded = firsts.select("id", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).where("a < last")
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).alias("part")
-    parts = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part")
-    members = materialize(banded.select("*", part(BUCKET_PARTS)).join(buckets.select("bucket", "a", "size", parts(BUCKET_PARTS)), ["bucket", "part"]).select("a", "id", "size"), "near-buckets")
+    members = materialize(_dealt(banded, buckets, ["bucket"]).select("a", "id", "size"), "near-buckets")
     signatures = firsts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "key_a", "key_b"]).select("id", "signature")
     signatures = materialize(signatures, "near-banded")
     # A pair's part is a hash of its candidate, over as many parts as its largest bucket asks for; small buckets have the part 0.
@@ -373,10 +384,9 @@ def near_duplicates(df: DataFrame, *, text: str = "text", id_column: str = "doc_
     final = components(links.unionByName(_linked(tasks, signatures, sets_, least, percent)))
     # A class's component reaches its rows in parts, as a class may hold a third of all rows
     known = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").where("rep < last or component is not null")
-    known = materialize(known.select("key_a", "key_b", F.coalesce("component", "rep").alias("component")), "near-known")
+    known = materialize(known.select("key_a", "key_b", "size", F.coalesce("component", "rep").alias("component")), "near-known")
     release(classes, members, signatures, star, pairs, links, found, tasks)
-    keyed = signed.select("id", "n_shingles", "key_a", "key_b", part(CLASS_PARTS))
-    joined = keyed.join(known.select("*", parts(CLASS_PARTS)), ["key_a", "key_b", "part"], "left")
+    joined = _dealt(signed.select("id", "n_shingles", "key_a", "key_b"), known, ["key_a", "key_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     return joined.select("id", "n_shingles", component.alias("component_id")).select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
