@@ -303,8 +303,9 @@ sh AS (SELECT cell, k AS shuffle_id, CASE WHEN k = 0 THEN 0 ELSE 1 + ('0x' || su
 m AS (SELECT cell, shuffle_id, run.bin, sum(k) AS n FROM c JOIN sh USING (cell) CROSS JOIN size JOIN run ON run.slot = (c.slot + shift) % size.n GROUP BY ALL),
 r AS (SELECT cell, shuffle_id, b AS bin, sum(m.n * w) / any_value(so) AS r, any_value(o) AS o FROM m JOIN kern ON m.bin = a JOIN occ ON occ.bin = b WHERE o >= 40000 GROUP BY cell, shuffle_id, b),
 v AS (SELECT *, o / (SELECT sum(o) FROM occ WHERE o >= 40000) AS q, sum(r * o) OVER (PARTITION BY cell, shuffle_id) / (SELECT sum(o) FROM occ WHERE o >= 40000) AS mean FROM r),
-i AS (SELECT cell, shuffle_id, round(sum(CASE WHEN r > 0 THEN q * r / mean * log2(r / mean) ELSE 0 END), 7) AS info FROM v GROUP BY ALL)
-SELECT a.cell, a.info, round(avg(b.info), 6) AS null_mean, round((a.info - avg(b.info)) / stddev_pop(b.info), 4) AS info_z, round((1 + count(*) FILTER (b.info >= a.info)) / {SHUFFLES + 1}.0, 6) AS p FROM i a JOIN i b ON a.cell = b.cell AND a.shuffle_id = 0 AND b.shuffle_id > 0 GROUP BY a.cell, a.info""")
+i AS (SELECT cell, shuffle_id, round(sum(CASE WHEN r > 0 THEN q * r / mean * log2(r / mean) ELSE 0 END), 7) AS info FROM v GROUP BY ALL),
+z AS (SELECT a.cell, a.info, round(avg(b.info), 6) AS null_mean, round((a.info - avg(b.info)) / stddev_pop(b.info), 4) AS info_z, round((1 + count(*) FILTER (b.info >= a.info)) / {SHUFFLES + 1}.0, 6) AS p FROM i a JOIN i b ON a.cell = b.cell AND a.shuffle_id = 0 AND b.shuffle_id > 0 GROUP BY a.cell, a.info)
+SELECT cell, info, null_mean, info_z, p FROM cells LEFT JOIN z USING (cell)""")
 def running_time_null_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same null as place cells are tested by: smoothed rates, no rate in hours seldom visited, shifts seeded by cell. Slots with a purchase are the running ones."""
     running, cells = running_slots(events(spark, sf_dir), "event_type = 'purchase'")
