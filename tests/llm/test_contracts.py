@@ -23,6 +23,9 @@ CONTRACTS = {
     "op8_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op9_chat": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op10_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op12_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint",
+    "op13_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 LIBRARY = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
 
@@ -60,6 +63,12 @@ def test_columns_and_rows(results, docs, name):
     assert not rows[[c.split()[0] for c in CONTRACTS[name].split(", ")]].isna().any().any()
 
 
+def test_op12_ranks(results):
+    kinds, rows = results("op12_resampling")
+    ranks = sorted(rows["rank"].dropna())
+    assert kinds["rank"] == "bigint" and ranks == list(range(1, len(ranks) + 1))
+
+
 def test_op1(spark, results, docs, labels, documents):
     _, rows = results("op1_toxicity")
     assert all(r.held_out == (crc(r.doc_id) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows.itertuples())
