@@ -18,6 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def trim() -> None:
+    """What is free goes back to the system: the C library would keep it as long as the process runs, and workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (back := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        back(0)
+
+
 def hands_memory_back(train: Callable) -> Callable:
     """What a fit has freed goes back to the system when it ends: the C library would keep it as long as the driver runs."""
 
@@ -26,10 +34,7 @@ def hands_memory_back(train: Callable) -> Callable:
         try:
             return train(*args, **settings)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
-                trim(0)
+            trim()
 
     return run
 
@@ -139,7 +144,8 @@ def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``most_bytes`` of text (one row at least)."""
+    """Cut Arrow batches so that each holds about ``most_bytes`` of text (one row at least). What the worker's last task left free goes back first."""
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -161,6 +167,12 @@ class Cache(dict):
         super().__init__()
         self.make, self.most, self.most_bytes, self.held = make, most, most_bytes, 0
 
+    def __del__(self):
+        """A memo ends with its task; idle workers should not hold on to its memory."""
+        if self.held > 1 << 20 and not sys.is_finalizing():
+            self.clear()
+            trim()
+
     def __missing__(self, key):
         value = self.make(key)
         size = self.ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
