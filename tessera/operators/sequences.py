@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +137,93 @@ def score_events(events: DataFrame, *, circular: bool, kind: str = "column_cycle
     return kept.select(id, "tbins", "posteriors", "_place").mapInPandas(run, f"{id} {kind_}, r double, rz double, direction int, offset int, null_mean double, null_sd double, n_bins int")
 
 
+# --- fixed cycles of whole events ------------------------------------------------------------------
+
+
+def cycled(p: np.ndarray, first: np.ndarray, tbins: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """(1 + shuffles, events): the best |r| over directions and ring offsets of events as they are, and with every time bin rolled by its shift.
+
+    p: (directions, rows, positions), where a row is a time bin of an event and an event's rows follow each other from ``first`` on.
+    shifts: (shuffles, time bins). A row's sums of position and its square are made once for each roll; a shuffle picks from them.
+    """
+    n = p.shape[-1]
+    rolled = (np.arange(n)[:, None] + np.arange(n)) % n
+    t, total = tbins.astype(float), lambda x: np.add.reduceat(x, first, axis=0)
+    begin = np.arange(len(t))[:, None] * n
+    picks = [begin + (by[tbins][:, None] - np.arange(n)) % n for by in (np.zeros(shifts.shape[1], int), *shifts)]
+    out = np.zeros((len(picks), len(first)))
+    for each in p:
+        w = each.sum(axis=1)
+        s = total(w)[:, None]
+        mt = total(w * t)[:, None] / s
+        vt = total(w * t * t)[:, None] / s - mt**2
+        one, two = (np.ascontiguousarray(each @ x).ravel() for x in (rolled.astype(float), rolled.astype(float) ** 2))
+        for best, pick in zip(out, picks, strict=True):
+            x = one[pick]
+            mx = total(x) / s
+            vx = total(two[pick]) / s - mx**2
+            with np.errstate(all="ignore"):
+                r = (total(x * t[:, None]) / s - mx * mt) / np.sqrt(vx * vt)
+            r = np.abs(np.where(np.isfinite(r) & (vx > 1e-12) & (vt > 1e-12), r, 0.0))
+            np.maximum(best, r[np.arange(len(r)), np.round(r, 9).argmax(axis=1)], out=best)
+    return out
+
+
+def cycle_null(events: DataFrame, shifts: list[tuple[int, int, int]], tuning: DataFrame | None = None, *, dt: float = 1.0, floor_hz: float = 0.01, variant: str = "variant", events_a_time: int = 1024) -> DataFrame:
+    """``events`` with abs_r, null_mean and null_sd: the best |r| over directions and ring offsets, and its null by fixed cycles of the time bins.
+
+    events: tbins ARRAY<INT> (an event without any goes) and either posteriors ARRAY<ARRAY<DOUBLE>> (directions, flattened time x position)
+    or, with ``tuning`` (direction, cell, bin, rate), counts ARRAY<ARRAY<DOUBLE>> (time x cells, in the order of the cells' numbers).
+    tuning is as large as one template and goes to every task; if it has ``variant``, each event has a row for each of them.
+    shifts: (shuffle, tbin, shift) for every time bin there is. An event never leaves its row, so nothing is shuffled for the null.
+    """
+    moved = np.zeros([1 + max(s[k] for s in shifts) for k in (0, 1)], int)
+    for k, t, by in shifts:
+        moved[k, t] = by
+    moved = moved[sorted({k for k, _, _ in shifts})]
+    templates: list[tuple] = [(None, None)]
+    kind = {}
+    if tuning is not None:
+        split = variant in tuning.columns
+        kind = {variant: tuning.schema[variant].dataType.simpleString()} if split else {}
+        rows = tuning.select(F.col(variant) if split else F.lit(None).alias(variant), "direction", "cell", "bin", "rate").collect()
+        axes = [sorted({r[k] for r in rows}) for k in (2, 3)]
+        templates = []
+        for name in sorted({r[0] for r in rows}) if split else [None] if rows else []:
+            ways = sorted({r[1] for r in rows if r[0] == name})
+            rates = np.full((len(ways), *map(len, axes)), floor_hz)
+            for v, way, c, b, rate in rows:
+                if v == name:
+                    rates[ways.index(way), axes[0].index(c), axes[1].index(b)] = floor_hz if rate is None or np.isnan(rate) else max(rate, floor_hz)
+            templates.append((name, rates))
+
+    def posteriors(batch: pa.RecordBatch, size: np.ndarray, rates: np.ndarray | None) -> np.ndarray:
+        if rates is None:
+            return np.concatenate([np.stack([np.asarray(d, float).reshape(k, -1) for d in e]) for e, k in zip(batch.column("posteriors").to_pylist(), size, strict=True)], axis=1)
+        counts = batch.column("counts").flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(size.sum(), -1)
+        x = counts @ np.log(rates) - dt * rates.sum(axis=1)[:, None]
+        x = np.exp(x - x.max(axis=-1, keepdims=True))
+        return x / x.sum(axis=-1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, events_a_time):
+                batch = whole.slice(at, events_a_time)
+                tbins = batch.column("tbins")
+                size = tbins.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+                first = np.concatenate([[0], size.cumsum()[:-1]])
+                for name, rates in templates:
+                    r = cycled(posteriors(batch, size, rates), first, tbins.flatten().to_numpy(zero_copy_only=False).astype(int), moved)
+                    null = r[1:]
+                    sd = np.where(null.max(axis=0) > null.min(axis=0), null.std(axis=0), 0.0)  # equal values have no width, whatever their mean is rounded to
+                    own = [pa.array([name] * batch.num_rows, variant_kind)] if kind else []
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *own, *map(pa.array, (r[0], null.mean(axis=0), sd))], names=[*batch.schema.names, *kind, "abs_r", "null_mean", "null_sd"])
+
+    variant_kind = pa.string() if kind.get(variant, "string") == "string" else pa.int64() if kind[variant] == "bigint" else pa.int32()
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*events.dtypes, *kind.items(), *((c, "double") for c in ("abs_r", "null_mean", "null_sd"))])
+    return events.where(F.size("tbins") > 0).mapInArrow(run, schema)
+
+
 # --- contribution of single cells ------------------------------------------------------------------
 
 
