@@ -101,9 +101,10 @@ def circular_shift_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     fan = fan.withColumn("_c", moved)
     rate = F.transform(F.arrays_zip("_c", "_o", "occupancy"), lambda x: F.when(x["occupancy"] >= 0.1, F.try_divide(x["_c"], x["_o"])))
     fan = fan.withColumn("_r", rate).withColumn("i", F.round(fields.skaggs_information(F.col("_r"), F.col("occupancy")), 7))
-    own = fan.groupBy("user_id").agg(F.max(F.when(F.col("shift") == 0, F.col("i"))).alias("observed"), F.collect_list(F.when(F.col("shift") > 0, F.col("i"))).alias("nulls"))
-    n = F.size(F.filter("nulls", lambda x: x >= F.col("observed")))
-    return own.select("user_id", r6("observed", "observed"), n.cast("long").alias("n_at_least"), r6(fields.empirical_p(n, 23), "p"))
+    own = fan.groupBy("user_id").agg(F.max(F.when(F.col("shift") == 0, F.col("i"))).alias("_own"), F.collect_list(F.when(F.col("shift") > 0, F.col("i"))).alias("nulls"))
+    # The nulls are held against the value before it is rounded for the result: in a lambda a name means the result's column of that name, if there is one.
+    n = F.size(F.filter("nulls", lambda x: x >= F.col("_own")))
+    return own.select("user_id", r6("_own", "observed"), n.cast("long").alias("n_at_least"), r6(fields.empirical_p(n, 23), "p"))
 
 
 # --- runs, latches, trajectories ------------------------------------------------------------------
