@@ -54,7 +54,7 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], *, width: float = 6
         return named.where(F.col("_last" + side) >= F.col("_first" + side)).withColumn("_bucket", F.explode(F.sequence("_first" + side, "_last" + side)))
 
     sa, sb = suffixes
-    left, right = cut(a, sa), cut(b, sb)
+    left, right = cut(a, sa), cut(b, sb).hint("merge")  # Spark knows the size of the files alone, not how many buckets a side is cut into: it must not broadcast one
     test = (F.col("start" + sb) < F.col("end" + sa)) & (F.col("end" + sb) > F.col("start" + sa))
     if near is not None:
         test = test | (F.abs(F.col(peak + sb) - F.col(peak + sa)) <= near)

@@ -132,9 +132,10 @@ def check_states(states: DataFrame, sessions: DataFrame, known: list[str]) -> Da
     empty = every.join(states.select("session", "state").distinct(), ["session", "state"], "left_anti").select("session", F.lit("info").alias("severity"), F.lit("state_empty").alias("code"), F.concat("state", F.lit(" has no interval")).alias("message"))
     # One join for all pairs of states: each pair of intervals is met once, in the order of the state names
     known_rows = states.where(F.col("state").isin(known)).select("session", "state", "start", "end")
-    met = overlapping(known_rows, known_rows, ["session"]).where("state_a < state_b")
+    length = known_rows.agg(F.percentile_approx(F.when(F.col("end") > F.col("start"), F.col("end") - F.col("start")), 0.9)).first()[0]
+    met = overlapping(known_rows, known_rows, ["session"], width=max(60.0, length or 0.0)).where("state_a < state_b")
     shared = met.groupBy("session", "state_a", "state_b").agg(F.sum(F.least("end_a", "end_b") - F.greatest("start_a", "start_b")).alias("seconds")).where(F.col("seconds") > SLACK_S)
-    pairs = shared.select("session", F.lit("warning").alias("severity"), F.lit("states_overlap").alias("code"), F.format_string("%s and %s: %.3f s", "state_a", "state_b", "seconds").alias("message"))
+    pairs = shared.select("session", F.lit("warning").alias("severity"), F.lit("states_overlap").alias("code"), F.format_string("%s and %s: %.6f s", "state_a", "state_b", "seconds").alias("message"))
     return reduce(DataFrame.unionByName, [own, empty, pairs])
 
 

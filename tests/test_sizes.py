@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from oracle import connection, difference
 from pyspark.sql import functions as F
-from tessera.operators import sequences
+from tessera.operators import intervals, movement, sequences, validate
 
 
 def with_events(base: str, at, rows: pd.DataFrame) -> str:
@@ -85,3 +85,32 @@ def test_shifts_on_a_ring_that_is_occupied_evenly(spark, sf_dir, tmp_path):
     ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(slots * 600 + rng.uniform(0, 599, len(slots)).round(3), unit="s")
     rows = pd.DataFrame({"event_id": np.arange(len(slots)), "ts": ts, "user_id": rng.integers(0, 60, len(slots)), "event_type": "view", "value": 1.0, "props": "{}"})
     assert differs(spark, "circular_shift_null", with_events(sf_dir, tmp_path, rows)) == ""
+
+
+# --- sides that are cut into buckets ---------------------------------------------------------------
+
+
+def test_sides_cut_into_buckets_are_not_broadcast(spark, tmp_path):
+    """The files are small, the sides are not."""
+    spark.range(200).select(F.lit("a").alias("session"), (F.col("id") * 10.0).alias("start"), (F.col("id") * 10.0 + 9000).alias("end")).write.parquet(str(tmp_path / "i"))
+    rows = spark.read.parquet(str(tmp_path / "i"))
+    met = intervals.overlapping(rows, rows, ["session"])
+    assert "SortMergeJoin" in plan_of(met) and "Broadcast" not in plan_of(met)
+    assert met.count() == 200 * 200
+
+
+def test_whole_seconds_of_an_overlap_are_not_rounded_up(spark):
+    states = spark.createDataFrame([("a", "REM", 1, 0.0, 10.9997), ("a", "NREM", 1, 0.0, 50.0)], "session string, state string, seq int, start double, end double")
+    sessions = spark.createDataFrame([("a", 100.0)], "session string, sess_duration double")
+    said = [r["message"] for r in validate.check_states(states, sessions, ["NREM", "REM"]).where("code = 'states_overlap'").collect()]
+    assert said == ["NREM and REM: 10.999700 s"]
+
+
+# --- one row for each recording --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["linear", "circular"])
+def test_samples_are_not_brought_together_by_recording(spark, tmp_path, kind):
+    spark.range(2000).select(F.lit("a").alias("session"), F.col("id").alias("sample"), F.cos("id").alias("x"), F.sin("id").alias("y"), F.cos("id").alias("x1d")).write.parquet(str(tmp_path / "p"))
+    out = movement.linearize_2d(spark.read.parquet(str(tmp_path / "p")), kind)
+    assert "SortMergeJoin" not in plan_of(out) and "BroadcastHashJoin" in plan_of(out) and out.count() == 2000
