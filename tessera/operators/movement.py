@@ -99,22 +99,23 @@ def principal_axis(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
 def linearize_2d(position: DataFrame, kind: str, keys: list[str] | None = None) -> DataFrame:
     """``position`` with x1d from (x, y): along the principal axis from its least projection (linear), or angle times median radius (circular).
 
-    A linear axis points the way the given x1d grows, where that is known.
+    A linear axis points the way the given x1d grows, where that is known. What is known of a recording is one row, which goes
+    to its samples where they lie: they are never brought together by recording.
     """
     keys = keys or ["session"]
     if kind == "linear":
         axis = principal_axis(position, "x", "y", keys)
-        p = position.join(axis, keys)  # a row for each recording
+        p = position.join(F.broadcast(axis), keys)
         p = p.withColumn("_p", (F.col("x") - F.col("mx")) * F.col("ax") + (F.col("y") - F.col("my")) * F.col("ay"))
         sign = p.groupBy(*keys).agg(F.when(F.covar_pop("_p", "x1d") < 0, -1).otherwise(1).alias("_sign"))
-        p = p.join(sign, keys).withColumn("_p", F.col("_p") * F.col("_sign"))
+        p = p.join(F.broadcast(sign), keys).withColumn("_p", F.col("_p") * F.col("_sign"))
         low = p.groupBy(*keys).agg(F.min("_p").alias("_low"))
-        return p.join(low, keys).select(*(c for c in position.columns if c != "x1d"), (F.col("_p") - F.col("_low")).alias("x1d"))
+        return p.join(F.broadcast(low), keys).select(*(c for c in position.columns if c != "x1d"), (F.col("_p") - F.col("_low")).alias("x1d"))
     centre = position.groupBy(*keys).agg(((F.min("x") + F.max("x")) / 2).alias("_cx"), ((F.min("y") + F.max("y")) / 2).alias("_cy"))
-    p = position.join(centre, keys)
+    p = position.join(F.broadcast(centre), keys)
     p = p.withColumn("_r", F.hypot(F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy"))).withColumn("_a", F.pmod(F.atan2(F.col("y") - F.col("_cy"), F.col("x") - F.col("_cx")), F.lit(2 * math.pi)))
     radius = p.groupBy(*keys).agg(F.percentile("_r", 0.5).alias("_radius"))
-    return p.join(radius, keys).select(*(c for c in position.columns if c != "x1d"), (F.col("_a") * F.col("_radius")).alias("x1d"))
+    return p.join(F.broadcast(radius), keys).select(*(c for c in position.columns if c != "x1d"), (F.col("_a") * F.col("_radius")).alias("x1d"))
 
 
 def coverage(position: DataFrame, keys: list[str] | None = None) -> DataFrame:
