@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from oracle import connection, difference
 from pyspark.sql import functions as F
+from tessera.llm import media
 from tessera.operators import intervals, movement, sequences, validate
 from tessera.plans import decoding
 
@@ -132,3 +134,20 @@ def test_whole_parts_of_sums_go_by_event(spark, sf_dir, tmp_path):
         at.mkdir()
         frames = decoding.tens(spark, with_events(sf_dir, at, rows[::turn].reset_index(drop=True)))
         assert frames.where("i = 0").first()["values"][0] == int(want)
+
+
+# --- what is read back -----------------------------------------------------------------------------
+
+
+def test_media_features_come_from_what_was_stored(spark):
+    """Other stored bytes give other results, and broken ones none, whatever the text was."""
+    texts = spark.createDataFrame([(1, "one text " * 50), (2, None)], "doc_id long, text string")
+    stored = media.store_media(texts)
+    own = {r["doc_id"]: r for r in media.media_features(stored).collect()}
+    packed = {r["doc_id"]: r for r in media.media_features(media.store_media(texts, level=0)).collect()}
+    assert own[1]["payload_sha256"] == packed[1]["payload_sha256"] and own[1]["media_sha256"] != packed[1]["media_sha256"] and own[1]["media_bytes"] < packed[1]["media_bytes"]
+    other = media.write_png(b"another text".ljust(192))
+    changed = {r["doc_id"]: r for r in media.media_features(stored.withColumn("media", F.lit(bytearray(other)))).collect()}
+    assert changed[1]["payload_sha256"] == hashlib.sha256(b"another text".ljust(192)).hexdigest() != own[1]["payload_sha256"] and changed[1]["feature"] != own[1]["feature"]
+    with pytest.raises(Exception, match="MediaError"):
+        media.media_features(stored.withColumn("media", F.lit(bytearray(other[:-20])))).collect()
