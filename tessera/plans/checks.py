@@ -177,6 +177,6 @@ _AROUND = " + ".join([f"{W1[R1]!r}::DOUBLE * value", *(f"{W1[R1 + k]!r}::DOUBLE
 @query(f"""WITH {EV} SELECT user_id, us, round(value, 6) AS value, round(v, 6) AS filtered, FALSE AS late FROM (SELECT user_id, us, value, {_AROUND} AS v FROM ev WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id)) WHERE v IS NOT NULL""")
 def stream_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's values smoothed as they arrive; a filter's halo goes from one micro-batch to the next."""
-    rows = event_stream(spark, sf_dir).select("user_id", (F.unix_micros("ts") - 1_704_067_200_000_000).alias("us"), "value")
-    out = run_stream(spark, live.halo_filtered(rows, "value", "user_id", "us", lambda x: smooth_numpy(x, 1.0), R1), "append")
+    rows = event_stream(spark, sf_dir).select("user_id", (F.unix_micros("ts") - 1_704_067_200_000_000).alias("us"), "event_id", "value")
+    out = run_stream(spark, live.halo_filtered(rows, "value", "user_id", "us", lambda x: smooth_numpy(x, 1.0), R1, then="event_id"), "append")
     return out.select("user_id", "us", r6(F.col("value"), "value"), r6(F.col("filtered"), "filtered"), "late")

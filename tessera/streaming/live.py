@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,28 @@ def bursts(stream: DataFrame, gap: str, keys: list[str], *, ts: str = "ts", late
     return s.where(F.col("n") >= least).select(*keys, F.col("_w.start").alias("start"), F.col("_last").alias("end"), "n")
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _dealt(stream: DataFrame, key: str, groups: int) -> tuple[DataFrame, str]:
+    """The rows with _k (the key as state holds it) and _g (its group, -1 without a key), and the type of _k."""
+    kind = stream.schema[key].dataType.simpleString()
+    held = kind if kind in WHOLE else "string"
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.hash(key), F.lit(groups)))
+    return stream.withColumns({"_k": F.col(key).cast(held), "_g": group}), held
+
+
+def _in_order(rows: pd.DataFrame, key: str, group: int, by: list[str]) -> tuple[pd.DataFrame, list, np.ndarray, np.ndarray]:
+    """Rows sorted by key and ``by``, the keys, and where each one's rows start and end."""
+    if group == -1:  # NULL, not NaN, which would turn whole keys that leave beside it into doubles
+        rows = rows.assign(**{key: None})
+    code, keys = (np.zeros(len(rows), int), [None]) if group == -1 else pd.factorize(rows["_k"])
+    ranks = [rows[c].to_numpy() if rows[c].dtype.kind in "if" else pd.factorize(rows[c], sort=True)[0] for c in by]
+    rows = rows.iloc[np.lexsort((*ranks[::-1], code))]
+    sizes = np.bincount(code)
+    return rows, keys if group == -1 else keys.tolist(), np.cumsum(sizes) - sizes, np.cumsum(sizes)
+
+
 def latched(stream: DataFrame, value: str, threshold: float, key: str, *, ts: str = "ts") -> DataFrame:
     """key, ts, value, latch: the hysteresis latch with one number of state for each key.
 
@@ -51,32 +74,47 @@ def latched(stream: DataFrame, value: str, threshold: float, key: str, *, ts: st
     return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {value} {kinds[value]}, latch int, late boolean", f"at int, last {kinds[ts]}", "append", GroupStateTimeout.NoTimeout)
 
 
-def halo_filtered(stream: DataFrame, value: str, key: str, i: str, kernel: Callable[[np.ndarray], np.ndarray], halo: int) -> DataFrame:
+def halo_filtered(stream: DataFrame, value: str, key: str, i: str, kernel: Callable[[np.ndarray], np.ndarray], halo: int, *, then: str | None = None, groups: int = 256) -> DataFrame:
     """key, i, value, filtered, late: a filter of whole traces over one that goes on, with at most 2 * halo samples of state for each key.
 
     kernel: samples to as many filtered ones, each of which depends on at most ``halo`` samples on either
     side. A sample leaves once that many have come after it, so the last ``halo`` ones of a key stay in state.
-    i is a BIGINT by which a key's samples arrive in order; one that is older than those of an earlier
+    i is a BIGINT by which a key's samples arrive in order (at one i by ``then``); one that is older than those of an earlier
     micro-batch can't be put back in its place: it leaves at once with NULL and the flag ``late``. NULL samples are NaN to the kernel.
+    Keys share their step and their state in ``groups`` hashed groups, as a call for each key costs more than its rows; their number
+    belongs to the checkpoint.
     """
     kind = stream.schema[key].dataType.simpleString()
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, held, sent = state.get if state.exists else ([], [], 0)
-        rows = pd.concat(list(batches)).sort_values(i, kind="stable")
-        late = rows[i] < at[-1] if at else pd.Series(False, index=rows.index)
-        at, held = [*at, *rows[i][~late].tolist()], [*held, *rows[value][~late].astype(float).tolist()]
-        until = max(sent, len(at) - halo)
-        if until > sent:
-            filtered = kernel(np.array(held))[sent:until]
-            yield pd.DataFrame({key: k[0], i: at[sent:until], value: held[sent:until], "filtered": filtered, "late": False})
-        if late.any():
-            yield pd.DataFrame({key: k[0], i: rows[i][late], value: rows[value][late].astype(float), "filtered": np.nan, "late": True})
-        old = max(0, until - halo)
-        state.update((at[old:], held[old:], until - old))
-
-    cast = stream.select(key, F.col(i).cast("long").alias(i), F.col(value).cast("double").alias(value)).where(F.col(i).isNotNull())
-    out = cast.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {i} long, {value} double, filtered double, late boolean", "at array<long>, held array<double>, sent int", "append", GroupStateTimeout.NoTimeout)
+    def step(g: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, sizes, ats, values, sent = state.get if state.exists else ([], [], [], [], [])
+        cuts = np.cumsum([0, *sizes]).tolist()
+        held = {k: (ats[a:b], values[a:b], n) for k, a, b, n in zip(known, cuts[:-1], cuts[1:], sent, strict=True)}
+        rows, keys, starts, ends = _in_order(pd.concat(list(batches), ignore_index=True), key, g[0], [i, *([then] if then else [])])
+        when, v = rows[i].to_numpy(), rows[value].to_numpy(float, na_value=np.nan)
+        parts = []  # (row of the key, i, value, filtered, late)
+        for k, a, b in zip(keys, starts.tolist(), ends.tolist(), strict=True):
+            at, x, done = held.get(k, ([], [], 0))
+            first = a + int(np.searchsorted(when[a:b], at[-1])) if at else a  # those before are late
+            if first > a:
+                parts.append((a, when[a:first], v[a:first], np.full(first - a, np.nan), True))
+            at, x = np.concatenate([np.array(at, np.int64), when[first:b]]), np.concatenate([np.array(x, float), v[first:b]])
+            until = max(done, len(at) - halo)
+            if until > done:
+                parts.append((a, at[done:until], x[done:until], kernel(x)[done:until], False))
+            old = max(0, until - halo)
+            held[k] = (at[old:].tolist(), x[old:].tolist(), until - old)
+        ats, values, sent = zip(*held.values(), strict=True)
+        state.update((list(held), [len(x) for x in ats], list(chain.from_iterable(ats)), list(chain.from_iterable(values)), list(sent)))
+        if parts:
+            a, at, x, filtered, late = zip(*parts, strict=True)
+            n = [len(p) for p in at]
+            yield pd.DataFrame({key: rows[key].iloc[np.repeat(a, n)].array, i: np.concatenate(at), value: np.concatenate(x), "filtered": np.concatenate(filtered), "late": np.repeat(late, n)})
+
+    cast = stream.withColumns({i: F.col(i).cast("long"), value: F.col(value).cast("double")}).where(F.col(i).isNotNull())
+    rows, kept = _dealt(cast, key, groups)
+    rows = rows.select(key, i, value, "_k", "_g", *([then] if then and then not in (key, i, value) else []))
+    out = rows.groupBy("_g").applyInPandasWithState(step, f"{key} {kind}, {i} long, {value} double, filtered double, late boolean", f"known array<{kept}>, sizes array<int>, at array<long>, held array<double>, sent array<int>", "append", GroupStateTimeout.NoTimeout)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (value, "filtered")})
 
 

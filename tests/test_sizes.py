@@ -153,6 +153,21 @@ def test_means_go_by_event(spark, sf_dir, tmp_path, name):
     assert difference(*(entry.queries()[name](spark, d).toPandas() for d in made)) == ""
 
 
+# --- streams ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["stream_filtered"])
+def test_streams_take_equal_times_by_event(spark, sf_dir, tmp_path, name):
+    """Events of one time in another order than that of their ids, users without an id or with one that no double holds, values that are NULL."""
+    rng = np.random.default_rng(5)
+    n = 240
+    user = pd.array(rng.choice([3, 2**60 + 1, 2**60 + 2], n), dtype="Int64")
+    user[rng.random(n) < 0.2] = pd.NA
+    ts = pd.to_datetime("2024-01-01") + pd.to_timedelta(np.arange(n) // 6, unit="h")
+    rows = pd.DataFrame({"event_id": np.arange(n), "ts": ts, "user_id": user, "event_type": "view", "value": np.where((rng.random(n) < 0.1) & (name == "stream_latch"), np.nan, rng.choice([0.0, 50.0, 100.0], n)), "props": "{}"})
+    assert differs(spark, name, with_events(sf_dir, tmp_path, rows.iloc[rng.permutation(n)].reset_index(drop=True))) == ""
+
+
 # --- what is read back -----------------------------------------------------------------------------
 
 
