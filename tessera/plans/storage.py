@@ -328,14 +328,19 @@ def running_time_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams: the batch result, from rows that arrive one micro-batch after the other ---------------
 
 
-def event_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """The events as a stream of files that arrive in time order, one file a micro-batch."""
+def event_stream(spark: SparkSession, sf_dir: str, parts: int = 4, most: int = 500_000) -> DataFrame:
+    """The events as a stream of spans of time that arrive one after the other, one span a micro-batch.
+
+    A span has as many files as the smallest one needs for ``most`` rows a file: so each batch takes just one span's files.
+    """
     path, rows = scratch(spark, "arrivals"), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     ends = rows.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
     dealt = rows.crossJoin(F.broadcast(ends)).withColumn("part", F.floor((F.unix_micros("ts") - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1)))
-    for k in range(parts):  # one after the other: files arrive in the order of their times
-        dealt.where(F.col("part") == k).select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}  # a row a span
+    files = max(1, min(found.get(k, 0) for k in range(parts)) // most)
+    for k in range(parts):  # one after the other: files arrive in the order of their spans
+        dealt.where(F.col("part") == k).select(*rows.columns).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def arrivals(spark: SparkSession, rows: DataFrame, ts: str, closing: DataFrame, parts: int = 4) -> DataFrame:
@@ -378,8 +383,8 @@ def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EV}, v AS (SELECT user_id, us, event_id, value - 50 AS x FROM ev) SELECT user_id, us, coalesce(last_value(CASE WHEN x > 25 THEN 1 WHEN x < -25 THEN -1 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), 0) AS latch, FALSE AS late FROM v""")
 def stream_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latch's state goes from one micro-batch to the next."""
-    rows = event_stream(spark, sf_dir).select("user_id", "ts", (F.col("value") - 50).alias("x"))
-    out = run_stream(spark, live.latched(rows, "x", 25.0, "user_id"), "append")
+    rows = event_stream(spark, sf_dir).select("user_id", "ts", "event_id", (F.col("value") - 50).alias("x"))
+    out = run_stream(spark, live.latched(rows, "x", 25.0, "user_id", then="event_id"), "append")
     return out.select("user_id", (F.unix_micros("ts") - 1_704_067_200_000_000).alias("us"), "latch", "late")
 
 

@@ -50,28 +50,42 @@ def _in_order(rows: pd.DataFrame, key: str, group: int, by: list[str]) -> tuple[
     return rows, keys if group == -1 else keys.tolist(), np.cumsum(sizes) - sizes, np.cumsum(sizes)
 
 
-def latched(stream: DataFrame, value: str, threshold: float, key: str, *, ts: str = "ts") -> DataFrame:
+def latched(stream: DataFrame, value: str, threshold: float, key: str, *, ts: str = "ts", then: str | None = None, groups: int = 256) -> DataFrame:
     """key, ts, value, latch: the hysteresis latch with one number of state for each key.
 
-    Rows of a key are taken in time order inside a micro-batch; batches follow each other as they come. A row
-    that is older than the last one of an earlier batch can't be put back in its place: it takes and gives no
-    latch, but passes with the flag ``late``.
+    Rows of a key are taken in time order (at one time by ``then``) inside a micro-batch; batches follow each other as they come.
+    A row that is older than the last one of an earlier batch, or has no time, can't be put in its place: it takes and gives no
+    latch, but passes with the flag ``late``. Keys share their step and their state in ``groups`` hashed groups, as a call for each
+    key costs more than its rows; their number belongs to the checkpoint.
     """
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, ts, value)}
+    timed = kinds[ts].startswith(("timestamp", "date"))
+    clock = "long" if timed or kinds[ts] in WHOLE else "double"
+    at = F.unix_micros(F.col(ts).cast("timestamp")) if timed else F.col(ts)
+    none = np.iinfo(np.int64).min if clock == "long" else -np.inf
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        at, last = state.get if state.exists else (0, None)
-        out, late = [], []
-        for when, v in zip(rows[ts], rows[value], strict=True):
-            late.append(last is not None and when < last)
-            if not late[-1]:
-                at, last = 1 if v > threshold else -1 if v < -threshold else at, when
-            out.append(None if late[-1] else at)
-        state.update((at, last))
-        yield pd.DataFrame({key: k[0], ts: rows[ts], value: rows[value], "latch": pd.array(out, dtype="Int32"), "late": late})
-
-    return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {value} {kinds[value]}, latch int, late boolean", f"at int, last {kinds[ts]}", "append", GroupStateTimeout.NoTimeout)
+    def step(g: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, latch, last = state.get if state.exists else ([], [], [])
+        rows, keys, starts, ends = _in_order(pd.concat(list(batches), ignore_index=True), key, g[0], ["_at", *([then] if then else [])])
+        place = {k: n for n, k in enumerate(known)}
+        place |= {k: len(place) + n for n, k in enumerate(k for k in keys if k not in place)}
+        new = len(place) - len(known)
+        latch, last = np.array([*latch, *[0] * new], np.int64), np.array([*last, *[none] * new], np.int64 if clock == "long" else float)
+        own, each = np.array([place[k] for k in keys]), np.repeat(np.arange(len(keys)), ends - starts)
+        when, v, here = rows["_at"].to_numpy(), rows[value].to_numpy(float, na_value=np.nan), np.arange(len(rows))
+        late = (when < last[own][each]) | rows[ts].isna().to_numpy()
+        sign = np.where(v > threshold, 1, np.where(v < -threshold, -1, 0))
+        turn = np.maximum.accumulate(np.where((sign != 0) & ~late, here, -1))
+        out = np.where(turn >= starts[each], sign[turn], latch[own][each])
+        newest = np.maximum.accumulate(np.where(late, -1, here))[ends - 1]
+        moved = newest >= starts
+        latch[own[moved]], last[own[moved]] = out[newest[moved]], when[newest[moved]]
+        state.update((list(place), latch.tolist(), last.tolist()))
+        yield pd.DataFrame({key: rows[key], ts: rows[ts], value: rows[value], "latch": pd.array(np.where(late, None, out), dtype="Int32"), "late": late})
+
+    rows, held = _dealt(stream.withColumn("_at", F.coalesce(at.cast(clock), F.lit(0).cast(clock))), key, groups)
+    rows = rows.select(key, ts, value, "_at", "_k", "_g", *([then] if then and then not in (key, ts, value) else []))
+    return rows.groupBy("_g").applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {value} {kinds[value]}, latch int, late boolean", f"known array<{held}>, latch array<int>, last array<{clock}>", "append", GroupStateTimeout.NoTimeout)
 
 
 def halo_filtered(stream: DataFrame, value: str, key: str, i: str, kernel: Callable[[np.ndarray], np.ndarray], halo: int, *, then: str | None = None, groups: int = 256) -> DataFrame:
@@ -81,8 +95,7 @@ def halo_filtered(stream: DataFrame, value: str, key: str, i: str, kernel: Calla
     side. A sample leaves once that many have come after it, so the last ``halo`` ones of a key stay in state.
     i is a BIGINT by which a key's samples arrive in order (at one i by ``then``); one that is older than those of an earlier
     micro-batch can't be put back in its place: it leaves at once with NULL and the flag ``late``. NULL samples are NaN to the kernel.
-    Keys share their step and their state in ``groups`` hashed groups, as a call for each key costs more than its rows; their number
-    belongs to the checkpoint.
+    Keys share their state in ``groups`` hashed groups, as in ``latched``.
     """
     kind = stream.schema[key].dataType.simpleString()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from oracle import connection, difference
 from pyspark.sql import functions as F
 from tessera.llm import media
 from tessera.operators import intervals, movement, sequences, validate
-from tessera.plans import decoding
+from tessera.plans import checks, decoding, storage
+from tessera.streaming import live
 
 
 def with_events(base: str, at, rows: pd.DataFrame) -> str:
@@ -156,7 +158,7 @@ def test_means_go_by_event(spark, sf_dir, tmp_path, name):
 # --- streams ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["stream_filtered"])
+@pytest.mark.parametrize("name", ["stream_latch", "stream_filtered"])
 def test_streams_take_equal_times_by_event(spark, sf_dir, tmp_path, name):
     """Events of one time in another order than that of their ids, users without an id or with one that no double holds, values that are NULL."""
     rng = np.random.default_rng(5)
@@ -168,6 +170,25 @@ def test_streams_take_equal_times_by_event(spark, sf_dir, tmp_path, name):
     assert differs(spark, name, with_events(sf_dir, tmp_path, rows.iloc[rng.permutation(n)].reset_index(drop=True))) == ""
 
 
+@pytest.mark.parametrize("name", ["stream_latch", "stream_filtered"])
+def test_a_span_of_several_files_is_one_batch(spark, sf_dir, name, monkeypatch):
+    several = partial(storage.event_stream, most=60)
+    for module in (checks, storage):
+        monkeypatch.setattr(module, "event_stream", several)
+    assert differs(spark, name, sf_dir) == ""
+
+
+def test_keys_share_their_state_and_their_step(spark, tmp_path):
+    """A call and a state for each key cost more than its rows; 1,500 keys have 256 groups at most."""
+    spark.range(3000).select((F.col("id") % 1500).alias("k"), F.timestamp_seconds("id").alias("ts"), "id", F.lit(1.0).alias("v")).write.parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("k long, ts timestamp, id long, v double").parquet(f"{tmp_path}/in")
+    for number, out in enumerate((live.latched(rows, "v", 0.5, "k"), live.halo_filtered(rows, "v", "k", "id", lambda x: x, 1))):
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out{number}").option("checkpointLocation", f"{tmp_path}/ck{number}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 256
+        assert spark.read.parquet(f"{tmp_path}/out{number}").count() == (3000, 1500)[number]
+
+
 # --- what is read back -----------------------------------------------------------------------------
 
 

@@ -67,6 +67,39 @@ def test_a_filter_goes_on_over_batches(spark, tmp_path):
     assert [(r["k"], r["s"], r["v"], r["filtered"]) for r in got if r["late"]] == [(1, 5, 9.0, None)]
 
 
+def test_latch_and_filter_by_group_are_those_of_plain_loops(spark, tmp_path):
+    """Names as keys and none, more keys than groups, rows that come late, and values that are NULL."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys = [None, *"abcdefgh"]
+    parts = [[(int(k), int(s), None if x < -60 else float(x)) for k, s, x in zip(rng.integers(0, 9, 80), rng.choice(300, 80, replace=False) + 200 * p, rng.normal(0, 40, 80), strict=True)] for p in range(4)]
+    names = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("k") + 1)
+    stream = source(spark, tmp_path, parts).select(names.alias("k"), "ts", F.unix_seconds("ts").alias("s"), "v")
+    latch, filtered, now, held = [], [], {}, {}
+    for part in parts:
+        ends, went = {k: now[k][1] for k in now}, {k: held[k][-1][0] for k in held}
+        for k, s, x in sorted(part, key=lambda r: r[1]):
+            late = s < ends.get(k, s)
+            if not late:
+                at = now.get(k, (0, 0))[0]
+                now[k] = (at if x is None or abs(x) <= 25 else 1 if x > 0 else -1, s)
+            latch.append((str(keys[k]), s, None if late else now[k][0], late))
+            if s < went.get(k, s):
+                filtered.append((str(keys[k]), s, None, True))
+            else:
+                held.setdefault(k, []).append((s, np.nan if x is None else x))
+    three = lambda x: np.convolve(np.pad(x, 1, mode="edge"), [0.25, 0.5, 0.25], "valid")
+    for k, rows in held.items():
+        made = three(np.array([x for _, x in rows]))
+        filtered += [(str(keys[k]), s, None if np.isnan(y) else round(float(y), 9), False) for (s, _), y in zip(rows[:-1], made, strict=False)]
+    got = drained(live.latched(stream, "v", 25.0, "k", groups=3), "latch_groups")
+    assert sorted(((str(r["k"]), int(r["ts"].timestamp()), r["latch"], r["late"]) for r in got), key=str) == sorted(latch, key=str)
+    got = drained(live.halo_filtered(stream, "v", "k", "s", three, 1, groups=3), "filter_groups")
+    assert sorted(((str(r["k"]), r["s"], r["filtered"] if r["filtered"] is None else round(r["filtered"], 9), r["late"]) for r in got), key=str) == sorted(filtered, key=str)
+    assert any(r[-1] for r in latch) and any(r[-1] for r in filtered)
+
+
 def arriving(spark, tmp_path, parts):
     for k, part in enumerate(parts):
         spark.createDataFrame(part, "k int, i long, v double").select("k", "i", (F.col("i") * 1.0).alias("t"), "v", F.timestamp_seconds("i").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/p={k}")
